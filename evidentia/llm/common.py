@@ -70,3 +70,9 @@ def fold_py(doc_id: int | None, mod: int) -> int:
 def words_of(text: str | None) -> list[bytes]:
     """Words [^\\x20\\x09-\\x0D]+ with A-Z lowered, as UTF-8 (bytes.split cuts at exactly these six)."""
     return [] if text is None else text.encode("utf-8", "replace").lower().split()
+
+
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)

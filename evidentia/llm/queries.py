@@ -6,8 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evidentia.llm import simhash
-from evidentia.llm.common import table
+from evidentia.llm import mixing, simhash, tokens
+from evidentia.llm.common import table, tokenizer_path
+from evidentia.llm.sql import ORACLES
+
+
+def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_digest(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mix(table(spark, sf_dir, "documents"), mixing.quality_weights(table(spark, sf_dir, "labels")))
+    return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,8 +26,8 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op10_simhash": op10_simhash}
+    return {"op5_token_ids": op5_token_ids, "op9_mixing": op9_mixing, "op10_simhash": op10_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
