@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evidentia.llm import mixing, simhash, tokens
-from evidentia.llm.common import table, tokenizer_path
+from evidentia.llm import mixing, secrets, simhash, tokens
+from evidentia.llm.common import shared_dir, table, tokenizer_path
 from evidentia.llm.sql import ORACLES
 
 
@@ -15,6 +15,12 @@ def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_digest(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as versions, against a ledger of this run's own."""
+    out = secrets.scan_versions(table(spark, sf_dir, "documents"), shared_dir(spark))
+    return out.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(table(spark, sf_dir, "documents"), mixing.quality_weights(table(spark, sf_dir, "labels")))
     return out.select("doc_id", "size", "source_size", "target", "taken")
@@ -26,7 +32,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_token_ids": op5_token_ids, "op9_mixing": op9_mixing, "op10_simhash": op10_simhash}
+    return {"op5_token_ids": op5_token_ids, "op8_secrets": op8_secrets, "op9_mixing": op9_mixing, "op10_simhash": op10_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
