@@ -64,7 +64,7 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             count = {k: sum(1 for x in found if x[2] == k) for k in base}
             digest = hashlib.sha256(",".join(x for x, f in zip(spans, found) if f[2] in base).encode()).hexdigest()
             rows.append((sha, count["assign"], count["access"], count["hex"], digest, ",".join(spans)))
-        yield pd.DataFrame(rows, columns=["blob", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
+        yield pd.DataFrame(rows, columns=["blob", "n_assign", "n_access", "n_hex", "base_sha256", "spans"], dtype=object)
 
 
 LEDGER = "blob binary, rule_version string, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
