@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evidentia.llm import decontam, hmm_lm, mixing, secrets, simhash, tokens, toxicity
+from evidentia.llm import decontam, hmm_lm, html_main, mixing, secrets, simhash, tokens, toxicity
 from evidentia.llm.common import shared_dir, table, tokenizer_path
 from evidentia.llm.sql import ORACLES
 
@@ -23,6 +23,10 @@ def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_digest(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm_lm.score_texts(table(spark, sf_dir, "documents"))
 
@@ -44,7 +48,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_toxicity": op2_toxicity, "op4_decontamination": op4_decontamination, "op5_token_ids": op5_token_ids, "op7_language_model": op7_language_model, "op8_secrets": op8_secrets, "op9_mixing": op9_mixing, "op10_simhash": op10_simhash}
+    return {"op2_toxicity": op2_toxicity, "op4_decontamination": op4_decontamination, "op5_token_ids": op5_token_ids, "op6_html_text": op6_html_text, "op7_language_model": op7_language_model, "op8_secrets": op8_secrets, "op9_mixing": op9_mixing, "op10_simhash": op10_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
