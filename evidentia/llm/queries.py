@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evidentia.llm import decontam, embed_dedup, hmm_lm, html_main, mixing, secrets, simhash, tokens, toxicity
+from evidentia.llm import chat, decontam, embed_dedup, hmm_lm, html_main, mixing, secrets, simhash, tokens, toxicity
 from evidentia.llm.common import shared_dir, table, tokenizer_path
 from evidentia.llm.sql import ORACLES
 
@@ -19,6 +19,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_preferences(chat.paired_replies(table(spark, sf_dir, "conversations")))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -52,7 +56,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_embedding_dedup": op1_embedding_dedup, "op2_toxicity": op2_toxicity, "op4_decontamination": op4_decontamination, "op5_token_ids": op5_token_ids, "op6_html_text": op6_html_text, "op7_language_model": op7_language_model, "op8_secrets": op8_secrets, "op9_mixing": op9_mixing, "op10_simhash": op10_simhash}
+    return {"op1_embedding_dedup": op1_embedding_dedup, "op2_toxicity": op2_toxicity, "op3_preference_format": op3_preference_format, "op4_decontamination": op4_decontamination, "op5_token_ids": op5_token_ids, "op6_html_text": op6_html_text, "op7_language_model": op7_language_model, "op8_secrets": op8_secrets, "op9_mixing": op9_mixing, "op10_simhash": op10_simhash}
 
 
 def oracle_sql() -> dict[str, str]:

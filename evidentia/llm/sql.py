@@ -45,4 +45,28 @@ SELECT vec_id, coalesce(n.n, 0)::BIGINT AS n_links, least(vec_id, coalesce(c.low
 FROM embeddings LEFT JOIN c ON c.a = vec_id LEFT JOIN n ON n.a = vec_id
 """
 
-ORACLES = {"op1_embedding_dedup": OP1, "op9_mixing": OP9}
+OP3 = r"""
+WITH t AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL),
+n AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+             row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS i FROM t),
+l AS (SELECT conv_id, max(i) AS last FROM n WHERE role = 'assistant' GROUP BY conv_id),
+a AS (SELECT n.conv_id, n.i AS last, n.text FROM n JOIN l ON n.conv_id = l.conv_id AND n.i = l.last),
+p AS (SELECT a.conv_id AS pair_id, a.last, b.text AS reply FROM a JOIN a AS b ON b.conv_id = xor(a.conv_id, 1)),
+c AS (SELECT p.pair_id, n.i, n.role, n.text, CASE WHEN n.i = p.last THEN p.reply ELSE n.text END AS other
+      FROM p JOIN n ON n.conv_id = p.pair_id AND n.i <= p.last),
+k AS (SELECT pair_id, coalesce(min(i) FILTER (text <> other) - 1, max(i))::BIGINT AS n_common FROM c GROUP BY pair_id),
+s AS (SELECT c.pair_id, n_common, i, 'c' AS side, role, text FROM c JOIN k USING (pair_id)
+      UNION ALL SELECT c.pair_id, n_common, i, 'r', role, other FROM c JOIN k USING (pair_id)),
+x AS (SELECT *, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS line FROM s),
+y AS (SELECT *, sum(CASE WHEN i > n_common THEN length(line) ELSE 0 END) OVER (PARTITION BY pair_id, side ORDER BY i)::BIGINT AS upto FROM x),
+z AS (SELECT *, (upto - length(line) + length(role) + 5)::VARCHAR || ':' || (upto - 1)::VARCHAR AS span FROM y)
+SELECT pair_id, any_value(n_common) AS n_common,
+       coalesce(string_agg(line, '' ORDER BY i) FILTER (side = 'c' AND i <= n_common), '') AS prompt,
+       coalesce(string_agg(line, '' ORDER BY i) FILTER (side = 'c' AND i > n_common), '') AS chosen,
+       coalesce(string_agg(line, '' ORDER BY i) FILTER (side = 'r' AND i > n_common), '') AS rejected,
+       coalesce(string_agg(span, ',' ORDER BY i) FILTER (side = 'c' AND i > n_common AND role = 'assistant'), '') AS chosen_mask,
+       coalesce(string_agg(span, ',' ORDER BY i) FILTER (side = 'r' AND i > n_common AND role = 'assistant'), '') AS rejected_mask
+FROM z GROUP BY pair_id
+"""
+
+ORACLES = {"op3_preference_format": OP3, "op1_embedding_dedup": OP1, "op9_mixing": OP9}
