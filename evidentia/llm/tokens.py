@@ -20,11 +20,13 @@ import os
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import islice
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -37,7 +39,7 @@ PERCENTILE = 90
 SEGMENT = 1 << 20
 END = 2
 #: Pieces of text whose ids a worker remembers, and the longest such piece.
-REMEMBERED, PIECE = 300_000, 64
+REMEMBERED, PIECE = 700_000, 64
 MAGIC = b"PFR1"
 HEAD = struct.Struct("<4sIIQQI")
 
@@ -82,7 +84,7 @@ def encode_segment(doc_ids: list[int | None], streams: list[np.ndarray]) -> byte
 class Segment:
     """A segment for reading: its documents, and any block or range of ids."""
 
-    def __init__(self, data: bytes) -> None:
+    def __init__(self, data: bytes | pa.Buffer) -> None:
         magic, docs, blocks, self.n_ids, _, exceptions = HEAD.unpack_from(data)
         if magic != MAGIC:
             raise ValueError("not a token segment")
@@ -105,15 +107,19 @@ class Segment:
         """The ids of blocks a to b - 1, the last one padded."""
         out = np.zeros((b - a, BLOCK), np.uint32)
         width = self.width[a:b]
-        for w in np.unique(width[width > 0]):
+        for w in map(int, np.unique(width[width > 0])):
             rows = np.nonzero(width == w)[0]
-            size, kind = (2, "<u2") if w <= 16 else (4, "<u4")
             for part in np.array_split(rows, -(-len(rows) // 256)):
-                where = self.start[a + part][:, None].astype(np.int64) + np.arange(int(w) * BLOCK // 8)
-                bit = np.unpackbits(self.packed[where], axis=1, bitorder="little").reshape(len(part), BLOCK, int(w))
-                full = np.zeros((len(part), BLOCK, 8 * size), np.uint8)
-                full[:, :, : int(w)] = bit
-                out[part] = np.packbits(full, axis=2, bitorder="little").view(kind)[:, :, 0]
+                where = self.start[a + part][:, None].astype(np.int64) + np.arange(w * BLOCK // 8)
+                body = self.packed[where].reshape(len(part), BLOCK // 8, w).astype(np.uint64)
+                eight = np.empty((len(part), BLOCK // 8, 8), np.uint32)
+                for k in range(8):  # eight values fill w bytes, so the k-th always has the same bits
+                    bit, shift = k * w // 8, k * w % 8
+                    value = body[:, :, bit].copy()
+                    for more in range(1, (shift + w + 7) // 8):
+                        value |= body[:, :, bit + more] << np.uint64(8 * more)
+                    eight[:, :, k] = (value >> np.uint64(shift)) & np.uint64((1 << w) - 1)
+                out[part] = eight.reshape(len(part), BLOCK)
         bounds = np.append(self.first, len(self.high))
         lo, hi = int(bounds[a]), int(bounds[b])
         block = np.repeat(np.arange(b - a), np.diff(bounds[a : b + 1].astype(np.int64)))
@@ -137,7 +143,9 @@ class Encoder:
 
     The byte-level pre-tokenizer always starts a new token at a space that
     precedes a character other than white space, so the ids of a text are the
-    ids of its pieces between such places.
+    ids of its pieces between such places. Pieces not seen before are encoded
+    in one call, as a text of their own, and told apart by the tokens that
+    begin with a space.
     """
 
     def __init__(self, path: str) -> None:
@@ -145,33 +153,55 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.inner: dict[str, bytes] = {}  # without the space they begin with
-
-    def _encode(self, pieces: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.opens = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.opens[i] = token.startswith("\u0120")  # the byte-level alphabet's space
+        self.inner: dict[str, bytes] = {}  # pieces without the space they begin with
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode_words(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of " " + word; words without spaces and special tokens go through one call."""
+        plain = [w for w in words if w and " " not in w and not w[0].isspace() and not any(s in w for s in self.special)]
+        out: dict[str, bytes] = {}
+        if plain:
+            body = self._encode([" " + " ".join(plain)])[0]
+            at = np.flatnonzero(self.opens[np.frombuffer(body, np.uint32)])
+            if len(at) == len(plain):
+                cut = [*(at * 4).tolist(), len(body)]
+                out = {w: body[x:y] for w, x, y in zip(plain, cut, cut[1:])}
+        rest = [w for w in words if w not in out]
+        out.update(zip(rest, self._encode([" " + w for w in rest])))
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         cut = [t.split(" ") if not _LOOSE.search(t) else [p[i > 0 :] for i, p in enumerate(_CUT.split(t))] for t in texts]
         firsts = [c[0] for c in cut]
         heads = iter(self._encode([f for f in firsts if f]))
-        words: set[str] = set()
-        for c in cut:
-            words.update(c[1:])
-        new = list(words.difference(self.inner))
-        found = dict(zip(new, self._encode([" " + w for w in new])))
+        got = [list(map(self.inner.get, c)) for c in cut]
+        new = dict.fromkeys(w for c, g in zip(cut, got) if None in g for w, v in zip(c, g) if v is None)
+        found = self._encode_words(list(new)) if new else {}
         self.inner.update(islice(((k, v) for k, v in found.items() if len(k) <= PIECE), REMEMBERED - len(self.inner)))
-        known = self.inner if words <= self.inner.keys() else {w: self.inner.get(w) or found[w] for w in words}
-        return [b"".join([next(heads) if f else b"", *map(known.__getitem__, c[1:])]) for f, c in zip(firsts, cut)]
+        for c, g in zip(cut, got):
+            if None in g:
+                g[:] = [found[w] if v is None else v for w, v in zip(c, g)]
+            g[0] = next(heads) if c[0] else b""
+        return [b"".join(g) for g in got]
 
 
-_encoders: dict[str, Encoder] = {}
+@lru_cache(maxsize=2)
+def encoder_for(path: str) -> Encoder:
+    """This process's encoder; a worker keeps it from task to task."""
+    return Encoder(path)
 
 
-def _grouped(pdf: pd.DataFrame, most: int = 1 << 20) -> Iterator[tuple[list, list[str]]]:
+def _grouped(batch: pa.RecordBatch, most: int = 1 << 20) -> Iterator[tuple[list, list[str]]]:
     ids, texts, size = [], [], 0
-    for d, t in zip(pdf["doc_id"].astype("Int64"), pdf["text"]):
-        ids.append(None if d is pd.NA else int(d))
+    for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+        ids.append(d)
         texts.append(t or "")
         size += len(texts[-1]) + 1
         if size > most:
@@ -192,18 +222,17 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end: int = END) ->
     ship(docs.sparkSession)
     close = np.array([end], "<u4").tobytes()
 
-    def shard(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = _encoders.setdefault(tokenizer, None) or Encoder(tokenizer)
-        _encoders[tokenizer] = encoder
+    def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = encoder_for(tokenizer)
         number, seq, held = TaskContext.get().partitionId(), 0, 0
         ids: list = []
         streams: list = []
 
-        def row() -> pd.DataFrame:
-            return pd.DataFrame({"shard": [number], "seq": [seq], "n_ids": [held], "data": [encode_segment(ids, streams)]})
+        def row() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([seq], pa.int32()), pa.array([held], pa.int64()), pa.array([encode_segment(ids, streams)], pa.binary())], ["shard", "seq", "n_ids", "data"])
 
-        for pdf in batches:
-            for some, texts in _grouped(pdf):
+        for batch in batches:
+            for some, texts in _grouped(batch):
                 for d, body in zip(some, encoder.encode(texts)):
                     s = np.frombuffer(body + close, "<u4")
                     if held and held + len(s) > SEGMENT:
@@ -217,17 +246,19 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end: int = END) ->
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    rows.mapInPandas(shard, "shard int, seq int, n_ids long, data binary").write.option("compression", "none").parquet(path)
+    rows.mapInArrow(shard, "shard int, seq int, n_ids long, data binary").write.option("compression", "none").parquet(path)
 
 
-def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        for shard, seq, data in zip(pdf["shard"], pdf["seq"], pdf["data"]):
-            s = Segment(bytes(data))
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for shard, seq, data in zip(*(batch.column(c) for c in ("shard", "seq", "data"))):
+            s = Segment(data.as_buffer())
             ends = np.cumsum(s.n_tokens)
-            raw = memoryview(s.ids().astype("<u4").tobytes())
-            sums = [zlib.crc32(raw[4 * int(e - n) : 4 * int(e)]) for e, n in zip(ends, s.n_tokens)]
-            yield pd.DataFrame({"shard": shard, "seq": seq, "doc_id": pd.array(s.doc_ids, "Int64"), "inner": ends - s.n_tokens, "n_tokens": s.n_tokens, "ids_crc32": np.array(sums, np.int64)})
+            raw = memoryview(s.ids().astype("<u4")).cast("B")
+            sums = [zlib.crc32(raw[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), s.n_tokens.tolist())]
+            n = len(sums)
+            columns = [pa.array([shard.as_py()] * n, pa.int32()), pa.array([seq.as_py()] * n, pa.int32()), pa.array(s.doc_ids, pa.int64()), pa.array(ends - s.n_tokens, pa.int64()), pa.array(s.n_tokens, pa.int64()), pa.array(sums, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["shard", "seq", "doc_id", "inner", "n_tokens", "ids_crc32"])
 
 
 def read_digest(spark: SparkSession, path: str) -> DataFrame:
@@ -239,7 +270,7 @@ def read_digest(spark: SparkSession, path: str) -> DataFrame:
     shards = head.groupBy("shard").agg(F.sum("n_ids").alias("total"))  # a row per file
     base = shards.select("shard", F.coalesce(F.sum("total").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     starts = head.withColumn("at", F.coalesce(F.sum("n_ids").over(inside), F.lit(0))).join(base, "shard").select("shard", "seq", (F.col("base") + F.col("at")).alias("from"))
-    docs = files.select("shard", "seq", "data").mapInPandas(_read, "shard int, seq int, doc_id long, inner long, n_tokens long, ids_crc32 long")
+    docs = files.select("shard", "seq", "data").mapInArrow(_read, "shard int, seq int, doc_id long, inner long, n_tokens long, ids_crc32 long")
     return docs.join(starts, ["shard", "seq"]).select("doc_id", (F.col("from") + F.col("inner")).alias("start"), "n_tokens", "ids_crc32")
 
 
