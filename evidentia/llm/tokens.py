@@ -27,6 +27,7 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -72,11 +73,11 @@ def encode_blocks(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return low, width, start, first, position.astype("<u2"), high, packed.tobytes()
 
 
-def encode_segment(doc_ids: list[int | None], streams: list[np.ndarray]) -> bytes:
-    ids = np.concatenate(streams) if streams else np.zeros(0, np.uint32)
+def encode_segment(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray) -> bytes:
+    """doc_ids and lengths of the documents whose ids follow each other in ids."""
     low, width, start, first, position, high, packed = encode_blocks(ids)
     parts = [HEAD.pack(MAGIC, len(doc_ids), len(low), len(ids), len(packed), len(high))]
-    parts += [np.array([d or 0 for d in doc_ids], "<i8").tobytes(), np.array([d is not None for d in doc_ids], np.uint8).tobytes(), np.array([len(s) for s in streams], "<u8").tobytes()]
+    parts += [np.array([d or 0 for d in doc_ids], "<i8").tobytes(), np.array([d is not None for d in doc_ids], np.uint8).tobytes(), np.array(lengths, "<u8").tobytes()]
     parts += [a.astype(k).tobytes() for a, k in ((low, "<u4"), (width, "u1"), (start, "<u8"), (first, "<u4"), (position, "<u2"), (high, "<u4"))]
     return b"".join([*parts, packed])
 
@@ -135,7 +136,10 @@ class Segment:
 
 
 _CUT = re.compile(r"(?= \S)")
-_LOOSE = re.compile(r" (?!\S)")
+#: A space before white space or the end (for RE2, which knows ASCII white space only).
+_LOOSE = r" (?:[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]|$)"
+_SPACES = re.compile(r"\s")
+_LINE = re.compile(r"(\S+)\n(\S+)")
 
 
 class Encoder:
@@ -157,39 +161,94 @@ class Encoder:
         self.opens = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.opens[i] = token.startswith("\u0120")  # the byte-level alphabet's space
+        self.newline = self.tokenizer.token_to_id("\u010a")
+        self.feed = array("I", [self.newline]).tobytes()
+        self.tails = {c: self._encode([c])[0] for c in ".,;:!?"}
         self.inner: dict[str, bytes] = {}  # pieces without the space they begin with
+        self.bare: dict[str, bytes] = {}  # pieces that begin a line
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _encode_words(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of " " + word; words without spaces and special tokens go through one call."""
-        plain = [w for w in words if w and " " not in w and not w[0].isspace() and not any(s in w for s in self.special)]
+    def _joined(self, pieces: list[str], mark: str) -> dict[str, bytes]:
+        """Ids of " " + piece (mark " ") or of the piece alone (mark "\n"), from one call as far as that can be told apart."""
+        plain = [p for p in pieces if p and not _SPACES.search(p) and not any(s in p for s in self.special)]
         out: dict[str, bytes] = {}
         if plain:
-            body = self._encode([" " + " ".join(plain)])[0]
-            at = np.flatnonzero(self.opens[np.frombuffer(body, np.uint32)])
+            body = self._encode([mark + mark.join(plain)])[0]
+            ids = np.frombuffer(body, np.uint32)
+            at = np.flatnonzero(self.opens[ids] if mark == " " else ids == self.newline)
             if len(at) == len(plain):
-                cut = [*(at * 4).tolist(), len(body)]
-                out = {w: body[x:y] for w, x, y in zip(plain, cut, cut[1:])}
-        rest = [w for w in words if w not in out]
-        out.update(zip(rest, self._encode([" " + w for w in rest])))
+                skip, cut = (0 if mark == " " else 4), [*(at * 4).tolist(), len(body)]
+                out = {p: body[x + skip : y] for p, x, y in zip(plain, cut, cut[1:])}
+        rest = [p for p in pieces if p not in out]
+        out.update(zip(rest, self._encode([mark + p if mark == " " else p for p in rest])))
+        return out
+
+    def _encode_words(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of " " + word. A mark that ends a known word, and a line break inside one, are tokens of their own."""
+        out, rest, lines = {}, [], []
+        known, tails = self.inner.get, self.tails
+        for w in words:
+            t = tails.get(w[-1:])
+            if t is not None and w[-2:-1].isalnum() and (h := known(w[:-1])) is not None:
+                out[w] = h + t
+            elif "\n" in w and (m := _LINE.fullmatch(w)) and not any(s in w for s in self.special):
+                lines.append((w, m[1], m[2]))
+            else:
+                rest.append(w)
+        if lines:
+            heads = {h for _, h, _ in lines if h not in self.inner and h not in out}
+            for h in list(heads):
+                t = tails.get(h[-1:])
+                if t is not None and h[-2:-1].isalnum() and (x := known(h[:-1])) is not None:
+                    out[h] = x + t
+                    heads.discard(h)
+            rest += heads.difference(rest)
+            new = list({b for _, _, b in lines}.difference(self.bare))
+            fresh = self._joined(new, "\n")
+            self.bare.update(islice(((k, v) for k, v in fresh.items() if len(k) <= PIECE), REMEMBERED // 8 - len(self.bare)))
+        out.update(self._joined(rest, " "))
+        self.inner.update(islice(((k, v) for k, v in out.items() if len(k) <= PIECE), REMEMBERED - len(self.inner)))
+        for w, h, b in lines:
+            out[w] = (known(h) or out[h]) + self.feed + (self.bare.get(b) or fresh[b])
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        cut = [t.split(" ") if not _LOOSE.search(t) else [p[i > 0 :] for i, p in enumerate(_CUT.split(t))] for t in texts]
-        firsts = [c[0] for c in cut]
-        heads = iter(self._encode([f for f in firsts if f]))
-        got = [list(map(self.inner.get, c)) for c in cut]
-        new = dict.fromkeys(w for c, g in zip(cut, got) if None in g for w, v in zip(c, g) if v is None)
-        found = self._encode_words(list(new)) if new else {}
-        self.inner.update(islice(((k, v) for k, v in found.items() if len(k) <= PIECE), REMEMBERED - len(self.inner)))
-        for c, g in zip(cut, got):
-            if None in g:
-                g[:] = [found[w] if v is None else v for w, v in zip(c, g)]
-            g[0] = next(heads) if c[0] else b""
-        return [b"".join(g) for g in got]
+    def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, each closed by end, and how many each has.
+
+        Splitting and looking for repeated pieces is Arrow's work; only the
+        distinct pieces of a batch are looked up.
+        """
+        loose = pc.match_substring_regex(texts, _LOOSE).to_numpy(zero_copy_only=False)
+        pieces = pc.split_pattern(texts, " ")
+        if loose.any():
+            odd = iter([p[i > 0 :] for i, p in enumerate(_CUT.split(texts[int(k)].as_py()))] for k in np.flatnonzero(loose))
+            pieces = pa.array([next(odd) if x else p.as_py() for x, p in zip(loose, pieces)], pa.list_(pa.string()))
+        bounds = pieces.offsets.to_numpy().astype(np.int64)
+        flat = pieces.values[int(bounds[0]) : int(bounds[-1])].dictionary_encode()
+        bounds = bounds - bounds[0]
+        at = flat.indices.to_numpy().astype(np.int64)
+        words = flat.dictionary.to_pylist()
+        firsts = [words[i] for i in at[bounds[:-1]]]
+        ids = list(map(self.inner.get, words))
+        new = [w for w, v in zip(words, ids) if v is None]
+        if new:
+            found = self._encode_words(new)
+            ids = [found[w] if v is None else v for w, v in zip(words, ids)]
+        ids += self._encode(firsts)
+        ids.append(array("I", [end]).tobytes())
+        at[bounds[:-1]] = np.arange(len(words), len(words) + len(firsts))  # no space precedes a text's first piece
+        at = np.insert(at, bounds[1:], len(ids) - 1)
+        size = np.fromiter(map(len, ids), np.int32, len(ids)) // 4
+        start = np.cumsum(size, dtype=np.int32) - size
+        per = size[at]
+        upto = np.cumsum(per, dtype=np.int32)  # a batch holds far fewer than 2^31 ids
+        take = np.repeat(start[at] - (upto - per), per)
+        take += np.arange(len(take), dtype=np.int32)
+        ends = bounds[1:] + np.arange(1, len(bounds))
+        counts = np.diff(upto[ends - 1].astype(np.int64), prepend=0)
+        return np.frombuffer(b"".join(ids), np.uint32)[take], counts
 
 
 @lru_cache(maxsize=2)
@@ -198,17 +257,14 @@ def encoder_for(path: str) -> Encoder:
     return Encoder(path)
 
 
-def _grouped(batch: pa.RecordBatch, most: int = 1 << 20) -> Iterator[tuple[list, list[str]]]:
-    ids, texts, size = [], [], 0
-    for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-        ids.append(d)
-        texts.append(t or "")
-        size += len(texts[-1]) + 1
-        if size > most:
-            yield ids, texts
-            ids, texts, size = [], [], 0
-    if ids:
-        yield ids, texts
+def _slices(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[tuple[list, pa.Array]]:
+    """Ids and texts of a batch, in parts of about most bytes of text; nulls are empty."""
+    texts = pc.fill_null(batch.column("text"), "")
+    part = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64) + 1) // most
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)]
+    for a, b in zip(cuts, cuts[1:]):
+        if b > a:
+            yield batch.column("doc_id").slice(a, b - a).to_pylist(), texts.slice(a, b - a)
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, path: str, end: int = END) -> None:
@@ -220,27 +276,32 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end: int = END) ->
     tokenizers library that every executor has.
     """
     ship(docs.sparkSession)
-    close = np.array([end], "<u4").tobytes()
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_for(tokenizer)
-        number, seq, held = TaskContext.get().partitionId(), 0, 0
+        number, seq = TaskContext.get().partitionId(), 0
         ids: list = []
-        streams: list = []
+        lengths: list[int] = []
+        streams: list[np.ndarray] = []
 
         def row() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([seq], pa.int32()), pa.array([held], pa.int64()), pa.array([encode_segment(ids, streams)], pa.binary())], ["shard", "seq", "n_ids", "data"])
+            held = sum(lengths)
+            data = encode_segment(ids, lengths, np.concatenate(streams))
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([seq], pa.int32()), pa.array([held], pa.int64()), pa.array([data], pa.binary())], ["shard", "seq", "n_ids", "data"])
 
         for batch in batches:
-            for some, texts in _grouped(batch):
-                for d, body in zip(some, encoder.encode(texts)):
-                    s = np.frombuffer(body + close, "<u4")
-                    if held and held + len(s) > SEGMENT:
+            for some, texts in _slices(batch):
+                stream, counts = encoder.encode(texts, end)
+                to = np.cumsum(counts)
+                part = (to + sum(lengths)) // SEGMENT  # a document goes to the segment in which it would end
+                cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(some)]
+                for a, b in zip(cuts, cuts[1:]):
+                    if lengths and (sum(lengths) + int(to[b - 1]) - int(to[a] - counts[a]) > SEGMENT):
                         yield row()
-                        seq, held, ids, streams = seq + 1, 0, [], []
-                    ids.append(d)
-                    streams.append(s)
-                    held += len(s)
+                        seq, ids, lengths, streams = seq + 1, [], [], []
+                    ids += some[a:b]
+                    lengths += counts[a:b].tolist()
+                    streams.append(stream[int(to[a] - counts[a]) : int(to[b - 1])])
         if ids:
             yield row()
 
