@@ -76,3 +76,15 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
+
+
+def bounded_sample(df: DataFrame, key: str, n: int) -> DataFrame:
+    """n rows of df, or all if it has fewer: those whose key hashes lowest, ties by key.
+
+    Rows far above the n-th hash are filtered out first, so that about n rows
+    in total, not n of every partition, are ordered.
+    """
+    total = df.count()
+    share = min(1.0, (1.5 * n + 100) / max(1, total))
+    order = F.pmod(F.xxhash64(key), F.lit(1 << 31))
+    return df.where(order < int(share * (1 << 31)) + 1).orderBy(order, key).limit(n)

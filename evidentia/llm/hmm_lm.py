@@ -16,10 +16,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import fold, fold_py, ship, words_of, written
+from evidentia.llm.common import bounded_sample, fold_py, ship, words_of, written
 
 STATES = 6
 CLASSES = 60_000
@@ -157,6 +157,23 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(_count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
 
 
+def frequent_words(counts: DataFrame) -> list[Row]:
+    """At most CLASSES rows of counts (word, c): all words of the highest frequency classes that fit.
+
+    A class is a sixteenth of a power of two, so a histogram of a few hundred
+    rows decides, and no partition sends more than its share of the result.
+    """
+    level = F.floor(F.log2("c") * 16).cast("int")
+    sizes = sorted(((r["level"], r["n"]) for r in counts.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect()), reverse=True)
+    least, held = None, 0
+    for at, n in sizes:
+        held += n
+        if held > CLASSES:
+            break
+        least = at
+    return [] if least is None else counts.where(level >= least).orderBy(F.desc("c"), "word").collect()
+
+
 def score_texts(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -171,7 +188,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     counts = written(word_counts(texts))
     n, v = (x or 0 for x in counts.agg(F.sum("c"), F.count("*")).first())
-    top = counts.orderBy(F.desc("c"), "word").limit(CLASSES).collect()  # at most CLASSES rows
+    top = frequent_words(counts)
     total = n + v + 1
     base = np.array([(r["c"] + 1) / total for r in top] + [0.0])
     base[-1] = max(1.0 - base.sum(), 0.0) or 1.0 / total
@@ -230,7 +247,7 @@ def _train(rows: DataFrame, base: np.ndarray) -> Model:
     """rows: (held_out, ids), encoded texts."""
     spark = rows.sparkSession
     train = rows.where("not held_out")
-    some = train.orderBy(F.xxhash64("rid"), "rid").limit(SEED_DOCS).select("ids").collect()  # at most SEED_DOCS texts
+    some = bounded_sample(train.select("rid", "ids"), "rid", SEED_DOCS).collect()  # at most SEED_DOCS texts
     model = seeded([np.frombuffer(r["ids"], np.uint16) for r in some], base)
     k, symbols = len(model.start), len(base)
     for _ in range(ROUNDS if some else 0):
