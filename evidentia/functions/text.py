@@ -6,7 +6,7 @@ spelled out once, here. Null and empty texts are the same to every function.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -43,6 +43,15 @@ def text(c: str | Column) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body names it.
+
+    Inside a lambda Spark evaluates an outer expression again for every
+    element; a lambda's own variable is a plain reference.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Trim all white space, not only spaces."""
     return F.regexp_replace(c, r"^\s+|\s+$", "")
@@ -69,7 +78,7 @@ def key_words(c: Column) -> Column:
 
 def contains_any(c: Column, needles: list[str]) -> Column:
     """Whether a text holds any of the needles, also inside words."""
-    return F.exists(F.array(*map(F.lit, needles)), lambda k: F.contains(c, k))
+    return let(c, lambda v: F.exists(F.array(*map(F.lit, needles)), lambda k: F.contains(v, k)))
 
 
 def first_contained(c: Column, needles: list[str], n: int) -> Column:
@@ -162,8 +171,11 @@ def keyword_jaccard(a: Column, b: Column) -> Column:
         found = F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
         return F.array_distinct(F.filter(found, lambda w: (F.length(w) > 2) & ~w.isin(OVERLAP_STOP)))
 
-    x, y = own(a), own(b)
-    return F.when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y)))
+    def ratio(v: Column) -> Column:
+        x, y = v["x"], v["y"]
+        return F.when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y)))
+
+    return let(F.struct(own(a).alias("x"), own(b).alias("y")), ratio)
 
 
 def first_of_each(c: Column) -> Column:

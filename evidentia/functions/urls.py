@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from evidentia.functions.text import let
+
 # Social domains in order of precedence, their platform, and platform labels.
 SOCIAL_DOMAINS = {
     "x.com": "x", "twitter.com": "x", "mobile.twitter.com": "x", "instagram.com": "instagram", "www.instagram.com": "instagram",
@@ -45,15 +47,17 @@ def _any(test, needles: list[str]) -> Column:
 
 
 def is_social(url: Column) -> Column:
-    d = domain(url)
-    return (d != "") & _any(lambda k: (d == k) | F.endswith(d, F.concat(F.lit("."), k)), list(SOCIAL_DOMAINS))
+    return let(domain(url), lambda d: (d != "") & _any(lambda k: (d == k) | F.endswith(d, F.concat(F.lit("."), k)), list(SOCIAL_DOMAINS)))
 
 
 def platform(url: Column) -> Column:
     """First social domain that is a substring of the host; null if none is."""
-    host = netloc(url)
-    start = F.when(F.contains(host, F.lit(next(iter(SOCIAL_DOMAINS)))), F.lit(next(iter(SOCIAL_DOMAINS.values()))))
-    return reduce(lambda c, kv: c.when(F.contains(host, F.lit(kv[0])), F.lit(kv[1])), list(SOCIAL_DOMAINS.items())[1:], start)
+
+    def first(host: Column) -> Column:
+        start = F.when(F.contains(host, F.lit(next(iter(SOCIAL_DOMAINS)))), F.lit(next(iter(SOCIAL_DOMAINS.values()))))
+        return reduce(lambda c, kv: c.when(F.contains(host, F.lit(kv[0])), F.lit(kv[1])), list(SOCIAL_DOMAINS.items())[1:], start)
+
+    return let(netloc(url), first)
 
 
 def platform_label(p: Column) -> Column:
@@ -61,15 +65,16 @@ def platform_label(p: Column) -> Column:
 
 
 def source_type(url: Column) -> Column:
-    d = domain(url)
-    return (
-        F.when(F.coalesce(url, F.lit("")) == "", "unknown")
-        .when(_any(lambda k: F.contains(d, k), FACT_CHECKERS), "fact_checker")
-        .when(_any(lambda k: F.endswith(d, k), OFFICIAL_SUFFIXES), "government")
-        .when(_any(lambda k: F.contains(d, k), NEWS), "news")
-        .when(_any(lambda k: F.contains(d, k), SOCIAL_MATCH), "social_media")
-        .otherwise("web")
-    )
+    def kind(d: Column) -> Column:
+        return (
+            F.when(_any(lambda k: F.contains(d, k), FACT_CHECKERS), "fact_checker")
+            .when(_any(lambda k: F.endswith(d, k), OFFICIAL_SUFFIXES), "government")
+            .when(_any(lambda k: F.contains(d, k), NEWS), "news")
+            .when(_any(lambda k: F.contains(d, k), SOCIAL_MATCH), "social_media")
+            .otherwise("web")
+        )
+
+    return F.when(F.coalesce(url, F.lit("")) == "", "unknown").otherwise(let(domain(url), kind))
 
 
 def authority(kind: Column) -> Column:

@@ -47,14 +47,17 @@ def relevance(claim: Column, document: Column, is_social: Column, orgs: Column |
     A social post that is long enough but shares nothing is judged as an
     article. orgs: names in the claim; a source that has none of several is out.
     """
-    c, d = T.text(claim), T.text(document)
-    low = F.lower(d)
-    own = T.key_words(c)
+    parts = F.struct(T.text(claim).alias("c"), T.text(document).alias("d"), F.lower(T.text(document)).alias("low"), T.key_words(T.text(claim)).alias("own"), F.array_distinct(T.tokens(T.text(document))).alias("there"))
+    none = F.array().cast("array<string>")
+    return T.let(F.struct(parts.alias("p"), F.coalesce(is_social, F.lit(False)).alias("s"), F.coalesce(orgs if orgs is not None else none, none).alias("o")), _relevance)
+
+
+def _relevance(v: Column) -> Column:
+    c, d, low, own, is_social, orgs = v["p"]["c"], v["p"]["d"], v["p"]["low"], v["p"]["own"], v["s"], v["o"]
     inside = F.size(F.filter(own, lambda w: F.contains(low, w)))
     distinct = F.array_distinct(own)
-    overlap = F.size(F.array_intersect(distinct, F.array_distinct(T.tokens(d))))
+    overlap = F.size(F.array_intersect(distinct, v["p"]["there"]))
     ratio = F.when(F.size(distinct) > 0, overlap / F.size(distinct)).otherwise(1.0)
-    orgs = F.coalesce(orgs if orgs is not None else F.array().cast("array<string>"), F.array().cast("array<string>"))
     long = lambda o: F.filter(T.words(F.lower(o)), lambda w: F.length(w) > 3)
     missing = F.filter(orgs, lambda o: (F.size(long(o)) > 0) & ~F.exists(long(o), lambda w: F.contains(low, w)))
     return (
@@ -76,10 +79,18 @@ def _relation(name: str, alleged: Column | bool, confidence: float, reason: Colu
 def classify(claim: Column, evidence: Column, is_social: Column) -> Column:
     """struct(relationship, is_allegation, confidence, reason); the first rule that fits decides."""
     c, e = T.text(claim), T.text(evidence)
-    low = F.lower(e)
-    alleged, against, support = (T.contains_any(low, k) for k in (ATTRIBUTION, CONTRADICTION, SUPPORT))
-    there = F.array_distinct(T.tokens(e))
-    overlap = F.size(F.filter(T.key_words(c), lambda w: F.array_contains(there, w)))
+    return T.let(F.struct(c.alias("c"), e.alias("e"), F.lower(e).alias("low"), F.array_distinct(T.tokens(e)).alias("there"), T.key_words(c).alias("own"), F.coalesce(is_social, F.lit(False)).alias("s")), _signs)
+
+
+def _signs(v: Column) -> Column:
+    signs = [T.contains_any(v["low"], k).alias(n) for n, k in (("alleged", ATTRIBUTION), ("against", CONTRADICTION), ("support", SUPPORT))]
+    overlap = F.size(F.filter(v["own"], lambda w: F.array_contains(v["there"], w)))
+    return T.let(F.struct(v.alias("v"), overlap.alias("overlap"), *signs), _relation_of)
+
+
+def _relation_of(x: Column) -> Column:
+    c, e, low, is_social, overlap = x["v"]["c"], x["v"]["e"], x["v"]["low"], x["v"]["s"], x["overlap"]
+    alleged, against, support = x["alleged"], x["against"], x["support"]
     digits = lambda x: F.regexp_extract_all(x, F.lit("[0-9]+"), F.lit(0))
     same_number = F.arrays_overlap(digits(c), digits(e))
     rupees = F.contains(c, F.lit("₹")) & F.contains(e, F.lit("₹"))
