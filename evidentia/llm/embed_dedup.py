@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import ship, written
+from evidentia.llm.common import bounded_sample, ship, written
 from evidentia.llm.components import components
 
 COSINE = 0.9
@@ -106,7 +106,7 @@ def _range_join(classes: DataFrame, dim: int) -> DataFrame:
     spark = classes.sparkSession
     n = classes.count()
     wanted = min(PIVOTS, max(1, (64 << 20) // (8 * dim)), -(-n // UNIT))
-    chosen = classes.orderBy(F.xxhash64("cid"), "cid").limit(wanted).select("v").collect()  # at most PIVOTS vectors, 64 MB
+    chosen = bounded_sample(classes, "cid", wanted).select("v").collect()  # at most PIVOTS vectors, 64 MB
     pivots = unit_length(np.array([r["v"] for r in chosen], np.float64))
     sent = spark.sparkContext.broadcast(pivots)
 
