@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -19,7 +16,9 @@ from evidentia.operators import claims as C
 from evidentia.operators import consistency as K
 from evidentia.operators import entities as N
 from evidentia.operators import evidence as E
+from evidentia.operators import grammar as G
 from evidentia.operators import images as I
+from evidentia.operators import metadata as M
 from evidentia.operators import ocr as O
 from evidentia.operators import retrieval as R
 from evidentia.operators import sentiment as S
@@ -27,7 +26,9 @@ from evidentia.operators import social
 from evidentia.operators import verdicts as V
 from evidentia.plans import derived as D
 from evidentia.plans import reads
+from evidentia.plans.pipeline import run_pipeline
 from evidentia.plans.schemas import stable_id
+from evidentia.plans.storage import shared_path
 from evidentia.sources import readers, search
 from evidentia.streaming import lifecycle as L
 
@@ -136,6 +137,19 @@ def sentiment_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.score_table(table(spark, sf_dir, "documents"), lexicon, "doc_id", "text")
 
 
+@query
+def lemmas_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, t = F.col("claim"), G.triple(F.col("claim"))
+    rows = derived(spark, sf_dir, D.CLAIMS).select("claim_id", F.array_join(G.lemmas(c), " ").alias("lemmas"), F.array_join(G.keywords(c), " ").alias("keywords"), t.alias("t"))
+    return rows.select("claim_id", "lemmas", "keywords", "t.subject", "t.predicate", "t.object")
+
+
+@query
+def text_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matching blocks of each claim and its evidence."""
+    return derived(spark, sf_dir, D.EVIDENCE).select("seq", G.overlap_ratio(F.col("claim"), F.col("evidence_text")).alias("ratio"))
+
+
 # --- claims
 
 
@@ -266,6 +280,14 @@ def report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("submission_id", get("$.overall_status").alias("overall_status"), get("$.summary").alias("summary"), get("$.search_coverage.web_sources_checked").cast("long").alias("web"), get("$.independent_source_count").cast("long").alias("sources"))
 
 
+@query
+def submission_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items as submissions against the documents, from claim to report."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.expr(D.url("doc_id")).alias("url"), F.col("source").alias("title"))
+    run = run_pipeline(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("submission_id"), "text"), docs)
+    return run.reports.join(run.verdicts, "submission_id").select("submission_id", "n_claims", "n_hits", "n_evidence", "overall_status", "report")
+
+
 # --- relational reads
 
 
@@ -488,6 +510,18 @@ def forensic_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.withColumn("r", r).select("id", "image_type", "noise", "frequency", "copy_move", F.col("r.label").alias("label"))
 
 
+@query
+def pixel_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hashes of the vectors drawn as 8 x 8 grey pictures."""
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            pics = [np.clip(np.resize(np.array(v, float), 64) * 200 + 128, 0, 255).astype(np.uint8) for v in b["v"]]
+            yield pd.DataFrame({"id": b["id"].astype(str), "height": 8, "width": 8, "nChannels": 1, "data": [p.tobytes() for p in pics]})
+
+    return M.pixel_hashes(hashes(spark, sf_dir).select("id", "v").mapInPandas(draw, "id string, height int, width int, nChannels int, data binary"))
+
+
 def _regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     words = D.pick("l_partkey", ["Heavy", "rain", "45%", "lashes", "5G", "11:42 am", "Mumbai", "x", "7", "  2024  "])
@@ -515,11 +549,6 @@ def ocr_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- lifecycle and streams
 
 
-def _shared(spark: SparkSession) -> str:
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), "evidentia-checkpoints")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = table(spark, sf_dir, "events").schema
     raw = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(sf_dir)
@@ -528,7 +557,7 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def run_stream(out: DataFrame, mode: str = "append") -> DataFrame:
     """Run a stream over what there is, into a table in the shared folder."""
-    spark, path = out.sparkSession, _shared(out.sparkSession)
+    spark, path = out.sparkSession, shared_path(out.sparkSession, "stream")
 
     def save(batch: DataFrame, n: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/out/batch={n}")  # a retried batch writes the same folder
