@@ -7,6 +7,7 @@ from evidentia.functions import urls as U
 from evidentia.operators import claims as C
 from evidentia.operators import consistency as K
 from evidentia.operators import evidence as E
+from evidentia.operators import graded
 from evidentia.operators import sentiment as S
 from evidentia.operators import verdicts as V
 from evidentia.plans import derived as D
@@ -282,6 +283,20 @@ ORACLES["numbered_evidence"] = f"""WITH {CLASSIFIED} SELECT submission_id, relat
 ORACLES["last_sources"] = f"""WITH {CLASSIFIED}, u AS (SELECT submission_id, url, arg_max(source_type, seq) AS source_type, arg_max(relationship, seq) AS relationship, min(seq) AS f FROM cl GROUP BY ALL)
 SELECT submission_id, url, source_type, relationship, row_number() OVER (PARTITION BY submission_id ORDER BY f)::INT AS position FROM u"""
 
+ORACLES["graded_verdicts"] = """WITH v AS (SELECT l_discount * 10 AS s, l_tax * 12.5::DOUBLE AS c, l_linenumber % 4 AS ind, (l_quantity % 7)::INT AS pieces, l_quantity / 50 AS cov, l_suppkey % 5 = 0 AS differs FROM lineitem),
+w AS (SELECT *, (CASE WHEN c >= 0.6 THEN 1 ELSE 0 END) + (CASE WHEN cov >= 0.6 THEN 1 ELSE 0 END) AS strong FROM v)
+SELECT CASE WHEN pieces < 2 OR cov < 0.2 THEN 'INSUFFICIENT_EVIDENCE' WHEN s >= 0.75 AND c < 0.2 AND ind >= 2 AND NOT differs THEN 'SUPPORTED' WHEN s >= 0.55 AND c < 0.3 AND NOT differs THEN 'LIKELY_SUPPORTED' WHEN s >= 0.35 AND c < 0.4 AND NOT differs THEN 'PARTIALLY_SUPPORTED'
+    WHEN s >= 0.3 AND differs THEN 'MISLEADING_CONTEXT' WHEN c >= 0.65 AND ind >= 2 THEN 'CONTRADICTED' WHEN c >= 0.4 THEN 'UNSUPPORTED' ELSE 'INSUFFICIENT_EVIDENCE' END AS claim_verdict,
+  CASE WHEN s >= 0.75 THEN 'LIKELY_AI_GENERATED' WHEN s >= 0.55 AND s >= 0.6 THEN 'POSSIBLY_AI_GENERATED' WHEN strong >= 2 OR c >= 0.75 THEN 'LIKELY_MANIPULATED' WHEN strong = 1 THEN 'POSSIBLY_MANIPULATED' WHEN s < 0.2 AND c < 0.2 AND cov < 0.2 THEN 'LIKELY_AUTHENTIC'
+    WHEN s < 0.35 AND greatest(c, cov, 0.1) < 0.35 THEN 'POSSIBLY_AUTHENTIC' ELSE 'INCONCLUSIVE' END AS image_verdict, count(*) AS n FROM w GROUP BY ALL"""
+_types = "CASE t " + " ".join(f"WHEN {lit(k)} THEN {v}" for k, v in graded.TYPE_SCORES.items()) + " ELSE 0 END"
+ORACLES["quality_scores"] = f"""WITH {EVIDENCE}, s AS (SELECT seq, {source_type('url')} AS t, document_id, source_id FROM evidence),
+p AS (SELECT seq, CASE t WHEN 'unknown' THEN 0.1 WHEN 'fact_checker' THEN 0.95 WHEN 'government' THEN 1.0 WHEN 'news' THEN 0.85 WHEN 'social_media' THEN 0.45 ELSE 0.55 END::DOUBLE AS a, ({_types})::DOUBLE AS ty, pow(0.5::DOUBLE, (document_id % 900)::DOUBLE / 365.0::DOUBLE) AS r,
+  least((source_id % 11) / 10.0::DOUBLE, 1.0) AS d, (document_id % 4) / 3.0::DOUBLE AS k FROM s)
+SELECT seq, {to('a', 4)} AS authority, {to('ty', 4)} AS type, {to('r', 4)} AS recency, {to('d', 4)} AS directness, {to('k', 4)} AS corroboration, {to('0.0::DOUBLE + a * 0.3::DOUBLE + ty * 0.2::DOUBLE + r * 0.15::DOUBLE + d * 0.2::DOUBLE + k * 0.15::DOUBLE', 4)} AS score FROM p"""
+ORACLES["independent_origins"] = f"""WITH {CLASSIFIED}, g AS (SELECT submission_id, array_to_string({tokens('evidence_text')}, ' ') AS origin, count(DISTINCT domain) AS domains FROM cl GROUP BY ALL)
+SELECT submission_id, count(*) AS independent_source_count, count(*) FILTER (domains > 1) AS duplicate_source_group_count FROM g GROUP BY submission_id"""
+
 # --- reads
 
 ORACLES["sources_of"] = f"""WITH {EVIDENCE}, {CLAIMS} SELECT DISTINCT submission_id, d.source_id, s_name AS name FROM evidence JOIN claims USING (claim_id)

@@ -16,6 +16,7 @@ from evidentia.operators import claims as C
 from evidentia.operators import consistency as K
 from evidentia.operators import entities as N
 from evidentia.operators import evidence as E
+from evidentia.operators import graded
 from evidentia.operators import grammar as G
 from evidentia.operators import images as I
 from evidentia.operators import metadata as M
@@ -288,6 +289,28 @@ def submission_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run.reports.join(run.verdicts, "submission_id").select("submission_id", "n_claims", "n_hits", "n_evidence", "overall_status", "report")
 
 
+@query
+def graded_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem")
+    s, c = F.col("l_discount") * 10, F.col("l_tax") * 12.5
+    v = graded.claim_verdict(s, c, F.col("l_linenumber") % 4, (F.col("l_quantity") % 7).cast("int"), F.col("l_quantity") / 50, F.col("l_suppkey") % 5 == 0)
+    i = graded.image_verdict(s, c, F.col("l_quantity") / 50, s, F.lit(0.1))
+    return li.groupBy(v.alias("claim_verdict"), i.alias("image_verdict")).agg(F.count("*").alias("n"))
+
+
+@query
+def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = F.col("url")
+    rows = derived(spark, sf_dir, D.EVIDENCE)
+    q = graded.source_quality(U.authority(U.source_type(u)), U.source_type(u), F.col("document_id") % 900, (F.col("source_id") % 11) / F.lit(10.0), (F.col("document_id") % 4) / F.lit(3.0))
+    return rows.select("seq", q.alias("q")).select("seq", "q.authority", "q.type", "q.directness", "q.corroboration", F.col("q.recency").alias("recency"), "q.score")
+
+
+@query
+def independent_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graded.independent_sources(classified(spark, sf_dir))
+
+
 # --- relational reads
 
 
