@@ -173,9 +173,9 @@ def query_generation(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def hit_accept_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as hits of the benchmark's items, dealt by number; repeated in a second query."""
-    n = table(spark, sf_dir, "benchmark").agg(F.count("*").alias("n"))
+    n = table(spark, sf_dir, "benchmark").count()
     pages = table(spark, sf_dir, "pages").select("page_id", "url", social.title(F.col("html")).alias("title"), F.substring(social.paragraphs(F.col("html")), 1, 300).alias("snippet"))
-    dealt = pages.crossJoin(F.broadcast(n)).select(F.col("page_id").alias("hit_ord"), "url", "title", "snippet", (F.col("page_id") % F.col("n")).alias("claim_id"))  # n is one row
+    dealt = pages.select(F.col("page_id").alias("hit_ord"), "url", "title", "snippet", (F.col("page_id") % max(n, 1)).alias("claim_id"))
     b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("claim_id"), F.col("text").alias("claim"))
     hits = dealt.join(b, "claim_id").withColumn("q_ord", F.explode(F.array(F.lit(0), F.lit(1))))
     return C.accept_hits(hits).select("claim_id", "url", "q_ord", "hit_ord", "rank")
