@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import ship, written
+from evidentia.llm.common import ship, small_batches, written
 
 N = 4
 WINDOW = 2
@@ -163,7 +163,9 @@ def _block(texts: DataFrame, items: dict[int, list[str]]) -> DataFrame:
         yield pd.DataFrame({"gram": [number[g] for g in seen], "n": list(seen.values())}, dtype="int64")
 
     # at most a row per n-gram of a block
-    df = Counter({keys[r["gram"]]: r["n"] for r in texts.select("text").mapInPandas(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()}) if items else Counter()
+    counts = texts.select("text").mapInPandas(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    with small_batches(spark):
+        df = Counter({keys[r["gram"]]: r["n"] for r in counts.collect()}) if items else Counter()
     chosen = spark.sparkContext.broadcast((choose_seeds(items, df), items))
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -178,5 +180,5 @@ def _block(texts: DataFrame, items: dict[int, list[str]]) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the documents that hold a test item; rows without doc_id stay, all columns stay."""
-    bad = written(contamination(docs, benchmark).where("doc_id is not null").select(F.col("doc_id").alias("leak_doc_id__")).distinct())
+    bad = written(contamination(docs, benchmark).where("doc_id is not null").select(F.col("doc_id").alias("leak_doc_id__")).distinct(), texts=True)
     return docs.join(bad, docs["doc_id"] == bad["leak_doc_id__"], "left_anti")

@@ -186,7 +186,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     ship(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    counts = written(word_counts(texts))
+    counts = written(word_counts(texts), texts=True)
     n, v = (x or 0 for x in counts.agg(F.sum("c"), F.count("*")).first())
     top = frequent_words(counts)
     total = n + v + 1
@@ -214,7 +214,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
             yield f.astype({"doc_id": "Int64", "held_out": bool, "n_tokens": "int64", "n_top": "int64", "top": "float64"})
 
     rows = texts.mapInPandas(encode, "doc_id long, held_out boolean, n_tokens long, n_top long, top double, ids binary, rare array<binary>, times array<long>")
-    rows = written(rows.withColumn("rid", F.monotonically_increasing_id()))
+    rows = written(rows.withColumn("rid", F.monotonically_increasing_id()), texts=True)
 
     # the unigram part of the words without a symbol of their own: those seen in training by a join, the rest as unseen
     flat = rows.select("rid", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("rid", F.col("r.rare").alias("word"), F.col("r.times").alias("times"))

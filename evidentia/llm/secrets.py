@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import ship, written
+from evidentia.llm.common import ship, small_batches, written
 
 #: Kinds in the order that breaks ties of equal starts: name, pattern, group whose length counts, least length. Fixed values.
 BASE = (
@@ -98,6 +98,8 @@ def scan_versions(versions: DataFrame, ledger: str, path_col: str = "doc_id", ru
     todo = versions.select(F.col(path_col).alias("path"), blob.alias("blob"), text.alias("text")).alias("t").join(unseen.alias("u"), keys, "left_semi").select("t.blob", "t.text")
     found = todo.mapInPandas(_scan, "blob binary, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
     # a version repeated under one path is scanned again; the ledger takes it once
-    found.dropDuplicates(["blob"]).select("blob", F.lit(rule_version).alias("rule_version"), "n_assign", "n_access", "n_hex", "base_sha256", "spans").write.mode("append").parquet(ledger)
+    rows = found.dropDuplicates(["blob"]).select("blob", F.lit(rule_version).alias("rule_version"), "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+    with small_batches(spark):
+        rows.write.mode("append").parquet(ledger)
     known = read_ledger(spark, ledger).where(F.col("rule_version") == rule_version).drop("rule_version")
     return at.join(known, "blob").select(F.col("path").alias(path_col), "blob", "n_assign", "n_access", "n_hex", "base_sha256", "spans")

@@ -112,7 +112,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     never names a component, and a component of null ids only has a null one.
     An empty table gives an empty result. Other columns of docs are ignored.
     """
-    prints = written(fingerprints(docs))
+    prints = written(fingerprints(docs), texts=True)
     # "few" classes of equal fingerprints: their texts need no pairs
     classes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("node")))
     linked = components(links(classes.where("node is not null")))

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import shared_dir, ship
+from evidentia.llm.common import shared_dir, ship, small_batches
 
 BLOCK = 1024
 PERCENTILE = 90
@@ -40,7 +40,7 @@ PERCENTILE = 90
 SEGMENT = 1 << 20
 END = 2
 #: Pieces of text whose ids a worker remembers, and the longest such piece.
-REMEMBERED, PIECE = 700_000, 64
+REMEMBERED, PIECE = 600_000, 64
 MAGIC = b"PFR1"
 HEAD = struct.Struct("<4sIIQQI")
 
@@ -292,6 +292,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end: int = END) ->
         for batch in batches:
             for some, texts in _slices(batch):
                 stream, counts = encoder.encode(texts, end)
+                pa.default_memory_pool().release_unused()
                 to = np.cumsum(counts)
                 part = (to + sum(lengths)) // SEGMENT  # a document goes to the segment in which it would end
                 cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(some)]
@@ -307,7 +308,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end: int = END) ->
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    rows.mapInArrow(shard, "shard int, seq int, n_ids long, data binary").write.option("compression", "none").parquet(path)
+    with small_batches(docs.sparkSession):
+        rows.mapInArrow(shard, "shard int, seq int, n_ids long, data binary").write.option("compression", "none").parquet(path)
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
