@@ -12,8 +12,10 @@ the executors is bounded whatever the size of the benchmark.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -24,7 +26,8 @@ from evidentia.llm.common import ship, small_batches, written
 
 N = 4
 WINDOW = 2
-BLOCK = 5_000
+#: Items of a block, and characters of its items; an item above that is a block of its own.
+BLOCK, BLOCK_CHARS = 5_000, 4_000_000
 MATCH, MISMATCH, GAP = 2, -1, -2
 #: Least alignment score, as a share of the item's own.
 THRESHOLD = 0.5
@@ -136,14 +139,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     out, after = None, None
     while True:
         more = known if after is None else known.where(F.col("item_id") > after)
-        block = more.orderBy("item_id").limit(BLOCK).collect()
-        if not block and out is not None:
+        sizes = more.select("item_id", F.coalesce(F.length("text"), F.lit(0)).alias("n")).orderBy("item_id").limit(BLOCK).collect()
+        if not sizes and out is not None:
             return out
+        upto = list(accumulate(r["n"] for r in sizes))
+        fit = max(1, bisect_right(upto, BLOCK_CHARS))
+        last = sizes[:fit][-1]["item_id"] if sizes else None
+        block = more.where(F.col("item_id") <= last).collect() if sizes else []
         found = _block(texts, {r["item_id"]: w for r in block if (w := words(r["text"]))})
         out = found if out is None else out.unionByName(found)
-        if len(block) < BLOCK:
+        if fit >= len(sizes) and len(sizes) < BLOCK:
             return out
-        after = block[-1]["item_id"]
+        after = last
 
 
 def _block(texts: DataFrame, items: dict[int, list[str]]) -> DataFrame:

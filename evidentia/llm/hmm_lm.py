@@ -23,6 +23,8 @@ from evidentia.llm.common import bounded_sample, fold_py, ship, words_of, writte
 
 STATES = 6
 CLASSES = 60_000
+#: Bytes of a word that may be a symbol of its own.
+LONGEST = 64
 #: Rounds over the bounded sample that seeds the model, and over all training texts.
 SEED_ROUNDS, ROUNDS = 12, 2
 SEED_DOCS = 1_500
@@ -164,6 +166,7 @@ def frequent_words(counts: DataFrame) -> list[Row]:
     rows decides, and no partition sends more than its share of the result.
     """
     level = F.floor(F.log2("c") * 16).cast("int")
+    counts = counts.where(F.length("word") <= LONGEST)
     sizes = sorted(((r["level"], r["n"]) for r in counts.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect()), reverse=True)
     least, held = None, 0
     for at, n in sizes:

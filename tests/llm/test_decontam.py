@@ -69,3 +69,11 @@ def test_blocks_and_edges(spark, monkeypatch):
     assert kept.columns == d.columns and sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 2, 3]
     assert D.contamination(d, spark.createDataFrame([], ITEMS)).count() == 0
     assert D.contamination(spark.createDataFrame([], DOCS), b).count() == 0
+
+
+def test_blocks_are_cut_by_their_characters(spark, monkeypatch):
+    monkeypatch.setattr(D, "BLOCK_CHARS", 30)
+    items = [(i, f"alpha{i} beta{i} gamma{i} delta{i} epsilon{i}", 1) for i in range(5)]
+    docs = [(i, f"so alpha{i} beta{i} gamma{i} delta{i} epsilon{i} it is", 1, 1.0) for i in range(5)]
+    got = D.contamination(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in got) == [(i, i) for i in range(5)]
