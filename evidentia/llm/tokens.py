@@ -54,10 +54,11 @@ def encode_blocks(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     grid = padded.reshape(n, BLOCK)
     low = grid.min(axis=1) if n else np.zeros(0, np.uint32)
     delta = grid - low[:, None]
-    bits = np.frexp(delta.astype(np.float64))[1].astype(np.uint8)
     at = min(BLOCK - 1, BLOCK * PERCENTILE // 100)
-    width = np.partition(bits, at, axis=1)[:, at] if n else np.zeros(0, np.uint8)
-    block, position = np.nonzero(bits > width[:, None])
+    most = np.partition(delta, at, axis=1)[:, at] if n else np.zeros(0, np.uint32)
+    width = np.frexp(most.astype(np.float64))[1].astype(np.uint8)
+    largest = ((np.uint64(1) << width.astype(np.uint64)) - np.uint64(1)).astype(np.uint32)
+    block, position = np.nonzero(delta > largest[:, None])
     high = (delta[block, position] >> width[block]).astype(np.uint32)
     first = np.searchsorted(block, np.arange(n)).astype(np.uint32)
     per = width.astype(np.uint64) * np.uint64(BLOCK // 8)
@@ -112,14 +113,15 @@ class Segment:
             rows = np.nonzero(width == w)[0]
             for part in np.array_split(rows, -(-len(rows) // 256)):
                 where = self.start[a + part][:, None].astype(np.int64) + np.arange(w * BLOCK // 8)
-                body = self.packed[where].reshape(len(part), BLOCK // 8, w).astype(np.uint64)
+                kind = np.uint32 if w <= 25 else np.uint64  # holds a value and the bits before it
+                body = self.packed[where].reshape(len(part), BLOCK // 8, w).astype(kind)
                 eight = np.empty((len(part), BLOCK // 8, 8), np.uint32)
                 for k in range(8):  # eight values fill w bytes, so the k-th always has the same bits
                     bit, shift = k * w // 8, k * w % 8
                     value = body[:, :, bit].copy()
                     for more in range(1, (shift + w + 7) // 8):
-                        value |= body[:, :, bit + more] << np.uint64(8 * more)
-                    eight[:, :, k] = (value >> np.uint64(shift)) & np.uint64((1 << w) - 1)
+                        value |= body[:, :, bit + more] << kind(8 * more)
+                    eight[:, :, k] = (value >> kind(shift)) & kind((1 << w) - 1)
                 out[part] = eight.reshape(len(part), BLOCK)
         bounds = np.append(self.first, len(self.high))
         lo, hi = int(bounds[a]), int(bounds[b])
@@ -228,8 +230,9 @@ class Encoder:
         bounds = pieces.offsets.to_numpy().astype(np.int64)
         flat = pieces.values[int(bounds[0]) : int(bounds[-1])].dictionary_encode()
         bounds = bounds - bounds[0]
-        at = flat.indices.to_numpy().astype(np.int64)
+        at = flat.indices.to_numpy().astype(np.int32)
         words = flat.dictionary.to_pylist()
+        del pieces, flat
         firsts = [words[i] for i in at[bounds[:-1]]]
         ids = list(map(self.inner.get, words))
         new = [w for w, v in zip(words, ids) if v is None]
@@ -238,7 +241,7 @@ class Encoder:
             ids = [found[w] if v is None else v for w, v in zip(words, ids)]
         ids += self._encode(firsts)
         ids.append(array("I", [end]).tobytes())
-        at[bounds[:-1]] = np.arange(len(words), len(words) + len(firsts))  # no space precedes a text's first piece
+        at[bounds[:-1]] = np.arange(len(words), len(words) + len(firsts), dtype=np.int32)  # no space precedes a text's first piece
         at = np.insert(at, bounds[1:], len(ids) - 1)
         size = np.fromiter(map(len, ids), np.int32, len(ids)) // 4
         start = np.cumsum(size, dtype=np.int32) - size
@@ -257,7 +260,7 @@ def encoder_for(path: str) -> Encoder:
     return Encoder(path)
 
 
-def _slices(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[tuple[list, pa.Array]]:
+def _slices(batch: pa.RecordBatch, most: int = 12 << 20) -> Iterator[tuple[list, pa.Array]]:
     """Ids and texts of a batch, in parts of about most bytes of text; nulls are empty."""
     texts = pc.fill_null(batch.column("text"), "")
     part = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64) + 1) // most
@@ -308,7 +311,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end: int = END) ->
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    with small_batches(docs.sparkSession):
+    with small_batches(docs.sparkSession, 4_000):
         rows.mapInArrow(shard, "shard int, seq int, n_ids long, data binary").write.option("compression", "none").parquet(path)
 
 
