@@ -31,6 +31,8 @@ BLOCK, BLOCK_CHARS = 5_000, 4_000_000
 MATCH, MISMATCH, GAP = 2, -1, -2
 #: Least alignment score, as a share of the item's own.
 THRESHOLD = 0.5
+#: An alignment worth so many equal words is a copied passage, however long its item.
+PASSAGE = 50
 _WORD = re.compile(r"\w+")
 Grams = dict[tuple[str, ...], list[tuple[int, int]]]
 
@@ -116,7 +118,7 @@ def find_in(text: str | None, seeds: Grams, items: dict[int, list[str]], lengths
                     lo = hi = None
             if s is not None:
                 lo, hi = (s - pad if lo is None else lo), s + len(item) + pad
-        if best[0] >= THRESHOLD:
+        if best[0] >= THRESHOLD or best[0] * len(item) >= PASSAGE - 1e-6:
             places = places or [m.span() for m in _WORD.finditer(text.lower())]
             out.append((i, best[0], places[best[1]][0], places[best[2] - 1][1], len(starts)))
     return out
@@ -126,35 +128,39 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per document and test item found in it: doc_id, item_id, score, start, end, seeds.
 
     score: the best local alignment's, as a share of aligning the item with
-    itself, at least THRESHOLD. start, end: code points of the lower-cased
-    text. Clean documents have no row. Null and empty texts, items without
-    words and null item_ids match nothing; of repeated item_ids the smallest
-    text counts; repeated rows of docs have a row each, null doc_ids too.
+    itself: at least THRESHOLD, or less where the alignment is worth PASSAGE
+    equal words. start, end: code points of the lower-cased text. Clean
+    documents have no row. Null and empty texts, items without words and null
+    item_ids match nothing; every distinct text of a repeated item_id is an
+    item of its own; repeated rows of docs have a row each, null doc_ids too.
     Other columns are ignored, and empty tables give an empty result.
     """
     spark = docs.sparkSession
     ship(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    known = written(benchmark.where("item_id is not null").groupBy(F.col("item_id").cast("long").alias("item_id")).agg(F.min("text").alias("text")))
+    known = benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
+    known = written(known.withColumn("item", F.xxhash64("item_id", "text")))  # blocks are ranges of it
     out, after = None, None
     while True:
-        more = known if after is None else known.where(F.col("item_id") > after)
-        sizes = more.select("item_id", F.coalesce(F.length("text"), F.lit(0)).alias("n")).orderBy("item_id").limit(BLOCK).collect()
+        more = known if after is None else known.where(F.col("item") > after)
+        sizes = more.select("item", F.coalesce(F.length("text"), F.lit(0)).alias("n")).orderBy("item").limit(BLOCK).collect()
         if not sizes and out is not None:
             return out
         upto = list(accumulate(r["n"] for r in sizes))
         fit = max(1, bisect_right(upto, BLOCK_CHARS))
-        last = sizes[:fit][-1]["item_id"] if sizes else None
-        block = more.where(F.col("item_id") <= last).collect() if sizes else []
-        found = _block(texts, {r["item_id"]: w for r in block if (w := words(r["text"]))})
+        last = sizes[:fit][-1]["item"] if sizes else None
+        block = more.where(F.col("item") <= last).collect() if sizes else []
+        found = _block(texts, [(r["item_id"], w) for r in block if (w := words(r["text"]))])
         out = found if out is None else out.unionByName(found)
         if fit >= len(sizes) and len(sizes) < BLOCK:
             return out
         after = last
 
 
-def _block(texts: DataFrame, items: dict[int, list[str]]) -> DataFrame:
+def _block(texts: DataFrame, block: list[tuple[int, list[str]]]) -> DataFrame:
+    """block: (item_id, words) of its items."""
     spark = texts.sparkSession
+    ids, items = [i for i, _ in block], dict(enumerate(w for _, w in block))
     every = item_grams(items)
     lengths = {len(g) for g in every}
     keys = list(every)
@@ -173,12 +179,12 @@ def _block(texts: DataFrame, items: dict[int, list[str]]) -> DataFrame:
     counts = texts.select("text").mapInPandas(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     with small_batches(spark):
         df = Counter({keys[r["gram"]]: r["n"] for r in counts.collect()}) if items else Counter()
-    chosen = spark.sparkContext.broadcast((choose_seeds(items, df), items))
+    chosen = spark.sparkContext.broadcast((choose_seeds(items, df), items, ids))
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seeds, own = chosen.value
+        seeds, own, name = chosen.value
         for b in batches:
-            rows = [(d, *x) for d, t in zip(b["doc_id"].astype("Int64"), b["text"]) for x in find_in(t, seeds, own, lengths)]
+            rows = [(d, name[i], *x) for d, t in zip(b["doc_id"].astype("Int64"), b["text"]) for i, *x in find_in(t, seeds, own, lengths)]
             out = pd.DataFrame(rows, columns=["doc_id", "item_id", "score", "start", "end", "seeds"], dtype=object)
             yield out.astype({"doc_id": "Int64", "item_id": "int64", "score": "float64", "start": "int64", "end": "int64", "seeds": "int64"})
 

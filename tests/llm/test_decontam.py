@@ -77,3 +77,19 @@ def test_blocks_are_cut_by_their_characters(spark, monkeypatch):
     docs = [(i, f"so alpha{i} beta{i} gamma{i} delta{i} epsilon{i} it is", 1, 1.0) for i in range(5)]
     got = D.contamination(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)).collect()
     assert sorted((r["doc_id"], r["item_id"]) for r in got) == [(i, i) for i in range(5)]
+
+
+def test_every_text_of_a_repeated_item_id(spark):
+    items = [(7, f"first{k} second{k} third{k} fourth{k} fifth{k} sixth{k}", 1) for k in range(4)]
+    docs = [(k, f"so {t} it is", 1, 1.0) for k, (_, t, _) in enumerate(items)] + [(9, "nothing of the kind here", 1, 1.0)]
+    d, b = spark.createDataFrame(docs, DOCS), spark.createDataFrame([*items, items[0]], ITEMS)
+    assert sorted((r["doc_id"], r["item_id"]) for r in D.contamination(d, b).collect()) == [(k, 7) for k in range(4)]
+    assert [r["doc_id"] for r in D.drop_contaminated(d, b).collect()] == [9]
+
+
+def test_passages_of_long_items(spark):
+    rng, v = random.Random(5), vocabulary(5000)
+    item, noise = rng.choices(v, k=250), lambda: " ".join(rng.choices(v, k=80))
+    docs = [(n, f"{noise()} {' '.join(item[40 : 40 + n])} {noise()}", 1, 1.0) for n in (20, 30, 50, 70, 100, 200)]
+    got = {r["doc_id"]: r["score"] for r in D.contamination(spark.createDataFrame(docs, DOCS), spark.createDataFrame([(1, " ".join(item), 1)], ITEMS)).collect()}
+    assert set(got) == {50, 70, 100, 200} and 0.4 <= got[100] < 0.5
