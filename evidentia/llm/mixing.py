@@ -62,7 +62,7 @@ def targets(sizes: DataFrame) -> DataFrame:
     return ranked.select("no_source", "src", "source_size", F.when(F.col("level").isNull(), F.col("most").cast("double")).otherwise(F.least(F.col("level") * F.col("w"), F.col("most").cast("double"))).alias("target"))
 
 
-def mix(docs: DataFrame, weights: DataFrame | None = None) -> DataFrame:
+def mix(docs: DataFrame, weights: DataFrame | None = None, also: tuple[Column, ...] = ()) -> DataFrame:
     """One row per row of docs: doc_id, size, source_size, target, taken, epochs, selected.
 
     size: words of the text (null and empty: 0, never taken). taken: size times
@@ -71,9 +71,11 @@ def mix(docs: DataFrame, weights: DataFrame | None = None) -> DataFrame:
     misses its target by half a document at most. weights: (doc_id, weight > 0);
     missing, null and other weights count as 1. Rows of equal key order by
     doc_id, then size. A null source is a source of its own, the last. Empty
-    tables give empty results; other columns are ignored.
+    tables give empty results; other columns are ignored, but for also, which
+    are returned as they are.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").isNull().alias("no_source"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("src"), n_words(F.col("text")).alias("size"))
+    kept = docs.select(*also).columns
+    rows = docs.select(*also, F.col("doc_id").cast("long").alias("doc_id"), F.col("source").isNull().alias("no_source"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("src"), n_words(F.col("text")).alias("size"))
     if weights is None:
         rows = rows.withColumn("weight", F.lit(1.0))
     else:
@@ -94,11 +96,17 @@ def mix(docs: DataFrame, weights: DataFrame | None = None) -> DataFrame:
     placed = rows.withColumn("upto", inside).join(ranges.select(*source, "rng", "before", "source_size", "target", "epochs", "budget"), [*source, "rng"])
     selected = (F.col("before") + F.col("upto") - F.col("size") / 2) <= F.col("budget")
     placed = placed.withColumn("selected", selected & (F.col("size") > 0))
-    return placed.select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("epochs") + F.col("selected").cast("long"))).alias("taken"), "epochs", "selected")
+    return placed.select(*kept, "doc_id", "size", "source_size", "target", (F.col("size") * (F.col("epochs") + F.col("selected").cast("long"))).alias("taken"), "epochs", "selected")
 
 
 def mixed_documents(docs: DataFrame, weights: DataFrame | None = None) -> DataFrame:
-    """docs, each row as often as the mix takes it; all columns stay. docs has one row per doc_id."""
-    copies = mix(docs, weights).where("taken > 0").select(F.col("doc_id").alias("mix_doc_id__"), (F.col("taken") / F.col("size")).cast("int").alias("mix_copies__"))
-    out = docs.join(copies, docs["doc_id"] == copies["mix_doc_id__"])
-    return out.withColumn("mix_copies__", F.explode(F.sequence(F.lit(1), F.col("mix_copies__")))).drop("mix_doc_id__", "mix_copies__")
+    """docs, each row as often as the mix takes it; all columns stay.
+
+    Rows are told apart by a 64-bit hash of id, source and text, so null and
+    repeated doc_ids are mixed like others; docs has no full repeats.
+    """
+    # xxhash64 skips nulls, so these are told apart by flags
+    row = F.xxhash64(*[c for n in ("doc_id", "source", "text") for c in (F.col(n).isNull(), F.col(n))])
+    copies = mix(docs, weights, (row.alias("mix_row__"),)).where("taken > 0").select("mix_row__", (F.col("taken") / F.col("size")).cast("int").alias("mix_copies__"))
+    out = docs.withColumn("mix_row__", row).join(copies, "mix_row__")
+    return out.withColumn("mix_copies__", F.explode(F.sequence(F.lit(1), F.col("mix_copies__")))).select(*docs.columns)

@@ -64,3 +64,10 @@ def test_edges(spark):
     assert M.mix(docs(spark, [])).count() == 0
     out = M.mixed_documents(docs(spark, [(1, "a b", "a"), (2, "c", "b")]))
     assert out.columns == [c.split()[0] for c in DOCS.split(", ")]
+
+
+def test_null_and_repeated_ids_are_mixed(spark):
+    rows = [(None, "one of its own", "a"), (None, "two of its own", "a"), (4, "three is here", "a"), (4, "four is here", "a")]
+    out = [(r["doc_id"], r["text"]) for r in M.mixed_documents(docs(spark, rows)).collect()]
+    taken = sorted((r["doc_id"] or 0, r["size"], r["taken"]) for r in M.mix(docs(spark, rows)).collect())
+    assert {t for _, t in out} == {t for _, t, _ in rows} and len(out) == sum(n // size for _, size, n in taken)
