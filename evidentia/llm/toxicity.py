@@ -1,13 +1,17 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine.
 
-Examples are a bounded sample of the labelled training rows. The terms are
-words and word beginnings that the sample ties to the toxic label (likelihood
-ratio test); document frequencies come from all documents. Every text becomes
-a sparse vector once. Examples stand in an inverted index whose postings are
-cut into blocks of example numbers with the block's largest weight; a query
-visits blocks by falling upper bound and stops when no bound reaches its k-th
-neighbour, so the neighbours are exact. Votes are weighted by squared cosine
-and drawn to the base rate, which keeps a score a probability.
+Examples are a bounded sample of the labelled training rows; every word of
+theirs is a term of the index. Document frequencies come from all documents.
+A term's weight is (1 + log tf) * idf, times REST for words that the sample
+does not tie to the toxic label (likelihood-ratio test): without that factor
+the neighbours of a long text are those that share its subject. Beginnings of
+words are terms where the test marks them, which meets inflected forms.
+
+Postings are cut into blocks of example numbers with the block's largest
+weight. A query adds up the bound of every block, scores the most promising
+blocks, and then all blocks whose bound reaches the k-th best cosine so far,
+so the neighbours are exact. Their votes, weighted by squared cosine, pass
+through a logistic curve that is fitted to labelled rows outside the index.
 """
 
 from __future__ import annotations
@@ -16,33 +20,46 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidentia.llm.common import bounded_sample, fold, ship, small_batches, written
 
-#: Bounds: labelled rows to learn from, terms of the index, characters of a term.
-SAMPLE, TERMS = 20_000, 256
-LONGEST = 64
-#: Least likelihood-ratio statistic and least toxic examples of a term.
+#: Bounds on what is learnt from: labelled rows; examples of the index, half of them toxic, and their characters; rows that fit the curve.
+SAMPLE, EXAMPLES, CHARS, CALIBRATION = 16_000, 4_000, 16_000_000, 4_000
+#: One labelled row of so many stays out of the index and fits the curve.
+CURVE = 5
+#: Least likelihood-ratio statistic and least toxic examples of a marked term.
 G2, SUPPORT = 15.0, 3
-#: Least share of the toxic examples with a term, over that of the others.
+#: Least share of the toxic rows with a marked term, over that of the others.
 LIFT = 20
+#: Factor of the weight of all other words.
+REST = 0.1
 BEGINNINGS = (4, 5, 6)
 NEIGHBOURS = 8
 BLOCK = 64
+#: Blocks scored before the first k-th best cosine is known.
+AHEAD = 4
 #: Weight of the base rate, in neighbours of cosine 1.
-PULL = 1.0
+PULL = 0.5
 THRESHOLD = 0.3
 EVIDENCE = 3
 _WORD = re.compile(r"\w+")
+_CHUNK = 8_192
+_MEMO = 100_000
 
 
-def features(words: Counter) -> dict[str, int]:
+def word_counts(text: str | None) -> Counter:
+    return Counter(_WORD.findall(text.lower())) if text else Counter()
+
+
+def features(words: Counter) -> Counter:
     """Counts of words and of the beginnings (^...) of longer words."""
     out = Counter(words)
     for w, n in words.items():
@@ -52,8 +69,9 @@ def features(words: Counter) -> dict[str, int]:
     return out
 
 
-def word_counts(text: str | None) -> Counter:
-    return Counter(_WORD.findall(text.lower())) if text else Counter()
+def term_key(term: str) -> int:
+    """Terms are told apart by 64-bit hashes."""
+    return xxhash.xxh64_intdigest(term.encode("utf-8", "replace")) - (1 << 63)
 
 
 def _term_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -73,169 +91,335 @@ def _term_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield rows()
 
 
+def marked_terms(sample: DataFrame) -> list[str]:
+    """sample: (text, toxic). All terms tied to toxic rows; as many as the bounded sample holds at most."""
+    counts = sample.select("text", "toxic").mapInPandas(_term_counts, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("a"), F.sum("neg").alias("b"))
+    total = sample.agg(F.sum("toxic").alias("p"), F.sum(1 - F.col("toxic")).alias("n")).first()
+    p, n = total["p"] or 0, total["n"] or 0
+    if not p or not n:
+        return []
+
+    def part(seen, expected):
+        return F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
+
+    a, b, whole = F.col("a"), F.col("b"), p + n
+    stat = 2 * (part(a, (a + b) * p / whole) + part(b, (a + b) * n / whole) + part(p - a, (whole - a - b) * p / whole) + part(n - b, (whole - a - b) * n / whole))
+    best = counts.where((a >= SUPPORT) & (a * n > LIFT * b * p)).where(F.round(stat, 6) >= G2)
+    with small_batches(sample.sparkSession):
+        return sorted(r["term"] for r in best.select("term").collect())
+
+
+@dataclass
+class Vocabulary:
+    """Terms of the index: sorted keys of the words, and numbers of the marked terms."""
+
+    keys: np.ndarray
+    marked: frozenset[str]
+    memo: dict[str, tuple[int, ...]] = field(default_factory=dict, repr=False)
+
+    def __getstate__(self) -> tuple:
+        return self.keys, self.marked
+
+    def __setstate__(self, state: tuple) -> None:
+        self.keys, self.marked = state
+        self.memo = {}
+
+    def _number(self, key: int) -> int:
+        i = int(np.searchsorted(self.keys, key))
+        return i if i < len(self.keys) and self.keys[i] == key else -1
+
+    def of(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Ascending numbers and counts of the terms of a whole text; words outside the vocabulary have none."""
+        counts: dict[int, int] = {}
+        new: list[tuple[str, int]] = []
+        known = self.memo.get
+        for w, n in word_counts(text).items():
+            t = known(w)
+            if t is None:
+                new.append((w, n))
+            else:
+                for i in t:
+                    counts[i] = counts.get(i, 0) + n
+        if new and len(self.keys):
+            keys = np.array([term_key(w) for w, _ in new], np.int64)
+            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+            at = np.where(self.keys[at] == keys, at, -1)
+            for (w, n), i in zip(new, at.tolist()):
+                t = [i] if i >= 0 else []
+                t += [self._number(term_key(b)) for k in BEGINNINGS if len(w) > k and (b := "^" + w[:k]) in self.marked]
+                if t and len(self.memo) < _MEMO and len(w) <= 64:
+                    self.memo[w] = tuple(t)
+                for i in t:
+                    counts[i] = counts.get(i, 0) + n
+        terms = np.array(sorted(counts), np.int64)
+        return terms, np.array([counts[i] for i in terms.tolist()], np.float64)
+
+    def factors(self) -> np.ndarray:
+        out = np.full(len(self.keys), REST)
+        for t in self.marked:
+            if (i := self._number(term_key(t))) >= 0:
+                out[i] = 1.0
+        return out
+
+
+def weigh(terms: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    w = (1 + np.log(counts)) * idf[terms]
+    return w / math.sqrt(float((w * w).sum())) if len(w) else w
+
+
+def _spans(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """start[0] .. end[0] - 1, start[1] .. end[1] - 1, ..."""
+    n = end - start
+    return np.repeat(start - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+
+
 @dataclass
 class Index:
-    """Examples by number, sorted so that like ones share a block."""
+    """Examples by number, sorted so that like ones share a block.
+
+    Postings lie by term, then example; a cell is the postings of one term in
+    one block.
+    """
 
     ids: list[int]
     toxic: np.ndarray
-    postings: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]  # numbers, weights, first posting of each block
-    largest: dict[int, np.ndarray]  # weight per block
+    example: np.ndarray
+    weight: np.ndarray
+    cell_block: np.ndarray
+    cell_max: np.ndarray
+    cell_first: np.ndarray  # one more than cells
+    term_first: np.ndarray  # first cell of each term, one more than terms
     idf: np.ndarray
-    prior: float
+    share: float  # of toxic examples
     empty: float  # score of a text without terms
+    curve: tuple[float, float] = (1.0, 0.0)
 
     @classmethod
-    def build(cls, examples: list[tuple[int, int, list[int], list[int]]], idf: np.ndarray) -> Index:
-        """examples: (doc_id, toxic, terms, counts)."""
-        known = [e for e in examples if e[2]]
-        pos, n = sum(e[1] for e in examples), len(examples)
-        prior = pos / n if n else 0.0
-        bare = n - len(known)
-        empty = (pos - sum(e[1] for e in known) + PULL * prior) / (bare + PULL)
-        known.sort(key=lambda e: (sorted(e[2]), e[0]))
-        blocks = -(-len(known) // BLOCK)
-        lists: dict[int, list[tuple[int, float]]] = {}
-        for i, (_, _, terms, counts) in enumerate(known):
-            for t, w in zip(terms, weigh(terms, counts, idf)):
-                lists.setdefault(t, []).append((i, w))
-        postings, largest = {}, {}
-        for t, rows in lists.items():
-            at, w = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
-            postings[t] = at, w, np.searchsorted(at, np.arange(blocks + 1) * BLOCK)
-            largest[t] = np.zeros(blocks)
-            np.maximum.at(largest[t], at // BLOCK, w)
-        return cls([e[0] for e in known], np.array([e[1] for e in known], float), postings, largest, idf, prior, empty)
-
-    def nearest(self, terms: list[int], counts: list[int], k: int = NEIGHBOURS) -> list[tuple[float, int]]:
+    def build(cls, examples: list[tuple[int, int, np.ndarray, np.ndarray]], idf: np.ndarray, empty: float = 0.0) -> Index:
+        """examples: (doc_id, toxic, terms, counts); idf: weights of the terms. Examples without terms are none."""
+        rows = [(i, y, np.asarray(t, np.int64), weigh(np.asarray(t, np.int64), np.asarray(c, np.float64), idf)) for i, y, t, c in examples if len(t)]
+        rows.sort(key=lambda r: (-r[1], r[2][np.argsort(-r[3], kind="stable")[:4]].tolist(), r[0]))
+        term = np.concatenate([r[2] for r in rows]) if rows else np.zeros(0, np.int64)
+        example = np.repeat(np.arange(len(rows)), [len(r[2]) for r in rows]) if rows else np.zeros(0, np.int64)
+        weight = np.concatenate([r[3] for r in rows]) if rows else np.zeros(0)
+        by = np.argsort(term, kind="stable")
+        term, example, weight = term[by], example[by], weight[by]
+        cell = term * (len(rows) // BLOCK + 1) + example // BLOCK
+        first = np.flatnonzero(np.diff(cell, prepend=-1))
+        toxic = np.array([r[1] for r in rows], float)
+        return cls(
+            [r[0] for r in rows],
+            toxic,
+            example.astype(np.int32),
+            weight,
+            (example[first] // BLOCK).astype(np.int32),
+            np.maximum.reduceat(weight, first) if len(first) else np.zeros(0),
+            np.append(first, len(cell)),
+            np.searchsorted(term[first], np.arange(len(idf) + 1)),
+            idf,
+            float(toxic.mean()) if rows else 0.0,
+            empty,
+        )
+
+    def nearest(self, terms: np.ndarray, counts: np.ndarray, k: int = NEIGHBOURS) -> list[tuple[float, int]]:
         """(cosine, number) of the k nearest examples; ties by number. Examples without a common term are none."""
-        pairs = [(t, w) for t, w in zip(terms, weigh(terms, counts, self.idf)) if t in self.postings]
-        if not pairs:
+        if not len(terms) or not self.ids:
             return []
-        bound = np.zeros(len(self.largest[pairs[0][0]]))
-        for t, w in pairs:
-            bound += w * self.largest[t]
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or (len(best) == k and bound[b] < -best[-1][0]):
-                break
-            score = np.zeros(BLOCK)
-            for t, w in pairs:
-                at, weights, first = self.postings[t]
-                lo, hi = first[b], first[b + 1]
-                score[at[lo:hi] - b * BLOCK] += w * weights[lo:hi]
-            hit = np.nonzero(score)[0]
-            best = sorted([*best, *((-score[i], int(b) * BLOCK + int(i)) for i in hit)])[:k]
+        q = weigh(terms, counts, self.idf)
+        lo, hi = self.term_first[terms], self.term_first[terms + 1]
+        cells = _spans(lo, hi)
+        if not len(cells):
+            return []
+        own, blocks = np.repeat(q, hi - lo), self.cell_block[cells]
+        bound = np.bincount(blocks, weights=own * self.cell_max[cells])
+        order = np.argsort(-bound, kind="stable")
+
+        def score(take: np.ndarray) -> list[tuple[float, int]]:
+            wanted = np.zeros(len(bound), bool)
+            wanted[take] = True
+            some = wanted[blocks]
+            a, b = self.cell_first[cells[some]], self.cell_first[cells[some] + 1]
+            at = _spans(a, b)
+            s = np.bincount(self.example[at], weights=np.repeat(own[some], b - a) * self.weight[at])
+            hit = np.flatnonzero(s)
+            if len(hit) > k:
+                least = np.partition(s[hit], len(hit) - k)[len(hit) - k]
+                hit = hit[s[hit] >= least]
+            return [(-float(s[i]), int(i)) for i in hit]
+
+        best = sorted(score(order[:AHEAD]))[:k]
+        least = -best[-1][0] if len(best) == k else 0.0
+        rest = order[AHEAD:]
+        rest = rest[(bound[rest] > 0) & (bound[rest] >= least * (1 - 1e-12))]
+        if len(rest):
+            best = sorted(best + score(rest))[:k]
         return [(-s, i) for s, i in best]
 
-    def score(self, terms: list[int], counts: list[int]) -> tuple[float, list[tuple[int, float, int]]]:
-        near = self.nearest(terms, counts)
-        if not near:
-            return self.empty, []
+    def vote(self, near: list[tuple[float, int]]) -> float:
         w = np.array([min(s, 1.0) ** 2 for s, _ in near])
         y = self.toxic[[i for _, i in near]]
-        value = (float((w * y).sum()) + PULL * self.prior) / (float(w.sum()) + PULL)
-        return value, [(self.ids[i], float(s), int(self.toxic[i])) for s, i in near[:EVIDENCE]]
-
+        return (float((w * y).sum()) + PULL * self.share) / (float(w.sum()) + PULL)
 
-def weigh(terms: list[int], counts: list[int], idf: np.ndarray) -> list[float]:
-    w = [(1 + math.log(n)) * idf[t] for t, n in zip(terms, counts)]
-    norm = math.sqrt(sum(x * x for x in w))
-    return [x / norm for x in w]
+    def score(self, terms: np.ndarray, counts: np.ndarray) -> tuple[float, list[dict]]:
+        near = self.nearest(terms, counts)
+        if not near:
+            return self.empty, []
+        a, b = self.curve
+        value = 1 / (1 + math.exp(-max(-40.0, min(40.0, a * logit(self.vote(near)) + b))))
+        return round(value, 9), [{"doc_id": self.ids[i], "cosine": min(s, 1.0), "toxic": int(self.toxic[i])} for s, i in near[:EVIDENCE]]
 
 
-def choose_terms(sample: DataFrame) -> list[str]:
-    """sample: (text, toxic). The at most TERMS terms most tied to toxic rows, by statistic, then code points."""
-    counts = sample.select("text", "toxic").mapInPandas(_term_counts, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("a"), F.sum("neg").alias("b"))
-    total = sample.agg(F.sum("toxic").alias("p"), F.sum(1 - F.col("toxic")).alias("n")).first()
-    p, n = total["p"] or 0, total["n"] or 0
-    if not p or not n:
-        return []
+def logit(v: float) -> float:
+    v = min(max(v, 1e-4), 1 - 1e-4)
+    return math.log(v / (1 - v))
 
-    def part(seen, expected):
-        return F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
 
-    a, b, whole = F.col("a"), F.col("b"), p + n
-    stat = 2 * (part(a, (a + b) * p / whole) + part(b, (a + b) * n / whole) + part(p - a, (whole - a - b) * p / whole) + part(n - b, (whole - a - b) * n / whole))
-    best = counts.where(F.length("term") <= LONGEST).where((a >= SUPPORT) & (a * n > LIFT * b * p)).select("term", F.round(stat, 6).alias("g2")).where(F.col("g2") >= G2)
-    with small_batches(sample.sparkSession):
-        return [r["term"] for r in best.orderBy(F.desc("g2"), "term").limit(TERMS).collect()]
+def fit_curve(votes: np.ndarray, toxic: np.ndarray, start: tuple[float, float]) -> tuple[float, float]:
+    """Slope and offset of the logistic curve from logit of the vote to the label, drawn to start by a unit ridge."""
+    x, y, at = np.array([logit(v) for v in votes]), np.asarray(toxic, float), np.array(start)
 
+    def loss(p: np.ndarray) -> float:
+        z = p[0] * x + p[1]
+        return float((np.logaddexp(0, z) - y * z).sum() + 0.5 * ((p - start) ** 2).sum())
 
-def vectors(docs: DataFrame, terms: list[str]) -> DataFrame:
-    """(doc_id, terms, counts): numbers and counts of the terms in each whole text."""
-    number = {t: i for i, t in enumerate(terms)}
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(at[0] * x + at[1], -40, 40)))
+        g = np.array([((p - y) * x).sum(), (p - y).sum()]) + (at - start)
+        h = p * (1 - p)
+        step = np.linalg.solve(np.array([[(h * x * x).sum() + 1, (h * x).sum()], [(h * x).sum(), h.sum() + 1]]), g)
+        size = 1.0
+        while loss(at - size * step) > loss(at) and size > 1e-6:
+            size /= 2
+        at = at - size * step
+        if np.abs(size * step).max() < 1e-10:
+            break
+    return max(float(at[0]), 0.0), float(at[1])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: dict[str, tuple[int, ...]] = {}
 
-        def of(w: str) -> tuple[int, ...]:
-            keys = [w, *("^" + w[:k] for k in BEGINNINGS if len(w) > k)]
-            return tuple(number[k] for k in keys if k in number)
+def choose_examples(rows: list[tuple[int, int, int]]) -> tuple[list[int], list[int]]:
+    """rows: (doc_id, toxic, characters) in the sample's order -> ids of the index's examples, and of the curve's rows.
 
+    Each fifth row fits the curve; toxic rows take up to half of EXAMPLES, and
+    rows are passed over where CHARS would be exceeded.
+    """
+    curve = [i for i, _, _ in rows[::CURVE]][:CALIBRATION]
+    rest, chosen = [r for n, r in enumerate(rows) if n % CURVE], []
+    toxic = sum(y for _, y, _ in rest)
+    room = {1: max(EXAMPLES // 2, EXAMPLES - (len(rest) - toxic)), 0: EXAMPLES - min(toxic, EXAMPLES // 2)}
+    chars = {0: 0, 1: 0}
+    for i, y, n in rest:
+        if room[y] and chars[y] + n <= CHARS // 2:
+            room[y], chars[y] = room[y] - 1, chars[y] + n
+            chosen.append(i)
+    return chosen, curve
+
+
+def _counted(docs: DataFrame, words: Vocabulary) -> tuple[int, np.ndarray]:
+    """Rows of docs, and in how many of them each term occurs; what is collected has the size of the vocabulary."""
+    sent = docs.sparkSession.sparkContext.broadcast(words)
+    size = len(words.keys)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n = np.zeros(size + 1, np.int64)
         for b in batches:
-            found: list[list[int]] = []
-            counts: list[list[int]] = []
-            for text in b["text"]:
-                c: dict[int, int] = {}
-                for w, n in word_counts(text).items():
-                    f = seen.get(w)
-                    if f is None:
-                        f = of(w)
-                        if len(seen) < 300_000 and len(w) < 64:
-                            seen[w] = f
-                    for t in f:
-                        c[t] = c.get(t, 0) + n
-                at = sorted(c)
-                found.append(at)
-                counts.append([c[t] for t in at])
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "terms": found, "counts": counts})
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, terms array<int>, counts array<int>")
+            n[size] += len(b)
+            found = [sent.value.of(t)[0] for t in b["text"]]
+            if found:
+                n[:size] += np.bincount(np.concatenate(found).astype(np.int64), minlength=size)
+        at = range(0, size + 1, _CHUNK)
+        yield pd.DataFrame({"chunk": list(at), "n": pd.Series([n[i : i + _CHUNK].astype(np.uint32).tobytes() for i in at], dtype=object)})
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for c, x in zip(b["chunk"], b["n"]):
+                x = np.frombuffer(x, np.uint32).astype(np.int64)
+                sums[c] = sums[c] + x if c in sums else x
+        yield pd.DataFrame({"chunk": list(sums), "n": pd.Series([x.tobytes() for x in sums.values()], dtype=object)}).astype({"chunk": "int64"})
+
+    parts = docs.select("text").mapInPandas(count, "chunk long, n binary").repartition("chunk").mapInPandas(add, "chunk long, n binary")
+    out = np.zeros(size + 1, np.int64)
+    with small_batches(docs.sparkSession):
+        for r in parts.collect():
+            x = np.frombuffer(r["n"], np.int64)
+            out[r["chunk"] : r["chunk"] + len(x)] = x
+    return int(out[size]), out[:size]
+
+
+def fitted(docs: DataFrame, labels: DataFrame) -> tuple[Vocabulary, Index]:
+    """Vocabulary and index learnt from the labelled rows that aren't held out."""
+    spark = docs.sparkSession
+    train = labels.where("doc_id is not null and toxic is not null").where(fold(F.col("doc_id"), 4) != 2).groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
+    sample = written(bounded_sample(train, "id", SAMPLE))
+    # of a repeated doc_id the text with the smallest hash is the example
+    found = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "id")  # at most SAMPLE rows of two numbers
+    texts = found.groupBy("id", "toxic").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t")).select("id", "toxic", F.col("t.text").alias("text"))
+    texts = written(texts.withColumn("n", F.length("text")).withColumn("bare", ~F.col("text").rlike(r"(?U)\w")))
+    rows = [tuple(r) for r in texts.orderBy(F.xxhash64("id"), "id").select("id", "toxic", "n", "bare").collect()]  # at most SAMPLE rows of four values
+    chosen, curve = choose_examples([r[:3] for r in rows])
+    role = spark.createDataFrame([(i, 0) for i in chosen] + [(i, 1) for i in curve], "id long, role int")
+    texts = texts.join(F.broadcast(role), "id", "left").select("id", "toxic", "text", "role")
+    prior = sum(r[1] for r in rows) / len(rows) if rows else 0.0
+    bare = [r[1] for r in rows if r[3]]
+    empty = (sum(bare) + PULL * prior) / (len(bare) + PULL)
+
+    marked = marked_terms(texts.where("role is null or role = 0"))
+    with small_batches(spark):
+        own = texts.where("role = 0").select("id", "toxic", "text").orderBy("id").collect()  # at most EXAMPLES rows and CHARS characters
+    keys = {term_key(t) for t in marked}.union(*(map(term_key, word_counts(r["text"])) for r in own))
+    words = Vocabulary(np.array(sorted(keys), np.int64), frozenset(marked))
+    n, df = _counted(docs, words)
+    idf = (np.log((1 + n) / (1 + df)) + 1) * words.factors()
+    examples = [(r["id"], r["toxic"], *words.of(r["text"])) for r in own]
+    index = Index.build(examples, idf, empty)
+    sent, vocabulary = spark.sparkContext.broadcast(index), spark.sparkContext.broadcast(words)
+
+    def votes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            near = [sent.value.nearest(*vocabulary.value.of(t)) for t in b["text"]]
+            f = pd.DataFrame({"toxic": b["toxic"], "vote": [sent.value.vote(x) if x else None for x in near]})
+            yield f[f["vote"].notna()]
+
+    with small_batches(spark):
+        got = texts.where("role = 1").select("text", "toxic").mapInPandas(votes, "toxic int, vote double").collect()  # at most CALIBRATION rows
+    index.curve = fit_curve(np.array([r["vote"] for r in got]), np.array([r["toxic"] for r in got]), (1.0, logit(prior) - logit(index.share)))
+    return words, index
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, held_out, score, predicted, evidence.
 
     evidence: the nearest examples (doc_id, cosine, toxic), empty for texts
-    without terms (null and empty ones too), which score the smoothed rate of
-    such examples. Learns from rows of labels that are not held out and whose
-    doc_id and toxic aren't null; several labels of a document count as toxic
-    if one is. Without such rows every score is 0. Of repeated doc_ids in docs
-    each row is scored; other columns are ignored.
+    without a term of the index (null and empty ones too), which score the
+    smoothed rate of labelled texts without words. Learns from rows of labels
+    that are not held out and whose doc_id and toxic aren't null; several
+    labels of a document count as toxic if one is; of a labelled doc_id with
+    several texts, the one with the smallest hash is the example. Without such
+    rows every score is 0. A score depends on the text alone, so each row of a
+    repeated doc_id is scored by its own; other columns are ignored.
     """
     spark = docs.sparkSession
     ship(spark)
-    train = labels.where("doc_id is not null and toxic is not null").where(fold(F.col("doc_id"), 4) != 2).groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
-    sample = written(bounded_sample(train, "id", SAMPLE))
-    # at most SAMPLE rows of two numbers
-    terms = choose_terms(docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(sample), "id").select("text", "toxic"))
-    rows = written(vectors(docs, terms), texts=True)
-    n = rows.count()
-    df = {r["t"]: r["n"] for r in rows.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect()}  # at most TERMS rows
-    idf = np.array([math.log((1 + n) / (1 + df.get(i, 0))) + 1 for i in range(len(terms))])
-    examples = rows.join(F.broadcast(sample), rows["doc_id"] == sample["id"]).dropDuplicates(["id"]).select("id", "toxic", "terms", "counts").collect()  # at most SAMPLE rows of at most TERMS terms
-    index = spark.sparkContext.broadcast(Index.build([(r["id"], r["toxic"], list(r["terms"]), list(r["counts"])) for r in examples], idf))
+    words, index = (spark.sparkContext.broadcast(x) for x in fitted(docs, labels))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ix = index.value
-        memo: dict[tuple, tuple] = {}
         for b in batches:
-            out = []
-            for t, c in zip(b["terms"], b["counts"]):
-                key = (tuple(map(int, t)), tuple(map(int, c)))
-                if key not in memo:
-                    if len(memo) > 50_000:
-                        memo.clear()
-                    memo[key] = ix.score(list(key[0]), list(key[1]))
-                out.append(memo[key])
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "score": [o[0] for o in out], "evidence": [[{"doc_id": i, "cosine": s, "toxic": y} for i, s, y in o[1]] for o in out]})
-
-    scored = rows.mapInPandas(run, "doc_id long, score double, evidence array<struct<doc_id:long,cosine:double,toxic:int>>")
+            out = [index.value.score(*words.value.of(t)) for t in b["text"]]
+            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "score": [s for s, _ in out], "evidence": [e for _, e in out]})
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    scored = written(texts.mapInPandas(run, "doc_id long, score double, evidence array<struct<doc_id:long,cosine:double,toxic:int>>"), texts=True)
     return scored.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "evidence")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without the documents predicted toxic; rows without doc_id stay, all columns stay."""
-    bad = written(score_toxicity(docs, labels).where("predicted = 1 and doc_id is not null").select(F.col("doc_id").alias("toxic_doc_id__")).distinct())
-    return docs.join(bad, docs["doc_id"] == bad["toxic_doc_id__"], "left_anti")
+    """docs without the rows whose text is predicted toxic, null and repeated doc_ids alike; all columns stay."""
+    spark = docs.sparkSession
+    ship(spark)
+    words, index = (spark.sparkContext.broadcast(x) for x in fitted(docs, labels))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array([index.value.score(*words.value.of(t.as_py()))[0] < THRESHOLD for t in b.column("text")], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
