@@ -2,15 +2,22 @@
 
 Tokens of a page are its opening and closing tags, named by their path, and
 its runs of text. Tokens of one host with the same occurrence vector (how
-often in which page) form an equivalence class; classes of at least two
-tokens and SUPPORT pages are valid, nest by their paths into the host's
-template, and what the template doesn't fix are slots. The main text is what
-fills the slots of the template's article, without the parts whose element
-or name says that they are something else.
+often in which page) form an equivalence class. Classes of at least two tokens
+that occur once a page, on SUPPORT pages and on SHARE of the host's, are
+valid; they nest by their paths into the host's template. Texts on FIXED of
+the pages belong to the template, too. What lies between the tags of a valid
+class's container is a slot, and the slots nest as the classes do.
+
+A page's main text is the content of one slot: from the outermost slot, the
+way goes into the inner slot that holds most of what the template doesn't fix,
+as long as that is SLOT of the outer one's. Names and elements serve to
+choose among slots (an article or main element before others) and to leave
+out parts inside the slot, such as forms, adverts and comments.
 
 Occurrence vectors are compared by a 64-bit signature that adds up in any
-order, so a host of any size is summed in partial aggregates; only the
-classes of a host, not its pages, meet in one task.
+order, so a host of any size is summed in partial aggregates. What meets in
+one task are tokens on SHARE of a host's pages: at most 1 / SHARE times the
+tokens of an average page, however many pages the host has.
 """
 
 from __future__ import annotations
@@ -29,19 +36,27 @@ from pyspark.sql import functions as F
 from evidentia.llm.common import ship, written
 
 SUPPORT = 3
+#: Least share of a host's pages with a token of a valid class, and with a text of the template.
+SHARE, FIXED = 0.1, 0.1
+#: Least share of a slot's text in the inner slot to go into.
+SLOT = 0.6
 #: Templates up to this size in total are sent to every executor; more are joined by host.
 SENT_BYTES = 16 << 20
 
 # Elements and names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe svg math".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 OTHER = frozenset("aside button canvas dialog footer form head iframe input math menu nav noscript option script select style svg template textarea title".split())
 OTHER_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer disqus footer header masthead menu modal nav navbar navigation newsletter notice overlay popup promo promotion recommended related replies respond share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split()
 )
 ARTICLE = ("article", "main")
+#: Elements that make slots; those without a meaning of their own are told apart by their number among siblings.
+GENERIC = frozenset("center div section table tbody td tr".split())
+CONTAINERS = GENERIC | frozenset(ARTICLE) | {"body"}
+HEADINGS = ("h1", "h2")
 #: Names that an article element may have and still be something else; the others only say where it stands.
 OTHER_ARTICLES = frozenset("ad ads advert adverts advertisement comment comments promo promotion related replies reply sponsor sponsored".split())
 ROLES = frozenset("banner navigation contentinfo complementary search form alert dialog menu toolbar".split())
@@ -76,7 +91,7 @@ def parse(page: str | None) -> tuple[list[str], list[Run], list[str]]:
     tags: list[str] = []
     runs: list[Run] = []
     articles: list[str] = []
-    stack: list[tuple[str, str, bool]] = [("", "", False)]
+    stack: list[tuple[str, str, bool, dict[str, int]]] = [("", "", False, {})]
     at, text = 0, page or ""
 
     def close(depth: int) -> None:
@@ -108,6 +123,9 @@ def parse(page: str | None) -> tuple[list[str], list[Run], list[str]]:
         elif name in ("li", "dt", "dd", "tr", "td", "th", "option") and stack[-1][0] == name:
             close(len(stack) - 1)
         step, other, article = _named(name, m[3])
+        if name in GENERIC:
+            number = stack[-1][3][step] = stack[-1][3].get(step, 0) + 1
+            step += f":{number}" if number > 1 else ""
         path = f"{stack[-1][1]}/{step}"
         inside = any(s[0] in ARTICLE for s in stack)
         other = stack[-1][2] or other or (name == "header" and not inside and not article)
@@ -117,7 +135,7 @@ def parse(page: str | None) -> tuple[list[str], list[Run], list[str]]:
         if name in VOID or m[3].endswith("/"):
             tags.append(">" + path)
             continue
-        stack.append((name, path, other))
+        stack.append((name, path, other, {}))
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}[^>]*>", re.I).search(text, at)
             body = text[at : end.start()] if end else text[at:]
@@ -142,7 +160,7 @@ def _tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     def rows() -> pd.DataFrame:
         keys = list(seen)
         f = pd.DataFrame({"host": pd.Series([k[0] for k in keys], dtype=object), "token": pd.Series([k[1] for k in keys], dtype=object)})
-        return f.assign(pages=[v[0] for v in seen.values()], vector=[v[1] for v in seen.values()])
+        return f.assign(pages=[v[0] for v in seen.values()], times=[v[1] for v in seen.values()], vector=[v[2] for v in seen.values()])
 
     for b in batches:
         for page_id, host, page in zip(b["page_id"], b["host"], b["html"]):
@@ -156,46 +174,46 @@ def _tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     count[t] = count.get(t, 0) + 1
             marks = [_hash(page_id, n) for n in range(max(count.values(), default=0) + 1)] if len(count) else []
             for t, n in count.items():
-                v = seen.setdefault((host, t), [0, 0])
+                v = seen.setdefault((host, t), [0, 0, 0])
                 v[0] += 1
-                v[1] ^= marks[n]
+                v[1] += n
+                v[2] ^= marks[n]
         if len(seen) > 200_000:
             yield rows()
             seen.clear()
     yield rows()
 
 
+def _outer(path: str, among: dict[str, int] | frozenset[str]) -> str | None:
+    """The nearest enclosing element of path that is in among."""
+    while path := path.rpartition("/")[0]:
+        if path in among:
+            return path
+    return None
+
+
 def _template(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The valid classes of one host, nested: classes (tokens, pages, number of the class around), main path, fixed texts."""
+    """The template of one host: its valid classes, nested, with their slots, and its texts."""
     host, total = pdf["host"].iloc[0], int(pdf["host_pages"].iloc[0])
     classes: dict[tuple[int, int], list[str]] = {}
-    for t, p, v in sorted(zip(pdf["token"], pdf["pages"], pdf["vector"])):
-        classes.setdefault((int(p), int(v)), []).append(t)
-    order = sorted(classes, key=lambda k: (-k[0], min(len(t) for t in classes[k]), k[1]))
+    fixed = []
+    for t, p, n, v in sorted(zip(pdf["token"], pdf["pages"], pdf["times"], pdf["vector"])):
+        if t[0] == "=" and p >= FIXED * total:
+            fixed.append(int(t[1:]))
+        if n == p:
+            classes.setdefault((int(p), int(v)), []).append(t)
+    order = sorted((k for k, c in classes.items() if len(c) >= 2), key=lambda k: (-k[0], min(len(t) for t in classes[k]), k[1]))
     opened = {t[1:]: i for i, k in enumerate(order) for t in classes[k] if t[0] == "<"}
+    nested = []
+    for i, k in enumerate(order):
+        inside = {opened.get(_outer(t[1:], opened)) for t in classes[k] if t[0] != "="} - {i}
+        slots = [t[1:] for t in classes[k] if t[0] == "<" and _name(t[1:]) in CONTAINERS]
+        nested.append({"pages": k[0], "around": min((x for x in inside if x is not None), default=None), "slots": slots})
+    return pd.DataFrame({"host": pd.Series([host], dtype=object), "template": pd.Series([json.dumps({"classes": nested, "fixed": fixed})], dtype=object)})
 
-    def around(i: int) -> int | None:
-        """The class of the nearest enclosing element of another class, if one slot of it holds all of the class."""
-        found = set()
-        for t in classes[order[i]]:
-            path = t[1:] if t[0] != "=" else ""
-            while path := path.rpartition("/")[0]:
-                if opened.get(path, i) != i:
-                    break
-            found.add(opened.get(path))
-        return found.pop() if len(found) == 1 else None
-
-    nested = [{"pages": k[0], "tokens": len(classes[k]), "around": around(i)} for i, k in enumerate(order)]
-    inner = [p for p in opened if re.split(r"[.#@]", p.rpartition("/")[2])[0] in ARTICLE or "@main" in p.rpartition("/")[2]]
-    inner = [p for p in inner if not any(_step_is_other(s) for s in p.split("/")[1:])]
-    main = min(inner, key=lambda p: (-order[opened[p]][0], len(p), p), default=None)
-    fixed = [int(t[1:]) for k in order if k[0] == total for t in classes[k] if t[0] == "="]
-    return pd.DataFrame({"host": pd.Series([host], dtype=object), "template": pd.Series([json.dumps({"main": main, "fixed": fixed, "classes": nested})], dtype=object)})
 
-
-def _step_is_other(step: str) -> bool:
-    name = re.split(r"[.#@]", step)[0]
-    return name in OTHER or not (OTHER_ARTICLES if name in ARTICLE else OTHER_NAMES).isdisjoint(re.split(r"[^a-z]+", step[len(name) :]))
+def _name(path: str) -> str:
+    return re.split(r"[.#@:]", path.rpartition("/")[2], maxsplit=1)[0]
 
 
 def hosts(pages: DataFrame) -> DataFrame:
@@ -205,32 +223,87 @@ def hosts(pages: DataFrame) -> DataFrame:
 
 def templates(pages: DataFrame) -> DataFrame:
     """(host, template) as JSON, of hosts with at least SUPPORT pages; pages as from hosts()."""
-    tokens = pages.select("page_id", "host", "html").mapInPandas(_tokens, "host string, token string, pages long, vector long")
-    tokens = written(tokens.groupBy("host", "token").agg(F.sum("pages").alias("pages"), F.bit_xor("vector").alias("vector")).where(F.col("pages") >= SUPPORT), texts=True)
-    classes = tokens.groupBy("host", "vector", "pages").agg(F.count("*").alias("size")).where("size >= 2").select(F.col("host").alias("h"), F.col("vector").alias("v"), F.col("pages").alias("p"))
-    most = tokens.groupBy("host").agg(F.max("pages").alias("host_pages"))
-    # texts that aren't on every page fill slots; they matter for nothing below
-    valid = tokens.join(most, "host").where("token not like '=%' or pages = host_pages").join(classes, (F.col("host") == F.col("h")) & (F.col("vector") == F.col("v")) & (F.col("pages") == F.col("p")), "left_semi")
-    return valid.groupBy("host").applyInPandas(_template, "host string, template string")
+    sizes = written(pages.groupBy("host").agg(F.count("*").alias("host_pages")).where(F.col("host_pages") >= SUPPORT))
+    tokens = pages.select("page_id", "host", "html").mapInPandas(_tokens, "host string, token string, pages long, times long, vector long")
+    tokens = tokens.groupBy("host", "token").agg(F.sum("pages").alias("pages"), F.sum("times").alias("times"), F.bit_xor("vector").alias("vector")).where(F.col("pages") >= SUPPORT)
+    tokens = written(tokens.join(sizes, "host").where(F.col("pages") >= SHARE * F.col("host_pages")), texts=True)
+    return tokens.groupBy("host").applyInPandas(_template, "host string, template string")
+
+
+Slots = dict[str, str | None]
 
 
 @lru_cache(maxsize=4096)
-def _known(template: str | None) -> tuple[str | None, frozenset[int]]:
-    t = json.loads(template) if template else {}
-    return t.get("main"), frozenset(t.get("fixed", ()))
+def _known(template: str | None) -> tuple[Slots | None, frozenset[int]]:
+    """Slots of a template, each with the one around it, and the texts that the template fixes."""
+    if not template:
+        return None, frozenset()
+    t = json.loads(template)
+    within = {path: c["around"] for c in t["classes"] for path in c["slots"]}
+    number = {path: i for i, c in enumerate(t["classes"]) for path in c["slots"]}
+
+    def outer(path: str) -> str | None:
+        # a slot of the same class or of one that the class nests in
+        up = _outer(path, number)
+        while up is not None and number[up] != number[path]:
+            c = within[path]
+            while c is not None and c != number[up]:
+                c = t["classes"][c]["around"]
+            if c is not None:
+                break
+            up = _outer(up, number)
+        return up
+
+    return {path: outer(path) for path in number}, frozenset(t["fixed"])
+
+
+def main_slot(runs: list[Run], slots: Slots, fixed: frozenset[int]) -> str | None:
+    """The slot that holds a page's main text, None for the page as a whole."""
+    mass: dict[str | None, int] = {}
+    headed: set[str | None] = set()
+    chains: dict[str, tuple[list[str | None], bool]] = {}
+    for path, other, text in runs:
+        if other or text == "\n" or not (s := _clean(text)) or _hash(path, s) in fixed:
+            continue
+        if path not in chains:
+            own = path if path in slots else _outer(path, slots)
+            up: list[str | None] = [own]
+            while up[-1] is not None:
+                up.append(slots[up[-1]])
+            chains[path] = up, any(step.startswith(HEADINGS) for step in path[len(own or "") :].split("/"))
+        for slot in chains[path][0]:
+            mass[slot] = mass.get(slot, 0) + len(s)
+        if chains[path][1]:
+            headed.add(chains[path][0][0])
+    meant = [p for p in mass if p is not None and (_name(p) in ARTICLE or "@main" in p.rpartition("/")[2])]
+    if meant:
+        return min(meant, key=lambda p: (p.count("/"), -mass[p], p))
+    at: str | None = None
+    while at not in headed:
+        inner = [p for p in mass if p is not None and slots[p] == at]
+        best = max(inner, key=lambda p: (mass[p], p), default=None)
+        if best is None or mass[best] < SLOT * mass[at]:
+            break
+        at = best
+    return at
 
 
 def main_text(page: str | None, template: str | None = None) -> str:
-    """Main text of a page under a template of its host, or alone."""
-    main, fixed = _known(template)
+    """Main text of a page under a template of its host, or alone.
+
+    Alone, or where the page has none of the template's slots, the outermost
+    article or main element is the text, or else the whole page.
+    """
+    slots, fixed = _known(template)
     _, runs, articles = parse(page)
-    if main is None or not any(p == main or p.startswith(main + "/") for p, _, _ in runs):
+    main = main_slot(runs, slots, fixed) if slots else None
+    if main is None:
         main = min(articles, key=len, default=None)
     out = []
     for path, other, text in runs:
         if other or (main is not None and path != main and not path.startswith(main + "/")):
             continue
-        if main is None and fixed and text != "\n" and (s := _clean(text)) and _hash(path, s) in fixed:
+        if fixed and (main is None or _name(main) == "body") and text != "\n" and (s := _clean(text)) and _hash(path, s) in fixed:
             continue
         out.append(text if text == "\n" else entities.unescape(text))
     return _SPACE.sub(" ", "".join(out)).strip()
@@ -248,8 +321,9 @@ def extract(pages: DataFrame) -> DataFrame:
 
     Null and empty pages, and pages without main text, have an empty text.
     Hosts with fewer than SUPPORT pages, and urls without a host when they are
-    as few, have no template; their pages are read alone. Inside an article no
-    text counts as template, however often it recurs. Repeated rows and null
+    as few, have no template; their pages are read alone. Inside the main slot
+    no text counts as template, however often it recurs, unless that slot is the
+    whole body. Repeated rows and null
     page_ids have a row each; other columns are ignored.
     """
     ship(pages.sparkSession)

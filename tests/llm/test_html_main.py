@@ -44,7 +44,9 @@ def test_template_of_a_host(spark):
     rows += [(10, "http://other.example/", page("<div><p>Alone Same end</p></div>"), "x", "x", "x")]
     df = spark.createDataFrame(rows, PAGES)
     known = {r["host"]: json.loads(r["template"]) for r in H.templates(H.hosts(df)).collect()}
-    assert set(known) == {"h.example"} and known["h.example"]["main"] is None and len(known["h.example"]["fixed"]) == 2 + 2  # with title and style
+    assert set(known) == {"h.example"} and len(known["h.example"]["fixed"]) == 2 + 2  # with title and style
+    slots = [s for c in known["h.example"]["classes"] for s in c["slots"]]
+    assert {"/html/body", "/html/body/div.top", "/html/body/div.story", "/html/body/div.end"} == set(slots)
     got = {r["page_id"]: r["text"] for r in H.extract(df).collect()}
     assert got[3] == "Story number 3 Shared by two 1" and got[10] == "Alone Same end"
 
@@ -61,3 +63,41 @@ def test_edges_and_joined_templates(spark, monkeypatch):
     got = sorted(((r["page_id"] or 0), r["text"], r["n_chars"]) for r in H.extract(spark.createDataFrame(rows, PAGES)).collect())
     assert got == [(0, "x", 1), (1, "", 0), (2, "y", 1), (2, "y", 1), *((10 + i, f"v{i}", 2) for i in range(4))]
     assert H.extract(spark.createDataFrame([], PAGES)).count() == 0
+
+
+def without_names(page):
+    """The page with divs without class instead of elements and classes that tell their meaning."""
+    return re.sub(r'<div class="[^"]*"', "<div", re.sub(r"<(/?)(?:article|nav|footer|header|aside)\b", r"<\1div", page))
+
+
+def test_slots_alone_find_the_text(spark):
+    """Without any name that tells, the template's result is right and the page's own is not."""
+    rows = duckdb.sql("select page_id, url, html from '/root/testdata/sf0.1/pages.parquet' where page_id < 1000").fetchall()
+    want = {i: " ".join(html.unescape(re.sub(r"<[^>]*>", "", re.sub(r"<(?:/?p|br|/?h1)>", " ", re.search(r"<article>(.*?)</article>", h, re.S)[1]))).split()) for i, _, h in rows}
+    bare = [(i, u, without_names(h)) for i, u, h in rows]
+    df = spark.createDataFrame(bare, "page_id long, url string, html string")
+    known = {r["host"] for r in H.templates(H.hosts(df)).collect()}
+    hosts = {r["page_id"]: r["host"] for r in H.hosts(df).select("page_id", "host").collect()}
+    got = {r["page_id"]: r["text"] for r in H.extract(df).collect()}
+    some = [i for i in want if hosts[i] in known]
+    assert len(some) > 800 and sum(got[i] == want[i] for i in some) >= 0.93 * len(some)
+    assert sum(got[i] != H.main_text(h) for i, _, h in bare if hosts[i] in known) >= 0.93 * len(some)
+
+
+def test_classes_nest_and_slots_follow(spark):
+    def body(i):
+        notice = "<div><p>We use cookies</p></div>" if i % 3 == 0 else ""
+        words = " ".join(f"w{i}x{k}" for k in range(30))
+        return f"<div><ul><li>Home<li>News</ul></div>{notice}<div><div><h1>Title {i}</h1><p>{words}</p><p>More {i}</p></div><div><p>Tags: t{i}</p></div></div><div><p>Imprint</p></div>"
+
+    rows = [(i, f"http://h.example/{i}", page(body(i)), "x", "x", "x") for i in range(12)]
+    df = spark.createDataFrame(rows, PAGES)
+    t = json.loads(H.templates(H.hosts(df)).first()["template"])
+    assert any(c["around"] is not None for c in t["classes"])
+    for r in H.extract(df).collect():
+        i = r["page_id"]  # the extra notice moves the article from the second div to the third
+        assert r["text"] == f"Title {i} " + " ".join(f"w{i}x{k}" for k in range(30)) + f" More {i}"
+
+
+def test_inline_elements_join():
+    assert H.main_text("<p>super<wbr>cali <img src=x>fragi<img>listic</p>") == "supercali fragilistic"
