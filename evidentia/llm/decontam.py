@@ -2,67 +2,133 @@
 
 The test items are the query set; documents are scanned where they lie, twice
 and without a shuffle of texts. The first scan counts in how many documents
-each n-gram of an item occurs; of every WINDOW neighbouring n-grams the rarest
-becomes a seed, so any WINDOW + N - 1 unedited words of an item hold one. The
-second scan looks seeds up and aligns item and surroundings word by word.
-Items come in blocks of BLOCK, each with scans of its own, so what is sent to
-the executors is bounded whatever the size of the benchmark.
+each word pair of an item occurs. The seeds of an item are its rarest pairs:
+an alignment worth THRESHOLD of an item of L words leaves at least L / 3 - 1
+neighbouring pairs unedited (each edit costs a point and breaks one run), so
+the commonest L / 3 - 2 pairs can be left out and a seed still remains, however
+densely a copy is edited. The second scan looks seeds up; where enough pairs
+of the item lie around a seed, item and surroundings are aligned word by word.
+
+Words are 64-bit hashes. Items come in blocks of BLOCK_CHARS characters, each
+with scans of its own, so what is sent to the executors is bounded whatever
+the size of the benchmark.
 """
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_right
-from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import accumulate
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidentia.llm.common import ship, small_batches, written
 
-N = 4
-WINDOW = 2
 #: Items of a block, and characters of its items; an item above that is a block of its own.
-BLOCK, BLOCK_CHARS = 5_000, 4_000_000
+BLOCK, BLOCK_CHARS = 200_000, 16_000_000
 MATCH, MISMATCH, GAP = 2, -1, -2
 #: Least alignment score, as a share of the item's own.
 THRESHOLD = 0.5
 #: An alignment worth so many equal words is a copied passage, however long its item.
 PASSAGE = 50
+#: Items of fewer words must occur as a whole.
+WHOLE = 4
+#: Words of a stretch of an item, out of each of which seeds are chosen.
+STRETCH = 48
 _WORD = re.compile(r"\w+")
-Grams = dict[tuple[str, ...], list[tuple[int, int]]]
+_LEFT, _RIGHT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_MEMO = 100_000
 
 
 def words(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
-def grams(w: list[str], n: int) -> Iterator[tuple[str, ...]]:
-    return zip(*(w[i:] for i in range(n)))
+class _Codes(dict):
+    """Word -> 64-bit hash; remembers a bounded number of words."""
 
+    def __missing__(self, word: str) -> int:
+        h = xxhash.xxh64_intdigest(word.encode("utf-8", "replace"))
+        if len(self) < _MEMO and len(word) <= 64:
+            self[word] = h
+        return h
 
-def item_grams(items: dict[int, list[str]]) -> Grams:
-    """n-gram -> (item, position); an item shorter than N words is one gram."""
-    out: Grams = {}
-    for i, w in items.items():
-        for k, g in enumerate(grams(w, min(N, len(w)))):
-            out.setdefault(g, []).append((i, k))
-    return out
 
+_codes = _Codes()
+
+
+def coded(w: list[str]) -> np.ndarray:
+    return np.fromiter(map(_codes.__getitem__, w), np.uint64, len(w))
+
+
+def pairs(code: np.ndarray) -> np.ndarray:
+    """A hash of every two neighbouring words."""
+    return code[:-1] * _LEFT ^ code[1:] * _RIGHT
+
+
+def kept_pairs(n: int) -> int:
+    """Neighbouring pairs that any alignment worth THRESHOLD of n words leaves unedited."""
+    return max(-(-n // 3) - 1, 0)
+
+
+def grams(item: np.ndarray) -> np.ndarray:
+    """The pairs of an item; the word itself of an item of one word."""
+    return item if len(item) == 1 else pairs(item)
+
+
+def choose_seeds(own: np.ndarray, df: np.ndarray) -> np.ndarray:
+    """Positions of the seeds among an item's grams: in each stretch all but the commonest that can be left out."""
+    out = []
+    for at in range(0, len(own), STRETCH):
+        n = min(STRETCH, len(own) - at)
+        if at and n < STRETCH // 2:  # a short end joins the stretch before
+            at, n = at - STRETCH, n + STRETCH
+            out.pop()
+        spare = max(kept_pairs(min(n, STRETCH) + 1) - 1, 0)
+        out.append(at + np.argsort(df[at : at + n], kind="stable")[: n - spare])
+    return np.sort(np.concatenate(out))
 
-def choose_seeds(items: dict[int, list[str]], df: Counter) -> Grams:
-    """The rarest gram of every WINDOW neighbours, the first of equals."""
-    out: Grams = {}
-    for i, w in items.items():
-        own = list(grams(w, min(N, len(w))))
-        picked = {min(range(k, min(k + WINDOW, len(own))), key=lambda p: (df[own[p]], p)) for k in range(max(1, len(own) - WINDOW + 1))}
-        for k in sorted(picked):
-            out.setdefault(own[k], []).append((i, k))
-    return out
+
+@dataclass
+class Block:
+    """Items of a block with their seeds, as sorted hashes and the places they stand for."""
+
+    ids: list[int]
+    items: list[np.ndarray]
+    keys: np.ndarray
+    first: np.ndarray  # first place of each key, one more than keys
+    item: np.ndarray
+    at: np.ndarray
+    single: bool  # whether some item has one word
+
+    @classmethod
+    def build(cls, ids: list[int], items: list[np.ndarray], gram_keys: np.ndarray, df: np.ndarray) -> Block:
+        """gram_keys, df: sorted hashes of all grams, and documents with them."""
+        rows = []
+        for i, w in enumerate(items):
+            own = grams(w)
+            for k in choose_seeds(own, df[np.searchsorted(gram_keys, own)]):
+                rows.append((int(own[k]), i, int(k)))
+        rows.sort()
+        h = np.array([r[0] for r in rows], np.uint64)
+        keys, first = np.unique(h, return_index=True)
+        return cls(ids, items, keys, np.append(first, len(h)), np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64), any(len(w) == 1 for w in items))
+
+
+def _found(keys: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in h of the values that keys has, and their places in keys."""
+    if not len(keys) or not len(h):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+    hit = np.flatnonzero(keys[at] == h)
+    return hit, at[hit]
 
 
 def _last_row_best(item: np.ndarray, doc: np.ndarray) -> tuple[int, int, int]:
@@ -81,117 +147,148 @@ def _last_row_best(item: np.ndarray, doc: np.ndarray) -> tuple[int, int, int]:
     return best
 
 
-def align(item: list[str], doc: list[str]) -> tuple[float, int, int]:
+def align(item: np.ndarray, doc: np.ndarray) -> tuple[float, int, int]:
     """Smith-Waterman over words: score as a share of the item's own, start and end in doc."""
-    number = {w: i for i, w in enumerate(dict.fromkeys(item))}
-    a, b = np.array([number[w] for w in item]), np.array([number.get(w, -1) for w in doc])
-    score, i, j = _last_row_best(a, b)
+    score, i, j = _last_row_best(item, doc)
     if not score:
         return 0.0, 0, 0
-    _, _, back = _last_row_best(a[:i][::-1], b[:j][::-1])
+    _, _, back = _last_row_best(item[:i][::-1], doc[:j][::-1])
     return score / (MATCH * len(item)), j - back, j
 
 
-def find_in(text: str | None, seeds: Grams, items: dict[int, list[str]], lengths: set[int]) -> list[tuple[int, float, int, int, int]]:
+def _regions(starts: np.ndarray, n: int, size: int) -> Iterator[tuple[int, int]]:
+    """Stretches of a text of size words around the places where an item of n words would start, as far as gaps can move it."""
+    pad = n // 2 + 2
+    lo = hi = None
+    for s in np.unique(starts).tolist():
+        if hi is not None and s - pad > hi:
+            yield max(0, lo), min(size, hi)
+            lo = None
+        lo, hi = (s - pad if lo is None else lo), s + n + pad
+    if lo is not None:
+        yield max(0, lo), min(size, hi)
+
+
+def find_in(text: str | None, block: Block, first_only: bool = False) -> list[tuple[int, float, int, int, int]]:
     """(item, score, first and last code point, seeds met) of the best alignment of each item that the text's seeds point to."""
     w = words(text)
-    if all(seeds.keys().isdisjoint(grams(w, n)) for n in lengths):
+    code = coded(w)
+    met, key = _found(block.keys, pairs(code))
+    if block.single:
+        one, k1 = _found(block.keys, code)
+        met, key = np.append(met, one), np.append(key, k1)
+    if not len(met):
         return []
-    met: dict[int, list[int]] = {}
-    for n in lengths:
-        for p, g in enumerate(grams(w, n)):
-            for i, k in seeds.get(g, ()):
-                met.setdefault(i, []).append(p - k)
+    n = block.first[key + 1] - block.first[key]
+    place = np.repeat(block.first[key] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+    item, start = block.item[place], np.repeat(met, n) - block.at[place]
     out, places = [], None
-    for i, starts in sorted(met.items()):
-        item = items[i]
-        pad, best = 8 + len(item) // 4, (0.0, 0, 0)
-        starts.sort()
-        lo = hi = None
-        for s in [*starts, None]:
-            if hi is not None and (s is None or s - pad > hi):
-                at = max(0, lo)
-                score, a, b = align(item, w[at:hi])
-                if score > best[0]:
-                    best, lo, hi = (score, at + a, at + b), None, None
-                else:
-                    lo = hi = None
-            if s is not None:
-                lo, hi = (s - pad if lo is None else lo), s + len(item) + pad
-        if best[0] >= THRESHOLD or best[0] * len(item) >= PASSAGE - 1e-6:
+    own_pairs = pairs(code)
+    for i in np.unique(item).tolist():
+        own = block.items[i]
+        starts = start[item == i]
+        need = 1 if len(own) < WHOLE else max(1, min(kept_pairs(len(own)), kept_pairs(PASSAGE)))
+        best = (0.0, 0, 0)
+        for lo, hi in _regions(starts, len(own), len(code)):
+            if len(own) > 1 and int(np.isin(pairs(own), own_pairs[lo : max(lo, hi - 1)]).sum()) < need:
+                continue
+            score, a, b = align(own, code[lo:hi])
+            if score > best[0]:
+                best = score, lo + a, lo + b
+        if best[0] >= (THRESHOLD if len(own) >= WHOLE else 1.0) or best[0] * len(own) >= PASSAGE - 1e-6:
             places = places or [m.span() for m in _WORD.finditer(text.lower())]
             out.append((i, best[0], places[best[1]][0], places[best[2] - 1][1], len(starts)))
+            if first_only:
+                break
     return out
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row per document and test item found in it: doc_id, item_id, score, start, end, seeds.
-
-    score: the best local alignment's, as a share of aligning the item with
-    itself: at least THRESHOLD, or less where the alignment is worth PASSAGE
-    equal words. start, end: code points of the lower-cased text. Clean
-    documents have no row. Null and empty texts, items without words and null
-    item_ids match nothing; every distinct text of a repeated item_id is an
-    item of its own; repeated rows of docs have a row each, null doc_ids too.
-    Other columns are ignored, and empty tables give an empty result.
-    """
-    spark = docs.sparkSession
-    ship(spark)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def blocks(docs: DataFrame, benchmark: DataFrame) -> Iterator[Block]:
+    """The benchmark in blocks with seeds chosen by their number of documents."""
     known = benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
     known = written(known.withColumn("item", F.xxhash64("item_id", "text")))  # blocks are ranges of it
-    out, after = None, None
+    after = None
     while True:
         more = known if after is None else known.where(F.col("item") > after)
         sizes = more.select("item", F.coalesce(F.length("text"), F.lit(0)).alias("n")).orderBy("item").limit(BLOCK).collect()
-        if not sizes and out is not None:
-            return out
-        upto = list(accumulate(r["n"] for r in sizes))
-        fit = max(1, bisect_right(upto, BLOCK_CHARS))
-        last = sizes[:fit][-1]["item"] if sizes else None
-        block = more.where(F.col("item") <= last).collect() if sizes else []
-        found = _block(texts, [(r["item_id"], w) for r in block if (w := words(r["text"]))])
-        out = found if out is None else out.unionByName(found)
+        if not sizes:
+            return
+        fit = max(1, bisect_right(list(accumulate(r["n"] for r in sizes)), BLOCK_CHARS))
+        last = sizes[:fit][-1]["item"]
+        rows = sorted((r["item"], r["item_id"], r["text"]) for r in more.where(F.col("item") <= last).where("text is not null").collect())
+        items = [(i, coded(w)) for _, i, t in rows if (w := words(t))]
+        if items:
+            yield _seeded(docs, [i for i, _ in items], [w for _, w in items])
         if fit >= len(sizes) and len(sizes) < BLOCK:
-            return out
+            return
         after = last
 
 
-def _block(texts: DataFrame, block: list[tuple[int, list[str]]]) -> DataFrame:
-    """block: (item_id, words) of its items."""
-    spark = texts.sparkSession
-    ids, items = [i for i, _ in block], dict(enumerate(w for _, w in block))
-    every = item_grams(items)
-    lengths = {len(g) for g in every}
-    keys = list(every)
-    sent = spark.sparkContext.broadcast({g: n for n, g in enumerate(keys)})
+def _seeded(docs: DataFrame, ids: list[int], items: list[np.ndarray]) -> Block:
+    keys = np.unique(np.concatenate([grams(w) for w in items]))
+    single = any(len(w) == 1 for w in items)
+    sent = docs.sparkSession.sparkContext.broadcast(keys)
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        number, seen = sent.value, Counter()
-        for b in batches:
-            for t in b["text"]:
-                w = words(t)
-                for n in lengths:
-                    seen.update(number.keys() & set(grams(w, n)))
-        yield pd.DataFrame({"gram": [number[g] for g in seen], "n": list(seen.values())}, dtype="int64")
-
-    # at most a row per n-gram of a block
-    counts = texts.select("text").mapInPandas(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    with small_batches(spark):
-        df = Counter({keys[r["gram"]]: r["n"] for r in counts.collect()}) if items else Counter()
-    chosen = spark.sparkContext.broadcast((choose_seeds(items, df), items, ids))
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seeds, own, name = chosen.value
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(len(sent.value), np.int64)
         for b in batches:
-            rows = [(d, name[i], *x) for d, t in zip(b["doc_id"].astype("Int64"), b["text"]) for i, *x in find_in(t, seeds, own, lengths)]
-            out = pd.DataFrame(rows, columns=["doc_id", "item_id", "score", "start", "end", "seeds"], dtype=object)
-            yield out.astype({"doc_id": "Int64", "item_id": "int64", "score": "float64", "start": "int64", "end": "int64", "seeds": "int64"})
+            for t in b.column("text"):
+                code = coded(words(t.as_py()))
+                both = np.unique(np.append(pairs(code), code) if single else pairs(code))
+                n[_found(sent.value, both)[1]] += 1
+        seen = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(n[seen], pa.int64())], ["gram", "n"])
 
-    return texts.mapInPandas(search, "doc_id long, item_id long, score double, start long, end long, seeds long")
+    counts = docs.select("text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    with small_batches(docs.sparkSession):
+        got = counts.toArrow()  # two numbers for a gram of the block at most
+    df = np.zeros(len(keys), np.int64)
+    df[got.column("gram").to_numpy()] = got.column("n").to_numpy()
+    return Block.build(ids, items, keys, df)
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """One row per document and test item found in it: doc_id, item_id, score, start, end, seeds.
+
+    score: the best local alignment's, as a share of aligning the item with
+    itself: at least THRESHOLD, or less where the alignment is worth PASSAGE
+    equal words; items of fewer than WHOLE words must occur whole. start, end:
+    code points of the lower-cased text. Clean documents have no row. Null and
+    empty texts, items without words and null item_ids match nothing; every
+    distinct text of a repeated item_id is an item of its own; repeated rows of
+    docs have a row each, null doc_ids too. Other columns are ignored, and
+    empty tables give an empty result.
+    """
+    spark = docs.sparkSession
+    ship(spark)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    schema = "doc_id long, item_id long, score double, start long, end long, seeds long"
+    out = None
+    for block in blocks(texts, benchmark):
+        sent = spark.sparkContext.broadcast(block)
+
+        def search(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                rows = [(d, sent.value.ids[i], *x) for d, t in zip(b["doc_id"].astype("Int64"), b["text"]) for i, *x in find_in(t, sent.value)]
+                found = pd.DataFrame(rows, columns=["doc_id", "item_id", "score", "start", "end", "seeds"], dtype=object)
+                yield found.astype({"doc_id": "Int64", "item_id": "int64", "score": "float64", "start": "int64", "end": "int64", "seeds": "int64"})
+
+        found = texts.mapInPandas(search, schema)
+        out = found if out is None else out.unionByName(found)
+    return spark.createDataFrame([], schema) if out is None else out
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the documents that hold a test item; rows without doc_id stay, all columns stay."""
-    bad = written(contamination(docs, benchmark).where("doc_id is not null").select(F.col("doc_id").alias("leak_doc_id__")).distinct(), texts=True)
-    return docs.join(bad, docs["doc_id"] == bad["leak_doc_id__"], "left_anti")
+    """docs without the rows whose text holds a test item, null and repeated doc_ids alike; all columns stay."""
+    spark = docs.sparkSession
+    ship(spark)
+    out = docs
+    for block in blocks(docs, benchmark):
+        sent = spark.sparkContext.broadcast(block)
+
+        def keep(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield b.filter(pa.array([not find_in(t.as_py(), sent.value, first_only=True) for t in b.column("text")], pa.bool_()))
+
+        out = out.mapInArrow(keep, docs.schema)
+    return out

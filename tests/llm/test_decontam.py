@@ -1,6 +1,6 @@
 import random
-from collections import Counter
 
+import numpy as np
 import pytest
 
 from evidentia.llm import decontam as D
@@ -24,7 +24,7 @@ def test_alignment_against_the_plain_matrix(seed):
     for _ in range(60):
         a = rng.choices("abcdef", k=rng.randint(1, 15))
         b = rng.choices("abcdefg", k=rng.randint(1, 40))
-        score, lo, hi = D.align(a, b)
+        score, lo, hi = D.align(D.coded(a), D.coded(b))
         assert score == brute_align(a, b) and (not score or brute_align(a, b[lo:hi]) == score)
 
 
@@ -50,12 +50,42 @@ def test_copies_edited_copies_and_clean_texts(spark):
             assert r["score"] == 1.0 and D.words(texts[r["doc_id"]][r["start"] : r["end"]]) == items[r["item_id"]]
 
 
-def test_a_widespread_item_keeps_its_seeds():
-    items = {1: [f"w{i}" for i in range(12)]}
-    df = Counter({g: 10_000 for g in D.item_grams(items)})
-    seeds = D.choose_seeds(items, df)
-    at = sorted(k for v in seeds.values() for _, k in v)
-    assert at and all(b - a <= D.WINDOW for a, b in zip(at, at[1:]))
+def test_seeds_outnumber_what_an_accepted_alignment_can_break():
+    """Every edited copy worth THRESHOLD keeps a pair that is a seed, whatever the document counts."""
+    rng = random.Random(3)
+    for n in (4, 5, 7, 12, 30, 47, 49, 60, 100):
+        item = [f"w{i}" for i in range(n)]
+        own = D.grams(D.coded(item))
+        df = np.array([rng.randrange(5) for _ in own])
+        seeds = {int(own[k]) for k in D.choose_seeds(own, df)}
+        for _ in range(200):
+            copy = [x if rng.random() > 0.3 else "edit" for x in item]
+            if D.align(D.coded(item), D.coded(copy))[0] >= D.THRESHOLD:
+                assert seeds & set(D.pairs(D.coded(copy)).tolist())
+
+
+@pytest.mark.parametrize("every", [3, 4, 5, 8])
+def test_densely_edited_copies_against_full_alignment(spark, every):
+    """The whole query against Smith-Waterman of every item with every text."""
+    rng, v = random.Random(every), vocabulary(3000)
+    items = {i: rng.choices(v, k=rng.randint(15, 57)) for i in range(40)}
+    noise = lambda: rng.choices(v, k=40)
+    docs = [(i, " ".join(noise() + [x if k % every else rng.choice(v) for k, x in enumerate(w, 1)] + noise())) for i, w in items.items()] + [(100 + i, " ".join(noise())) for i in range(20)]
+    got = {(r["doc_id"], r["item_id"]) for r in D.contamination(spark.createDataFrame([(i, t, 1, 1.0) for i, t in docs], DOCS), spark.createDataFrame([(i, " ".join(w), 1) for i, w in items.items()], ITEMS)).collect()}
+    want = {(i, j) for i, t in docs for j, w in items.items() if (s := D.align(D.coded(w), D.coded(t.split()))[0]) >= D.THRESHOLD or s * len(w) >= D.PASSAGE}
+    assert len(want) >= 38 and got == want
+
+
+def test_copies_with_inserted_and_dropped_words(spark):
+    rng, v = random.Random(9), vocabulary(3000)
+    items = {i: rng.choices(v, k=40) for i in range(30)}
+    noise = lambda: rng.choices(v, k=40)
+    more = lambda w: [y for k, x in enumerate(w, 1) for y in ([x, rng.choice(v)] if k % 5 == 0 else [x])]
+    less = lambda w: [x for k, x in enumerate(w, 1) if k % 6]
+    docs = [(i, " ".join(noise() + more(w) + noise())) for i, w in items.items()] + [(100 + i, " ".join(noise() + less(w) + noise())) for i, w in items.items()]
+    got = {(r["doc_id"], r["item_id"]) for r in D.contamination(spark.createDataFrame([(i, t, 1, 1.0) for i, t in docs], DOCS), spark.createDataFrame([(i, " ".join(w), 1) for i, w in items.items()], ITEMS)).collect()}
+    want = {(i, j) for i, t in docs for j, w in items.items() if D.align(D.coded(w), D.coded(t.split()))[0] >= D.THRESHOLD}
+    assert len(want) == 60 and got == want
 
 
 def test_blocks_and_edges(spark, monkeypatch):
@@ -66,7 +96,7 @@ def test_blocks_and_edges(spark, monkeypatch):
     got = sorted((r["doc_id"] or 0, r["item_id"]) for r in D.contamination(d, b).collect())
     assert got == [(0, 1), (1, 5), (4, 9), (4, 9), (6, 1)]
     kept = D.drop_contaminated(d, b)
-    assert kept.columns == d.columns and sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 2, 3]
+    assert kept.columns == d.columns and sorted(r["doc_id"] or 0 for r in kept.collect()) == [2, 3]  # a null doc_id saves no contaminated text
     assert D.contamination(d, spark.createDataFrame([], ITEMS)).count() == 0
     assert D.contamination(spark.createDataFrame([], DOCS), b).count() == 0
 
