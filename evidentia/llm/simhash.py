@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidentia.llm.common import ship, words_of, written
-from evidentia.llm.components import components
+from evidentia.llm.components import components, hot_join
 
 TAU = 2
 SHINGLE = 3
@@ -79,7 +79,7 @@ def links(nodes: DataFrame) -> DataFrame:
     """
     segs = nodes.select("node", "fp", F.explode(F.array(*[F.struct(F.lit(i).alias("seg"), _segment(F.col("fp"), *s).alias("val")) for i, s in enumerate(SEGMENTS)])).alias("s")).select("node", "fp", "s.*")
     sizes = segs.groupBy("seg", "val").agg(F.count("*").alias("n")).where("n > 1")
-    segs = written(segs.join(sizes, ["seg", "val"]))
+    segs = written(hot_join(segs, sizes, ["seg", "val"], F.col("n"), len(SEGMENTS) * nodes.count()))
     cold, dense = segs.where(F.col("n") <= DENSE), segs.where(F.col("n") > DENSE)
 
     x = F.col("p.fp").bitwiseXOR(F.col("q.fp"))
@@ -108,27 +108,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     component_id is the smallest doc_id reachable over links, itself included.
     Null and empty texts have fingerprint 0, which links like any other.
-    Rows of one doc_id with different texts have a row each; a null doc_id
-    never names a component, and a component of null ids only has a null one.
-    An empty table gives an empty result. Other columns of docs are ignored.
+    Links are between fingerprints: rows of one doc_id with different texts
+    each belong to the component of their own text, and a row without doc_id
+    connects others and has their component_id; a component of null ids only
+    has a null one. An empty table gives an empty result. Other columns of
+    docs are ignored.
     """
     prints = written(fingerprints(docs), texts=True)
-    # "few" classes of equal fingerprints: their texts need no pairs
-    classes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("node")))
-    linked = components(links(classes.where("node is not null")))
-    # a doc_id may stand for two fingerprints; those classes are one node and so one component
-    named = classes.join(linked, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    # rows with equal fingerprints need no pairs: the fingerprint is the node
+    classes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
+    size, rows = classes.agg(F.count("*"), F.sum("n")).first()
+    linked = components(links(classes.select(F.col("fp").alias("node"), "fp")))
+    named = written(classes.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp")))
+    smallest = named.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("k"))
+    named = hot_join(named.select("fp", "n", "component"), smallest, ["component"], F.col("k"), size).select("fp", "n", "component_id")
+    return hot_join(prints, written(named), ["fp"], F.col("n"), rows or 0).select("doc_id", "fp", "component_id")
 
 
 def hexed(fp):
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
-
-
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """docs without the documents whose component has a smaller doc_id, and one row per doc_id.
-
-    All columns stay. Rows without doc_id can't be told apart and go.
-    """
-    kept = near_duplicates(docs).groupBy("doc_id").agg(F.min("component_id").alias("component_id")).where("doc_id = component_id").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])

@@ -59,14 +59,30 @@ def test_links_of_crowded_segments(spark, monkeypatch, dense):
 
 def test_edge_rows(spark):
     rows = [(5, "a b c d", 1, 1, "x"), (3, "A B c d", 1, 1, "x"), (5, "a b c d", 1, 1, "x"), (9, None, 1, 1, "x"), (8, "", 1, 1, "x"), (None, "a b c d", 1, 1, "x"), (None, "zz yy xx ww vv", None, None, None)]
-    got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["component_id"]) for r in S.near_duplicates(spark.createDataFrame(rows, DOCS)).collect() if r["component_id"] is not None)
-    assert got == [(False, 3, 3), (False, 5, 3), (False, 5, 3), (False, 8, 8), (False, 9, 8), (True, 0, 3)]
-    kept = S.drop_near_duplicates(spark.createDataFrame(rows, DOCS))
-    assert kept.columns == ["doc_id", "text", "fp", "node", "component"]
-    assert sorted(r["doc_id"] for r in kept.collect()) == [3, 8]
+    got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["component_id"] or 0) for r in S.near_duplicates(spark.createDataFrame(rows, DOCS)).collect())
+    assert got == [(False, 3, 3), (False, 5, 3), (False, 5, 3), (False, 8, 8), (False, 9, 8), (True, 0, 0), (True, 0, 3)]
     assert S.near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_null_and_repeated_ids_link_by_their_texts(spark, monkeypatch):
+    prints = {"first": 0, "middle": 3, "last": 15, "far": 0xFFFF << 20}
+    monkeypatch.setattr(S, "fingerprints", lambda docs: docs.selectExpr("doc_id", "fp"))
+    rows = [(1, "first"), (None, "middle"), (2, "last"), (5, "last"), (5, "far"), (9, "far")]
+    df = spark.createDataFrame([(i, t, prints[t], 0, "x") for i, t in rows], DOCS)
+    got = sorted((r["doc_id"] or 0, r["fp"], r["component_id"]) for r in S.near_duplicates(df).collect())
+    assert got == [(0, 3, 1), (1, 0, 1), (2, 15, 1), (5, 15, 1), (5, 0xFFFF << 20, 5), (9, 0xFFFF << 20, 5)]
+
+
+def test_hot_keys_are_joined_alike(spark, monkeypatch):
+    monkeypatch.setattr("evidentia.llm.components.HOT", 2)
+    star = [(0, i) for i in range(1, 300)] + [(300 + i, 299) for i in range(50)]
+    edges = spark.createDataFrame(star, "a long, b long")
+    assert {r["component"] for r in S.components(edges).collect()} == {0}
+    rows = [(i, "one two three four" if i % 3 else f"other text number {i}") for i in range(60)]
+    got = {r["doc_id"]: r["component_id"] for r in S.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i] == (1 if i % 3 else i) for i in range(60))
+
+
 def test_components_of_chains_and_stars(spark):
     chain = [(i, i + 1) for i in range(0, 60)]
     star = [(100, i) for i in range(101, 200)]
