@@ -22,11 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidentia.llm.common import bounded_sample, ship, written
-from evidentia.llm.components import components
+from evidentia.llm.components import components, hot_join
 
 COSINE = 0.9
 #: Vectors of a unit, and most pivots (what is sent to every task).
 UNIT, PIVOTS = 8_192, 2_048
+#: Pivots of small tables: one for so many vectors, up to so many.
+SPARSE, FEW = 100, 16
 #: Slack of the replication bounds, and the band in which a cosine is computed again exactly.
 SLACK, BAND = 1e-9, 1e-12
 _CHUNK = 1_024
@@ -101,11 +103,15 @@ class Unit:
         return [(int(self.ids[i]), int(self.links[i]), int(self.ids[self.root[i]])) for i in linked]
 
 
-def _range_join(classes: DataFrame, dim: int) -> DataFrame:
-    """classes (cid, copies, v) of one dimension -> (cid, links, other): partial link counts and forest edges."""
+def replicated(classes: DataFrame, dim: int) -> tuple[DataFrame, int]:
+    """classes (cid, copies, v) of one dimension -> (cid, copies, vec, unit, guest) and the number of units.
+
+    Each vector is in its own unit once (guest 0), and a guest of the later
+    units that may hold something within the range.
+    """
     spark = classes.sparkSession
     n = classes.count()
-    wanted = min(PIVOTS, max(1, (64 << 20) // (8 * dim)), -(-n // UNIT))
+    wanted = min(PIVOTS, max(1, (64 << 20) // (8 * dim)), max(1, -(-n // UNIT), min(FEW, n // SPARSE)))
     chosen = bounded_sample(classes, "cid", wanted).select("v").collect()  # at most PIVOTS vectors, 64 MB
     pivots = unit_length(np.array([r["v"] for r in chosen], np.float64))
     sent = spark.sparkContext.broadcast(pivots)
@@ -151,6 +157,13 @@ def _range_join(classes: DataFrame, dim: int) -> DataFrame:
                 out = b[["cid", "copies", "vec"]].iloc[row].reset_index(drop=True)
                 yield out.assign(unit=np.array(to, np.int64), guest=guest)
 
+    return homes.mapInPandas(replicate, "cid long, copies long, vec binary, unit long, guest byte"), int(parts.sum())
+
+
+def _range_join(classes: DataFrame, dim: int) -> DataFrame:
+    """classes (cid, copies, v) of one dimension -> (cid, links, other): partial link counts and forest edges."""
+    spread, units = replicated(classes, dim)
+
     def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         unit, now, own = None, None, []
 
@@ -178,8 +191,6 @@ def _range_join(classes: DataFrame, dim: int) -> DataFrame:
         if own:
             yield frame((now or ready()).rest())
 
-    units = int(parts.sum())
-    spread = homes.mapInPandas(replicate, "cid long, copies long, vec binary, unit long, guest byte")
     spread = spread.repartition(max(1, min(units, 20_000)), "unit").sortWithinPartitions("unit", "guest")
     return spread.mapInPandas(join, "cid long, links long, other long")
 
@@ -212,7 +223,7 @@ def near_vectors(embeddings: DataFrame) -> DataFrame:
     links = found.groupBy("cid").agg(F.sum("links").alias("links"))
     linked = components(found.where("cid <> other"), "cid", "other").select(F.col("node").alias("cid"), "component")
     named = written(classes.select("key", "cid", "rep", "copies").join(links, "cid", "left").join(linked, "cid", "left").withColumn("component", F.coalesce("component", "cid")))
-    least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = named.join(least, "component").select("key", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    out = rows.select("vec_id", "key").join(named, "key", "left")
+    least = named.groupBy("component").agg(F.min("rep").alias("component_id"), F.count("*").alias("k"))
+    named = hot_join(named, least, ["component"], F.col("k"), named.count()).select("key", "copies", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    out = hot_join(rows.select("vec_id", "key"), written(named), ["key"], F.col("copies"), rows.count(), "left")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

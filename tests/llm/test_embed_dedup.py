@@ -49,6 +49,19 @@ def test_replication_leaves_cells_out(spark, monkeypatch):
     rows = [(i, [float(y) for y in np.eye(8, dtype=np.float32)[i % 8] + 0.02 * rng.standard_normal(8)]) for i in range(160)]
     got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in E.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
     assert got == {i: (19, i % 8) for i in range(160)}
+    classes = spark.createDataFrame([(i, 1, v) for i, v in rows], "cid long, copies long, v array<double>")
+    monkeypatch.setattr(E, "SPARSE", 10)
+    spread, units = E.replicated(classes, 8)
+    guests = spread.where("guest = 1").count()
+    assert units >= 8 and spread.where("guest = 0").count() == 160 and guests <= 0.15 * 160 * (units - 1) / 2
+
+
+def test_small_tables_have_several_cells(spark):
+    rows = vectors(7, n=600)
+    df = spark.createDataFrame([(i, 1, v) for i, v in rows], "cid long, copies long, v array<float>")
+    assert E.replicated(df, 6)[1] >= 4
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in E.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
+    assert got == brute(rows)
 
 
 def test_edges(spark):
