@@ -24,10 +24,11 @@ from evidentia.llm.common import bounded_sample, fold_py, ship, words_of, writte
 STATES = 6
 CLASSES = 60_000
 #: Bytes of a word that may be a symbol of its own.
-LONGEST = 64
+LONGEST = 256
 #: Rounds over the bounded sample that seeds the model, and over all training texts.
 SEED_ROUNDS, ROUNDS = 12, 2
-SEED_DOCS = 1_500
+#: Texts of that sample, and their tokens; texts that would exceed the tokens are passed over.
+SEED_DOCS, SEED_TOKENS = 1_500, 1_500_000
 #: Pseudo-tokens of unigram text that each state has seen.
 SMOOTH = 100.0
 STICK = 0.95
@@ -83,12 +84,26 @@ def forward(model: Model, symbols: np.ndarray, first: np.ndarray) -> tuple[np.nd
 
 def log10_likelihood(model: Model, docs: list[np.ndarray]) -> np.ndarray:
     out = np.zeros(len(docs))
-    for own, symbols, text, first in packed(docs):
+    short = [i for i, d in enumerate(docs) if len(d) <= _GROUP]
+    for own, symbols, text, first in packed([docs[i] for i in short]):
         _, c, _ = forward(model, symbols, first)
-        out[own] = np.bincount(text, weights=np.log10(c), minlength=len(own))
+        out[np.array(short)[own]] = np.bincount(text, weights=np.log10(c), minlength=len(own))
+    for i in set(range(len(docs))).difference(short):
+        out[i] = _log10_of_long(model, docs[i])
     return out
 
 
+def _log10_of_long(model: Model, symbols: np.ndarray) -> float:
+    """The same recursion slice by slice, so that a text of any length needs the memory of one slice."""
+    total, start = 0.0, model.start
+    for at in range(0, len(symbols), _GROUP):
+        part = symbols[at : at + _GROUP].astype(np.int64)
+        a, c, _ = forward(Model(start, model.move, model.emit), part, np.arange(len(part) + 1))
+        total += float(np.log10(c).sum())
+        start = a[-1] @ model.move
+    return total
+
+
 def expected_counts(model: Model, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Baum-Welch sums over texts: first states, moves, emissions."""
     k = len(model.start)
@@ -160,21 +175,26 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def frequent_words(counts: DataFrame) -> list[Row]:
-    """At most CLASSES rows of counts (word, c): all words of the highest frequency classes that fit.
+    """The CLASSES most frequent rows of counts (word, c), ties by hash; all of them if there are no more.
 
-    A class is a sixteenth of a power of two, so a histogram of a few hundred
-    rows decides, and no partition sends more than its share of the result.
+    A level is a sixteenth of a power of two, so a histogram of a few hundred
+    rows decides which levels fit as a whole; only the next one is ordered, and
+    no partition sends more than its share of the result.
     """
     level = F.floor(F.log2("c") * 16).cast("int")
     counts = counts.where(F.length("word") <= LONGEST)
     sizes = sorted(((r["level"], r["n"]) for r in counts.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect()), reverse=True)
-    least, held = None, 0
+    held, part = 0, None
     for at, n in sizes:
-        held += n
-        if held > CLASSES:
+        if held + n > CLASSES:
+            part = at
             break
-        least = at
-    return [] if least is None else counts.where(level >= least).orderBy(F.desc("c"), "word").collect()
+        held += n
+    whole = counts if part is None else counts.where(level > part)
+    rows = whole.collect() if held else []
+    if part is not None:
+        rows += counts.where(level == part).orderBy(F.desc("c"), F.xxhash64("word"), "word").limit(CLASSES - held).collect()
+    return sorted(rows, key=lambda r: (-r["c"], bytes(r["word"])))
 
 
 def score_texts(docs: DataFrame) -> DataFrame:
@@ -250,7 +270,13 @@ def _train(rows: DataFrame, base: np.ndarray) -> Model:
     """rows: (held_out, ids), encoded texts."""
     spark = rows.sparkSession
     train = rows.where("not held_out")
-    some = bounded_sample(train.select("rid", "ids"), "rid", SEED_DOCS).collect()  # at most SEED_DOCS texts
+    chosen, room = [], SEED_TOKENS
+    for r in bounded_sample(train.select("rid", "n_tokens"), "rid", SEED_DOCS).collect():
+        if r["n_tokens"] <= room:
+            chosen.append((r["rid"],))
+            room -= r["n_tokens"]
+    picked = F.broadcast(spark.createDataFrame(chosen, "rid long"))  # at most SEED_DOCS numbers
+    some = train.join(picked, "rid").select("ids").collect()  # at most SEED_DOCS texts and SEED_TOKENS tokens
     model = seeded([np.frombuffer(r["ids"], np.uint16) for r in some], base)
     k, symbols = len(model.start), len(base)
     for _ in range(ROUNDS if some else 0):
@@ -259,7 +285,8 @@ def _train(rows: DataFrame, base: np.ndarray) -> Model:
         def expect(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
             sums = np.zeros(k + k * k + symbols * k)
             for b in batches:
-                sums += np.concatenate([x.ravel() for x in expected_counts(sent.value, [np.frombuffer(x, np.uint16) for x in b["ids"]])])
+                parts = [ids[i : i + _GROUP] for x in b["ids"] for ids in [np.frombuffer(x, np.uint16)] for i in range(0, len(ids), _GROUP)]  # very long texts train in parts
+                sums += np.concatenate([x.ravel() for x in expected_counts(sent.value, parts)])
             at = range(0, len(sums), _CHUNK)
             yield pd.DataFrame({"chunk": list(range(len(at))), "sums": pd.Series([sums[i : i + _CHUNK].tobytes() for i in at], dtype=object)})
 

@@ -85,3 +85,48 @@ def test_tables_without_training_rows(spark):
     alone = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
     r = M.score_texts(spark.createDataFrame([(alone, "some words", 1, "x", 1)], DOCS)).first()
     assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"]) == (3, 0, 0, 0.0) and abs(r["score"]) < 1e-9
+
+
+def test_frequent_words_have_no_cliff(spark, monkeypatch):
+    rows = [(f"w{i}".encode(), 1) for i in range(66_000)] + [(b"the", 90), (b"of", 80), (b"x" * 300, 70)]
+    counts = spark.createDataFrame(rows, "word binary, c long")
+    top = M.frequent_words(counts)
+    assert len(top) == M.CLASSES and [bytes(r["word"]) for r in top[:2]] == [b"the", b"of"]
+    assert {bytes(r["word"]) for r in M.frequent_words(counts.repartition(5))} == {bytes(r["word"]) for r in top}
+    monkeypatch.setattr(M, "CLASSES", 70_000)
+    assert len(M.frequent_words(counts)) == 66_002
+    monkeypatch.setattr(M, "CLASSES", 1)
+    assert [bytes(r["word"]) for r in M.frequent_words(counts)] == [b"the"]
+
+
+def test_very_long_texts_in_slices(monkeypatch):
+    rng = np.random.default_rng(6)
+    m = model(rng, 4, 9)
+    docs = [rng.integers(0, 9, n).astype(np.uint16) for n in (3, 50, 1, 101)]
+    whole = M.log10_likelihood(m, docs)
+    monkeypatch.setattr(M, "_GROUP", 7)
+    assert np.allclose(M.log10_likelihood(m, docs), whole, rtol=1e-12)
+
+
+def test_whole_query_with_one_state_is_a_smoothed_unigram(spark, monkeypatch):
+    """With one state the posterior is 1, so the query's score has a closed form."""
+    monkeypatch.setattr(M, "STATES", 1)
+    monkeypatch.setattr(M, "CLASSES", 30)
+    monkeypatch.setattr(M.seeded, "__defaults__", (1, 2))
+    rows = [*corpus(60), (900, "a1 never seen", 1, "x", 1)]
+    got = {r["doc_id"]: r for r in M.score_texts(spark.createDataFrame(rows, DOCS)).collect()}
+    tok = lambda t: [*t.encode().lower().split(), M.END]
+    c = Counter(w for r in rows if zlib.crc32(str(r[0]).encode()) % 7 != 2 for w in tok(r[1]))
+    n, total = sum(c.values()), sum(c.values()) + len(c) + 1
+    counts = spark.createDataFrame(list(c.items()), "word binary, c long")
+    top = {bytes(r["word"]) for r in M.frequent_words(counts)}
+    base = {w: (c[w] + 1) / total for w in top}
+    rest, seen = 1 - sum(base.values()), n - sum(c[w] for w in top)
+    for i, t, *_ in rows:
+        want = 0.0
+        for w in tok(t):
+            if w in top:
+                want += math.log10((c[w] + M.SMOOTH * base[w]) / (n + M.SMOOTH))
+            else:
+                want += math.log10((seen + M.SMOOTH * rest) / (n + M.SMOOTH) * ((c[w] + 1) / total) / rest)
+        assert math.isclose(got[i]["score"], want, rel_tol=1e-5)
