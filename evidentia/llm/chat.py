@@ -7,9 +7,11 @@ completion, with a mask that trains the assistant's words only.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evidentia.llm.common import written
+
 TURNS = "array<struct<role:string,text:string>>"
 
 
@@ -65,17 +67,23 @@ def format_preferences(pairs: DataFrame) -> DataFrame:
 
 
 def paired_replies(turns: DataFrame) -> DataFrame:
-    """(pair_id, chosen, rejected) out of plain conversations.
+    """(pair_id, chosen, rejected) out of plain conversations, a pair for each that has an assistant turn.
 
-    Chosen: a conversation up to its last assistant turn. Rejected: the same
-    with that turn's text from its neighbour's last assistant turn; neighbours
-    are conv_ids 2k and 2k + 1. Conversations of which one or the other lacks
-    an assistant turn make no pair.
+    Chosen: a conversation up to its last assistant turn. Rejected: the same up
+    to one of its assistant turns, the (conv_id mod their number)-th, which is
+    replaced by the last reply of the next conversation by conv_id, the first
+    one following the last. So pairs part at any depth.
     """
     held = conversations(turns)
-    last = F.size("turns") - F.array_position(F.reverse(F.transform("turns", lambda t: t["role"] == "assistant")), F.lit(True)) + 1
-    ended = held.where(F.exists("turns", lambda t: t["role"] == "assistant")).select("conv_id", F.slice("turns", F.lit(1), last.cast("int")).alias("chosen"))
-    other = ended.select(F.col("conv_id").bitwiseXOR(F.lit(1).cast("long")).alias("pair_id"), F.element_at("chosen", -1)["text"].alias("reply"))
-    joined = ended.withColumnRenamed("conv_id", "pair_id").join(other, "pair_id")
-    swapped = F.concat(F.slice("chosen", F.lit(1), F.size("chosen") - 1), F.array(F.struct(F.lit("assistant").alias("role"), F.col("reply").alias("text"))))
-    return joined.select("pair_id", "chosen", swapped.alias("rejected"))
+    replies = F.filter(F.transform("turns", lambda t, i: F.when(t["role"] == "assistant", i + 1)), lambda i: i.isNotNull())
+    ended = held.select("conv_id", "turns", replies.alias("at")).where(F.size("at") > 0)
+    ended = ended.select("conv_id", F.slice("turns", F.lit(1), F.element_at("at", -1)).alias("chosen"), F.element_at("at", (F.pmod("conv_id", F.size("at")) + 1).cast("int")).alias("fork"))
+    # the next one in order: inside a range of ids by a window, across ranges by a row per range
+    ended = written(ended.repartitionByRange("conv_id").withColumn("part", F.spark_partition_id()))
+    reply = F.element_at("chosen", -1)["text"]
+    heads = ended.groupBy("part").agg(F.min_by(reply, "conv_id").alias("head"))
+    order = Window.orderBy("part")  # as many rows as partitions
+    heads = heads.select("part", F.coalesce(F.lead("head").over(order), F.first("head").over(order)).alias("head"))
+    own = ended.withColumn("next", F.lead(reply).over(Window.partitionBy("part").orderBy("conv_id"))).join(heads, "part")
+    turn = F.struct(F.lit("assistant").alias("role"), F.coalesce("next", "head").alias("text"))
+    return own.select(F.col("conv_id").alias("pair_id"), "chosen", F.concat(F.slice("chosen", F.lit(1), F.col("fork") - 1), F.array(turn)).alias("rejected"))

@@ -7,7 +7,7 @@ above the source's size first takes complete epochs, and the key order selects
 only the fraction that remains.
 
 Prefix sums run on two levels, so no source is ever sorted in one task: keys
-fall into RANGES ranges of the key's distribution, ranges are summed per
+fall into ranges of the key's distribution, ranges are summed per
 source, and rows are ordered only inside a range.
 """
 
@@ -22,7 +22,8 @@ from evidentia.llm.common import written
 PATTERN = (5, 2, 1)
 #: The mix's words against all words, and a source's largest share against its own.
 SHARE, CAP = 1.5, 2
-RANGES = 4096
+#: Key ranges of a source: at least so many, and one for so many rows of the table.
+RANGES, ROWS = 4096, 2_000
 WORDS = r"[^\x20\x09-\x0D]+"
 #: Weight of a document in its source's order by its quality label.
 GOOD, PLAIN, POOR = 2.0, 1.0, 0.5
@@ -32,9 +33,9 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORDS)), F.lit(0)).cast("long")
 
 
-def _uniform(doc_id: Column) -> Column:
-    """In (0, 1), from 52 bits of the id's MD5; the same in every run and engine."""
-    return (F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
+def _uniform(doc_id: Column, text: Column) -> Column:
+    """In (0, 1), from 52 bits of the MD5 of the id, or of the text where there is none; the same in every run and engine."""
+    return (F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.concat(F.lit("text:"), text), F.lit("")).cast("binary")), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
 
 
 def quality_weights(labels: DataFrame) -> DataFrame:
@@ -75,15 +76,16 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, also: tuple[Column, .
     are returned as they are.
     """
     kept = docs.select(*also).columns
-    rows = docs.select(*also, F.col("doc_id").cast("long").alias("doc_id"), F.col("source").isNull().alias("no_source"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("src"), n_words(F.col("text")).alias("size"))
+    rows = docs.select(*also, F.col("doc_id").cast("long").alias("doc_id"), F.col("source").isNull().alias("no_source"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("src"), n_words(F.col("text")).alias("size"), _uniform(F.col("doc_id"), F.col("text")).alias("draw"))
     if weights is None:
         rows = rows.withColumn("weight", F.lit(1.0))
     else:
         own = weights.where("weight > 0").groupBy(F.col("doc_id").alias("w_id")).agg(F.max("weight").cast("double").alias("weight"))
         rows = rows.join(own, F.col("doc_id") == F.col("w_id"), "left").drop("w_id")
-    key = -F.log(_uniform(F.col("doc_id"))) / F.coalesce("weight", F.lit(1.0))
-    rows = rows.withColumn("key", key).drop("weight")
-    rows = written(rows.withColumn("rng", F.floor((1 - F.exp(-F.col("key"))) * RANGES).cast("int")))
+    key = -F.log(F.col("draw")) / F.coalesce("weight", F.lit(1.0))
+    rows = rows.withColumn("key", key).drop("weight", "draw")
+    n_ranges = max(RANGES, docs.count() // ROWS)
+    rows = written(rows.withColumn("rng", F.floor((1 - F.exp(-F.col("key"))) * n_ranges).cast("int")))
 
     source = ["no_source", "src"]
     sums = written(rows.groupBy(*source, "rng").agg(F.sum("size").alias("words")))

@@ -71,11 +71,14 @@ LEDGER = "blob binary, rule_version string, n_assign long, n_access long, n_hex
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
-    """The ledger at path; a path that doesn't exist is an empty ledger."""
+    """The ledger at path, one row per blob and rule version; a path that doesn't exist is an empty ledger.
+
+    Scans that overlap may append a blob twice, with equal findings.
+    """
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
         return spark.createDataFrame([], LEDGER)
-    return spark.read.schema(LEDGER).parquet(path)
+    return spark.read.schema(LEDGER).parquet(path).dropDuplicates(["blob", "rule_version"])
 
 
 def scan_versions(versions: DataFrame, ledger: str, path_col: str = "doc_id", rule_version: str = RULE_VERSION) -> DataFrame:

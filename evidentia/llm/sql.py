@@ -51,12 +51,13 @@ n AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
              row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS i FROM t),
 l AS (SELECT conv_id, max(i) AS last FROM n WHERE role = 'assistant' GROUP BY conv_id),
 a AS (SELECT n.conv_id, n.i AS last, n.text FROM n JOIN l ON n.conv_id = l.conv_id AND n.i = l.last),
-p AS (SELECT a.conv_id AS pair_id, a.last, b.text AS reply FROM a JOIN a AS b ON b.conv_id = xor(a.conv_id, 1)),
-c AS (SELECT p.pair_id, n.i, n.role, n.text, CASE WHEN n.i = p.last THEN p.reply ELSE n.text END AS other
-      FROM p JOIN n ON n.conv_id = p.pair_id AND n.i <= p.last),
-k AS (SELECT pair_id, coalesce(min(i) FILTER (text <> other) - 1, max(i))::BIGINT AS n_common FROM c GROUP BY pair_id),
-s AS (SELECT c.pair_id, n_common, i, 'c' AS side, role, text FROM c JOIN k USING (pair_id)
-      UNION ALL SELECT c.pair_id, n_common, i, 'r', role, other FROM c JOIN k USING (pair_id)),
+o AS (SELECT conv_id, last, coalesce(lead(text) OVER (ORDER BY conv_id), first_value(text) OVER (ORDER BY conv_id)) AS reply FROM a),
+q AS (SELECT conv_id, i, row_number() OVER (PARTITION BY conv_id ORDER BY i) AS r, count(*) OVER (PARTITION BY conv_id) AS m FROM n WHERE role = 'assistant'),
+p AS (SELECT o.conv_id AS pair_id, o.last, q.i AS fork, o.reply FROM o JOIN q ON o.conv_id = q.conv_id AND r = ((o.conv_id % m) + m) % m + 1),
+k AS (SELECT pair_id, last, fork, reply, (fork - CASE WHEN n.text = reply THEN 0 ELSE 1 END)::BIGINT AS n_common FROM p JOIN n ON n.conv_id = pair_id AND n.i = fork),
+s AS (SELECT pair_id, n_common, i, 'c' AS side, role, text FROM k JOIN n ON n.conv_id = pair_id AND n.i <= last
+      UNION ALL SELECT pair_id, n_common, i, 'r', role, text FROM k JOIN n ON n.conv_id = pair_id AND n.i < fork
+      UNION ALL SELECT pair_id, n_common, fork, 'r', 'assistant', reply FROM k),
 x AS (SELECT *, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS line FROM s),
 y AS (SELECT *, sum(CASE WHEN i > n_common THEN length(line) ELSE 0 END) OVER (PARTITION BY pair_id, side ORDER BY i)::BIGINT AS upto FROM x),
 z AS (SELECT *, (upto - length(line) + length(role) + 5)::VARCHAR || ':' || (upto - 1)::VARCHAR AS span FROM y)

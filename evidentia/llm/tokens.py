@@ -16,6 +16,7 @@ block is read alone.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -144,10 +145,28 @@ _SPACES = re.compile(r"\s")
 _LINE = re.compile(r"(\S+)\n(\S+)")
 
 
+def cuts_at_spaces(path: str) -> bool:
+    """Whether the file's tokenizer starts a token at every space before another character, whatever stands around.
+
+    True for byte-level BPE without normalizer, prefix space, dropout or
+    affixes, split by the library's own expression, whose added tokens hold no
+    white space and take none from around them.
+    """
+    with open(path, encoding="utf-8") as f:
+        t = json.load(f)
+    pre, model = t.get("pre_tokenizer") or {}, t.get("model") or {}
+    plain = not t.get("normalizer") and not t.get("truncation") and not t.get("padding")
+    plain &= pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space", True)
+    plain &= model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges"))
+    added = all(not any(a.get(k) for k in ("single_word", "lstrip", "rstrip", "normalized")) and a["content"] and not _SPACES.search(a["content"]) for a in t.get("added_tokens", ()))
+    return bool(plain and added)
+
+
 class Encoder:
-    """A tokenizer file's ids, each distinct piece of text encoded once.
+    """A tokenizer file's ids, each distinct piece of text encoded once where that gives the same ids.
 
-    The byte-level pre-tokenizer always starts a new token at a space that
+    Where cuts_at_spaces() is false, whole texts are encoded. Otherwise: the
+    byte-level pre-tokenizer always starts a new token at a space that
     precedes a character other than white space, so the ids of a text are the
     ids of its pieces between such places. Pieces not seen before are encoded
     in one call, as a text of their own, and told apart by the tokens that
@@ -159,6 +178,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.whole = not cuts_at_spaces(path)
+        if self.whole:
+            return
         self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         self.opens = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, i in self.tokenizer.get_vocab().items():
@@ -222,6 +244,10 @@ class Encoder:
         Splitting and looking for repeated pieces is Arrow's work; only the
         distinct pieces of a batch are looked up.
         """
+        if self.whole:
+            last = np.array([end], np.uint32)
+            found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+            return np.concatenate([x for ids in found for x in (ids, last)] or [last[:0]]), np.array([len(ids) + 1 for ids in found], np.int64)
         loose = pc.match_substring_regex(texts, _LOOSE).to_numpy(zero_copy_only=False)
         pieces = pc.split_pattern(texts, " ")
         if loose.any():

@@ -71,3 +71,14 @@ def test_null_and_repeated_ids_are_mixed(spark):
     out = [(r["doc_id"], r["text"]) for r in M.mixed_documents(docs(spark, rows)).collect()]
     taken = sorted((r["doc_id"] or 0, r["size"], r["taken"]) for r in M.mix(docs(spark, rows)).collect())
     assert {t for _, t in out} == {t for _, t, _ in rows} and len(out) == sum(n // size for _, size, n in taken)
+
+
+def test_ranges_change_nothing_and_null_ids_spread(spark, monkeypatch):
+    rows = [(i, "w " * (i % 9), "ab"[i % 2]) for i in range(300)] + [(None, f"t{i} words here", "a") for i in range(200)]
+    key = lambda out: sorted((r["doc_id"] or 0, r["size"], r["taken"]) for r in out.collect())
+    want = key(M.mix(docs(spark, rows)))
+    monkeypatch.setattr(M, "RANGES", 1)
+    monkeypatch.setattr(M, "ROWS", 20)
+    assert key(M.mix(docs(spark, rows))) == want
+    drawn = docs(spark, rows).where("doc_id is null").select(M._uniform(M.F.col("doc_id"), M.F.col("text")).alias("u")).distinct().count()
+    assert drawn == 200

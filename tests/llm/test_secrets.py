@@ -61,5 +61,26 @@ def test_only_unseen_pairs_are_scanned(spark, ledger):
     assert S.read_ledger(spark, ledger).count() == 6
 
 
+def test_a_blob_appended_twice_counts_once(spark, ledger):
+    """Two scans that overlap both append; later scans give a row per version all the same."""
+    df = spark.createDataFrame([(i, f"password: abcdef{i % 2}", "x", "x", "x") for i in range(4)], DOCS)
+    S.scan_versions(df, ledger)
+    spark.read.schema(S.LEDGER).parquet(ledger).write.mode("append").parquet(ledger + "-copy")
+    spark.read.schema(S.LEDGER).parquet(ledger + "-copy").write.mode("append").parquet(ledger)
+    out = S.scan_versions(df, ledger).collect()
+    assert sorted(r["doc_id"] for r in out) == [0, 1, 2, 3] and S.read_ledger(spark, ledger).count() == 2
+
+
+def test_query_meets_a_filled_ledger(spark, monkeypatch):
+    from evidentia.llm import queries as Q
+
+    seen = []
+    whole = S.scan_versions
+    monkeypatch.setattr(Q.secrets, "scan_versions", lambda docs, ledger: (seen.append((docs.count(), S.read_ledger(spark, ledger).count())), whole(docs, ledger))[1])
+    out = Q.op8_secrets(spark, "/root/testdata/sf0.001").collect()
+    (some, none), (every, held) = seen
+    assert none == 0 < some < every == len(out) and 0 < held <= some
+
+
 def test_empty_table(spark, ledger):
     assert S.scan_versions(spark.createDataFrame([], DOCS), ledger).count() == 0

@@ -1,7 +1,10 @@
+import json
 import random
 import re
 import zlib
+from pathlib import Path
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -62,3 +65,45 @@ def test_query_against_brute_force(spark, tokenizer, monkeypatch):
 
 def test_empty_table(spark):
     assert T.token_digest(spark.createDataFrame([], "doc_id long, text string"), tokenizer_path()).count() == 0
+
+
+def changed(tmp_path, **parts):
+    t = json.loads(Path(tokenizer_path()).read_text()) | parts
+    path = tmp_path / "changed.json"
+    path.write_text(json.dumps(t))
+    return str(path)
+
+
+def test_other_tokenizers_encode_whole_texts(tmp_path):
+    texts = ["Hello  World, hello", "", " a b\nc ", "\u00e9\u00e8 x y", "xx <|endoftext|> yy"]
+    assert T.cuts_at_spaces(tokenizer_path()) and not T.cuts_at_spaces(tokenizer_path("word_bpe_49k.json"))
+    added = [{"id": 50256, "content": "<|end of text|>", "single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": True}]
+    prefix = {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}
+    paths = [tokenizer_path("word_bpe_49k.json"), changed(tmp_path, normalizer={"type": "Lowercase"}), changed(tmp_path, added_tokens=added), changed(tmp_path, pre_tokenizer=prefix), changed(tmp_path, pre_tokenizer=None)]
+    for path in paths:
+        t = Tokenizer.from_file(path)
+        encoder = T.Encoder(path)
+        assert encoder.whole
+        ids, counts = encoder.encode(pa.array(texts), 2)
+        want = [[*t.encode(x, add_special_tokens=False).ids, 2] for x in texts]
+        assert ids.tolist() == [i for w in want for i in w] and counts.tolist() == list(map(len, want))
+
+
+def test_whole_texts_through_the_query(spark):
+    path = tokenizer_path("word_bpe_49k.json")
+    t = Tokenizer.from_file(path)
+    rows = [(2, "Some words"), (1, None), (3, "more WORDS " * 500)]
+    got = sorted(map(tuple, T.token_digest(spark.createDataFrame(rows, "doc_id long, text string"), path).collect()))
+    at = 0
+    for (d, text), g in zip(sorted(rows, key=lambda r: r[0]), got):
+        ids = [*t.encode(text or "", add_special_tokens=False).ids, 2]
+        assert g == (d, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)
+
+
+def test_whole_table_is_encoded_as_whole_texts(tokenizer):
+    rows = duckdb.sql("select text from '/root/testdata/sf0.01/documents.parquet'").fetchall()
+    texts = [r[0] or "" for r in rows]
+    ids, counts = T.Encoder(tokenizer_path()).encode(pa.array(texts), 2)
+    want = [[*e.ids, 2] for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert counts.tolist() == list(map(len, want)) and ids.tolist() == [i for w in want for i in w]
