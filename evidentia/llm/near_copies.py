@@ -1,11 +1,12 @@
-"""Near copies by Jaccard similarity, for the pipeline's near-dedup stage.
+"""SimHash near-dedup as the pipeline's stage needs it: Jaccard similarity over 5-word shingles.
 
 Texts whose sets of 5-word shingles have a Jaccard similarity of at least
-SIMILARITY link. Candidates share a band of ROWS min-hashes out of BANDS; every
-candidate is verified on its shingles, so no link is wrong, and a pair of
-similarity 0.8 shares no band once in 300,000 times. A 64-bit SimHash does
-not serve here: such pairs differ in up to 11 bits, and a pigeonring for 11
-bits has segments of 5 bits, which all texts share.
+SIMILARITY link. Candidates come from two sides. SimHash fingerprints of those
+shingles within TAU bits, by the pigeonring filter, give the copies and nearly
+all edited ones. Pairs down to 0.8 differ in up to 11 bits, too far for a ring:
+its segments would have 5 bits, which all texts share. These share a band of
+ROWS min-hashes out of BANDS, but for one pair at 0.8 in 300,000. Every
+candidate is verified on its shingles, so no link is wrong.
 
 Members of a band are first compared to the band's smallest member only; pairs
 are formed just between the components that remain apart after that, so that
@@ -24,7 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidentia.llm.common import ship, words_of, written
-from evidentia.llm.components import components
+from evidentia.llm.components import components, hot_join
+from evidentia.llm.simhash import links, majority
 
 SHINGLE, SIMILARITY, SEED = 5, 0.8, 42
 BANDS, ROWS = 24, 4
@@ -46,11 +48,14 @@ def similar(x: set[bytes], y: set[bytes]) -> bool:
     return both >= SIMILARITY * (len(x) + len(y) - both)
 
 
-def bands(grams: set[bytes]) -> list[int]:
-    """A signed 64-bit key of every band; none for no shingles."""
-    if not grams:
+def hashes(grams: set[bytes]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh64_intdigest(g, SEED) for g in grams), np.uint64, len(grams))
+
+
+def bands(h: np.ndarray) -> list[int]:
+    """A signed 64-bit key of every band of hashed shingles; none for no shingles."""
+    if not len(h):
         return []
-    h = np.fromiter((xxhash.xxh64_intdigest(g, SEED) for g in grams), np.uint64, len(grams))
     low = np.full(BANDS * ROWS, (1 << 64) - 1, np.uint64)
     for at in range(0, len(h), 1 << 10):
         low = np.minimum(low, (h[at : at + (1 << 10), None] * _MUL + _ADD).min(axis=0))
@@ -60,7 +65,9 @@ def bands(grams: set[bytes]) -> list[int]:
 def _digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         node = [xxhash.xxh64_intdigest(b" ".join(words_of(t)), SEED) - (1 << 63) for t in b["text"]]
-        yield pd.DataFrame({"row": b["row"], "doc_id": b["doc_id"].astype("Int64"), "node": np.array(node, np.int64), "keys": [bands(shingles(t)) for t in b["text"]]})
+        grams = [hashes(shingles(t)) for t in b["text"]]
+        prints = np.array([majority(h) for h in grams], np.uint64).view(np.int64)
+        yield pd.DataFrame({"row": b["row"], "doc_id": b["doc_id"].astype("Int64"), "node": np.array(node, np.int64), "fp": prints, "keys": [bands(h) for h in grams]})
         del b
         pa.default_memory_pool().release_unused()
 
@@ -94,17 +101,24 @@ def drop_similar(docs: DataFrame) -> DataFrame:
     ship(docs.sparkSession)
     # xxhash64 skips nulls, so these are told apart by flags
     row = F.xxhash64(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text").isNull(), F.col("text"))
-    rows = written(docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(_digests, "row long, doc_id long, node long, keys array<long>"), texts=True)
-    # every node's first row: only its text is compared
-    best = written(rows.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("first")))
-
-    keys = rows.select("node", F.explode("keys").alias("key"))
-    hubs = keys.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last").select("key", "hub")
-    shared = written(keys.join(hubs.hint("shuffle_hash"), "key"))
-    shared = written(shared.distinct())
-    chosen = written(shared.select("node").distinct().join(best, "node").select("node", F.col("first.row").alias("near_copy_row__")))
+    rows = written(docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(_digests, "row long, doc_id long, node long, fp long, keys array<long>"), texts=True)
+    # a text is a node; its first row speaks for it
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("first")
+    best = written(rows.groupBy("node").agg(first, F.first("fp").alias("fp"), F.first("keys").alias("keys")))
+
+    keys = best.select("node", F.explode("keys").alias("key"))
+    hubs = keys.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1")
+    shared = written(hot_join(keys, hubs, ["key"], F.col("n"), BANDS * best.count()).select("key", "node", "hub"))
+    # fingerprints within TAU bits: the first text of each speaks for it, and for texts with an equal one
+    prints = best.where(F.size("keys") > 0).select("fp", "node")
+    speakers = prints.groupBy("fp").agg(F.min("node").alias("hub"), F.count("*").alias("k"))
+    alike = prints.join(speakers.where("k > 1"), "fp").select("hub", "node")
+    ring = links(speakers.select(F.col("hub").alias("node"), "fp")).select(F.col("a").alias("hub"), F.col("b").alias("node"))
+    tried = shared.select("hub", "node").unionByName(alike).unionByName(ring).where("node <> hub")
+    tried = written(tried.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct())
+    chosen = tried.select(F.explode(F.array("a", "b")).alias("node")).unionByName(shared.select("node")).distinct()
+    chosen = written(chosen.join(best, "node").select("node", F.col("first.row").alias("near_copy_row__")))
     texts = written(docs.select(row.alias("near_copy_row__"), "text").join(chosen.hint("shuffle_hash"), "near_copy_row__").groupBy("node").agg(F.min("text").alias("text")))
-    tried = written(shared.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
     found = _verified(tried, texts)
     linked = components(found)
 

@@ -38,7 +38,11 @@ def fingerprint(text: str | None) -> int:
         return 0
     grams = [b" ".join(w)] if len(w) < SHINGLE else map(b" ".join, zip(w, w[1:], w[2:]))
     digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(g, SEED) for g in grams), np.uint64)
+    return majority(np.fromiter((digest(g, SEED) for g in grams), np.uint64))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half the hashes."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(h), 1 << 16):  # whole texts, in bounded memory
         ones += np.unpackbits(h[at : at + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
