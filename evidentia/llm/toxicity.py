@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from evidentia.llm.common import bounded_sample, fold, ship, small_batches, written
 
 #: Bounds on what is learnt from: labelled rows; examples of the index, half of them toxic, and their characters; rows that fit the curve.
-SAMPLE, EXAMPLES, CHARS, CALIBRATION = 16_000, 4_000, 16_000_000, 4_000
+SAMPLE, EXAMPLES, CHARS, CALIBRATION = 16_000, 2_000, 16_000_000, 3_000
 #: One labelled row of so many stays out of the index and fits the curve.
 CURVE = 5
 #: Least likelihood-ratio statistic and least toxic examples of a marked term.
@@ -52,7 +52,7 @@ THRESHOLD = 0.3
 EVIDENCE = 3
 _WORD = re.compile(r"\w+")
 _CHUNK = 8_192
-_MEMO = 100_000
+_MEMO = 200_000
 
 
 def word_counts(text: str | None) -> Counter:
@@ -131,28 +131,28 @@ class Vocabulary:
     def of(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Ascending numbers and counts of the terms of a whole text; words outside the vocabulary have none."""
         counts: dict[int, int] = {}
-        new: list[tuple[str, int]] = []
-        known = self.memo.get
-        for w, n in word_counts(text).items():
-            t = known(w)
-            if t is None:
-                new.append((w, n))
-            else:
-                for i in t:
-                    counts[i] = counts.get(i, 0) + n
-        if new and len(self.keys):
-            keys = np.array([term_key(w) for w, _ in new], np.int64)
-            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-            at = np.where(self.keys[at] == keys, at, -1)
-            for (w, n), i in zip(new, at.tolist()):
-                t = [i] if i >= 0 else []
-                t += [self._number(term_key(b)) for k in BEGINNINGS if len(w) > k and (b := "^" + w[:k]) in self.marked]
-                if t and len(self.memo) < _MEMO and len(w) <= 64:
-                    self.memo[w] = tuple(t)
-                for i in t:
-                    counts[i] = counts.get(i, 0) + n
-        terms = np.array(sorted(counts), np.int64)
-        return terms, np.array([counts[i] for i in terms.tolist()], np.float64)
+        words = word_counts(text)
+        memo = self.memo
+        new = [w for w in words if w not in memo]
+        found = dict(zip(new, self._look_up(new))) if new else {}
+        for w, n in words.items():
+            for i in memo[w] if w in memo else found[w]:
+                counts[i] = counts.get(i, 0) + n
+        if len(memo) < _MEMO:
+            memo.update((w, t) for w, t in found.items() if len(w) <= 64)
+        terms = np.fromiter(counts.keys(), np.int64, len(counts))
+        by = np.argsort(terms)
+        return terms[by], np.fromiter(counts.values(), np.float64, len(counts))[by]
+
+    def _look_up(self, words: list[str]) -> list[tuple[int, ...]]:
+        """Numbers of the terms that each word stands for: itself and its marked beginnings."""
+        if not len(self.keys):
+            return [()] * len(words)
+        keys = np.fromiter(map(term_key, words), np.int64, len(words))
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        own = np.where(self.keys[at] == keys, at, -1).tolist()
+        begun = [tuple(self._number(term_key(b)) for k in BEGINNINGS if len(w) > k and (b := "^" + w[:k]) in self.marked) for w in words]
+        return [(i, *t) if i >= 0 else t for i, t in zip(own, begun)]
 
     def factors(self) -> np.ndarray:
         out = np.full(len(self.keys), REST)
@@ -198,7 +198,8 @@ class Index:
     def build(cls, examples: list[tuple[int, int, np.ndarray, np.ndarray]], idf: np.ndarray, empty: float = 0.0) -> Index:
         """examples: (doc_id, toxic, terms, counts); idf: weights of the terms. Examples without terms are none."""
         rows = [(i, y, np.asarray(t, np.int64), weigh(np.asarray(t, np.int64), np.asarray(c, np.float64), idf)) for i, y, t, c in examples if len(t)]
-        rows.sort(key=lambda r: (-r[1], r[2][np.argsort(-r[3], kind="stable")[:4]].tolist(), r[0]))
+        df = np.bincount(np.concatenate([r[2] for r in rows]), minlength=len(idf)) if rows else np.zeros(len(idf), np.int64)
+        rows.sort(key=lambda r: (-r[1], r[2][np.argsort(-df[r[2]], kind="stable")[:4]].tolist(), r[0]))  # by the commonest terms: one language, one range of blocks
         term = np.concatenate([r[2] for r in rows]) if rows else np.zeros(0, np.int64)
         example = np.repeat(np.arange(len(rows)), [len(r[2]) for r in rows]) if rows else np.zeros(0, np.int64)
         weight = np.concatenate([r[3] for r in rows]) if rows else np.zeros(0)
@@ -210,9 +211,9 @@ class Index:
         return cls(
             [r[0] for r in rows],
             toxic,
-            example.astype(np.int32),
+            example,
             weight,
-            (example[first] // BLOCK).astype(np.int32),
+            example[first] // BLOCK,
             np.maximum.reduceat(weight, first) if len(first) else np.zeros(0),
             np.append(first, len(cell)),
             np.searchsorted(term[first], np.arange(len(idf) + 1)),
@@ -314,20 +315,30 @@ def choose_examples(rows: list[tuple[int, int, int]]) -> tuple[list[int], list[i
     return chosen, curve
 
 
-def _counted(docs: DataFrame, words: Vocabulary) -> tuple[int, np.ndarray]:
-    """Rows of docs, and in how many of them each term occurs; what is collected has the size of the vocabulary."""
+def vectors(docs: DataFrame, words: Vocabulary) -> DataFrame:
+    """(doc_id, terms, counts): numbers and counts of the terms of each whole text."""
     sent = docs.sparkSession.sparkContext.broadcast(words)
-    size = len(words.keys)
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [sent.value.of(t.as_py()) for t in b.column("text")]
+            ends = pa.array(np.concatenate([[0], np.cumsum([len(t) for t, _ in found])]).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x).astype(np.int32) if found else [], pa.int32())) for x in ([t for t, _ in found], [c for _, c in found])]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *lists], ["doc_id", "terms", "counts"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, terms array<int>, counts array<int>")
+
+
+def _counted(rows: DataFrame, size: int) -> tuple[int, np.ndarray]:
+    """Rows of vectors, and in how many of them each of size terms occurs; what is collected has the size of the vocabulary."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(size + 1, np.int64)
         for b in batches:
             n[size] += len(b)
-            found = [sent.value.of(t)[0] for t in b["text"]]
-            if found:
-                n[:size] += np.bincount(np.concatenate(found).astype(np.int64), minlength=size)
+            n[:size] += np.bincount(b.column("terms").flatten().to_numpy(zero_copy_only=False), minlength=size)
         at = range(0, size + 1, _CHUNK)
-        yield pd.DataFrame({"chunk": list(at), "n": pd.Series([n[i : i + _CHUNK].astype(np.uint32).tobytes() for i in at], dtype=object)})
+        yield pa.RecordBatch.from_arrays([pa.array(list(at), pa.int64()), pa.array([n[i : i + _CHUNK].astype(np.uint32).tobytes() for i in at], pa.binary())], ["chunk", "n"])
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[int, np.ndarray] = {}
@@ -337,17 +348,20 @@ def _counted(docs: DataFrame, words: Vocabulary) -> tuple[int, np.ndarray]:
                 sums[c] = sums[c] + x if c in sums else x
         yield pd.DataFrame({"chunk": list(sums), "n": pd.Series([x.tobytes() for x in sums.values()], dtype=object)}).astype({"chunk": "int64"})
 
-    parts = docs.select("text").mapInPandas(count, "chunk long, n binary").repartition("chunk").mapInPandas(add, "chunk long, n binary")
+    parts = rows.select("terms").mapInArrow(count, "chunk long, n binary").repartition("chunk").mapInPandas(add, "chunk long, n binary")
     out = np.zeros(size + 1, np.int64)
-    with small_batches(docs.sparkSession):
+    with small_batches(rows.sparkSession):
         for r in parts.collect():
             x = np.frombuffer(r["n"], np.int64)
             out[r["chunk"] : r["chunk"] + len(x)] = x
     return int(out[size]), out[:size]
 
 
-def fitted(docs: DataFrame, labels: DataFrame) -> tuple[Vocabulary, Index]:
-    """Vocabulary and index learnt from the labelled rows that aren't held out."""
+def fitted(docs: DataFrame, labels: DataFrame, keep: bool = False) -> tuple[Vocabulary, Index, DataFrame]:
+    """Vocabulary and index learnt from the labelled rows that aren't held out, and the vectors of docs.
+
+    keep: the vectors are a written table; else they are computed where they are used.
+    """
     spark = docs.sparkSession
     train = labels.where("doc_id is not null and toxic is not null").where(fold(F.col("doc_id"), 4) != 2).groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
     sample = written(bounded_sample(train, "id", SAMPLE))
@@ -368,7 +382,11 @@ def fitted(docs: DataFrame, labels: DataFrame) -> tuple[Vocabulary, Index]:
         own = texts.where("role = 0").select("id", "toxic", "text").orderBy("id").collect()  # at most EXAMPLES rows and CHARS characters
     keys = {term_key(t) for t in marked}.union(*(map(term_key, word_counts(r["text"])) for r in own))
     words = Vocabulary(np.array(sorted(keys), np.int64), frozenset(marked))
-    n, df = _counted(docs, words)
+    every = vectors(docs, words)
+    if keep:
+        every = written(every, texts=True)
+    with small_batches(spark):
+        n, df = _counted(every, len(words.keys))
     idf = (np.log((1 + n) / (1 + df)) + 1) * words.factors()
     examples = [(r["id"], r["toxic"], *words.of(r["text"])) for r in own]
     index = Index.build(examples, idf, empty)
@@ -383,7 +401,7 @@ def fitted(docs: DataFrame, labels: DataFrame) -> tuple[Vocabulary, Index]:
     with small_batches(spark):
         got = texts.where("role = 1").select("text", "toxic").mapInPandas(votes, "toxic int, vote double").collect()  # at most CALIBRATION rows
     index.curve = fit_curve(np.array([r["vote"] for r in got]), np.array([r["toxic"] for r in got]), (1.0, logit(prior) - logit(index.share)))
-    return words, index
+    return words, index, every
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -400,15 +418,18 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     ship(spark)
-    words, index = (spark.sparkContext.broadcast(x) for x in fitted(docs, labels))
+    _, fit, rows = fitted(docs, labels, keep=True)
+    index = spark.sparkContext.broadcast(fit)
+    kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [index.value.score(*words.value.of(t)) for t in b["text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "score": [s for s, _ in out], "evidence": [e for _, e in out]})
+            terms, counts = (b.column(c).flatten().to_numpy(zero_copy_only=False).astype(np.int64) for c in ("terms", "counts"))
+            ends = np.cumsum(b.column("terms").value_lengths().to_numpy(zero_copy_only=False)).tolist()
+            out = [index.value.score(terms[x:y], counts[x:y]) for x, y in zip([0, *ends], ends)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([s for s, _ in out], pa.float64()), pa.array([e for _, e in out], kind)], ["doc_id", "score", "evidence"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    scored = written(texts.mapInPandas(run, "doc_id long, score double, evidence array<struct<doc_id:long,cosine:double,toxic:int>>"), texts=True)
+    scored = rows.mapInArrow(run, "doc_id long, score double, evidence array<struct<doc_id:long,cosine:double,toxic:int>>")
     return scored.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "evidence")
 
 
@@ -416,7 +437,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without the rows whose text is predicted toxic, null and repeated doc_ids alike; all columns stay."""
     spark = docs.sparkSession
     ship(spark)
-    words, index = (spark.sparkContext.broadcast(x) for x in fitted(docs, labels))
+    words, index = (spark.sparkContext.broadcast(x) for x in fitted(docs, labels)[:2])
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -73,7 +73,7 @@ def test_whole_query_against_dense_vectors(spark):
     """Scores of the query from plain dictionaries: every word is a term, df over all documents, cosine to every example."""
     rows = duckdb.sql("select doc_id, text from '/root/testdata/sf0.01/documents.parquet'").fetchall()
     d, y = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
-    words, ix = X.fitted(d, y)
+    words, ix, _ = X.fitted(d, y)
     texts = dict(rows)
     marked = words.marked
     vectors, df = {}, Counter()
