@@ -24,10 +24,12 @@ def hot_join(big: DataFrame, small: DataFrame, on: list[str], n: Column, total:
 
     small has one row per key; n is the key's number of rows in big, total
     their sum. Keys above max(HOT, total / KEYS) go out by broadcast. how:
-    inner or left.
+    inner or left. small is written first, big is read up to three times.
     """
-    least = max(HOT, total // KEYS)
+    small, least = written(small), max(HOT, total // KEYS)
     hot = small.where(n > least)
+    if hot.isEmpty():
+        return big.join(small, on, how)
     rest = big.join(F.broadcast(hot.select(*on)), on, "left_anti").join(small.where(n <= least), on, how)
     return big.join(F.broadcast(hot), on).unionByName(rest)
 
@@ -66,5 +68,5 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         if mark == seen or not mark[0]:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
         seen = mark
-        now = written(_small_star(_large_star(now, mark[0]), mark[0]))
+        now = written(_small_star(written(_large_star(now, mark[0])), mark[0]))
     raise RuntimeError(f"components: no fixed point within {max_rounds} rounds")

@@ -225,5 +225,5 @@ def near_vectors(embeddings: DataFrame) -> DataFrame:
     named = written(classes.select("key", "cid", "rep", "copies").join(links, "cid", "left").join(linked, "cid", "left").withColumn("component", F.coalesce("component", "cid")))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"), F.count("*").alias("k"))
     named = hot_join(named, least, ["component"], F.col("k"), named.count()).select("key", "copies", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    out = hot_join(rows.select("vec_id", "key"), written(named), ["key"], F.col("copies"), rows.count(), "left")
+    out = hot_join(rows.select("vec_id", "key"), named, ["key"], F.col("copies"), rows.count(), "left")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

@@ -127,7 +127,9 @@ def drop_similar(docs: DataFrame) -> DataFrame:
     apart = written(apart.join(mixed, "key"))
     across = apart.alias("p").join(apart.alias("q"), (F.col("p.key") == F.col("q.key")) & (F.col("p.c") < F.col("q.c")))
     across = across.select(F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b")).distinct()
-    linked = components(found.unionByName(_verified(written(across.join(tried, ["a", "b"], "left_anti")), texts)))
+    more = _verified(written(across.join(tried, ["a", "b"], "left_anti")), texts)
+    if not more.isEmpty():
+        linked = components(linked.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
 
     named = best.join(linked, "node", "left").groupBy(F.coalesce("component", "node").alias("c"))
     kept = written(named.agg(F.min("first").alias("first")).select(F.col("first.row").alias("near_copy_row__")))

@@ -126,7 +126,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     named = written(classes.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp")))
     smallest = named.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("k"))
     named = hot_join(named.select("fp", "n", "component"), smallest, ["component"], F.col("k"), size).select("fp", "n", "component_id")
-    return hot_join(prints, written(named), ["fp"], F.col("n"), rows or 0).select("doc_id", "fp", "component_id")
+    return hot_join(prints, named, ["fp"], F.col("n"), rows or 0).select("doc_id", "fp", "component_id")
 
 
 def hexed(fp):
