@@ -2,25 +2,31 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
 import zipfile
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager, nullcontext
 from pathlib import Path
+from typing import TypeVar
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _ROOT = Path(__file__).resolve().parents[2]
+_libc = ctypes.CDLL(None)
+T = TypeVar("T")
 
 
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, the place all executors see.
 
-    The setting is the cluster's; only where it is unset (tests, local mode) a
+    The setting is the cluster's; only where it is unset in local mode (tests) a
     folder of this machine is chosen and set.
     """
     return f"{_checkpoint_dir(spark).rstrip('/')}/evidentia-{uuid.uuid4().hex}"
@@ -30,21 +36,42 @@ def _checkpoint_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = os.path.join(tempfile.gettempdir(), "evidentia-checkpoints")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
 @contextmanager
-def small_batches(spark: SparkSession, rows: int = 2_000) -> Iterator[None]:
-    """Actions inside hand Python at most rows rows at a time: for texts, whose size has no bound by number."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(min(int(before), rows) if int(before) > 0 else rows))
+def small_batches(spark: SparkSession, rows: int = 2_000, size: int = 4 << 20) -> Iterator[None]:
+    """Actions inside hand Python at most rows rows and about size bytes at a time: for texts, whose size has no bound by number."""
+    keys = {"spark.sql.execution.arrow.maxRecordsPerBatch": rows, "spark.sql.execution.arrow.maxBytesPerBatch": size}
+    before = {k: spark.conf.get(k, None) for k in keys}
+    for k, v in keys.items():
+        old = int(before[k]) if before[k] and before[k].isdigit() else 0
+        spark.conf.set(k, str(min(old, v) if old > 0 else v))
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+_caches: dict[object, object] = {}
+
+
+def cached(owner: object, make: Callable[[], T]) -> T:
+    """What an operator's tasks keep in their Python worker, one operator at a time: workers live on from stage to stage."""
+    if owner not in _caches:
+        if _caches:
+            _caches.clear()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if hasattr(_libc, "malloc_trim"):
+                _libc.malloc_trim(0)
+        _caches[owner] = make()
+    return _caches[owner]  # type: ignore[return-value]
 
 
 def written(df: DataFrame, texts: bool = False) -> DataFrame:

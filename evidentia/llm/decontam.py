@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import ship, small_batches, written
+from evidentia.llm.common import cached, ship, small_batches, written
 
 #: Items of a block, and characters of its items; an item above that is a block of its own.
 BLOCK, BLOCK_CHARS = 200_000, 16_000_000
@@ -61,11 +61,8 @@ class _Codes(dict):
         return h
 
 
-_codes = _Codes()
-
-
 def coded(w: list[str]) -> np.ndarray:
-    return np.fromiter(map(_codes.__getitem__, w), np.uint64, len(w))
+    return np.fromiter(map(cached("decontam", _Codes).__getitem__, w), np.uint64, len(w))
 
 
 def pairs(code: np.ndarray) -> np.ndarray:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import ship, words_of, written
+from evidentia.llm.common import cached, ship, words_of, written
 from evidentia.llm.components import components, hot_join
 from evidentia.llm.simhash import links, majority
 
@@ -63,6 +63,7 @@ def bands(h: np.ndarray) -> list[int]:
 
 
 def _digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    cached("near_copies", dict)  # nothing is kept, nor what other operators have left
     for b in batches:
         node = [xxhash.xxh64_intdigest(b" ".join(words_of(t)), SEED) - (1 << 63) for t in b["text"]]
         grams = [hashes(shingles(t)) for t in b["text"]]

@@ -23,7 +23,6 @@ import struct
 import zlib
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import islice
 
 import numpy as np
@@ -33,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import shared_dir, ship, small_batches
+from evidentia.llm.common import cached, shared_dir, ship, small_batches
 
 BLOCK = 1024
 PERCENTILE = 90
@@ -41,7 +40,7 @@ PERCENTILE = 90
 SEGMENT = 1 << 20
 END = 2
 #: Pieces of text whose ids a worker remembers, and the longest such piece.
-REMEMBERED, PIECE = 600_000, 64
+REMEMBERED, PIECE = 350_000, 64
 MAGIC = b"PFR1"
 HEAD = struct.Struct("<4sIIQQI")
 
@@ -173,12 +172,13 @@ class Encoder:
     begin with a space.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, remembered: int = REMEMBERED) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.whole = not cuts_at_spaces(path)
+        self.remembered = remembered
         if self.whole:
             return
         self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
@@ -231,9 +231,9 @@ class Encoder:
             rest += heads.difference(rest)
             new = list({b for _, _, b in lines}.difference(self.bare))
             fresh = self._joined(new, "\n")
-            self.bare.update(islice(((k, v) for k, v in fresh.items() if len(k) <= PIECE), REMEMBERED // 8 - len(self.bare)))
+            self.bare.update(islice(((k, v) for k, v in fresh.items() if len(k) <= PIECE), self.remembered // 8 - len(self.bare)))
         out.update(self._joined(rest, " "))
-        self.inner.update(islice(((k, v) for k, v in out.items() if len(k) <= PIECE), REMEMBERED - len(self.inner)))
+        self.inner.update(islice(((k, v) for k, v in out.items() if len(k) <= PIECE), self.remembered - len(self.inner)))
         for w, h, b in lines:
             out[w] = (known(h) or out[h]) + self.feed + (self.bare.get(b) or fresh[b])
         return out
@@ -280,13 +280,12 @@ class Encoder:
         return np.frombuffer(b"".join(ids), np.uint32)[take], counts
 
 
-@lru_cache(maxsize=2)
-def encoder_for(path: str) -> Encoder:
+def encoder_for(path: str, remembered: int = REMEMBERED) -> Encoder:
     """This process's encoder; a worker keeps it from task to task."""
-    return Encoder(path)
+    return cached(("tokens", path, remembered), lambda: Encoder(path, remembered))
 
 
-def _slices(batch: pa.RecordBatch, most: int = 12 << 20) -> Iterator[tuple[list, pa.Array]]:
+def _slices(batch: pa.RecordBatch, most: int = 6 << 20) -> Iterator[tuple[list, pa.Array]]:
     """Ids and texts of a batch, in parts of about most bytes of text; nulls are empty."""
     texts = pc.fill_null(batch.column("text"), "")
     part = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64) + 1) // most
@@ -296,18 +295,19 @@ def _slices(batch: pa.RecordBatch, most: int = 12 << 20) -> Iterator[tuple[list,
             yield batch.column("doc_id").slice(a, b - a).to_pylist(), texts.slice(a, b - a)
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, path: str, end: int = END) -> None:
+def write_tokens(docs: DataFrame, tokenizer: str, path: str, end: int = END, remembered: int = REMEMBERED) -> None:
     """Write the ids of all texts, each closed by the id end, in ascending doc_id order.
 
     Null texts are empty, so the end id only. Rows without doc_id come first;
     rows of one doc_id follow each other by text. Other columns are ignored;
     an empty table gives a file without segments. tokenizer: a file of the
-    tokenizers library that every executor has.
+    tokenizers library that every executor has. remembered: pieces of text a
+    worker keeps, about 0.2 kB each; fewer cost time, not results.
     """
     ship(docs.sparkSession)
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_for(tokenizer)
+        encoder = encoder_for(tokenizer, remembered)
         number, seq = TaskContext.get().partitionId(), 0
         ids: list = []
         lengths: list[int] = []
@@ -366,8 +366,8 @@ def read_digest(spark: SparkSession, path: str) -> DataFrame:
     return docs.join(starts, ["shard", "seq"]).select("doc_id", (F.col("from") + F.col("inner")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def token_digest(docs: DataFrame, tokenizer: str, path: str | None = None) -> DataFrame:
+def token_digest(docs: DataFrame, tokenizer: str, path: str | None = None, remembered: int = REMEMBERED) -> DataFrame:
     """Write docs as token files (in the shared folder unless path is given) and read them back."""
     path = path or shared_dir(docs.sparkSession)
-    write_tokens(docs, tokenizer, path)
+    write_tokens(docs, tokenizer, path, remembered=remembered)
     return read_digest(docs.sparkSession, path)

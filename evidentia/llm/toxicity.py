@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -29,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import bounded_sample, fold, ship, small_batches, written
+from evidentia.llm.common import bounded_sample, cached, fold, ship, small_batches, written
 
 #: Bounds on what is learnt from: labelled rows; examples of the index, half of them toxic, and their characters; rows that fit the curve.
 SAMPLE, EXAMPLES, CHARS, CALIBRATION = 16_000, 2_000, 16_000_000, 3_000
@@ -115,14 +116,7 @@ class Vocabulary:
 
     keys: np.ndarray
     marked: frozenset[str]
-    memo: dict[str, tuple[int, ...]] = field(default_factory=dict, repr=False)
-
-    def __getstate__(self) -> tuple:
-        return self.keys, self.marked
-
-    def __setstate__(self, state: tuple) -> None:
-        self.keys, self.marked = state
-        self.memo = {}
+    name: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def _number(self, key: int) -> int:
         i = int(np.searchsorted(self.keys, key))
@@ -132,7 +126,7 @@ class Vocabulary:
         """Ascending numbers and counts of the terms of a whole text; words outside the vocabulary have none."""
         counts: dict[int, int] = {}
         words = word_counts(text)
-        memo = self.memo
+        memo: dict[str, tuple[int, ...]] = cached(("toxicity", self.name), dict)
         new = [w for w in words if w not in memo]
         found = dict(zip(new, self._look_up(new))) if new else {}
         for w, n in words.items():
@@ -329,14 +323,21 @@ def vectors(docs: DataFrame, words: Vocabulary) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, terms array<int>, counts array<int>")
 
 
-def _counted(rows: DataFrame, size: int) -> tuple[int, np.ndarray]:
-    """Rows of vectors, and in how many of them each of size terms occurs; what is collected has the size of the vocabulary."""
+def _counted(rows: DataFrame, words: Vocabulary, column: str) -> tuple[int, np.ndarray]:
+    """Rows of a table of vectors (column terms) or of texts (column text), and in how many of them each term occurs; what is collected has the size of the vocabulary."""
+    size = len(words.keys)
+    sent = rows.sparkSession.sparkContext.broadcast(words)
+
+    def terms(b: pa.RecordBatch) -> np.ndarray:
+        if column == "terms":
+            return b.column(0).flatten().to_numpy(zero_copy_only=False)
+        return np.concatenate([sent.value.of(t.as_py())[0] for t in b.column(0)] or [np.zeros(0, np.int64)])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(size + 1, np.int64)
         for b in batches:
             n[size] += len(b)
-            n[:size] += np.bincount(b.column("terms").flatten().to_numpy(zero_copy_only=False), minlength=size)
+            n[:size] += np.bincount(terms(b), minlength=size)
         at = range(0, size + 1, _CHUNK)
         yield pa.RecordBatch.from_arrays([pa.array(list(at), pa.int64()), pa.array([n[i : i + _CHUNK].astype(np.uint32).tobytes() for i in at], pa.binary())], ["chunk", "n"])
 
@@ -348,7 +349,7 @@ def _counted(rows: DataFrame, size: int) -> tuple[int, np.ndarray]:
                 sums[c] = sums[c] + x if c in sums else x
         yield pd.DataFrame({"chunk": list(sums), "n": pd.Series([x.tobytes() for x in sums.values()], dtype=object)}).astype({"chunk": "int64"})
 
-    parts = rows.select("terms").mapInArrow(count, "chunk long, n binary").repartition("chunk").mapInPandas(add, "chunk long, n binary")
+    parts = rows.select(column).mapInArrow(count, "chunk long, n binary").repartition("chunk").mapInPandas(add, "chunk long, n binary")
     out = np.zeros(size + 1, np.int64)
     with small_batches(rows.sparkSession):
         for r in parts.collect():
@@ -358,10 +359,7 @@ def _counted(rows: DataFrame, size: int) -> tuple[int, np.ndarray]:
 
 
 def fitted(docs: DataFrame, labels: DataFrame, keep: bool = False) -> tuple[Vocabulary, Index, DataFrame]:
-    """Vocabulary and index learnt from the labelled rows that aren't held out, and the vectors of docs.
-
-    keep: the vectors are a written table; else they are computed where they are used.
-    """
+    """Vocabulary and index learnt from the labelled rows that aren't held out; with keep, a written table of the vectors of docs, too."""
     spark = docs.sparkSession
     train = labels.where("doc_id is not null and toxic is not null").where(fold(F.col("doc_id"), 4) != 2).groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
     sample = written(bounded_sample(train, "id", SAMPLE))
@@ -382,11 +380,9 @@ def fitted(docs: DataFrame, labels: DataFrame, keep: bool = False) -> tuple[Voca
         own = texts.where("role = 0").select("id", "toxic", "text").orderBy("id").collect()  # at most EXAMPLES rows and CHARS characters
     keys = {term_key(t) for t in marked}.union(*(map(term_key, word_counts(r["text"])) for r in own))
     words = Vocabulary(np.array(sorted(keys), np.int64), frozenset(marked))
-    every = vectors(docs, words)
-    if keep:
-        every = written(every, texts=True)
+    every = written(vectors(docs, words), texts=True) if keep else docs
     with small_batches(spark):
-        n, df = _counted(every, len(words.keys))
+        n, df = _counted(every, words, "terms" if keep else "text")
     idf = (np.log((1 + n) / (1 + df)) + 1) * words.factors()
     examples = [(r["id"], r["toxic"], *words.of(r["text"])) for r in own]
     index = Index.build(examples, idf, empty)
