@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from evidentia.llm import decontam, mixing, near_copies, tokens, toxicity
 from evidentia.llm.common import table, tokenizer_path, written
 
+#: Pieces of text that a worker remembers: fewer than alone, since the executors hold what earlier stages have left.
+REMEMBERED = 100_000
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
@@ -31,7 +34,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return tokens.token_digest(docs, tokenizer_path())
+    return tokens.token_digest(docs, tokenizer_path(), remembered=REMEMBERED)
 
 
 STAGES = [
