@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -17,7 +18,7 @@ MAGIC = {"image/jpeg": ["FFD8FF"], "image/png": ["89504E47"], "image/webp": ["52
 WEBP = "57454250"
 MAX_BYTES = 10 * 1024 * 1024
 NEAR = 10
-BANDS = 11
+BANDS = 4
 
 
 def upload_reject(mime: Column, content: Column) -> Column:
@@ -38,25 +39,34 @@ def input_type(text: Column, image: Column) -> Column:
 
 
 def _bands(bits: Column) -> Column:
-    """BANDS pieces of the 64 bits; within NEAR flips at least one piece is untouched."""
+    """BANDS pieces of the 64 bits; within NEAR flips at least one piece has at most NEAR // BANDS of them."""
     cut = [64 * i // BANDS for i in range(BANDS + 1)]
     piece = lambda a, b: F.shiftrightunsigned(bits, a).bitwiseAND(F.lit((1 << (b - a)) - 1).cast("long"))
     return F.array(*[F.struct(F.lit(i).alias("band"), piece(a, b).alias("value")) for i, (a, b) in enumerate(zip(cut, cut[1:]))])
 
 
+def _flips(width: int, most: int) -> list[int]:
+    """All masks of at most so many bits of a piece."""
+    return [sum(1 << b for b in bits) for n in range(most + 1) for bits in combinations(range(width), n)]
+
+
 def phash_matches(images: DataFrame) -> DataFrame:
     """images (id, phash, created_at) -> (id, match_id, distance, similarity_pct, match_type, created_at).
 
     All ordered pairs of different ids at most NEAR bits apart. Equal hashes
     meet once, as a class with members; only classes are compared, through an
-    equality join on bands of bits. Unreadable hashes match nothing.
+    equality join on wide bands of bits, in which one side probes every value
+    within NEAR // BANDS flips. Unreadable hashes match nothing.
     """
     rows = images.select("id", H.phash_bits(F.col("phash")).alias("bits"), "created_at").where("bits is not null and id is not null")
     classes = rows.select("bits").distinct()
     cut = classes.select("bits", F.inline(_bands(F.col("bits"))))
-    a, b = cut.alias("a"), cut.alias("b")
+    masks = F.array(*[F.lit(m).cast("long") for m in _flips(64 // BANDS, NEAR // BANDS)])
+    probes = cut.select("bits", "band", F.explode(F.transform(masks, lambda m: F.col("value").bitwiseXOR(m))).alias("value"))
+    a, b = cut.alias("a"), probes.alias("b")
     near = F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits"))).alias("distance")
-    pairs = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.value") == F.col("b.value")) & (F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits"))) <= NEAR)).select(F.col("a.bits").alias("x"), F.col("b.bits").alias("y"), near).distinct()
+    pairs = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.value") == F.col("b.value")) & (F.col("a.bits") <= F.col("b.bits")) & (F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits"))) <= NEAR)).select(F.col("a.bits").alias("x"), F.col("b.bits").alias("y"), near).distinct()
+    pairs = pairs.unionByName(pairs.where("x <> y").select(F.col("y").alias("x"), F.col("x").alias("y"), "distance"))
     left = rows.select("id", F.col("bits").alias("x"))
     right = rows.select(F.col("id").alias("match_id"), F.col("bits").alias("y"), "created_at")
     out = left.join(pairs, "x").join(right, "y").where("id <> match_id")

@@ -72,7 +72,7 @@ def coverage(evidence: DataFrame) -> DataFrame:
 
 
 def _names(c: Column) -> Column:
-    return F.array_join(F.slice(F.sort_array(F.array_distinct(F.collect_list(c))), 1, 3), ", ")
+    return F.array_join(F.slice(F.sort_array(F.collect_set(c)), 1, 3), ", ")
 
 
 def reasons(verdicts: DataFrame, evidence: DataFrame) -> DataFrame:

@@ -301,7 +301,7 @@ SELECT submission_id, count(*) AS independent_source_count, count(*) FILTER (dom
 
 ORACLES["sources_of"] = f"""WITH {EVIDENCE}, {CLAIMS} SELECT DISTINCT submission_id, d.source_id, s_name AS name FROM evidence JOIN claims USING (claim_id)
 JOIN (SELECT DISTINCT l_partkey AS document_id, l_suppkey AS source_id FROM lineitem) d USING (document_id) JOIN supplier ON s_suppkey = d.source_id"""
-ORACLES["evidence_of"] = f"WITH {EVIDENCE}, {CLAIMS} SELECT seq, claim_id, document_id, url FROM evidence WHERE claim_id IN (SELECT claim_id FROM claims WHERE created_at >= '1998-01-01')"
+ORACLES["evidence_of"] = f"WITH {EVIDENCE}, {CLAIMS} SELECT seq, claim_id, document_id, url FROM evidence WHERE claim_id IN (SELECT claim_id FROM claims)"
 ORACLES["timeline_of"] = "SELECT o_custkey AS submission_id, o_orderkey AS event_id, strftime(o_orderdate, '%Y-%m-%d') AS event_date, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate::DATE, o_orderkey)::INT AS position FROM orders"
 ORACLES["content_dedup"] = "SELECT sha256(coalesce(text, '')) AS content_hash, min(doc_id) AS doc_id, count(*) AS n FROM documents GROUP BY 1"
 ORACLES["source_upsert"] = f"""WITH p AS (SELECT url, page_id AS seq, {source_type('url')} AS source_type FROM pages), k AS (SELECT url, min(source_type) AS source_type, min(seq) AS first_page FROM p WHERE seq % 2 = 0 GROUP BY url)

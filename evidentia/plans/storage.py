@@ -10,8 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_path(spark: SparkSession, kind: str) -> str:
-    """A new path below spark.checkpoint.dir; below this machine's temporary folder only where that is unset."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), "evidentia-checkpoints")
+    """A new path below spark.checkpoint.dir; below this machine's temporary folder only where that is unset in local mode."""
+    base, master = spark.sparkContext.getConf().get("spark.checkpoint.dir"), spark.sparkContext.master
+    if not base and (not master.startswith("local") or master.startswith("local-cluster")):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    base = base or os.path.join(tempfile.gettempdir(), "evidentia-checkpoints")
     return f"{base.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import Accumulator
 from pyspark.sql import DataFrame
 
 Backend = Callable[[pd.Series], pd.Series]
@@ -28,8 +29,11 @@ def available(kind: str) -> bool:
     return kind in _registered
 
 
-def corrected(df: DataFrame, kind: str, column: str) -> DataFrame:
-    """df with column passed through the backend of that kind; unchanged without one, or where it fails or returns null."""
+def corrected(df: DataFrame, kind: str, column: str, failures: Accumulator[int] | None = None) -> DataFrame:
+    """df with column passed through the backend of that kind; unchanged without one, or where it fails or returns null.
+
+    failures counts the batches on which the backend failed.
+    """
     if kind not in _registered:
         return df
     factory, schema = _registered[kind], df.schema
@@ -41,7 +45,8 @@ def corrected(df: DataFrame, kind: str, column: str) -> DataFrame:
                 out = backend(b[column])
                 b = b.assign(**{column: out.where(out.notna(), b[column])})
             except Exception:  # a backend's failure never fails the query
-                pass
+                if failures is not None:
+                    failures.add(1)
             yield b
 
     return df.mapInPandas(run, schema)
