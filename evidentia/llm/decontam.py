@@ -9,8 +9,8 @@ the commonest L / 3 - 2 pairs can be left out and a seed still remains, however
 densely a copy is edited. The second scan looks seeds up; where enough pairs
 of the item lie around a seed, item and surroundings are aligned word by word.
 
-Words are 64-bit hashes. Items come in blocks of BLOCK_CHARS characters, each
-with scans of its own, so what is sent to the executors is bounded whatever
+Words are numbers in the items' vocabulary. Items come in blocks of BLOCK_CHARS
+characters, each with scans of its own, so what is sent to the executors is bounded whatever
 the size of the benchmark.
 """
 
@@ -25,14 +25,13 @@ from itertools import accumulate
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import cached, ship, small_batches, written
+from evidentia.llm.common import ship, small_batches, written
 
 #: Items of a block, and characters of its items; an item above that is a block of its own.
-BLOCK, BLOCK_CHARS = 200_000, 16_000_000
+BLOCK, BLOCK_CHARS = 200_000, 8_000_000
 MATCH, MISMATCH, GAP = 2, -1, -2
 #: Least alignment score, as a share of the item's own.
 THRESHOLD = 0.5
@@ -43,31 +42,22 @@ WHOLE = 4
 #: Words of a stretch of an item, out of each of which seeds are chosen.
 STRETCH = 48
 _WORD = re.compile(r"\w+")
-_LEFT, _RIGHT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-_MEMO = 100_000
 
 
 def words(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
-class _Codes(dict):
-    """Word -> 64-bit hash; remembers a bounded number of words."""
+def numbered(w: list[str], number: dict[str, int]) -> np.ndarray:
+    """Numbers of words; 0 for words that no item has."""
+    get = number.get
+    return np.array([get(x, 0) for x in w], np.int64)
 
-    def __missing__(self, word: str) -> int:
-        h = xxhash.xxh64_intdigest(word.encode("utf-8", "replace"))
-        if len(self) < _MEMO and len(word) <= 64:
-            self[word] = h
-        return h
 
-
-def coded(w: list[str]) -> np.ndarray:
-    return np.fromiter(map(cached("decontam", _Codes).__getitem__, w), np.uint64, len(w))
-
-
-def pairs(code: np.ndarray) -> np.ndarray:
-    """A hash of every two neighbouring words."""
-    return code[:-1] * _LEFT ^ code[1:] * _RIGHT
+def pairs(code: np.ndarray, words_known: int) -> np.ndarray:
+    """A number for every two neighbouring words, 0 where one of them is unknown."""
+    a, b = code[:-1], code[1:]
+    return np.where((a > 0) & (b > 0), a * (words_known + 1) + b, 0)
 
 
 def kept_pairs(n: int) -> int:
@@ -75,9 +65,9 @@ def kept_pairs(n: int) -> int:
     return max(-(-n // 3) - 1, 0)
 
 
-def grams(item: np.ndarray) -> np.ndarray:
+def grams(item: np.ndarray, words_known: int) -> np.ndarray:
     """The pairs of an item; the word itself of an item of one word."""
-    return item if len(item) == 1 else pairs(item)
+    return item if len(item) == 1 else pairs(item, words_known)
 
 
 def choose_seeds(own: np.ndarray, df: np.ndarray) -> np.ndarray:
@@ -95,8 +85,9 @@ def choose_seeds(own: np.ndarray, df: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Block:
-    """Items of a block with their seeds, as sorted hashes and the places they stand for."""
+    """Items of a block with their seeds, as sorted numbers and the places they stand for."""
 
+    number: dict[str, int]  # of every word of the items, from 1 on
     ids: list[int]
     items: list[np.ndarray]
     keys: np.ndarray
@@ -106,17 +97,17 @@ class Block:
     single: bool  # whether some item has one word
 
     @classmethod
-    def build(cls, ids: list[int], items: list[np.ndarray], gram_keys: np.ndarray, df: np.ndarray) -> Block:
-        """gram_keys, df: sorted hashes of all grams, and documents with them."""
+    def build(cls, number: dict[str, int], ids: list[int], items: list[np.ndarray], gram_keys: np.ndarray, df: np.ndarray) -> Block:
+        """gram_keys, df: all grams in order, and documents with them."""
         rows = []
         for i, w in enumerate(items):
-            own = grams(w)
+            own = grams(w, len(number))
             for k in choose_seeds(own, df[np.searchsorted(gram_keys, own)]):
                 rows.append((int(own[k]), i, int(k)))
         rows.sort()
-        h = np.array([r[0] for r in rows], np.uint64)
+        h = np.array([r[0] for r in rows], np.int64)
         keys, first = np.unique(h, return_index=True)
-        return cls(ids, items, keys, np.append(first, len(h)), np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64), any(len(w) == 1 for w in items))
+        return cls(number, ids, items, keys, np.append(first, len(h)), np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64), any(len(w) == 1 for w in items))
 
 
 def _found(keys: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -168,9 +159,9 @@ def _regions(starts: np.ndarray, n: int, size: int) -> Iterator[tuple[int, int]]
 
 def find_in(text: str | None, block: Block, first_only: bool = False) -> list[tuple[int, float, int, int, int]]:
     """(item, score, first and last code point, seeds met) of the best alignment of each item that the text's seeds point to."""
-    w = words(text)
-    code = coded(w)
-    met, key = _found(block.keys, pairs(code))
+    code = numbered(words(text), block.number)
+    own_pairs = pairs(code, len(block.number))
+    met, key = _found(block.keys, own_pairs)
     if block.single:
         one, k1 = _found(block.keys, code)
         met, key = np.append(met, one), np.append(key, k1)
@@ -180,14 +171,13 @@ def find_in(text: str | None, block: Block, first_only: bool = False) -> list[tu
     place = np.repeat(block.first[key] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
     item, start = block.item[place], np.repeat(met, n) - block.at[place]
     out, places = [], None
-    own_pairs = pairs(code)
     for i in np.unique(item).tolist():
         own = block.items[i]
         starts = start[item == i]
         need = 1 if len(own) < WHOLE else max(1, min(kept_pairs(len(own)), kept_pairs(PASSAGE)))
         best = (0.0, 0, 0)
         for lo, hi in _regions(starts, len(own), len(code)):
-            if len(own) > 1 and int(np.isin(pairs(own), own_pairs[lo : max(lo, hi - 1)]).sum()) < need:
+            if len(own) > 1 and int(np.isin(pairs(own, len(block.number)), own_pairs[lo : max(lo, hi - 1)]).sum()) < need:
                 continue
             score, a, b = align(own, code[lo:hi])
             if score > best[0]:
@@ -213,7 +203,7 @@ def blocks(docs: DataFrame, benchmark: DataFrame) -> Iterator[Block]:
         fit = max(1, bisect_right(list(accumulate(r["n"] for r in sizes)), BLOCK_CHARS))
         last = sizes[:fit][-1]["item"]
         rows = sorted((r["item"], r["item_id"], r["text"]) for r in more.where(F.col("item") <= last).where("text is not null").collect())
-        items = [(i, coded(w)) for _, i, t in rows if (w := words(t))]
+        items = [(i, w) for _, i, t in rows if (w := words(t))]
         if items:
             yield _seeded(docs, [i for i, _ in items], [w for _, w in items])
         if fit >= len(sizes) and len(sizes) < BLOCK:
@@ -221,18 +211,22 @@ def blocks(docs: DataFrame, benchmark: DataFrame) -> Iterator[Block]:
         after = last
 
 
-def _seeded(docs: DataFrame, ids: list[int], items: list[np.ndarray]) -> Block:
-    keys = np.unique(np.concatenate([grams(w) for w in items]))
+def _seeded(docs: DataFrame, ids: list[int], texts: list[list[str]]) -> Block:
+    """texts: the words of each item."""
+    number = {w: n for n, w in enumerate(sorted({w for t in texts for w in t}), 1)}
+    items = [numbered(t, number) for t in texts]
+    keys = np.unique(np.concatenate([grams(w, len(number)) for w in items]))
     single = any(len(w) == 1 for w in items)
-    sent = docs.sparkSession.sparkContext.broadcast(keys)
+    sent = docs.sparkSession.sparkContext.broadcast((number, keys))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(len(sent.value), np.int64)
+        number, keys = sent.value
+        n = np.zeros(len(keys), np.int64)
         for b in batches:
             for t in b.column("text"):
-                code = coded(words(t.as_py()))
-                both = np.unique(np.append(pairs(code), code) if single else pairs(code))
-                n[_found(sent.value, both)[1]] += 1
+                code = numbered(words(t.as_py()), number)
+                both = pairs(code, len(number))
+                n[np.unique(_found(keys, np.append(both, code) if single else both)[1])] += 1
         seen = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(n[seen], pa.int64())], ["gram", "n"])
 
@@ -241,7 +235,7 @@ def _seeded(docs: DataFrame, ids: list[int], items: list[np.ndarray]) -> Block:
         got = counts.toArrow()  # two numbers for a gram of the block at most
     df = np.zeros(len(keys), np.int64)
     df[got.column("gram").to_numpy()] = got.column("n").to_numpy()
-    return Block.build(ids, items, keys, df)
+    return Block.build(number, ids, items, keys, df)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

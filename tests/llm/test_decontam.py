@@ -9,6 +9,19 @@ DOCS = "doc_id long, text string, item_id long, score double"
 ITEMS = "item_id long, text string, doc_id long"
 
 
+class Numbers(dict):
+    def __missing__(self, w):
+        self[w] = len(self) + 1
+        return self[w]
+
+
+NUMBER = Numbers()
+
+
+def coded(w):
+    return np.array([NUMBER[x] for x in w], np.int64)
+
+
 def brute_align(a, b):
     best, h = 0, [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i, x in enumerate(a, 1):
@@ -24,7 +37,7 @@ def test_alignment_against_the_plain_matrix(seed):
     for _ in range(60):
         a = rng.choices("abcdef", k=rng.randint(1, 15))
         b = rng.choices("abcdefg", k=rng.randint(1, 40))
-        score, lo, hi = D.align(D.coded(a), D.coded(b))
+        score, lo, hi = D.align(coded(a), coded(b))
         assert score == brute_align(a, b) and (not score or brute_align(a, b[lo:hi]) == score)
 
 
@@ -55,13 +68,13 @@ def test_seeds_outnumber_what_an_accepted_alignment_can_break():
     rng = random.Random(3)
     for n in (4, 5, 7, 12, 30, 47, 49, 60, 100):
         item = [f"w{i}" for i in range(n)]
-        own = D.grams(D.coded(item))
+        own = D.grams(coded(item), 10**6)
         df = np.array([rng.randrange(5) for _ in own])
         seeds = {int(own[k]) for k in D.choose_seeds(own, df)}
         for _ in range(200):
             copy = [x if rng.random() > 0.3 else "edit" for x in item]
-            if D.align(D.coded(item), D.coded(copy))[0] >= D.THRESHOLD:
-                assert seeds & set(D.pairs(D.coded(copy)).tolist())
+            if D.align(coded(item), coded(copy))[0] >= D.THRESHOLD:
+                assert seeds & set(D.pairs(coded(copy), 10**6).tolist())
 
 
 @pytest.mark.parametrize("every", [3, 4, 5, 8])
@@ -72,7 +85,7 @@ def test_densely_edited_copies_against_full_alignment(spark, every):
     noise = lambda: rng.choices(v, k=40)
     docs = [(i, " ".join(noise() + [x if k % every else rng.choice(v) for k, x in enumerate(w, 1)] + noise())) for i, w in items.items()] + [(100 + i, " ".join(noise())) for i in range(20)]
     got = {(r["doc_id"], r["item_id"]) for r in D.contamination(spark.createDataFrame([(i, t, 1, 1.0) for i, t in docs], DOCS), spark.createDataFrame([(i, " ".join(w), 1) for i, w in items.items()], ITEMS)).collect()}
-    want = {(i, j) for i, t in docs for j, w in items.items() if (s := D.align(D.coded(w), D.coded(t.split()))[0]) >= D.THRESHOLD or s * len(w) >= D.PASSAGE}
+    want = {(i, j) for i, t in docs for j, w in items.items() if (s := D.align(coded(w), coded(t.split()))[0]) >= D.THRESHOLD or s * len(w) >= D.PASSAGE}
     assert len(want) >= 38 and got == want
 
 
@@ -84,7 +97,7 @@ def test_copies_with_inserted_and_dropped_words(spark):
     less = lambda w: [x for k, x in enumerate(w, 1) if k % 6]
     docs = [(i, " ".join(noise() + more(w) + noise())) for i, w in items.items()] + [(100 + i, " ".join(noise() + less(w) + noise())) for i, w in items.items()]
     got = {(r["doc_id"], r["item_id"]) for r in D.contamination(spark.createDataFrame([(i, t, 1, 1.0) for i, t in docs], DOCS), spark.createDataFrame([(i, " ".join(w), 1) for i, w in items.items()], ITEMS)).collect()}
-    want = {(i, j) for i, t in docs for j, w in items.items() if D.align(D.coded(w), D.coded(t.split()))[0] >= D.THRESHOLD}
+    want = {(i, j) for i, t in docs for j, w in items.items() if D.align(coded(w), coded(t.split()))[0] >= D.THRESHOLD}
     assert len(want) == 60 and got == want
 
 
