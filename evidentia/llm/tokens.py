@@ -40,7 +40,7 @@ PERCENTILE = 90
 SEGMENT = 1 << 20
 END = 2
 #: Pieces of text whose ids a worker remembers, and the longest such piece.
-REMEMBERED, PIECE = 350_000, 64
+REMEMBERED, PIECE = 600_000, 64
 MAGIC = b"PFR1"
 HEAD = struct.Struct("<4sIIQQI")
 
@@ -337,7 +337,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end: int = END, rem
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    with small_batches(docs.sparkSession, 4_000):
+    with small_batches(docs.sparkSession, 4_000, 8 << 20):
         rows.mapInArrow(shard, "shard int, seq int, n_ids long, data binary").write.option("compression", "none").parquet(path)
 
 
