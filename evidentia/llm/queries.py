@@ -1,4 +1,4 @@
-"""The queries op1 to op10: operators applied to the whole tables."""
+"""The queries op1 to op13: operators applied to the whole tables."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.llm import chat, decontam, embed_dedup, hmm_lm, html_main, mixing, secrets, simhash, tokens, toxicity
+from evidentia.llm import align, bpe_automaton, chat, decontam, embed_dedup, hmm_lm, html_main, mixing, phrases, secrets, simhash, tokens, toxicity
 from evidentia.llm.common import fold, shared_dir, table, tokenizer_path
 from evidentia.llm.sql import ORACLES
 
@@ -61,8 +61,20 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", simhash.hexed(out["fp"]).alias("fingerprint"), "component_id")
 
 
+def op11_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_automaton.digest(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.digest(table(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_embedding_dedup": op1_embedding_dedup, "op2_toxicity": op2_toxicity, "op3_preference_format": op3_preference_format, "op4_decontamination": op4_decontamination, "op5_token_ids": op5_token_ids, "op6_html_text": op6_html_text, "op7_language_model": op7_language_model, "op8_secrets": op8_secrets, "op9_mixing": op9_mixing, "op10_simhash": op10_simhash}
+    return {"op1_embedding_dedup": op1_embedding_dedup, "op2_toxicity": op2_toxicity, "op3_preference_format": op3_preference_format, "op4_decontamination": op4_decontamination, "op5_token_ids": op5_token_ids, "op6_html_text": op6_html_text, "op7_language_model": op7_language_model, "op8_secrets": op8_secrets, "op9_mixing": op9_mixing, "op10_simhash": op10_simhash, "op11_bpe_automaton": op11_bpe_automaton, "op12_token_alignment": op12_token_alignment, "op13_collocations": op13_collocations}
 
 
 def oracle_sql() -> dict[str, str]:

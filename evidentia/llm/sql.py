@@ -70,4 +70,30 @@ SELECT pair_id, any_value(n_common) AS n_common,
 FROM z GROUP BY pair_id
 """
 
-ORACLES = {"op3_preference_format": OP3, "op1_embedding_dedup": OP1, "op9_mixing": OP9}
+OP13 = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+g AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+o AS (SELECT lang, array_to_string(w[i : i + m - 1], ' ') AS phrase, m FROM g, (SELECT unnest([1, 2, 3, 4, 5]) AS m) WHERE i + m - 1 <= len(w)),
+c AS (SELECT lang, phrase, m, count(*)::HUGEINT AS f FROM o GROUP BY ALL),
+t AS (SELECT lang, sum(f)::HUGEINT AS n FROM c WHERE m = 1 GROUP BY lang),
+q AS (SELECT * FROM c WHERE f >= 100),
+k AS (SELECT lang, phrase, m, f AS a, string_split(phrase, ' ') AS s, unnest(range(1, m)) AS k FROM q WHERE m > 1),
+x AS (
+  SELECT k.lang, k.phrase, k.m, k.a, k.k, l.f AS l, r.f AS r, t.n, (1000::HUGEINT * a * n) // (l.f * r.f) AS score
+  FROM k JOIN t ON t.lang = k.lang
+  JOIN q l ON l.lang = k.lang AND l.phrase = array_to_string(s[1 : k], ' ')
+  JOIN q r ON r.lang = k.lang AND r.phrase = array_to_string(s[k + 1 : k.m], ' ')),
+b AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+v AS (
+  SELECT lang, array_to_string(s[i : i + p - 1], ' ') AS phrase, max(a) AS most
+  FROM (SELECT DISTINCT lang, s, m, a FROM k), (SELECT unnest([1, 2, 3, 4]) AS i), (SELECT unnest([2, 3, 4]) AS p)
+  WHERE p < m AND i + p - 1 <= m GROUP BY ALL),
+z AS (SELECT b.* FROM b LEFT JOIN v ON v.lang = b.lang AND v.phrase = b.phrase WHERE most IS NULL OR 100 * most < 100 * a)
+SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM z) WHERE rank <= 2000
+"""
+
+ORACLES = {"op3_preference_format": OP3, "op1_embedding_dedup": OP1, "op9_mixing": OP9, "op13_collocations": OP13}
