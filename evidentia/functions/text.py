@@ -24,19 +24,29 @@ CONTRACTIONS = {
 }
 
 # Words without meaning of their own, for keyword overlap.
-OVERLAP_STOP = "the a an is in on at to of and or for with that this it as was be by from".split()
+OVERLAP_STOP = [
+    "the", "a", "an", "is", "in", "on", "at", "to", "of", "and", "or", "for", "with", "that", "this", "it", "as", "was", "be", "by", "from",
+]
 
 # Common English function words.
-STOP = (
-    "a about above across after afterwards again against all almost alone along already also although always am among amongst an and another any anyhow anyone anything anyway anywhere are around as at "
-    "back be became because become becomes becoming been before beforehand behind being below beside besides between beyond both but by can cannot could did do does done down due during "
-    "each either else elsewhere enough even ever every everyone everything everywhere except few for former formerly from further get give go had has have he hence her here hereafter hereby herein hereupon hers herself him himself his how however "
-    "i if in indeed into is it its itself just keep last latter latterly least less made make many may me meanwhile might mine more moreover most mostly much must my myself "
-    "namely neither never nevertheless next no nobody none noone nor not nothing now nowhere of off often on once one only onto or other others otherwise our ours ourselves out over own "
-    "part per perhaps please put quite rather re really same say see seem seemed seeming seems several she should show side since so some somehow someone something sometime sometimes somewhere still such "
-    "take than that the their them themselves then thence there thereafter thereby therefore therein thereupon these they this those though through throughout thru thus to together too toward towards "
-    "under unless until up upon us used using various very via was we well were what whatever when whence whenever where whereafter whereas whereby wherein whereupon wherever whether which while whither who whoever whole whom whose why will with within without would yet you your yours yourself yourselves"
-).split()
+STOP = [
+    "a", "about", "above", "across", "after", "afterwards", "again", "against", "all", "almost", "alone", "along", "already", "also", "although", "always", "am",
+    "among", "amongst", "an", "and", "another", "any", "anyhow", "anyone", "anything", "anyway", "anywhere", "are", "around", "as", "at", "back", "be", "became",
+    "because", "become", "becomes", "becoming", "been", "before", "beforehand", "behind", "being", "below", "beside", "besides", "between", "beyond", "both", "but",
+    "by", "can", "cannot", "could", "did", "do", "does", "done", "down", "due", "during", "each", "either", "else", "elsewhere", "enough", "even", "ever", "every",
+    "everyone", "everything", "everywhere", "except", "few", "for", "former", "formerly", "from", "further", "get", "give", "go", "had", "has", "have", "he", "hence",
+    "her", "here", "hereafter", "hereby", "herein", "hereupon", "hers", "herself", "him", "himself", "his", "how", "however", "i", "if", "in", "indeed", "into", "is",
+    "it", "its", "itself", "just", "keep", "last", "latter", "latterly", "least", "less", "made", "make", "many", "may", "me", "meanwhile", "might", "mine", "more",
+    "moreover", "most", "mostly", "much", "must", "my", "myself", "namely", "neither", "never", "nevertheless", "next", "no", "nobody", "none", "noone", "nor", "not",
+    "nothing", "now", "nowhere", "of", "off", "often", "on", "once", "one", "only", "onto", "or", "other", "others", "otherwise", "our", "ours", "ourselves", "out",
+    "over", "own", "part", "per", "perhaps", "please", "put", "quite", "rather", "re", "really", "same", "say", "see", "seem", "seemed", "seeming", "seems", "several",
+    "she", "should", "show", "side", "since", "so", "some", "somehow", "someone", "something", "sometime", "sometimes", "somewhere", "still", "such", "take", "than",
+    "that", "the", "their", "them", "themselves", "then", "thence", "there", "thereafter", "thereby", "therefore", "therein", "thereupon", "these", "they", "this",
+    "those", "though", "through", "throughout", "thru", "thus", "to", "together", "too", "toward", "towards", "under", "unless", "until", "up", "upon", "us", "used",
+    "using", "various", "very", "via", "was", "we", "well", "were", "what", "whatever", "when", "whence", "whenever", "where", "whereafter", "whereas", "whereby",
+    "wherein", "whereupon", "wherever", "whether", "which", "while", "whither", "who", "whoever", "whole", "whom", "whose", "why", "will", "with", "within", "without",
+    "would", "yet", "you", "your", "yours", "yourself", "yourselves",
+]
 
 
 def text(c: str | Column) -> Column:

@@ -18,14 +18,23 @@ SOCIAL_DOMAINS = {
 }
 PLATFORM_LABELS = {"x": "X (Twitter)", "instagram": "Instagram", "reddit": "Reddit", "youtube": "YouTube", "facebook": "Facebook", "telegram": "Telegram", "threads": "Threads", "linkedin": "LinkedIn"}
 # Source classes in order of precedence.
-FACT_CHECKERS = "altnews.in boomlive.in factly.in snopes.com politifact.com factcheck.org pib.gov.in vishvasnews.com thip.media newschecker.in".split()
-OFFICIAL_SUFFIXES = ".gov .gov.in .nic.in .edu".split()
-NEWS = (
-    "bbc.com bbc.co.uk reuters.com apnews.com thehindu.com indianexpress.com timesofindia.indiatimes.com economictimes.indiatimes.com ndtv.com indiatoday.in hindustantimes.com "
-    "theprint.in scroll.in thewire.in livemint.com aninews.in ptinews.com aljazeera.com nytimes.com washingtonpost.com theguardian.com"
-).split()
-SOCIAL_MATCH = "x.com twitter.com instagram.com reddit.com youtube.com youtu.be threads.net facebook.com t.me".split()
-PRIVATE_RANGES = "10.0.0.0/8 172.16.0.0/12 192.168.0.0/16 127.0.0.0/8 169.254.0.0/16 0.0.0.0/8".split()
+FACT_CHECKERS = [
+    "altnews.in", "boomlive.in", "factly.in", "snopes.com", "politifact.com", "factcheck.org", "pib.gov.in", "vishvasnews.com", "thip.media", "newschecker.in",
+]
+OFFICIAL_SUFFIXES = [
+    ".gov", ".gov.in", ".nic.in", ".edu",
+]
+NEWS = [
+    "bbc.com", "bbc.co.uk", "reuters.com", "apnews.com", "thehindu.com", "indianexpress.com", "timesofindia.indiatimes.com", "economictimes.indiatimes.com", "ndtv.com",
+    "indiatoday.in", "hindustantimes.com", "theprint.in", "scroll.in", "thewire.in", "livemint.com", "aninews.in", "ptinews.com", "aljazeera.com", "nytimes.com",
+    "washingtonpost.com", "theguardian.com",
+]
+SOCIAL_MATCH = [
+    "x.com", "twitter.com", "instagram.com", "reddit.com", "youtube.com", "youtu.be", "threads.net", "facebook.com", "t.me",
+]
+PRIVATE_RANGES = [
+    "10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16", "127.0.0.0/8", "169.254.0.0/16", "0.0.0.0/8",
+]
 
 
 def netloc(url: Column) -> Column:

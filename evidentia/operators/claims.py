@@ -14,11 +14,14 @@ LABELS = ["TOP STORIES", "BREAKING NEWS", "UPDATE", "LIVE", "VIEWS", "REPLY", "S
 JOINTS = ["but", "while", "which"]
 KEPT = ["therefore", "because", "so", "thus", "hence"]
 #: A clause is a claim if it has a verb: one of these words, or a word with such an ending.
-VERBS = (
-    "is are was were be been has have had do does did will would can could shall should may might must say says said see sees saw go goes went make makes made take takes took "
-    "give gives gave get gets got come comes came know knows knew think thinks thought find finds found hold holds held keep keeps kept lose loses lost win wins won sign signs pay pays paid "
-    "meet meets met run runs ran rise rises rose fall falls fell hit hits cut cuts put puts let lets set sets build builds built ban bans die dies kill kills"
-).split()
+VERBS = [
+    "is", "are", "was", "were", "be", "been", "has", "have", "had", "do", "does", "did", "will", "would", "can", "could", "shall", "should", "may", "might", "must",
+    "say", "says", "said", "see", "sees", "saw", "go", "goes", "went", "make", "makes", "made", "take", "takes", "took", "give", "gives", "gave", "get", "gets", "got",
+    "come", "comes", "came", "know", "knows", "knew", "think", "thinks", "thought", "find", "finds", "found", "hold", "holds", "held", "keep", "keeps", "kept", "lose",
+    "loses", "lost", "win", "wins", "won", "sign", "signs", "pay", "pays", "paid", "meet", "meets", "met", "run", "runs", "ran", "rise", "rises", "rose", "fall",
+    "falls", "fell", "hit", "hits", "cut", "cuts", "put", "puts", "let", "lets", "set", "sets", "build", "builds", "built", "ban", "bans", "die", "dies", "kill",
+    "kills",
+]
 VERB_ENDING = r"^[a-z]{2,}(?:ed|ing|ises|izes|ises|ifies)$"
 QUERY_CAP = 5
 

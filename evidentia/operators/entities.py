@@ -11,21 +11,36 @@ from pyspark.sql import functions as F
 from evidentia.functions import text as T
 
 # Known locations, nouns that are no person, words of political concepts.
-LOCATIONS = (
-    "mumbai,delhi,bengaluru,bangalore,chennai,hyderabad,kolkata,pune,ahmedabad,surat,jaipur,lucknow,kanpur,nagpur,patna,indore,thane,bhopal,visakhapatnam,pimpri,nashik,vadodara,faridabad,"
-    "ghaziabad,ludhiana,agra,meerut,rajkot,varanasi,srinagar,amritsar,allahabad,uttar pradesh,maharashtra,gujarat,rajasthan,bihar,kerala,karnataka,andhra pradesh,telangana,punjab,west bengal,"
-    "odisha,assam,jharkhand,haryana,himachal pradesh,india,pakistan,china,usa,uk,russia,ukraine,new delhi,new york,washington,london,beijing"
-).split(",")
-MORE_LOCATIONS = "paris,texas,berlin,tokyo,california,france,germany,spain".split(",")
-NO_PERSON = (
-    "citizens people voters workers students farmers protesters activists officials authorities residents journalists soldiers troops police government public nation everyone nobody someone anyone "
-    "children women men youth seniors migrants"
-).split()
-CONCEPTS = "opposition ruling party voter electoral roll revision government election commission parliament assembly legislature court tribunal ministry warehouse fire sector".split()
-TITLES = "President Senator Minister Governor Mayor Judge Justice General Mr Mrs Ms Dr".split()
-ORG_ENDINGS = "Inc Ltd Corp Corporation Company Commission Ministry Party University Bank Agency Council".split()
-KNOWN_ORGS = "Tesla Reuters Google Microsoft Apple Amazon Meta Twitter BBC NASA WHO UNESCO".split()
-MONTHS = "January February March April May June July August September October November December".split()
+LOCATIONS = [
+    "mumbai", "delhi", "bengaluru", "bangalore", "chennai", "hyderabad", "kolkata", "pune", "ahmedabad", "surat", "jaipur", "lucknow", "kanpur", "nagpur", "patna",
+    "indore", "thane", "bhopal", "visakhapatnam", "pimpri", "nashik", "vadodara", "faridabad", "ghaziabad", "ludhiana", "agra", "meerut", "rajkot", "varanasi",
+    "srinagar", "amritsar", "allahabad", "uttar pradesh", "maharashtra", "gujarat", "rajasthan", "bihar", "kerala", "karnataka", "andhra pradesh", "telangana", "punjab",
+    "west bengal", "odisha", "assam", "jharkhand", "haryana", "himachal pradesh", "india", "pakistan", "china", "usa", "uk", "russia", "ukraine", "new delhi",
+    "new york", "washington", "london", "beijing",
+]
+MORE_LOCATIONS = [
+    "paris", "texas", "berlin", "tokyo", "california", "france", "germany", "spain",
+]
+NO_PERSON = [
+    "citizens", "people", "voters", "workers", "students", "farmers", "protesters", "activists", "officials", "authorities", "residents", "journalists", "soldiers",
+    "troops", "police", "government", "public", "nation", "everyone", "nobody", "someone", "anyone", "children", "women", "men", "youth", "seniors", "migrants",
+]
+CONCEPTS = [
+    "opposition", "ruling", "party", "voter", "electoral", "roll", "revision", "government", "election", "commission", "parliament", "assembly", "legislature", "court",
+    "tribunal", "ministry", "warehouse", "fire", "sector",
+]
+TITLES = [
+    "President", "Senator", "Minister", "Governor", "Mayor", "Judge", "Justice", "General", "Mr", "Mrs", "Ms", "Dr",
+]
+ORG_ENDINGS = [
+    "Inc", "Ltd", "Corp", "Corporation", "Company", "Commission", "Ministry", "Party", "University", "Bank", "Agency", "Council",
+]
+KNOWN_ORGS = [
+    "Tesla", "Reuters", "Google", "Microsoft", "Apple", "Amazon", "Meta", "Twitter", "BBC", "NASA", "WHO", "UNESCO",
+]
+MONTHS = [
+    "January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December",
+]
 
 NAME = r"\p{Lu}[\p{L}'\-]+"
 

@@ -1,9 +1,12 @@
 """Sentence retrieval: TF-IDF, BM25 and their hybrid, per (claim, document).
 
 Every document is a corpus of its own: term statistics are grouped by
-document, never global. Claims meet sentences through an inverted join on
-(document-independent) terms, so no claim-document product is formed; only
-pairs that share a term exist after the join.
+document, never global. Sentences are dealt by document once; statistics,
+the meeting with the claims and the choice of the best all happen where a
+document then lies. For this the claims' terms go to all tasks, if a count
+finds them few; otherwise terms and claims are joined, and shuffled again.
+These are the scores of all pairs that share a term; `index` finds the best of
+a corpus without them.
 """
 
 from __future__ import annotations
@@ -12,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidentia.functions import text as T
+from evidentia.plans.storage import kept
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 TFIDF_SHARE = 0.4
@@ -24,17 +28,32 @@ def sentences(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(kept).alias("sent_ix", "sentence"))
 
 
-def _claim_terms(claims: DataFrame, tokenize) -> DataFrame:
+#: Rows of (claim, term) that are sent to all tasks, about 60 bytes each.
+SENT_TERMS = 200_000
+
+
+def claim_terms(claims: DataFrame, tokenize) -> DataFrame:
+    """(claim_id, term, qf): how often each claim has each term."""
     terms = claims.where("claim_id is not null").select("claim_id", F.explode(tokenize(T.text("claim"))).alias("term"))
     return terms.groupBy("claim_id", "term").agg(F.count("*").alias("qf"))
 
 
-def _term_counts(sents: DataFrame, tokenize) -> DataFrame:
-    """(doc_id, sent_ix, term, f, len): counts inside each sentence, made where the sentence lies."""
+def _met(postings: DataFrame, terms: DataFrame) -> DataFrame:
+    """postings with the claims that have their term."""
+    few = terms.limit(SENT_TERMS + 1).count() <= SENT_TERMS
+    return postings.join(F.broadcast(terms) if few else terms, "term")
+
+
+def _by_document(sents: DataFrame, tokenize) -> DataFrame:
+    """(doc_id, sent_ix, t, len): the sorted terms of each sentence, dealt by document."""
     t = F.array_sort(tokenize(F.col("sentence")))
-    rows = sents.select("doc_id", "sent_ix", t.alias("t"), F.size(t).alias("len"))
-    distinct = F.explode(F.array_distinct("t")).alias("term")
-    return rows.select("doc_id", "sent_ix", "t", "len", distinct).select("doc_id", "sent_ix", "term", F.size(F.filter("t", lambda x: x == F.col("term"))).alias("f"), "len")
+    return sents.repartition("doc_id").select("doc_id", "sent_ix", t.alias("t"), F.size(t).alias("len"))
+
+
+def _postings(rows: DataFrame) -> DataFrame:
+    """rows by distinct term, with f, its count in the sentence, in place of t."""
+    each = rows.withColumn("term", F.explode(F.array_distinct("t")))
+    return each.withColumn("f", F.size(F.filter("t", lambda x: x == F.col("term")))).drop("t")
 
 
 def split_words(c: Column) -> Column:
@@ -53,93 +72,85 @@ def top_sentences(scored: DataFrame, n: int, score: str = "score") -> DataFrame:
     return scored.where(F.col(score) > 0).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 
 
-def bm25_scores(claims: DataFrame, docs: DataFrame) -> DataFrame:
-    """(claim_id, doc_id, sent_ix, score) of the sentences that share a word with the claim.
+def bm25_postings(sents: DataFrame) -> DataFrame:
+    """(doc_id, sent_ix, term, part): what a term of a sentence adds to its score each time a claim has the term.
 
     BM25 Okapi with k1 1.5, b 0.75; a negative idf becomes a quarter of the
     document's mean idf. Words are what stands between white space, in lower
-    case. A document of one sentence has no positive score.
+    case. A document of one sentence has no positive part.
     """
-    counts = _term_counts(sentences(docs), split_words)
-    sent = Window.partitionBy("doc_id")
-    # one shuffle by document serves the document's size, its document frequencies and its mean idf
-    by_doc = counts.withColumn("first", F.row_number().over(Window.partitionBy("doc_id", "sent_ix").orderBy("term")) == 1)
-    by_doc = by_doc.withColumn("n", F.sum(F.col("first").cast("int")).over(sent)).withColumn("avgdl", F.sum(F.when(F.col("first"), F.col("len"))).over(sent) / F.col("n"))
-    df = Window.partitionBy("doc_id", "term")
-    by_doc = by_doc.withColumn("df", F.count("*").over(df)).withColumn("once", F.row_number().over(df.orderBy("sent_ix")) == 1)
-    idf = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    by_doc = by_doc.withColumn("idf", idf).withColumn("mean", F.avg(F.when(F.col("once"), F.col("idf"))).over(sent))
+    doc, term = Window.partitionBy("doc_id"), Window.partitionBy("doc_id", "term")
+    rows = _by_document(sents, split_words).where("len > 0")
+    rows = rows.withColumn("n", F.count("*").over(doc)).withColumn("avgdl", F.sum("len").over(doc) / F.col("n"))
+    each = _postings(rows).withColumn("df", F.count("*").over(term))
+    each = each.withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    once = 1 / F.col("df")  # over its postings a term counts once
+    each = each.withColumn("mean", F.sum(F.col("idf") * once).over(doc) / F.sum(once).over(doc))
     weight = F.when(F.col("idf") < 0, EPSILON * F.col("mean")).otherwise(F.col("idf"))
     part = weight * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))
-    weighted = by_doc.select("doc_id", "sent_ix", "term", part.alias("part"))
-    hits = weighted.join(_claim_terms(claims, split_words), "term")
+    return each.select("doc_id", "sent_ix", "term", part.alias("part"))
+
+
+def bm25_scores(claims: DataFrame, docs: DataFrame, sents: DataFrame | None = None) -> DataFrame:
+    """(claim_id, doc_id, sent_ix, score) of the sentences that share a word with the claim."""
+    hits = _met(bm25_postings(sentences(docs) if sents is None else sents), claim_terms(claims, split_words))
     return hits.groupBy("claim_id", "doc_id", "sent_ix").agg(T.floor_to(F.sum(F.col("qf") * F.col("part")), DIGITS).alias("score"))
 
 
-def bm25(claims: DataFrame, docs: DataFrame, n: int = 3) -> DataFrame:
-    return top_sentences(bm25_scores(claims, docs), n)
+def bm25(claims: DataFrame, docs: DataFrame, n: int = 3, sents: DataFrame | None = None) -> DataFrame:
+    return top_sentences(bm25_scores(claims, docs, sents), n)
 
 
-def tfidf_scores(claims: DataFrame, docs: DataFrame) -> DataFrame:
+def tfidf_scores(claims: DataFrame, docs: DataFrame, sents: DataFrame | None = None) -> DataFrame:
     """(claim_id, doc_id, sent_ix, score): cosine of claim and sentence, fitted per (claim, document).
 
     Smooth idf over the document's sentences and the claim; L2 norms.
     """
-    sents = sentences(docs)
-    counts = _term_counts(sents, index_words)
-    size = sents.groupBy("doc_id").agg(F.count("*").alias("n"))
-    df = counts.groupBy("doc_id", "term").agg(F.count("*").alias("df"))
-    claim = _claim_terms(claims, index_words)
-    words = claim.groupBy("claim_id").agg(F.sum(F.col("qf") * F.col("qf")).alias("q2"))
+    doc, sent, term, pair = (Window.partitionBy(*k) for k in (["doc_id"], ["doc_id", "sent_ix"], ["doc_id", "term"], ["claim_id", "doc_id"]))
+    rows = _by_document((sentences(docs) if sents is None else sents).where("doc_id is not null"), index_words)
+    each = _postings(rows.withColumn("n", F.count("*").over(doc)).where("len > 0")).withColumn("df", F.count("*").over(term))
     # a term's weight depends on whether the claim has it: idf = ln((2 + n) / (1 + df + has)) + 1
     idf = lambda has: F.log((2 + F.col("n")) / (1 + F.col("df") + has)) + 1
-    rows = counts.join(df, ["doc_id", "term"]).join(size, "doc_id")
-    rows = rows.select("doc_id", "sent_ix", "term", "f", "n", "df", (F.col("f") * idf(F.lit(0))).alias("alone"), (F.col("f") * idf(F.lit(1))).alias("shared"))
-    norms = rows.groupBy("doc_id", "sent_ix").agg(F.sum(F.col("alone") * F.col("alone")).alias("s2"))
-    # the claim's norm in a document: words the document lacks have df 0
-    absent = F.log((2 + F.col("n")) / 2.0) + 1
-    met = df.join(claim, "term").join(size, "doc_id")
-    met = met.groupBy("claim_id", "doc_id", "n").agg(F.sum(F.pow(F.col("qf") * idf(F.lit(1)), F.lit(2))).alias("in2"), F.sum(F.col("qf") * F.col("qf")).alias("inq"))
-    claim_norm = met.join(words, "claim_id").select("claim_id", "doc_id", (F.col("in2") + (F.col("q2") - F.col("inq")) * F.pow(absent, F.lit(2))).alias("c2"))
-    hits = rows.join(claim, "term").groupBy("claim_id", "doc_id", "sent_ix").agg(
-        F.sum(F.col("shared") * F.col("qf") * idf(F.lit(1))).alias("dot"), F.sum(F.col("shared") * F.col("shared") - F.col("alone") * F.col("alone")).alias("change")
+    each = each.withColumn("alone", F.col("f") * idf(F.lit(0))).withColumn("shared", F.col("f") * idf(F.lit(1)))
+    each = each.withColumn("s2", F.sum(F.col("alone") * F.col("alone")).over(sent))
+    claim = claim_terms(claims, index_words)
+    claim = claim.withColumn("q2", F.sum(F.col("qf") * F.col("qf")).over(Window.partitionBy("claim_id")))
+    # the claim's norm in a document: over its postings a met term counts once; words the document lacks have df 0
+    hits = _met(each, claim).groupBy("claim_id", "doc_id", "sent_ix", "n", "s2", "q2").agg(
+        F.sum(F.col("shared") * F.col("qf") * idf(F.lit(1))).alias("dot"),
+        F.sum(F.col("shared") * F.col("shared") - F.col("alone") * F.col("alone")).alias("change"),
+        F.sum(F.pow(F.col("qf") * idf(F.lit(1)), F.lit(2)) / F.col("df")).alias("in2"),
+        F.sum(F.col("qf") * F.col("qf") / F.col("df")).alias("inq"),
     )
-    scored = hits.join(norms, ["doc_id", "sent_ix"]).join(claim_norm, ["claim_id", "doc_id"])
+    absent = F.log((2 + F.col("n")) / 2.0) + 1
+    rest = F.round(F.col("q2") - F.sum("inq").over(pair))
+    c2 = F.sum("in2").over(pair) + rest * absent * absent
     cosine = F.col("dot") / F.sqrt((F.col("s2") + F.col("change")) * F.col("c2"))
-    return scored.select("claim_id", "doc_id", "sent_ix", T.floor_to(cosine, DIGITS).alias("score"))
+    return hits.withColumn("c2", c2).select("claim_id", "doc_id", "sent_ix", T.floor_to(cosine, DIGITS).alias("score"))
 
 
-def tfidf(claims: DataFrame, docs: DataFrame, n: int = 3) -> DataFrame:
-    return top_sentences(tfidf_scores(claims, docs), n)
+def tfidf(claims: DataFrame, docs: DataFrame, n: int = 3, sents: DataFrame | None = None) -> DataFrame:
+    return top_sentences(tfidf_scores(claims, docs, sents), n)
 
 
 def hybrid(claims: DataFrame, docs: DataFrame, n: int = 5) -> DataFrame:
-    """(claim_id, doc_id, sent_ix, sentence, tfidf_score, bm25_score, combined, rank).
+    """(claim_id, doc_id, sentence, sent_ix, tfidf_score, bm25_score, combined, rank).
 
     Each retriever contributes its n best sentences; a missing side counts 0;
     combined = 0.4 tfidf + bm25. Equal sentences of a document are one row: of
     repeated TF-IDF rows the last counts, repeated BM25 rows add up. Ties: rows
-    that TF-IDF found, by its rank, then the others by BM25's.
+    that TF-IDF found, by its rank, then the others by BM25's. The documents
+    are cut into sentences once.
     """
-    texts = sentences(docs)
-    key = ["claim_id", "doc_id", "sentence"]
-    a = tfidf(claims, docs, n).join(texts, ["doc_id", "sent_ix"]).groupBy(*key).agg(F.max_by("score", "rank").alias("tfidf_score"), F.min("rank").alias("t_rank"), F.min("sent_ix").alias("t_ix"))
-    b = bm25(claims, docs, n).join(texts, ["doc_id", "sent_ix"]).groupBy(*key).agg(F.sum("score").alias("bm25_score"), F.min("rank").alias("b_rank"), F.min("sent_ix").alias("b_ix"))
-    zero = F.lit(0.0)
-    both = a.join(b, key, "full_outer").select(
-        *key,
-        F.least("t_ix", "b_ix").alias("sent_ix"),
-        F.coalesce("tfidf_score", zero).alias("tfidf_score"),
-        F.coalesce("bm25_score", zero).alias("bm25_score"),
-        T.floor_to(TFIDF_SHARE * F.coalesce("tfidf_score", zero) + F.coalesce("bm25_score", zero), DIGITS).alias("combined"),
-        F.coalesce("t_rank", F.lit(1_000) + F.col("b_rank")).alias("ord"),
+    texts = kept(sentences(docs))
+    found = tfidf(claims, docs, n, texts).withColumn("by", F.lit("t")).unionByName(bm25(claims, docs, n, texts).withColumn("by", F.lit("b")))
+    t, b, zero = F.col("by") == "t", F.col("by") == "b", F.lit(0.0)
+    rows = found.join(texts, ["doc_id", "sent_ix"]).groupBy("claim_id", "doc_id", "sentence").agg(
+        F.min("sent_ix").alias("sent_ix"),
+        F.coalesce(F.max_by(F.when(t, F.col("score")), F.when(t, F.col("rank"))), zero).alias("tfidf_score"),
+        F.coalesce(F.sum(F.when(b, F.col("score"))), zero).alias("bm25_score"),
+        F.coalesce(F.min(F.when(t, F.col("rank"))), F.lit(1_000) + F.min("rank")).alias("ord"),
     )
+    rows = rows.withColumn("combined", T.floor_to(TFIDF_SHARE * F.col("tfidf_score") + F.col("bm25_score"), DIGITS))
     order = Window.partitionBy("claim_id", "doc_id").orderBy(F.desc("combined"), "ord")
-    return both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).drop("ord")
-
-
-def best_documents(claims: DataFrame, docs: DataFrame, n: int = 5) -> DataFrame:
-    """(claim_id, doc_id, score, rank): documents by their best BM25 sentence, a search over the corpus."""
-    best = bm25_scores(claims, docs).where("score > 0").groupBy("claim_id", "doc_id").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("claim_id").orderBy(F.desc("score"), "doc_id")
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).drop("ord")

@@ -19,6 +19,7 @@ from evidentia.operators import evidence as E
 from evidentia.operators import graded
 from evidentia.operators import grammar as G
 from evidentia.operators import images as I
+from evidentia.operators import index as X
 from evidentia.operators import metadata as M
 from evidentia.operators import ocr as O
 from evidentia.operators import retrieval as R
@@ -77,7 +78,7 @@ def hybrid_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def corpus_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.best_documents(*claims_and_docs(spark, sf_dir), n=5)
+    return X.best_documents(*claims_and_docs(spark, sf_dir), n=5)
 
 
 @query

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from abc import ABC, abstractmethod
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidentia.functions import hashing as H
 from evidentia.functions import text as T
-from evidentia.operators import retrieval
+from evidentia.operators import index
 
 TTL_SECONDS = {"search": 86_400, "document": 86_400, "social": 43_200}
 
@@ -24,20 +24,25 @@ class SearchProvider(ABC):
 
 
 class CorpusProvider(SearchProvider):
-    """Ranks documents (doc_id, text, url, title) by their best BM25 sentence, which is the snippet."""
+    """Ranks documents (doc_id, text, url, title) by their best BM25 sentence, which is the snippet.
+
+    The corpus is indexed at the first search, or beforehand, at path; later
+    searches, also of other sessions, read what their queries need.
+    """
 
     name = "corpus"
 
-    def __init__(self, documents: DataFrame) -> None:
+    def __init__(self, documents: DataFrame, built: index.Index | None = None) -> None:
         self.documents = documents
+        self.built = built
 
     def search(self, queries: DataFrame, num_results: int = 5) -> DataFrame:
+        if self.built is None:
+            self.built = index.build(self.documents)
         claims = queries.select(F.col("query_id").alias("claim_id"), F.col("query").alias("claim"))
-        scores = retrieval.bm25_scores(claims, self.documents)
-        best = retrieval.top_sentences(scores, 1).drop("rank")
-        order = Window.partitionBy("claim_id").orderBy(F.desc("score"), "doc_id")
-        top = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= num_results)
-        found = top.join(retrieval.sentences(self.documents), ["doc_id", "sent_ix"]).join(self.documents.select("doc_id", "url", "title"), "doc_id")
+        top = index.search(self.built, claims, num_results)
+        texts = self.built.sentences.select("doc_id", "sent_ix", "sentence")
+        found = top.join(texts, ["doc_id", "sent_ix"]).join(self.documents.select("doc_id", "url", "title"), "doc_id")
         return found.select(F.col("claim_id").alias("query_id"), "rank", "url", "title", F.col("sentence").alias("snippet"))
 
 
