@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from evidentia.functions import hashing as H
 from evidentia.functions import text as T
+from evidentia.operators import jpeg, keypoints
 
 # Accepted types with their first bytes, and the upload limit.
 MAGIC = {"image/jpeg": ["FFD8FF"], "image/png": ["89504E47"], "image/webp": ["52494646"], "image/gif": ["47494638"]}
@@ -154,28 +155,6 @@ def frequency_score(gray: np.ndarray) -> float:
     return float(np.clip((p[edge:].sum() / mid - 0.05) / 0.15, 0, 1))
 
 
-def copy_move_score(gray: np.ndarray, block: int = 8, apart: int = 50) -> float:
-    """Share of distant equal blocks, in place of keypoint matching (no computer-vision library here).
-
-    Flat blocks don't count. The scale, (n - 5) / 20 clipped to 0..1, is that of matched keypoints.
-    """
-    h, w = gray.shape
-    if h < 2 * block or w < 2 * block:
-        return 0.0
-    tiles = np.lib.stride_tricks.sliding_window_view(gray, (block, block))[::4, ::4]
-    flat = (tiles.reshape(*tiles.shape[:2], -1) // 8).astype(np.uint8)
-    seen: dict[bytes, tuple[int, int]] = {}
-    n = 0
-    for i in range(flat.shape[0]):
-        for j in range(flat.shape[1]):
-            t = flat[i, j]
-            if t.min() == t.max():
-                continue
-            a, b = seen.setdefault(t.tobytes(), (i, j))
-            n += ((a - i) * 4) ** 2 + ((b - j) * 4) ** 2 > apart**2
-    return float(np.clip((n - 5) / 20, 0, 1))
-
-
 def image_type(bgr: np.ndarray) -> str:
     """Layout class of a decoded image, of height, width and three channels."""
     h, w = bgr.shape[:2]
@@ -201,12 +180,11 @@ def to_gray(bgr: np.ndarray) -> np.ndarray:
 SCORES = "id string, image_type string, ela double, noise double, frequency double, copy_move double"
 
 
-def forensic_scores(images: DataFrame, jpeg=None) -> DataFrame:
+def forensic_scores(images: DataFrame, saved=jpeg.saved) -> DataFrame:
     """images (id, height, width, nChannels, data), rows of 8-bit pixels as the image source decodes them -> SCORES.
 
     An image without pixels, or with too few bytes, has type UNREADABLE and
-    scores 0. jpeg: optional callable (array, quality) -> array that encodes
-    and decodes; without it the error level (ela) is null.
+    scores 0. saved: (array, quality) -> array after saving as JPEG.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -220,14 +198,14 @@ def forensic_scores(images: DataFrame, jpeg=None) -> DataFrame:
                 px = raw[: h * w * c].reshape(h, w, c)
                 px = np.repeat(px[:, :, :1], 3, axis=2) if c < 3 else px[:, :, :3]
                 gray = to_gray(px)
-                out.append((i, image_type(px), None if jpeg is None else ela_score(px, jpeg), noise_score(gray), frequency_score(gray), copy_move_score(gray)))
+                out.append((i, image_type(px), ela_score(px, saved), noise_score(gray), frequency_score(gray), keypoints.copy_move_score(gray)))
             f = pd.DataFrame(out, columns=["id", "image_type", "ela", "noise", "frequency", "copy_move"], dtype=object)
             yield f.astype({k: "float64" for k in ("ela", "noise", "frequency", "copy_move")})
 
     return images.select(F.col("id").cast("string").alias("id"), "height", "width", "nChannels", "data").mapInPandas(run, SCORES)
 
 
-def ela_score(px: np.ndarray, jpeg, quality: int = 90) -> float:
+def ela_score(px: np.ndarray, saved=jpeg.saved, quality: int = 90) -> float:
     """Spread of what saving again changes, brightened to full range."""
-    diff = np.abs(px.astype(int) - jpeg(px, quality).astype(int))
+    diff = np.abs(px.astype(int) - saved(px, quality).astype(int))
     return float(np.clip((np.clip(diff * (255.0 / max(1, diff.max())), 0, 255).std() - 10) / 70, 0, 1))

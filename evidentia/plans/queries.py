@@ -20,11 +20,12 @@ from evidentia.operators import graded
 from evidentia.operators import grammar as G
 from evidentia.operators import images as I
 from evidentia.operators import index as X
+from evidentia.operators import keypoints
 from evidentia.operators import metadata as M
 from evidentia.operators import ocr as O
 from evidentia.operators import retrieval as R
 from evidentia.operators import sentiment as S
-from evidentia.operators import social
+from evidentia.operators import social, variants
 from evidentia.operators import verdicts as V
 from evidentia.plans import derived as D
 from evidentia.plans import reads
@@ -536,7 +537,47 @@ def forensic_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = hashes(spark, sf_dir).select("id", "v").mapInPandas(draw, "id string, height int, width int, nChannels int, data binary")
     s = I.forensic_scores(drawn)
     r = I.ai_likelihood(F.col("ela"), F.col("noise"), F.col("frequency"), F.col("copy_move"))
-    return s.withColumn("r", r).select("id", "image_type", "noise", "frequency", "copy_move", F.col("r.label").alias("label"))
+    return s.withColumn("r", r).select("id", "image_type", "ela", "noise", "frequency", "copy_move", F.col("r.label").alias("label"))
+
+
+def textured(v: np.ndarray, side: int, cloned: bool) -> np.ndarray:
+    """A grey picture of coarse and fine noise, the same for the same vector; cloned: its upper left part again at the lower right."""
+    rng = np.random.default_rng(np.frombuffer(np.asarray(v, np.float32).tobytes(), np.uint32))
+    img = sum(keypoints.blurred(rng.normal(0, 1, (side, side)), s, 3 * int(s) + 1) * s * 30 for s in (1.5, 3, 6)) + 128
+    part = side * 3 // 10
+    if cloned:
+        img[-part - 20 : -20, -part - 20 : -20] = img[20 : 20 + part, 20 : 20 + part]
+    return np.clip(img, 0, 255).astype(np.uint8)
+
+
+@query
+def copy_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pictures of 160 x 160 drawn from the vectors; in every second one a part is a copy of another."""
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            pics = [textured(v, 160, i % 2 == 1) for i, v in zip(b["id"], b["v"])]
+            yield pd.DataFrame({"id": b["id"].astype(str), "height": 160, "width": 160, "data": [p.tobytes() for p in pics]})
+
+    drawn = hashes(spark, sf_dir).where("size(v) > 0").select("id", "v").mapInPandas(draw, "id string, height int, width int, data binary")
+    return keypoints.copy_moves(drawn).withColumn("cloned", F.col("id").cast("long") % 2 == 1)
+
+
+@query
+def image_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Variants of pictures of 48 x 96 pixels drawn from the vectors, dark bars on light ground turned by -20 to 20 degrees."""
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            pics = []
+            for i, v in zip(b["id"], b["v"]):
+                img = np.full((48, 96), 230, np.uint8)
+                img[16:32, 16:80] = np.where(np.resize(np.array(v, float), 64) > 0, 30, 60)[None, :]
+                pics.append(variants.rotated(img, i % 41 - 20))
+            yield pd.DataFrame({"id": b["id"].astype(str), "height": 48, "width": 96, "nChannels": 1, "data": [p.tobytes() for p in pics]})
+
+    drawn = hashes(spark, sf_dir).where("size(v) > 0").select("id", "v").mapInPandas(draw, "id string, height int, width int, nChannels int, data binary")
+    return variants.variants(drawn).select("id", "variant", "height", "width", "nChannels", F.sha2("data", 256).alias("sha256"))
 
 
 @query
