@@ -61,89 +61,170 @@ HEADINGS = ("h1", "h2")
 OTHER_ARTICLES = frozenset("ad ads advert adverts advertisement comment comments promo promotion related replies reply sponsor sponsored".split())
 ROLES = frozenset("banner navigation contentinfo complementary search form alert dialog menu toolbar".split())
 
-_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S)
+#: Elements nested deeper than this share one path; tags whose quotes lead nowhere after which quotes no longer count.
+DEEP, MISLED = 64, 16
+#: Parts of a class name that speak of the page around; the rest of the name is no name of the element.
+ABOUT = frozenset(["has", "have", "no", "not", "with", "without", "is", "hide", "show", "single"])
+
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:\"[^\"]*+\"|'[^']*+'|[^'\">]++)*+)>")
+_PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 _ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _SPACE = re.compile(r"\s+")
 Run = tuple[str, bool, str]
 
 
-def _named(name: str, attributes: str) -> tuple[str, bool, bool]:
-    """Path step of an element; whether it is something other than main text; whether it is an article."""
-    step, other, article = name, name in OTHER, name in ARTICLE
+def _excluded(name: str, value: str, article: bool) -> int:
+    """By a class or id: 2 an element other than main text, 1 one unless an article lies inside, 0 none.
+
+    A whole name says so; a name of several words says less, and one about the
+    page (has-sidebar) nothing. Page and body are never excluded.
+    """
+    found = 0
+    if name in ("html", "body"):
+        return 0
+    for token in value.split():
+        words = [w for w in re.split(r"[^a-z]+", token) if w]
+        if not words or words[0] in ABOUT or (OTHER_ARTICLES if article else OTHER_NAMES).isdisjoint(words):
+            continue
+        found = max(found, 2 if len(words) == 1 or article else 1)
+    return found
+
+
+def _named(name: str, attributes: str) -> tuple[str, int, bool]:
+    """Path step of an element; how far it is something other than main text (as _excluded); whether it is an article."""
+    step, other, article = name, 2 * (name in OTHER), name in ARTICLE
     if attributes:
         for key, *values in _ATTRIBUTE.findall(attributes):
             value = next((v for v in values if v), "").lower()
             key = key.lower()
             step += {"class": ".", "id": "#", "role": "@"}[key] + "_".join(value.split())
             if key == "role":
-                other, article = other or value in ROLES, article or value == "main"
+                other, article = max(other, 2 * (value in ROLES)), article or value == "main"
             else:
-                other = other or not (OTHER_ARTICLES if article else OTHER_NAMES).isdisjoint(re.split(r"[^a-z]+", value))
+                other = max(other, _excluded(name, value, article))
     return step, other, article
 
 
+def _markup(text: str) -> Iterator[tuple[int, int, re.Match | None]]:
+    """(start, end, tag) of all markup, None for comments and declarations, in one pass.
+
+    A quote that hides every later > is no quote: its tag ends at the next >.
+    The one who reads raw text may send the place to go on from.
+    """
+    last, at, misled = text.rfind(">"), text.find("<"), 0
+    while 0 <= at:
+        to = at + 1
+        if text.startswith("<!--", at):
+            end = text.find("-->", at + 4)
+            to = len(text) if end < 0 else end + 3
+            yield at, to, None
+        elif at < last:
+            if text[at + 1] in "!?":
+                to = text.find(">", at) + 1
+                yield at, to, None
+            elif text[at + 1].isalpha() or text[at + 1] == "/":
+                m = _TAG.match(text, at) if misled < MISLED else None
+                if not m and (m := _PLAIN_TAG.match(text, at)):
+                    misled += 1
+                if m:
+                    to = m.end()
+                    to = (yield at, to, m) or to
+        at = text.find("<", to)
+
+
 def parse(page: str | None) -> tuple[list[str], list[Run], list[str]]:
     """Tag tokens ("<path", ">path"), runs of text (path, whether other than main text, text), article paths.
 
     Unclosed, stray and crossing tags are taken as browsers take them, roughly;
-    a block boundary is a run with a line break as text.
+    a block boundary is a run with a line break as text. Time and memory grow
+    with the page: elements nested deeper than DEEP share a path.
     """
     tags: list[str] = []
-    runs: list[Run] = []
-    articles: list[str] = []
-    stack: list[tuple[str, str, bool, dict[str, int]]] = [("", "", False, {})]
-    at, text = 0, page or ""
+    raw: list[tuple[int, str]] = []
+    told: list[tuple[str, int]] = []
+    #: Of every element: its parent, its path, and how far it is something other than main text.
+    around, paths, others = [0], [""], [0]
+    stack: list[tuple[str, int, dict[str, int]]] = [("", 0, {})]
+    opened: dict[str, int] = {}
+    lifted = 0  # so many open elements, the outermost, hold an article
+    text = page or ""
 
     def close(depth: int) -> None:
+        nonlocal lifted
         while len(stack) > depth:
-            tags.append(">" + stack.pop()[1])
-
-    while at < len(text):
-        m = _MARKUP.search(text, at)
-        upto = m.start() if m else len(text)
-        if upto > at:
-            runs.append((stack[-1][1], stack[-1][2], text[at:upto]))
-        if not m:
-            break
-        at = m.end()
-        name = (m[2] or "").lower()
-        if not name:
-            continue
-        if name not in INLINE:
-            runs.append((stack[-1][1], stack[-1][2], "\n"))
-        if m[1]:
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == name), 0)
-            if depth:
-                close(depth)
-            continue
-        if name in CLOSES_P:
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == "p"), 0)
-            if depth and all(s[0] in INLINE or s[0] == "p" for s in stack[depth:]):
-                close(depth)
-        elif name in ("li", "dt", "dd", "tr", "td", "th", "option") and stack[-1][0] == name:
-            close(len(stack) - 1)
-        step, other, article = _named(name, m[3])
-        if name in GENERIC:
-            number = stack[-1][3][step] = stack[-1][3].get(step, 0) + 1
-            step += f":{number}" if number > 1 else ""
-        path = f"{stack[-1][1]}/{step}"
-        inside = any(s[0] in ARTICLE for s in stack)
-        other = stack[-1][2] or other or (name == "header" and not inside and not article)
-        tags.append("<" + path)
-        if article and not other:
-            articles.append(path)
-        if name in VOID or m[3].endswith("/"):
-            tags.append(">" + path)
-            continue
-        stack.append((name, path, other, {}))
-        if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}[^>]*>", re.I).search(text, at)
-            body = text[at : end.start()] if end else text[at:]
-            runs.append((path, True, body))
-            at = end.end() if end else len(text)
-            close(len(stack) - 1)
+            name, i, _ = stack.pop()
+            opened[name] -= 1
+            tags.append(">" + paths[i])
+        lifted = min(lifted, len(stack))
+
+    def innermost(name: str) -> int:
+        return next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == name), 0) if opened.get(name) else 0
+
+    at, markup = 0, _markup(text)
+    found = next(markup, None)
+    while found:
+        start, end, m = found
+        if start > at:
+            raw.append((stack[-1][1], text[at:start]))
+        at, resume = end, None
+        if m:
+            name = m[2].lower()
+            if name not in INLINE:
+                raw.append((stack[-1][1], "\n"))
+            if m[1]:
+                if depth := innermost(name):
+                    close(depth)
+            else:
+                if name in CLOSES_P:
+                    depth = innermost("p")
+                    if depth and all(e[0] in INLINE or e[0] == "p" for e in stack[depth:]):
+                        close(depth)
+                elif name in ("li", "dt", "dd", "tr", "td", "th", "option") and stack[-1][0] == name:
+                    close(len(stack) - 1)
+                step, other, article = _named(name, m[3])
+                up = stack[-1][1]
+                if len(stack) > DEEP:
+                    path = paths[up] if len(stack) > DEEP + 1 else f"{paths[up]}/~"
+                else:
+                    if name in GENERIC:
+                        number = stack[-1][2][step] = stack[-1][2].get(step, 0) + 1
+                        step += f":{number}" if number > 1 else ""
+                    path = f"{paths[up]}/{step}"
+                if name == "header" and not article and not any(opened.get(x) for x in ARTICLE):
+                    other = 2
+                around.append(up)
+                paths.append(path)
+                others.append(other)
+                i = len(paths) - 1
+                tags.append("<" + path)
+                if article and other < 2:
+                    told.append((path, i))
+                    for e in stack[lifted:]:  # what holds an article isn't excluded by a name of several words
+                        others[e[1]] &= 2
+                    others[i] &= 2
+                    lifted = len(stack)
+                if name in VOID or m[3].endswith("/"):
+                    tags.append(">" + path)
+                else:
+                    stack.append((name, i, {}))
+                    opened[name] = opened.get(name, 0) + 1
+                    if name in RAW:
+                        shut = re.compile(f"</{re.escape(name)}", re.I).search(text, at)
+                        stop = shut.start() if shut else len(text)
+                        raw.append((i, text[at:stop]))
+                        past = text.find(">", stop) if shut else -1
+                        at = resume = past + 1 if past >= 0 else len(text)
+                        close(len(stack) - 1)
+        try:
+            found = markup.send(resume)
+        except StopIteration:
+            found = None
+    if at < len(text):
+        raw.append((stack[-1][1], text[at:]))
     close(1)
-    return tags, runs, articles
+    for i in range(1, len(others)):
+        others[i] = 1 if others[i] or others[around[i]] else 0
+    return tags, [(paths[i], others[i] == 1, t) for i, t in raw], [p for p, i in told if not others[i]]
 
 
 def _clean(text: str) -> str:

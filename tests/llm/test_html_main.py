@@ -1,8 +1,10 @@
 import html
 import json
 import re
+import time
 
 import duckdb
+import pytest
 
 from evidentia.llm import html_main as H
 
@@ -101,3 +103,43 @@ def test_classes_nest_and_slots_follow(spark):
 
 def test_inline_elements_join():
     assert H.main_text("<p>super<wbr>cali <img src=x>fragi<img>listic</p>") == "supercali fragilistic"
+
+
+ARTICLE = "<article><h1>T</h1><p>Body text here.</p></article>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<body class="single has-sidebar">%s</body>', '<body class="header-fixed">%s</body>', '<body class="no-menu">%s</body>', '<body class="widget-area-left">%s</body>', '<html class="no-menu"><body class="menu">%s',
+        '<div class="has-sidebar">%s</div>', '<div class="header-fixed">%s</div>', '<div class="no-menu">%s</div>', '<div class="widget-area-left">%s</div>', '<div id="nav-wrap"><div class="cookie-none"><div>%s</div></div></div>',
+    ],
+)
+def test_names_around_an_article_do_not_lose_it(page):
+    assert H.main_text(page % ARTICLE) == "T Body text here."
+
+
+@pytest.mark.parametrize("name", ["sidebar", "site-footer", "main-nav", "cookie-banner", "ad-slot", "x newsletter y", "comments"])
+def test_names_beside_an_article_still_exclude(name):
+    assert H.main_text(f'<body><div class="{name}"><p>Other.</p></div><h1>T</h1><p>Text.</p></body>') == "T Text."
+
+
+@pytest.mark.parametrize("part", ['<a href="x', "<div>", '<a ">" ', "<!", "</script", "<script></script", "<div><p>", "</p><b>", "<p><b><hr>", "<!--", "<a b='", "<li><ul>", '<div class="a b">'])
+def test_long_odd_markup_takes_time_in_proportion(part):
+    """A megabyte of each, and half of it."""
+    took = []
+    for size in (500_000, 1_000_000):
+        page = part * (size // len(part))
+        began = time.process_time()
+        H.main_text(page)
+        took.append(time.process_time() - began)
+    assert took[1] < 20 and took[1] < 3.5 * took[0] + 0.5
+
+
+def test_quotes_that_never_close():
+    assert H.main_text('<p title="a > b">One</p><p title="never>Two</p><p>Three</p>') == "One Two Three"
+
+
+def test_deep_nesting_keeps_all_text():
+    deep = "<div>" * 3000 + "inner" + "</div>" * 3000
+    assert H.main_text(f"<body><main><p>a</p>{deep}<p>b</p></main></body>") == "a inner b"
