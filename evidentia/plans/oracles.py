@@ -273,6 +273,20 @@ rs AS (SELECT submission_id, concat_ws(' ', CASE overall_status WHEN 'SUPPORTED'
 ORACLES["reason_text"] = f"WITH {OVERALL}, {REASON} SELECT * FROM rs"
 ORACLES["report_json"] = f"""WITH {OVERALL}, {REASON}, {COVER} SELECT ov.submission_id, overall_status, reason AS summary, web_sources_checked AS web, independent_source_count AS sources
 FROM ov JOIN rs USING (submission_id) LEFT JOIN web USING (submission_id)"""
+ORACLES["full_report"] = f"""WITH {OVERALL}, {REASON}, {COVER},
+vc AS (SELECT claim_id, bool_or(relationship = 'SUPPORTS') AS s, bool_or(relationship = 'CONTRADICTS') AS c, count(*) AS n FROM cl GROUP BY claim_id),
+c1 AS (SELECT submission_id, string_agg(claims.claim_id::VARCHAR, '|' ORDER BY claims.claim_id) AS claim_ids, md5(string_agg(claim, '|' ORDER BY claims.claim_id)) AS claims_md5,
+  string_agg(CASE WHEN s THEN 'SUPPORTED' WHEN c THEN 'CONTRADICTED' ELSE 'UNVERIFIED' END, '|' ORDER BY claims.claim_id) AS claim_verdicts, sum(coalesce(n, 0))::BIGINT AS n_claim_sources FROM claims LEFT JOIN vc ON vc.claim_id = claims.claim_id GROUP BY submission_id),
+s1 AS (SELECT submission_id, string_agg('ev-' || i, '|' ORDER BY i) AS support_ids, string_agg(claim_id::VARCHAR, '|' ORDER BY i) AS support_claims FROM (SELECT *, row_number() OVER (PARTITION BY submission_id ORDER BY seq) AS i FROM cl WHERE relationship = 'SUPPORTS') GROUP BY submission_id),
+k1 AS (SELECT submission_id, count(*) AS n_contradicting FROM cl WHERE relationship = 'CONTRADICTS' GROUP BY submission_id),
+u1 AS (SELECT submission_id, string_agg(url, '|' ORDER BY f) AS urls, string_agg(t, '|' ORDER BY f) AS source_types FROM (SELECT submission_id, url, arg_max(source_type, seq) AS t, min(seq) AS f FROM cl GROUP BY ALL) GROUP BY submission_id),
+p1 AS (SELECT submission_id, string_agg(platform_label, '|' ORDER BY seq) AS platforms, string_agg(relationship, '|' ORDER BY seq) AS relevances, count(*) AS n_posts FROM cl WHERE platform_label IS NOT NULL GROUP BY submission_id)
+SELECT ov.submission_id, ov.overall_status, CASE WHEN ov.overall_status IN ('SUPPORTED', 'CONTRADICTED') THEN 0.88 ELSE 0.55 END::DOUBLE AS confidence, reason AS summary, coalesce(claim_ids, '') AS claim_ids, coalesce(claims_md5, md5('')) AS claims_md5,
+  coalesce(claim_verdicts, '') AS claim_verdicts, coalesce(n_claim_sources, 0) AS n_claim_sources, coalesce(support_ids, '') AS support_ids, coalesce(support_claims, '') AS support_claims, coalesce(n_contradicting, 0) AS n_contradicting,
+  coalesce(urls, '') AS urls, coalesce(source_types, '') AS source_types, coalesce(platforms, '') AS platforms, coalesce(relevances, '') AS relevances, coalesce(web_sources_checked, 0) AS web, coalesce(n_posts, 0) AS social,
+  coalesce(total_evidence_pieces, 0) AS pieces, coalesce(independent_source_count, 0) AS n_sources, 'general' AS image_type_detected, image_verdict
+FROM ov JOIN rs USING (submission_id) JOIN (SELECT submission_id, image_verdict FROM re) USING (submission_id) LEFT JOIN c1 USING (submission_id) LEFT JOIN s1 USING (submission_id) LEFT JOIN k1 USING (submission_id)
+LEFT JOIN u1 USING (submission_id) LEFT JOIN p1 USING (submission_id) LEFT JOIN web USING (submission_id) LEFT JOIN cov USING (submission_id)"""
 EDGES = """ed AS (SELECT submission_id, 'claim' AS from_node_type, claim_id::VARCHAR AS from_node_id, 'document' AS to_node_type, document_id::VARCHAR AS to_node_id,
   CASE WHEN support_score > 0.5 THEN 'SUPPORTS' WHEN contradiction_score > 0.5 THEN 'CONTRADICTS' ELSE 'CONTEXT' END AS relationship_type, CASE WHEN support_score > 0.5 THEN 0.7 WHEN contradiction_score > 0.5 THEN 0.9 ELSE 0.4 END::DOUBLE AS weight FROM cl)"""
 ORACLES["evidence_edges"] = f"WITH {CLASSIFIED}, {EDGES} SELECT * FROM ed"

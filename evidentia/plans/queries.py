@@ -29,11 +29,13 @@ from evidentia.operators import social, variants
 from evidentia.operators import verdicts as V
 from evidentia.plans import derived as D
 from evidentia.plans import reads
+from evidentia.plans.full_report import full_reports
 from evidentia.plans.pipeline import run_pipeline
 from evidentia.plans.schemas import stable_id
 from evidentia.plans.storage import kept, shared_path
 from evidentia.sources import readers, search
 from evidentia.streaming import lifecycle as L
+from evidentia.streaming import submissions
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -294,6 +296,48 @@ def submission_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run.reports.join(run.verdicts, "submission_id").select("submission_id", "n_claims", "n_hits", "n_evidence", "overall_status", "report")
 
 
+@query
+def full_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields read back from the whole reports."""
+    e = kept(classified(spark, sf_dir))
+    v = _with_image(verdict_input(spark, sf_dir, e))
+    c = derived(spark, sf_dir, D.CLAIMS).select("submission_id", "claim_id", "claim", F.lit("VALID").alias("status"), F.lit(None).cast("string").alias("reject_reason"), F.lit(None).cast("array<string>").alias("queries"))
+    stored = full_reports(c, e, v, V.reasons(v, e))
+    shape = """struct<full_report:struct<overall_status:string,claim_confidence:double,summary:string,claims:array<struct<id:string,claim_text:string,verdict:string,sources:array<struct<url:string>>>>,
+      supporting_evidence:array<struct<id:string,claim_id:string,evidence_text:string>>,contradicting_evidence:array<struct<id:string>>,sources:array<struct<url:string,source_type:string,authority_score:double>>,
+      social_media_evidence:array<struct<platform_label:string,relevance:string>>,search_coverage:struct<web_sources_checked:bigint,social_sources_checked:bigint,total_evidence_pieces:bigint>,independent_source_count:bigint,
+      image_type_detected:string,final:struct<image_verdict:string,confidence:double,reason:string>>>"""
+    r = stored.select("submission_id", F.from_json("report", shape)["full_report"].alias("r")).select("submission_id", "r.*")
+    joined = lambda c: F.array_join(c, "|")
+    return r.select(
+        "submission_id", "overall_status", F.col("claim_confidence").alias("confidence"), "summary", joined("claims.id").alias("claim_ids"), F.md5(joined("claims.claim_text").cast("binary")).alias("claims_md5"), joined("claims.verdict").alias("claim_verdicts"),
+        F.aggregate("claims", F.lit(0), lambda n, x: n + F.size(x["sources"])).cast("long").alias("n_claim_sources"), joined("supporting_evidence.id").alias("support_ids"), joined("supporting_evidence.claim_id").alias("support_claims"),
+        F.size("contradicting_evidence").cast("long").alias("n_contradicting"), joined("sources.url").alias("urls"), joined("sources.source_type").alias("source_types"), joined("social_media_evidence.platform_label").alias("platforms"),
+        joined("social_media_evidence.relevance").alias("relevances"), F.col("search_coverage.web_sources_checked").alias("web"), F.col("search_coverage.social_sources_checked").alias("social"),
+        F.col("search_coverage.total_evidence_pieces").alias("pieces"), F.col("independent_source_count").alias("n_sources"), "image_type_detected", F.col("final.image_verdict").alias("image_verdict"),
+    )
+
+
+@query
+def multimodal_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items as submissions of text, of an image, or of both, whose images repeat; read back from the whole reports."""
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            pics = [textured(np.array([i % 7], float), 96, i % 2 == 1) for i in b["submission_id"]]
+            yield pd.DataFrame({"submission_id": b["submission_id"], "height": 96, "width": 96, "nChannels": 1, "data": [p.tobytes() for p in pics], "created_at": pd.Timestamp("2024-01-01")})
+
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("submission_id"), F.when(F.col("item_id") % 3 != 1, F.col("text")).alias("text"))
+    images = items.where("submission_id % 3 > 0").select("submission_id").mapInPandas(draw, "submission_id long, height int, width int, nChannels int, data binary, created_at timestamp")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.expr(D.url("doc_id")).alias("url"), F.col("source").alias("title"))
+    run = run_pipeline(items, docs, images=images)
+    get = lambda path: F.get_json_object("report", f"$.full_report.{path}")
+    return run.full_reports.select(
+        "submission_id", get("overall_status").alias("overall_status"), get("image_verdict").alias("image_verdict"), get("image_type_detected").alias("image_type"), get("forensics.ela_score").cast("double").alias("ela"),
+        get("forensics.copy_move_score").cast("double").alias("copy_move"), get("forensics.phash_match.match_verdict").alias("match_verdict"), get("multimodal_consistency.score").cast("double").alias("consistency"), get("independent_source_count").cast("long").alias("n_sources"),
+    )
+
+
 @query
 def graded_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
@@ -655,6 +699,17 @@ def status_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.latest_status(news.withColumn("event_id", F.lit(0))).select("key", "status", F.col("ts").cast("timestamp_ntz").alias("ts"))
 
 
+@query
+def submission_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items that arrive as a stream of submissions: their status when it has run, and what their reports say."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.expr(D.url("doc_id")).alias("url"), F.col("source").alias("title"))
+    raw = spark.readStream.schema(table(spark, sf_dir, "benchmark").schema).option("pathGlobFilter", "benchmark*.parquet").parquet(sf_dir)
+    path = shared_path(spark, "submissions")
+    submissions.start(raw.select(F.col("item_id").cast("string").alias("submission_id"), "text"), path, docs).awaitTermination()
+    told = submissions.reports(spark, path).select("submission_id", F.get_json_object("report", "$.full_report.overall_status").alias("overall_status"))
+    return submissions.poll(spark, path).join(told, "submission_id", "left").select(F.col("submission_id").cast("long").alias("submission_id"), "status", "overall_status")
+
+
 @query
 def events_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("kind"), "value")
