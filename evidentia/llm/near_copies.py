@@ -8,9 +8,13 @@ its segments would have 5 bits, which all texts share. These share a band of
 ROWS min-hashes out of BANDS, but for one pair at 0.8 in 300,000. Every
 candidate is verified on its shingles, so no link is wrong.
 
-Members of a band are first compared to the band's smallest member only; pairs
-are formed just between the components that remain apart after that, so that
-a large group of copies costs as many comparisons as it has members.
+Members of a band are first compared to the band's smallest member only, so
+that a large group of copies costs as many comparisons as it has members.
+Members that remain in different components meet by an exact prefix filter,
+not pair by pair: with the shingles of each in one order, the rarest first,
+two sets that are similar enough share a shingle among the first fifth of
+both, at places and with sizes that leave room for the overlap. What a crowd
+shares is frequent, so it stands behind these.
 """
 
 from __future__ import annotations
@@ -29,6 +33,8 @@ from evidentia.llm.components import components, hot_join
 from evidentia.llm.simhash import links, majority
 
 SHINGLE, SIMILARITY, SEED = 5, 0.8, 42
+#: SIMILARITY as a fraction.
+OF = (4, 5)
 BANDS, ROWS = 24, 4
 _rng = np.random.default_rng(SEED)
 _MUL = _rng.integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1)
@@ -91,6 +97,35 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return written(pairs.join(t, "b").join(s, "a").select("a", "s", "b", "t").mapInPandas(_verify, "a long, b long"), texts=True)
 
 
+def _shingle_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        yield pd.DataFrame({"node": b["node"], "c": b["c"], "grams": [hashes(shingles(t)).view(np.int64) for t in b["text"]]})
+        del b
+        pa.default_memory_pool().release_unused()
+
+
+def prefix_pairs(rows: DataFrame) -> DataFrame:
+    """(a, b), a < b: every pair of rows (node, c, text) of different c that can be similar, by the prefix filter.
+
+    Shingles that no other row has come first in their row's order and meet
+    nothing, so only the others are joined with their counts.
+    """
+    sets = written(rows.mapInPandas(_shingle_sets, "node long, c long, grams array<long>"), texts=True)
+    each = sets.select("node", F.explode("grams").alias("h"))
+    shared = written(each.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"))
+    total = shared.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    known = hot_join(each, shared, ["h"], F.col("n"), total).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "h"))).alias("known"))  # a node's shingles are those of its text
+    size, alone = F.size("grams"), F.size("grams") - F.size("known")
+    first = size - F.ceil(size * OF[0] / OF[1]).cast("int") + 1  # so many places of the order hold a shared shingle of any similar pair
+    front = sets.join(known, "node").select("node", "c", size.alias("size"), alone.alias("alone"), F.posexplode(F.slice("known", 1, F.greatest(first - alone, F.lit(0)))).alias("i", "x"))
+    front = written(front.select("node", "c", "size", (F.col("alone") + F.col("i")).alias("at"), F.col("x.h").alias("h")))
+    p, q = front.alias("p"), front.alias("q")
+    lengths = (F.col("p.size") * OF[1] >= F.col("q.size") * OF[0]) & (F.col("q.size") * OF[1] >= F.col("p.size") * OF[0])
+    room = F.least(F.col("p.size") - F.col("p.at"), F.col("q.size") - F.col("q.at")) * (OF[0] + OF[1]) >= (F.col("p.size") + F.col("q.size")) * OF[0]
+    pairs = p.join(q, (F.col("p.h") == F.col("q.h")) & (F.col("p.c") < F.col("q.c")) & lengths & room)
+    return pairs.select(F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b")).distinct()
+
+
 def drop_similar(docs: DataFrame) -> DataFrame:
     """docs with one row of every component of similar texts: that of the smallest doc_id, null ids last.
 
@@ -125,10 +160,9 @@ def drop_similar(docs: DataFrame) -> DataFrame:
 
     apart = written(shared.select("key", "node").join(linked, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c")))
     mixed = apart.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("key")
-    apart = written(apart.join(mixed, "key"))
-    across = apart.alias("p").join(apart.alias("q"), (F.col("p.key") == F.col("q.key")) & (F.col("p.c") < F.col("q.c")))
-    across = across.select(F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b")).distinct()
-    more = _verified(written(across.join(tried, ["a", "b"], "left_anti")), texts)
+    members = apart.join(mixed, "key").select("node", "c").distinct()
+    near = prefix_pairs(texts.join(members, "node").select("node", "c", "text"))
+    more = _verified(written(near.join(tried, ["a", "b"], "left_anti")), texts)
     if not more.isEmpty():
         linked = components(linked.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
 

@@ -68,3 +68,22 @@ def test_null_and_repeated_ids(spark):
     kept = P.drop_near_copies(spark, spark.createDataFrame(rows, DOCS), "")
     assert kept.columns == ["doc_id", "text", "key"] and sorted(r["key"] for r in kept.collect()) == ["a", "b", "d", "e", "f"]
     assert P.drop_near_copies(spark, spark.createDataFrame([], DOCS), "").count() == 0
+
+
+def test_prefix_filter_loses_no_pair(spark):
+    """Texts of a crowd around the bound, whatever shares a band: all pairs at 0.8 are proposed, and few others."""
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(150):
+        w = base[: rng.choice([120, 135, 150])]
+        for k in sorted(rng.sample(range(len(w)), rng.randrange(12))):
+            w[k] = f"x{rng.randrange(40)}"
+        rows.append((i, i, " ".join(w)))
+    rows += [(200 + i, 200 + i, " ".join(rng.choices(base, k=30))) for i in range(60)] + [(300, 300, ""), (301, 301, "a b"), (302, 302, "a b")]
+    got = {(r["a"], r["b"]) for r in N.prefix_pairs(spark.createDataFrame(rows, "node long, c long, text string")).collect()}
+    sets = {i: grams(t) for i, _, t in rows}
+    near = {(x, y) for x, y in combinations(sorted(sets), 2) if sets[x] and sets[y] and 5 * len(sets[x] & sets[y]) >= 4 * len(sets[x] | sets[y])}
+    assert near and near <= got
+    pairs = len(rows) * (len(rows) - 1) // 2
+    assert len(got) < pairs / 4
