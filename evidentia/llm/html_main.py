@@ -9,10 +9,11 @@ the pages belong to the template, too. What lies between the tags of a valid
 class's container is a slot, and the slots nest as the classes do.
 
 A page's main text is the content of one slot: from the outermost slot, the
-way goes into the inner slot that holds most of what the template doesn't fix,
-as long as that is SLOT of the outer one's. Names and elements serve to
-choose among slots (an article or main element before others) and to leave
-out parts inside the slot, such as forms, adverts and comments.
+way goes into the inner slot that holds most of what the template doesn't fix
+and no link holds, as long as that is SLOT of the outer one's; below that, into
+the only one with a heading. Names serve where this leaves a choice (an article
+or main element comes before others, and ends the way) and to leave out parts
+inside the slot, such as forms, adverts and comments.
 
 Occurrence vectors are compared by a 64-bit signature that adds up in any
 order, so a host of any size is summed in partial aggregates. What meets in
@@ -338,11 +339,19 @@ def _known(template: str | None) -> tuple[Slots | None, frozenset[int]]:
     return {path: outer(path) for path in number}, frozenset(t["fixed"])
 
 
-def main_slot(runs: list[Run], slots: Slots, fixed: frozenset[int]) -> str | None:
-    """The slot that holds a page's main text, None for the page as a whole."""
+def _meant(slot: str | None) -> bool:
+    return slot is not None and (_name(slot) in ARTICLE or "@main" in slot.rpartition("/")[2])
+
+
+def main_slot(runs: list[Run], slots: Slots, fixed: frozenset[int], names: bool = True) -> str | None:
+    """The slot that holds a page's main text, None for the page as a whole.
+
+    names=False leaves elements and roles out of the choice.
+    """
     mass: dict[str | None, int] = {}
     headed: set[str | None] = set()
-    chains: dict[str, tuple[list[str | None], bool]] = {}
+    over: set[str | None] = set()  # slots with a heading at any depth
+    chains: dict[str, tuple[list[str | None], bool, bool]] = {}
     for path, other, text in runs:
         if other or text == "\n" or not (s := _clean(text)) or _hash(path, s) in fixed:
             continue
@@ -351,34 +360,43 @@ def main_slot(runs: list[Run], slots: Slots, fixed: frozenset[int]) -> str | Non
             up: list[str | None] = [own]
             while up[-1] is not None:
                 up.append(slots[up[-1]])
-            chains[path] = up, any(step.startswith(HEADINGS) for step in path[len(own or "") :].split("/"))
-        for slot in chains[path][0]:
-            mass[slot] = mass.get(slot, 0) + len(s)
-        if chains[path][1]:
-            headed.add(chains[path][0][0])
-    meant = [p for p in mass if p is not None and (_name(p) in ARTICLE or "@main" in p.rpartition("/")[2])]
-    if meant:
-        return min(meant, key=lambda p: (p.count("/"), -mass[p], p))
+            inside = path[len(own or "") :].split("/")
+            chains[path] = up, any(step.startswith(HEADINGS) for step in inside), any(re.split(r"[.#@]", step, maxsplit=1)[0] == "a" for step in inside)
+        up, heading, link = chains[path]
+        for slot in up:
+            mass[slot] = mass.get(slot, 0) + (0 if link else len(s))
+        if heading:
+            headed.add(up[0])
+            over.update(up)
     at: str | None = None
-    while at not in headed:
+    while at not in headed and not (names and _meant(at)):
         inner = [p for p in mass if p is not None and slots[p] == at]
         best = max(inner, key=lambda p: (mass[p], p), default=None)
-        if best is None or mass[best] < SLOT * mass[at]:
+        if best is None or not mass[best]:
             break
+        if mass[best] < SLOT * mass[at]:
+            tied = [p for p in inner if names and _meant(p)] or [p for p in inner if p in over]
+            if len(tied) != 1:
+                break
+            best = tied[0]
         at = best
+    if names and not _meant(at):
+        below = [p for p in mass if _meant(p) and (at is None or p.startswith(at + "/"))]
+        if below and (at is None or _name(at) == "body" or at not in headed):
+            return min(below, key=lambda p: (p.count("/"), -mass[p], p))
     return at
 
 
-def main_text(page: str | None, template: str | None = None) -> str:
-    """Main text of a page under a template of its host, or alone.
+def main_text(page: str | None, template: str | None = None, names: bool = True) -> str:
+    """Main text of a page under a template of its host, or alone; names as for main_slot.
 
     Alone, or where the page has none of the template's slots, the outermost
     article or main element is the text, or else the whole page.
     """
     slots, fixed = _known(template)
     _, runs, articles = parse(page)
-    main = main_slot(runs, slots, fixed) if slots else None
-    if main is None:
+    main = main_slot(runs, slots, fixed, names) if slots else None
+    if main is None and names:
         main = min(articles, key=len, default=None)
     out = []
     for path, other, text in runs:

@@ -143,3 +143,34 @@ def test_quotes_that_never_close():
 def test_deep_nesting_keeps_all_text():
     deep = "<div>" * 3000 + "inner" + "</div>" * 3000
     assert H.main_text(f"<body><main><p>a</p>{deep}<p>b</p></main></body>") == "a inner b"
+
+
+def test_the_template_decides_with_names_present(spark):
+    """On the pages as they are, the slots give the text without any look at names; a page alone would need them."""
+    rows = duckdb.sql("select page_id, url, html from '/root/testdata/sf0.1/pages.parquet' where page_id < 1000").fetchall()
+    df = H.hosts(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    known = {r["host"]: r["template"] for r in H.templates(df).collect()}
+    told = [(r["html"], known[r["host"]]) for r in df.collect() if r["host"] in known]
+    found = [H.main_text(h, t, names=False) for h, t in told]
+    assert len(told) > 800 and all(found) and found == [H.main_text(h, t) for h, t in told]
+    assert sum(H.main_text(h, None, names=False) != x for (h, _), x in zip(told, found)) > 0.9 * len(told)
+
+
+def test_slots_alone_find_short_articles_beside_menus(spark):
+    rows = duckdb.sql("select page_id, url, html from '/root/testdata/sf0.1/pages.parquet'").fetchall()
+    want = {i: " ".join(html.unescape(re.sub(r"<[^>]*>", "", re.sub(r"<(?:/?p|br|/?h1)>", " ", re.search(r"<article>(.*?)</article>", h, re.S)[1]))).split()) for i, _, h in rows}
+    df = spark.createDataFrame([(i, u, without_names(h)) for i, u, h in rows], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in H.extract(df).collect()}
+    assert sum(got[i] == want[i] for i in want) >= 0.99 * len(want)
+
+
+def test_evidence_comes_before_names(spark):
+    def body(i):
+        words = " ".join(f"w{i}x{k}" for k in range(40))
+        menu = "".join(f"<li><a href='/{i}/{k}'>Other story number {k} of day {i} with a long title</a></li>" for k in range(20))
+        return f"<div class='top'><ul>{menu}</ul></div><div class='body'><h1>Title {i}</h1><p>{words}</p></div><article class='teaser'><p>Next {i}</p></article>"
+
+    rows = [(i, f"http://h.example/{i}", page(body(i)), "x", "x", "x") for i in range(12)]
+    for r in H.extract(spark.createDataFrame(rows, PAGES)).collect():
+        i = r["page_id"]
+        assert r["text"] == f"Title {i} " + " ".join(f"w{i}x{k}" for k in range(40))
