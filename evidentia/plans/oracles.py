@@ -424,3 +424,33 @@ a AS (SELECT *, CASE WHEN regexp_matches(host, '^[0-9]{{1,3}}([.][0-9]{{1,3}}){{
 SELECT event_id, CASE WHEN scheme NOT IN ('http', 'https') THEN 'scheme' WHEN host = '' THEN 'host' WHEN host = 'localhost' OR ip[1] IN (0, 10, 127) OR (ip[1] = 172 AND ip[2] BETWEEN 16 AND 31) OR (ip[1] = 192 AND ip[2] = 168) OR (ip[1] = 169 AND ip[2] = 254) THEN 'private' END AS reason FROM a"""
 ORACLES["filenames"] = rf"""WITH n AS (SELECT p_partkey, regexp_replace(p_name || ' / ' || p_type || ' * ' || p_brand || {D.pick('p_partkey', ['.PNG', '.exe', '', '.jpeg'])}, '[^\p{{L}}\p{{N}}_.\-]', '_', 'g') AS c FROM part),
 x AS (SELECT *, regexp_extract(lower(c), '(\.(?:jpg|jpeg|png|webp|gif))$', 1) AS ext FROM n) SELECT p_partkey, substring(c, 1, least(length(c) - length(ext), 64 - length(ext))::INT) || ext AS name FROM x"""
+
+def _bare(x: str) -> str:
+    return rf"""regexp_replace({x}, '^[("''\[]+|[)"''\],;:]+$', '', 'g')"""
+
+
+def _word_type(x: str) -> str:
+    low = rf"lower(regexp_replace({x}, '\.$', ''))"
+    return rf"CASE WHEN {x} IS NULL THEN '' WHEN regexp_matches({low}, '^[0-9][0-9.,]*$') THEN '##' WHEN regexp_matches({low}, '[\p{{L}}\p{{N}}]') THEN {low} ELSE '' END"
+
+
+def _ratio(a: str, b: str, both: str, n: str) -> str:
+    def log(k: str, m: str, p: str) -> str:
+        q = f"greatest(least({p}, 1 - 1e-12::DOUBLE), 1e-12::DOUBLE)"
+        return f"({k} * ln({q}) + ({m} - {k}) * ln(1 - {q}))"
+
+    p, p1, p2 = f"({b}::DOUBLE / {n})", f"({both}::DOUBLE / {a})", f"(({b} - {both})::DOUBLE / greatest({n} - {a}, 1))"
+    return f"CASE WHEN {p1} > {p} THEN 2 * ({log(both, a, p1)} + {log(f'({b} - {both})', f'({n} - {a})', p2)} - {log(both, a, p)} - {log(f'({b} - {both})', f'({n} - {a})', p)}) ELSE 0.0 END"
+
+
+_TOKENS = rf"""w AS (SELECT coalesce(lang, 'und') AS lang, list_filter(string_split_regex(coalesce(text, ''), '[\t\n\x0B\f\r ]+'), lambda w_: w_ <> '') AS w FROM documents),
+x AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w), b AS (SELECT lang, {_bare('w[i]')} AS b, CASE WHEN i > 1 THEN {_bare('w[i - 1]')} END AS p FROM x),
+tk AS (SELECT lang, {_word_type('b')} AS word, ends_with(b, '.') AND NOT ends_with(b, '..') AS dot, {_word_type('p')} AS before, ends_with(p, '.') AND NOT ends_with(p, '..') AS before_dot FROM b),
+c AS (SELECT lang, word, count(*) AS n, count(CASE WHEN dot THEN 1 END) AS n_dot FROM tk WHERE word <> '' GROUP BY ALL), s AS (SELECT lang, sum(n)::BIGINT AS alln, sum(n_dot)::BIGINT AS dots FROM c GROUP BY ALL),
+r AS (SELECT c.*, least(dots::DOUBLE / alln, 1 - 1e-9::DOUBLE) AS p, n - n_dot AS wo, length(replace(word, '.', '')) AS le FROM c JOIN s USING (lang) WHERE n_dot > 0 AND word <> '##'),
+pw AS (SELECT lang, word, n, n_dot, {to('-2 * ((n_dot * ln(p) + wo * ln(1 - p)) - (n_dot * ln(0.99::DOUBLE) + wo * ln(1 - 0.99::DOUBLE))) * exp(-le) * (length(word) - le + 1) * pow(greatest(le, 1)::DOUBLE, -wo)', 4)} AS score FROM r)"""
+ORACLES["period_words"] = f"WITH {_TOKENS} SELECT *, score >= 0.3 AS abbreviation FROM pw"
+ORACLES["sentence_starters"] = rf"""WITH {_TOKENS}, q AS (SELECT lang, before, word, count(*) AS n FROM tk WHERE before_dot AND before <> '' AND word <> '' GROUP BY ALL),
+e AS (SELECT q.* FROM q WHERE NOT EXISTS (SELECT 1 FROM pw WHERE pw.lang = q.lang AND pw.word = q.before AND score >= 0.3) AND NOT regexp_matches(before, '^(?:\p{{L}}|##)$')),
+f AS (SELECT lang, word, sum(n)::BIGINT AS n_after FROM e GROUP BY ALL), k AS (SELECT lang, sum(n)::BIGINT AS breaks FROM e GROUP BY ALL),
+g AS (SELECT f.lang, f.word, c.n, n_after, {to(_ratio('breaks', 'c.n', 'n_after', 'alln'), 2)} AS ratio FROM f JOIN c USING (lang, word) JOIN k USING (lang) JOIN s USING (lang)) SELECT * FROM g WHERE ratio >= 30"""

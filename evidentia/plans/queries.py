@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from evidentia.functions import hashing as H
 from evidentia.functions import text as T
 from evidentia.functions import urls as U
+from evidentia.operators import boundaries as B
 from evidentia.operators import claims as C
 from evidentia.operators import consistency as K
 from evidentia.operators import entities as N
@@ -89,6 +90,26 @@ def sentences_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.sentences(table(spark, sf_dir, "documents")).select("doc_id", "sent_ix", "sentence")
 
 
+@query
+def period_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word that comes with a period: whether the corpus says that it is an abbreviation."""
+    return B.period_words(B.word_counts(table(spark, sf_dir, "documents")))
+
+
+@query
+def sentence_starters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    counts, pairs = kept(B.word_counts(docs)), kept(B.dotted_pairs(docs))
+    return B.starters(counts, pairs, B.period_words(counts).where("abbreviation").select("lang", "word"))
+
+
+@query
+def sentences_learnt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences of all documents by boundaries that all documents taught."""
+    docs = table(spark, sf_dir, "documents")
+    return B.sentences(docs, B.learn(docs))
+
+
 # --- text
 
 
