@@ -454,3 +454,12 @@ ORACLES["sentence_starters"] = rf"""WITH {_TOKENS}, q AS (SELECT lang, before, w
 e AS (SELECT q.* FROM q WHERE NOT EXISTS (SELECT 1 FROM pw WHERE pw.lang = q.lang AND pw.word = q.before AND score >= 0.3) AND NOT regexp_matches(before, '^(?:\p{{L}}|##)$')),
 f AS (SELECT lang, word, sum(n)::BIGINT AS n_after FROM e GROUP BY ALL), k AS (SELECT lang, sum(n)::BIGINT AS breaks FROM e GROUP BY ALL),
 g AS (SELECT f.lang, f.word, c.n, n_after, {to(_ratio('breaks', 'c.n', 'n_after', 'alln'), 2)} AS ratio FROM f JOIN c USING (lang, word) JOIN k USING (lang) JOIN s USING (lang)) SELECT * FROM g WHERE ratio >= 30"""
+
+
+def _ended(rows: str, event: str, seconds: int) -> str:
+    gap = f"CASE WHEN nxt IS NOT NULL THEN nxt - ts > INTERVAL {seconds} SECOND ELSE ts + INTERVAL {seconds} SECOND < (SELECT max(ts) - INTERVAL 10 MINUTE FROM {rows}) END"
+    return f"n AS (SELECT *, lead(ts) OVER (PARTITION BY key ORDER BY ts, {event}) AS nxt FROM {rows} WHERE key IS NOT NULL), g AS (SELECT *, {gap} AS stuck FROM n)"
+
+
+ORACLES["ended_runs"] = f"WITH {LIFE}, {_ended('life', 'event_id', 172_800)} SELECT key, CASE WHEN status IN ('complete', 'error') THEN status ELSE 'timeout' END AS status, ts, event_id FROM g WHERE status IN ('complete', 'error') OR stuck"
+ORACLES["expired_entries"] = f"WITH wr AS (SELECT user_id AS key, event_id AS value, ts FROM events), {_ended('wr', 'value', 86_400)} SELECT key, value, ts FROM g WHERE stuck"

@@ -36,7 +36,7 @@ from evidentia.plans.schemas import stable_id
 from evidentia.plans.storage import kept, shared_path
 from evidentia.sources import readers, search
 from evidentia.streaming import lifecycle as L
-from evidentia.streaming import submissions
+from evidentia.streaming import submissions, timers
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -720,6 +720,23 @@ def status_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.latest_status(news.withColumn("event_id", F.lit(0))).select("key", "status", F.col("ts").cast("timestamp_ntz").alias("ts"))
 
 
+@query
+def ended_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs on the event stream that complete, fail, or are stuck for more than two days."""
+    timers.use_state_store(spark)
+    states = F.create_map(*[F.lit(x) for kv in D.STATES.items() for x in kv])
+    moves = event_stream(spark, sf_dir).select(F.col("user_id").alias("key"), "event_id", states[F.col("event_type")].alias("status"), "ts").where("status is not null")
+    return run_stream(timers.ended_runs(moves, 2 * 86_400)).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@query
+def expired_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cache writes on the event stream that nothing renewed for a day."""
+    timers.use_state_store(spark)
+    writes = event_stream(spark, sf_dir).select(F.col("user_id").alias("key"), F.col("event_id").alias("value"), "ts")
+    return run_stream(timers.expired_entries(writes, 86_400)).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
 @query
 def submission_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items that arrive as a stream of submissions: their status when it has run, and what their reports say."""

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,48 +25,45 @@ def use_state_store(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
 
 
-def _micros(at: pd.Timestamp) -> int:
-    return at.value // 1000
-
-
 class _Runs(StatefulProcessor):
-    """The last news of a run by (time, event); a timer at its time plus the limit."""
+    """The last news of an open run, and one timer at its time plus the limit."""
 
-    def __init__(self, limit_ms: int) -> None:
-        self.limit_ms = limit_ms
+    def __init__(self, limit_us: int) -> None:
+        self.limit_us = limit_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.last = handle.getValueState("last", "status string, ts long, event_id long")
 
-    def _row(self, key: tuple, status: str, ts: int, event_id: int) -> pd.DataFrame:
-        return pd.DataFrame({"key": [key[0]], "status": [status], "ts": [pd.Timestamp(ts * 1000)], "event_id": [event_id]})
-
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        last = self.last.get() if self.last.exists() else None
-        newest = last
-        for b in rows:
-            b = b.sort_values(["ts", "event_id"])
-            r = b.iloc[-1]
-            at = (_micros(r["ts"]), int(r["event_id"]))
-            if newest is None or at > (newest[1], newest[2]):
-                newest = (r["status"], *at)
-        if newest == last:
-            return
+        news = pd.concat([b[["status", "ts", "event_id"]] for b in rows]).assign(at=lambda f: f["ts"].astype("datetime64[us]").astype("int64"))
+        if self.last.exists():
+            status, at, event_id = self.last.get()
+            fresh = (news["at"] > at) | ((news["at"] == at) & (news["event_id"] > event_id))
+            news = pd.concat([pd.DataFrame({"status": [status], "at": [at], "event_id": [event_id]}), news[fresh]])
+        news = news.sort_values(["at", "event_id", "status"])
+        at = news["at"].to_numpy()
+        done = news["status"].isin(DONE).to_numpy()
+        stuck = ~done & (np.diff(at, append=at[-1]) > self.limit_us)
         for t in list(self.handle.listTimers()):
             self.handle.deleteTimer(t)
-        if newest[0] in DONE:
+        if done[-1]:
             self.last.clear()
-            yield self._row(key, *newest)
-            return
-        self.last.update(newest)
-        self.handle.registerTimer(max(newest[1] // 1000 + self.limit_ms, timerValues.getCurrentWatermarkInMs() + 1))
+        else:
+            self.last.update((news["status"].iloc[-1], int(at[-1]), int(news["event_id"].iloc[-1])))
+            self.handle.registerTimer(max((int(at[-1]) + self.limit_us) // 1000, timerValues.getCurrentWatermarkInMs() + 1))
+        ended = news[done | stuck]
+        if len(ended):
+            yield self._rows(key, ended["status"].where(done[done | stuck], "timeout"), ended["at"], ended["event_id"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if self.last.exists():
-            _, ts, event_id = self.last.get()
+            _, at, event_id = self.last.get()
             self.last.clear()
-            yield self._row(key, "timeout", ts, event_id)
+            yield self._rows(key, pd.Series(["timeout"]), pd.Series([at]), pd.Series([event_id]))
+
+    def _rows(self, key: tuple, status: pd.Series, at: pd.Series, event_id: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame({"key": key[0], "status": status.to_numpy(), "ts": pd.to_datetime(at.to_numpy(), unit="us"), "event_id": event_id.to_numpy()})
 
     def close(self) -> None:
         pass
@@ -74,49 +72,20 @@ class _Runs(StatefulProcessor):
 def ended_runs(events: DataFrame, limit_seconds: int, delay: str = "10 minutes") -> DataFrame:
     """Stream of (key, status, ts, event_id) -> a row when a run ends: complete, error, or timeout.
 
-    timeout: the watermark is limit_seconds beyond the run's last news, whose
-    time and event the row names. Rows without key or time are left out, since
-    no run and no timer can hold them. A run that has ended may start again.
+    timeout: nothing came for more than limit_seconds after the news that the
+    row names; it is told by the run's next news or by the watermark, whichever
+    is first. Events go by time, then event_id; one that comes in a later batch
+    than newer news of an open run is left out, as are rows without key or time.
+    A batch's rows of one key meet in one task; the source's limits of rows or
+    files a batch bound them.
     """
-    rows = events.where("key is not null and ts is not null").select("key", F.coalesce("status", F.lit("")).alias("status"), "ts", F.col("event_id").cast("long").alias("event_id")).withWatermark("ts", delay)
-    return rows.groupBy("key").transformWithStateInPandas(_Runs(limit_seconds * 1000), "key long, status string, ts timestamp, event_id long", "append", "EventTime")
-
-
-class _Entries(StatefulProcessor):
-    """The last write of a key, until its time is over."""
-
-    def __init__(self, ttl_ms: int) -> None:
-        self.ttl_ms = ttl_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.entry = handle.getValueState("entry", "value long, ts long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        old = self.entry.get() if self.entry.exists() else None
-        new = old
-        for b in rows:
-            r = b.sort_values(["ts", "value"]).iloc[-1]
-            if new is None or (_micros(r["ts"]), int(r["value"])) > (new[1], new[0]):
-                new = (int(r["value"]), _micros(r["ts"]))
-        if new != old:
-            for t in list(self.handle.listTimers()):
-                self.handle.deleteTimer(t)
-            self.entry.update(new)
-            self.handle.registerTimer(max(new[1] // 1000 + self.ttl_ms, timerValues.getCurrentWatermarkInMs() + 1))
-        yield from ()
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.entry.exists():
-            value, ts = self.entry.get()
-            self.entry.clear()
-            yield pd.DataFrame({"key": [key[0]], "value": [value], "ts": [pd.Timestamp(ts * 1000)]})
-
-    def close(self) -> None:
-        pass
+    rows = events.where("key is not null and ts is not null").select("key", F.coalesce("status", F.lit("")).alias("status"), "ts", F.coalesce(F.col("event_id").cast("long"), F.lit(-1)).alias("event_id"))
+    kind = dict(events.dtypes)["key"]
+    return rows.withWatermark("ts", delay).groupBy("key").transformWithStateInPandas(_Runs(limit_seconds * 1_000_000), f"key {kind}, status string, ts timestamp, event_id long", "append", "EventTime")
 
 
 def expired_entries(writes: DataFrame, ttl_seconds: int, delay: str = "10 minutes") -> DataFrame:
-    """Stream of cache writes (key, value, ts) -> each entry (its last write) when it expires and leaves the state."""
-    rows = writes.where("key is not null and ts is not null").select("key", F.col("value").cast("long").alias("value"), "ts").withWatermark("ts", delay)
-    return rows.groupBy("key").transformWithStateInPandas(_Entries(ttl_seconds * 1000), "key long, value long, ts timestamp", "append", "EventTime")
+    """Stream of cache writes (key, value long, ts) -> each write after which ttl_seconds passed without another, when it leaves the state."""
+    rows = writes.select("key", F.lit("live").alias("status"), "ts", F.col("value").alias("event_id"))
+    return ended_runs(rows, ttl_seconds, delay).select("key", F.col("event_id").alias("value"), "ts")
+
