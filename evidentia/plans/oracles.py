@@ -463,3 +463,8 @@ def _ended(rows: str, event: str, seconds: int) -> str:
 
 ORACLES["ended_runs"] = f"WITH {LIFE}, {_ended('life', 'event_id', 172_800)} SELECT key, CASE WHEN status IN ('complete', 'error') THEN status ELSE 'timeout' END AS status, ts, event_id FROM g WHERE status IN ('complete', 'error') OR stuck"
 ORACLES["expired_entries"] = f"WITH wr AS (SELECT user_id AS key, event_id AS value, ts FROM events), {_ended('wr', 'value', 86_400)} SELECT key, value, ts FROM g WHERE stuck"
+
+ORACLES["sessions_sql"] = """WITH a AS (SELECT user_id, epoch_us(ts) // 1000000 AS t FROM events WHERE ts IS NOT NULL), b AS (SELECT *, coalesce(t - lag(t) OVER w > 3600, false)::INT AS cut FROM a WINDOW w AS (PARTITION BY user_id ORDER BY t)),
+c AS (SELECT user_id, t, sum(cut) OVER (PARTITION BY user_id ORDER BY t)::INT AS session_ix FROM b) SELECT user_id, session_ix, min(t) AS first, max(t) AS last, count(*) AS n FROM c GROUP BY ALL"""
+ORACLES["sentences_sql"] = rf"""WITH r AS (SELECT conv_id, turn, list_filter(list_transform(string_split(regexp_replace({strip("coalesce(text, '')")}, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: {strip('x')}), lambda s: s <> '') AS l FROM conversations)
+SELECT conv_id, turn, unnest(range(len(l)))::INT AS sent_ix, unnest(l) AS sentence FROM r"""

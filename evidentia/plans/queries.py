@@ -34,7 +34,7 @@ from evidentia.plans.full_report import full_reports
 from evidentia.plans.pipeline import run_pipeline
 from evidentia.plans.schemas import stable_id
 from evidentia.plans.storage import kept, shared_path
-from evidentia.sources import readers, search
+from evidentia.sources import readers, search, table_functions
 from evidentia.streaming import lifecycle as L
 from evidentia.streaming import submissions, timers
 
@@ -761,6 +761,21 @@ def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_stream(L.windowed_counts(e, "1 hour", delay="10 minutes")).select(F.col("start").cast("timestamp_ntz").alias("start"), "kind", "n")
 
 
+@query
+def sessions_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of each user, an hour apart, in SQL alone."""
+    table_functions.register(spark)
+    times = "SELECT user_id, timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts) AS at FROM {events}"
+    return spark.sql(f"SELECT key AS user_id, session_ix, first, last, n FROM sessions_of(TABLE({times}) PARTITION BY user_id ORDER BY (at), 3600)", events=table(spark, sf_dir, "events"))
+
+
+@query
+def sentences_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences of the conversations' turns, in SQL alone."""
+    table_functions.register(spark)
+    return spark.sql("SELECT conv_id, turn, s.sent_ix, s.sentence FROM {turns} AS t, LATERAL sentences_of(t.text) AS s", turns=table(spark, sf_dir, "conversations"))
+
+
 @query
 def rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), "user_id")
