@@ -48,26 +48,27 @@ def _type(bare: Column) -> Column:
     return F.when(word.rlike(r"^[0-9][0-9.,]*$"), NUMBER).when(word.rlike(r"[\p{L}\p{N}]"), word).otherwise("")
 
 
-def tokens(documents: DataFrame) -> DataFrame:
-    """documents (text, lang) -> one row per word: lang (null: und), word, dot, capital, and before (the word before
-    as type), before_dot, before_end (it ended in . ! or ?), null for a text's first word."""
+def neighbours(documents: DataFrame) -> DataFrame:
+    """documents (text, lang) -> one row per word between white space: lang (null: und), w, and p, the one before
+    (null for a text's first)."""
     split = documents.select(F.coalesce("lang", F.lit("und")).alias("lang"), T.words(T.text("text")).alias("w")).where(F.size("w") > 0)
-    pairs = split.select("lang", F.explode(F.arrays_zip(F.col("w").alias("w"), F.concat(F.array(F.lit(None).cast("string")), F.slice("w", 1, F.size("w") - 1)).alias("p"))).alias("t"))
-    rows = pairs.select("lang", _bare(F.col("t.w")).alias("b"), _bare(F.col("t.p")).alias("p"))
-    dot = lambda c: c.endswith(".") & ~c.endswith("..")
-    return rows.select(
-        "lang", _type(F.col("b")).alias("word"), dot(F.col("b")).alias("dot"), F.col("b").rlike(r"^\p{Lu}").alias("capital"),
-        _type(F.col("p")).alias("before"), dot(F.col("p")).alias("before_dot"), F.col("p").rlike(r"[.!?]$").alias("before_end"),
-    ).where(F.col("word") != "")
+    before = F.concat(F.array(F.lit(None).cast("string")), F.slice("w", 1, F.size("w") - 1))
+    return split.select("lang", F.explode(F.arrays_zip(F.col("w").alias("w"), before.alias("p"))).alias("t")).select("lang", "t.w", "t.p")
+
+
+def _dot(bare: Column) -> Column:
+    return bare.endswith(".") & ~bare.endswith("..")
 
 
 def word_counts(documents: DataFrame) -> DataFrame:
     """(lang, word, n, n_dot, n_lower, n_capital_inside): occurrences, with a period behind, in lower case, and with
-    a capital although no sentence end comes before."""
-    one = lambda c: F.count(F.when(c, 1))
-    return tokens(documents).groupBy("lang", "word").agg(
-        F.count("*").alias("n"), one(F.col("dot")).alias("n_dot"), one(~F.col("capital")).alias("n_lower"),
-        one(F.col("capital") & F.col("before_end").eqNullSafe(False)).alias("n_capital_inside"),
+    a capital although no sentence end comes before. Spellings are counted first, then brought to types."""
+    spelt = neighbours(documents).groupBy("lang", "w", F.col("p").rlike(r"[.!?][)\"'\],;:]*$").alias("begins")).agg(F.count("*").alias("k"))
+    rows = spelt.select("lang", "begins", "k", _bare(F.col("w")).alias("b")).select("lang", _type(F.col("b")).alias("word"), _dot(F.col("b")).alias("dot"), F.col("b").rlike(r"^\p{Lu}").alias("capital"), "begins", "k")
+    total = lambda c: F.sum(F.when(c, F.col("k")).otherwise(0))
+    return rows.where(F.col("word") != "").groupBy("lang", "word").agg(
+        F.sum("k").alias("n"), total(F.col("dot")).alias("n_dot"), total(~F.col("capital")).alias("n_lower"),
+        total(F.col("capital") & F.col("begins").eqNullSafe(False)).alias("n_capital_inside"),
     )
 
 
@@ -91,8 +92,10 @@ def period_words(counts: DataFrame) -> DataFrame:
 
 def dotted_pairs(documents: DataFrame) -> DataFrame:
     """(lang, word, following, n): words with a period and the word behind it."""
-    t = tokens(documents).where(F.col("before_dot") & (F.col("before") != ""))
-    return t.groupBy("lang", F.col("before").alias("word"), F.col("word").alias("following")).agg(F.count("*").alias("n"))
+    spelt = neighbours(documents).where(F.col("p").rlike(r"\.[)\"'\],;:]*$")).groupBy("lang", "p", "w").agg(F.count("*").alias("k"))
+    rows = spelt.select("lang", _bare(F.col("p")).alias("p"), _type(_bare(F.col("w"))).alias("following"), "k")
+    rows = rows.where(_dot(F.col("p"))).select("lang", _type(F.col("p")).alias("word"), "following", "k")
+    return rows.where("word != '' and following != ''").groupBy("lang", "word", "following").agg(F.sum("k").alias("n"))
 
 
 def likelihood(a: Column, b: Column, both: Column, n: Column) -> Column:
