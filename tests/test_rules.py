@@ -184,6 +184,29 @@ def test_banded_matches_equal_all_pairs(spark):
     assert got == {(i, j) for i, x in enumerate(vals) for j, y in enumerate(vals) if i != j and bin(x ^ y).count("1") <= 10}
 
 
+def test_near_bits_equal_all_pairs_in_small_steps(monkeypatch):
+    monkeypatch.setattr(I, "CANDIDATES", 50)
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.integers(-(2**63), 2**63 - 1, 60), np.zeros(40, np.int64)])  # zeros crowd a value of every piece
+    y = np.concatenate([x[:50] ^ (1 << 63 - 3) ^ 5, rng.integers(0, 2**10, 60), -(1 << np.arange(0, 63, 4))])  # negative ones differ from 0 in many bits
+    i, j = I.near_bits(x, y)
+    assert list(zip(i.tolist(), j.tolist())) == [(a, b) for a in range(len(x)) for b in range(len(y)) if bin((int(x[a]) ^ int(y[b])) & (2**64 - 1)).count("1") <= 10]
+    assert [len(v) for v in I.near_bits(x[:0], y)] == [0, 0] == [len(v) for v in I.near_bits(x, y[:0])]
+
+
+def test_blocks_of_hashes_equal_all_pairs_with_few_rows_shuffled(spark, monkeypatch):
+    """A class goes to as many tasks as there are blocks, not to a row for each of 548 probes."""
+    monkeypatch.setattr(I, "BLOCK", 32)
+    rng = np.random.default_rng(4)
+    base = rng.integers(-(2**62), 2**62, 12)
+    vals = [int(b) ^ int(sum(1 << int(k) for k in rng.choice(63, int(rng.integers(0, 14)), replace=False))) for b in base for _ in range(10)]
+    df = spark.createDataFrame([(i, format(v % 2**64, "016x"), 1) for i, v in enumerate(vals)], "id int, phash string, created_at int")
+    matches = I.phash_matches(df)
+    got = [(r["id"], r["match_id"]) for r in matches.collect()]
+    assert sorted(got) == [(i, j) for i, x in enumerate(vals) for j, y in enumerate(vals) if i != j and bin((x ^ y) % 2**64).count("1") <= 10]
+    assert I.phash_matches(df.limit(0)).count() == 0
+
+
 def test_reverse_queries_and_sightings(spark):
     q = one(spark, I.reverse_queries(F.lit("Heavy Rain Lashes Mumbai Traffic Disrupted Schools Remain Closed")))
     assert len(q) == 2 and "Mumbai" in q[0] and q[1].endswith("news report") and one(spark, I.reverse_queries(F.lit(None).cast("string"))) == []
