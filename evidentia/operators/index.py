@@ -26,6 +26,10 @@ from evidentia.operators import retrieval as R
 from evidentia.plans.storage import kept, shared_path
 
 BLOCK = 1024
+#: Rows (claim_id, doc_id, sent_ix) that are sent to all tasks, about 60 bytes each.
+SENT_ROWS = 400_000
+#: Levels of several blocks that are sent to all tasks, about 40 bytes each.
+SENT_LEVELS = 500_000
 #: Levels in which a part of 1 is cut.
 STEPS = 4
 #: Postings of a query that are read for the threshold, for each result wanted.
@@ -58,16 +62,20 @@ def build(docs: DataFrame, path: str | None = None) -> Index:
     """
     spark = docs.sparkSession
     path = path or shared_path(spark, "index")
-    sents = kept(R.sentences(docs.where("doc_id is not null")))
-    postings = kept(R.bm25_postings(sents).withColumn("level", F.floor(F.col("part") * STEPS).cast("int")))
-    terms = postings.groupBy("doc_id", "sent_ix").agg(F.sort_array(F.collect_list(F.struct("term", "part"))).alias("x"))
+    sents = R.sentences(docs.where("doc_id is not null"))
+    terms = R.bm25_postings(sents).groupBy("doc_id", "sent_ix").agg(F.sort_array(F.collect_list(F.struct("term", "part"))).alias("x"))
     full = sents.join(terms, ["doc_id", "sent_ix"]).select("doc_id", "sent_ix", "sentence", F.col("x.term").alias("terms"), F.col("x.part").alias("parts"))
     full.write.parquet(f"{path}/sentences")
+    # postings are never a table of their own: both steps take them from the sentences' arrays
+    each = spark.read.parquet(f"{path}/sentences").select("doc_id", "sent_ix", F.explode(F.arrays_zip("terms", "parts")).alias("x"))
+    postings = each.select("doc_id", "sent_ix", F.col("x.terms").alias("term"), F.col("x.parts").alias("part")).withColumn("level", F.floor(F.col("part") * STEPS).cast("int"))
     sizes = postings.groupBy("term", "level").agg(F.count("*").alias("size"), F.max("part").alias("bound"))
     sizes.withColumn("n_blocks", F.ceil(F.col("size") / BLOCK)).write.parquet(f"{path}/levels")
-    levels = spark.read.parquet(f"{path}/levels")
-    dealt = postings.join(levels.select("term", "level", "n_blocks"), ["term", "level"])
-    dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("doc_id", "sent_ix"), F.col("n_blocks")))
+    # only levels of several blocks must be known to deal postings: one at most for each BLOCK of all postings
+    large = spark.read.parquet(f"{path}/levels").where("n_blocks > 1").select("term", "level", "n_blocks")
+    few = large.limit(SENT_LEVELS + 1).count() <= SENT_LEVELS
+    dealt = postings.join(F.broadcast(large) if few else large, ["term", "level"], "left")
+    dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("doc_id", "sent_ix"), F.coalesce("n_blocks", F.lit(1).cast("long"))))
     blocks = dealt.groupBy("term", "level", "shard").agg(F.max("part").alias("bound"), F.collect_list(F.struct("doc_id", "sent_ix")).alias("postings"))
     blocks.write.parquet(f"{path}/blocks")
     return open_index(spark, path)
@@ -75,7 +83,9 @@ def build(docs: DataFrame, path: str | None = None) -> Index:
 
 def _score(found: DataFrame, index: Index, queries: DataFrame) -> DataFrame:
     """(claim_id, doc_id, sent_ix, score) of the distinct sentences found, from all terms of their sentences."""
-    rows = found.distinct().join(index.sentences.select("doc_id", "sent_ix", "terms", "parts"), ["doc_id", "sent_ix"]).join(queries, "claim_id")
+    found = kept(found.distinct())
+    few = found.limit(SENT_ROWS + 1).count() <= SENT_ROWS  # then the sentences need not be shuffled
+    rows = index.sentences.select("doc_id", "sent_ix", "terms", "parts").join(F.broadcast(found) if few else found, ["doc_id", "sent_ix"]).join(queries, "claim_id")
     part = lambda t, p: F.coalesce(F.element_at("asked", t), F.lit(0)) * p
     total = F.aggregate(F.zip_with("terms", "parts", part), F.lit(0.0), lambda a, x: a + x)
     return rows.select("claim_id", "doc_id", "sent_ix", T.floor_to(total, R.DIGITS).alias("score")).where("score > 0")

@@ -47,6 +47,25 @@ def test_any_unread_share_is_exact(corpus, built, share, monkeypatch):
     assert {tuple(r) for r in got.collect()} == brute(*corpus, 3)
 
 
+def test_build_keeps_no_table_but_the_index(corpus, monkeypatch):
+    """Sentences and postings aren't written beside the index that is made of them."""
+
+    def none(df):
+        raise AssertionError("a table beside the index")
+
+    monkeypatch.setattr(X, "kept", none)
+    assert X.build(corpus[1]).blocks.count() > 0
+
+
+@pytest.mark.parametrize("sent", [0, 1 << 20])
+def test_tables_too_large_to_send_are_exact(corpus, sent, monkeypatch):
+    for name in ("SENT_ROWS", "SENT_LEVELS"):
+        monkeypatch.setattr(X, name, sent)
+    monkeypatch.setattr(X, "BLOCK", 32)
+    got = X.search(X.build(corpus[1]), corpus[0], 3).select("claim_id", "doc_id", "score", "rank")
+    assert {tuple(r) for r in got.collect()} == brute(*corpus, 3)
+
+
 def test_what_is_read(corpus, built):
     """Most postings of a claim's words are left unread, and of what is read few sentences are scored."""
     claims = corpus[0].where("claim_id < 12")
