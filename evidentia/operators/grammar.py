@@ -77,11 +77,49 @@ def triple(c: Column) -> Column:
     return T.let(w, cut)
 
 
+#: Texts from this length on have frequent characters that difflib leaves out; they go to it.
+LONG = 200
+
+
+def matching_ratio(a: str, b: str) -> float:
+    """difflib's ratio of two texts. Short ones as one number, whose bit i * w + j says that a[i] is b[j].
+
+    A number and itself, moved along the diagonal, have in common where longer
+    equal parts start; the lowest bit is the part that difflib takes.
+    """
+    if len(b) >= LONG or not a or not b:
+        return difflib.SequenceMatcher(None, a, b).ratio()
+    size = (len(b) + 8) // 8  # bytes of a row, of which one bit at least is free
+    w = 8 * size
+    places: dict[str, int] = {}
+    for j, c in enumerate(b):
+        places[c] = places.get(c, 0) | 1 << j
+    rows, none = {c: v.to_bytes(size, "little") for c, v in places.items()}, bytes(size)
+    each = int.from_bytes((b"\1" + none[1:]) * len(a), "little")
+    work, matches = [int.from_bytes(b"".join([rows.get(c, none) for c in a]), "little")], 0
+    while work:
+        x = work.pop()
+        if not x:
+            continue
+        powers = [x]
+        while y := powers[-1] & (powers[-1] >> ((w + 1) << (len(powers) - 1))):
+            powers.append(y)
+        start, k = powers[-1], 1 << (len(powers) - 1)
+        for n in range(len(powers) - 2, -1, -1):
+            if y := start & (powers[n] >> ((w + 1) * k)):
+                start, k = y, k + (1 << n)
+        i, j = divmod((start & -start).bit_length() - 1, w)
+        matches += k
+        work.append(x & ((1 << (i * w)) - 1) & (each * ((1 << j) - 1)))
+        work.append((x >> ((i + k) * w)) & (each * ((1 << len(b)) - (1 << (j + k)))))
+    return 2.0 * matches / (len(a) + len(b))
+
+
 def overlap_ratio(a: Column, b: Column) -> Column:
     """Share of matching blocks of two lower-cased texts (difflib's ratio), 0 if one is empty."""
 
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for x, y in batches:
-            yield pd.Series([difflib.SequenceMatcher(None, p, q).ratio() if p and q else 0.0 for p, q in zip(x, y)])
+            yield pd.Series([matching_ratio(p, q) if p and q else 0.0 for p, q in zip(x, y)])
 
     return F.pandas_udf(run, "double")(F.lower(T.text(a)), F.lower(T.text(b)))

@@ -1,3 +1,5 @@
+import difflib
+import random
 import struct
 
 import numpy as np
@@ -86,3 +88,12 @@ def test_submission_to_report(spark):
     got = {r["submission_id"]: r["overall_status"] for r in run.verdicts.collect()}
     assert got == {1: "LIKELY_MISLEADING", 2: "UNVERIFIED"}
     assert {r["submission_id"] for r in run.reports.collect()} == {1, 2}
+
+
+def test_matching_ratio_is_difflibs():
+    rng = random.Random(5)
+    word = lambda n, letters: "".join(rng.choice(letters) for _ in range(n))
+    pairs = [(word(rng.randrange(60), s), word(rng.randrange(60), s)) for s in ("ab", "abcde ", "aé₹😀 z") for _ in range(300)]
+    pairs += [(word(n, "abc d"), word(m, "abc d")) for n in (1, 7, 8, 9, 190, 260) for m in (1, 7, 8, 9, 15, 16, 199, 200, 240)] + [("", "a"), ("a", ""), ("", ""), ("aaaa", "aaaaaaa")]
+    for a, b in pairs:
+        assert G.matching_ratio(a, b) == difflib.SequenceMatcher(None, a, b).ratio()
