@@ -1,20 +1,25 @@
 """Sentence retrieval: TF-IDF, BM25 and their hybrid, per (claim, document).
 
 Every document is a corpus of its own: term statistics are grouped by
-document, never global. Sentences are dealt by document once; statistics,
-the meeting with the claims and the choice of the best all happen where a
-document then lies. For this the claims' terms go to all tasks, if a count
-finds them few; otherwise terms and claims are joined, and shuffled again.
+document, never global. Documents are dealt once; statistics, the meeting with
+the claims and the choice of the best all happen where a document then lies
+(`ranking`). For this the claims' terms go to all tasks, if a count finds them
+few; otherwise terms and claims are joined, and shuffled again.
 These are the scores of all pairs that share a term; `index` finds the best of
 a corpus without them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidentia.functions import text as T
+from evidentia.operators import ranking
 from evidentia.plans.storage import kept
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -30,6 +35,8 @@ def sentences(docs: DataFrame) -> DataFrame:
 
 #: Rows of (claim, term) that are sent to all tasks, about 60 bytes each.
 SENT_TERMS = 200_000
+#: Rows of a batch that leaves a task.
+OUT = 1 << 16
 
 
 def claim_terms(claims: DataFrame, tokenize) -> DataFrame:
@@ -72,6 +79,58 @@ def top_sentences(scored: DataFrame, n: int, score: str = "score") -> DataFrame:
     return scored.where(F.col(score) > 0).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 
 
+def _sent_terms(claims: DataFrame, *tokenizers) -> list[tuple[pa.Table, pa.Array] | None]:
+    """For each tokenizer the claims' terms and the claims' ids, as all tasks get them; None where there are more than SENT_TERMS."""
+    out = []
+    for tokenize in tokenizers:
+        rows = claim_terms(claims, tokenize).limit(SENT_TERMS + 1).toArrow()
+        out.append((rows, rows["claim_id"].unique()) if len(rows) <= SENT_TERMS else None)
+    known = [x for x in out if x is not None]
+    if len(known) == len(out) > 1:  # one numbering of the claims for all
+        ids = pa.concat_arrays([ids for _, ids in known]).unique()
+        out = [(rows, ids) for rows, _ in known]
+    return out
+
+
+def _listed(docs: DataFrame, tokenizers: dict, claims: DataFrame, sent: list, run: Callable, columns: str, ix: bool = True) -> DataFrame:
+    """(claim_id, doc_id, ... columns): what run yields for batches of whole documents as numbers of claims, numbers of documents and further columns."""
+    spark = docs.sparkSession
+    data = spark.sparkContext.broadcast([(ranking.Terms.of(*x), x[1]) for x in sent])
+    # documents are dealt and ordered as texts, then cut, so that each one's sentences follow each other
+    rows = sentences(docs.select("doc_id", "text").repartition("doc_id").sortWithinPartitions("doc_id"))
+    rows = rows.select("doc_id", "sent_ix", "sentence", *[f(F.col("sentence")).alias(name) for name, f in tokenizers.items()])
+    kinds = [f"{c} {claims.schema[c].dataType.simpleString() if c == 'claim_id' else docs.schema[c].dataType.simpleString()}" for c in ("claim_id", "doc_id")]
+    names = ["claim_id", "doc_id", *([] if not ix else ["sent_ix"]), *[c.split()[0] for c in columns.split(", ")]]
+    schema = ", ".join([*kinds, *(["sent_ix int"] if ix else []), columns])
+    types = {"int": pa.int32(), "double": pa.float64(), "string": pa.string()}
+    further = [types[c.split()[1]] for c in schema.split(", ")[2:]]
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, ids = [t for t, _ in data.value], data.value[0][1]
+        for batch in ranking.documents(batches):
+            b = ranking.Batch(batch)
+            for claim, doc, *rest in run(b, batch, terms) if len(ids) else ():
+                for at in range(0, len(claim), OUT):
+                    cut = slice(at, at + OUT)
+                    more = [x[cut] if isinstance(x, pa.Array) else pa.array(x[cut]).cast(t) for x, t in zip(rest, further)]
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(claim[cut])), b.ids.take(pa.array(doc[cut])), *more], names)
+
+    return rows.mapInArrow(score, schema)
+
+
+def _ranked(b: ranking.Batch, parts: Iterator[tuple]) -> Iterator[tuple]:
+    for claim, cell, units, rank in parts:
+        yield claim, b.cell_doc[cell], b.cell_ix[cell], units / 10**DIGITS, rank
+
+
+def _bm25_rows(b: ranking.Batch, batch: pa.RecordBatch, terms: ranking.Terms, n: int) -> Iterator[tuple]:
+    return ranking.bm25(batch.column("w"), b, terms, n, 10**DIGITS, K1, B, EPSILON)
+
+
+def _tfidf_rows(b: ranking.Batch, batch: pa.RecordBatch, terms: ranking.Terms, n: int) -> Iterator[tuple]:
+    return ranking.tfidf(batch.column("i"), b, terms, n, 10**DIGITS)
+
+
 def bm25_postings(sents: DataFrame) -> DataFrame:
     """(doc_id, sent_ix, term, part): what a term of a sentence adds to its score each time a claim has the term.
 
@@ -97,8 +156,11 @@ def bm25_scores(claims: DataFrame, docs: DataFrame, sents: DataFrame | None = No
     return hits.groupBy("claim_id", "doc_id", "sent_ix").agg(T.floor_to(F.sum(F.col("qf") * F.col("part")), DIGITS).alias("score"))
 
 
-def bm25(claims: DataFrame, docs: DataFrame, n: int = 3, sents: DataFrame | None = None) -> DataFrame:
-    return top_sentences(bm25_scores(claims, docs, sents), n)
+def bm25(claims: DataFrame, docs: DataFrame, n: int = 3) -> DataFrame:
+    (sent,) = _sent_terms(claims, split_words)
+    if sent is None:
+        return top_sentences(bm25_scores(claims, docs), n)
+    return _listed(docs, {"w": split_words}, claims, [sent], lambda b, batch, terms: _ranked(b, _bm25_rows(b, batch, terms[0], n)), "score double, rank int")
 
 
 def tfidf_scores(claims: DataFrame, docs: DataFrame, sents: DataFrame | None = None) -> DataFrame:
@@ -129,12 +191,15 @@ def tfidf_scores(claims: DataFrame, docs: DataFrame, sents: DataFrame | None = N
     return hits.withColumn("c2", c2).select("claim_id", "doc_id", "sent_ix", T.floor_to(cosine, DIGITS).alias("score"))
 
 
-def tfidf(claims: DataFrame, docs: DataFrame, n: int = 3, sents: DataFrame | None = None) -> DataFrame:
-    return top_sentences(tfidf_scores(claims, docs, sents), n)
+def tfidf(claims: DataFrame, docs: DataFrame, n: int = 3) -> DataFrame:
+    (sent,) = _sent_terms(claims, index_words)
+    if sent is None:
+        return top_sentences(tfidf_scores(claims, docs), n)
+    return _listed(docs.where("doc_id is not null"), {"i": index_words}, claims, [sent], lambda b, batch, terms: _ranked(b, _tfidf_rows(b, batch, terms[0], n)), "score double, rank int")
 
 
-def hybrid(claims: DataFrame, docs: DataFrame, n: int = 5) -> DataFrame:
-    """(claim_id, doc_id, sentence, sent_ix, tfidf_score, bm25_score, combined, rank).
+def hybrid(claims: DataFrame, docs: DataFrame, n: int = 5, texts: bool = True) -> DataFrame:
+    """(claim_id, doc_id, sentence, sent_ix, tfidf_score, bm25_score, combined, rank); texts: with the sentence itself.
 
     Each retriever contributes its n best sentences; a missing side counts 0;
     combined = 0.4 tfidf + bm25. Equal sentences of a document are one row: of
@@ -142,8 +207,28 @@ def hybrid(claims: DataFrame, docs: DataFrame, n: int = 5) -> DataFrame:
     that TF-IDF found, by its rank, then the others by BM25's. The documents
     are cut into sentences once.
     """
+    docs = docs.where("doc_id is not null")
+    sent = _sent_terms(claims, index_words, split_words)
+    if None in sent:
+        rows = _joined_hybrid(claims, docs, n)
+        return rows if texts else rows.drop("sentence")
+
+    def run(b: ranking.Batch, batch: pa.RecordBatch, terms: list[ranking.Terms]) -> Iterator[tuple]:
+        sides = [[], []]
+        for side, rows in zip(sides, (_tfidf_rows(b, batch, terms[0], n), _bm25_rows(b, batch, terms[1], n))):
+            side.extend(rows)
+        t, s = (tuple(map(np.concatenate, zip(*x))) for x in sides)
+        claim, row, ix, *rest, rank = ranking.fused(t, s, b, batch.column("sentence"), n, 10**DIGITS, TFIDF_SHARE)
+        yield claim, b.doc[row], *([batch.column("sentence").take(pa.array(row))] if texts else []), ix, *rest, rank
+
+    columns = f"{'sentence string, ' if texts else ''}sent_ix int, tfidf_score double, bm25_score double, combined double, rank int"
+    return _listed(docs, {"i": index_words, "w": split_words}, claims, sent, run, columns, ix=False)
+
+
+def _joined_hybrid(claims: DataFrame, docs: DataFrame, n: int) -> DataFrame:
+    """hybrid for more claims than go to all tasks."""
     texts = kept(sentences(docs))
-    found = tfidf(claims, docs, n, texts).withColumn("by", F.lit("t")).unionByName(bm25(claims, docs, n, texts).withColumn("by", F.lit("b")))
+    found = top_sentences(tfidf_scores(claims, docs, texts), n).withColumn("by", F.lit("t")).unionByName(top_sentences(bm25_scores(claims, docs, texts), n).withColumn("by", F.lit("b")))
     t, b, zero = F.col("by") == "t", F.col("by") == "b", F.lit(0.0)
     rows = found.join(texts, ["doc_id", "sent_ix"]).groupBy("claim_id", "doc_id", "sentence").agg(
         F.min("sent_ix").alias("sent_ix"),

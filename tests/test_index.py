@@ -107,3 +107,41 @@ def test_pairs_with_many_claims(corpus, monkeypatch):
     want = {tuple(r) for r in R.hybrid(claims, docs, n=2).collect()}
     monkeypatch.setattr(R, "SENT_TERMS", 0)
     assert {tuple(r) for r in R.hybrid(claims, docs, n=2).collect()} == want
+
+
+def test_pairs_are_scored_where_documents_lie(corpus, spark, monkeypatch):
+    """Only documents are shuffled, once; documents that span batches give the joined form's rows."""
+    claims, docs = corpus
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = {}
+        for f in (R.hybrid, R.bm25, R.tfidf):
+            # sentences that share an id and a number tie in the hybrid's order
+            df = f(claims, docs.where("doc_id != 3") if f is R.hybrid else docs, 2)
+            plan = df._jdf.queryExecution().sparkPlan().toString()
+            assert plan.count("Exchange") <= 1 and "Join" not in plan and "Window" not in plan
+            got[f] = sorted((tuple(r[c] for c in sorted(df.columns)) for r in df.collect()), key=str)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    monkeypatch.setattr(R, "SENT_TERMS", 0)
+    for f, rows in got.items():
+        df = f(claims, docs.where("doc_id != 3") if f is R.hybrid else docs, 2)
+        names = [c for c in sorted(df.columns) if c in ("claim_id", "doc_id", "sent_ix", "score", "rank", "sentence", "tfidf_score", "bm25_score", "combined")]
+        assert len(rows) > 100 and rows == sorted((tuple(r[c] for c in names) for r in df.collect()), key=str)
+
+
+def test_claims_in_parts(corpus, monkeypatch):
+    """Claims that are taken a few at a time give the same rows."""
+    claims, docs = corpus
+    batch = R.sentences(docs.orderBy("doc_id")).select("doc_id", "sent_ix", R.split_words(F.col("sentence")).alias("w"), R.index_words(F.col("sentence")).alias("i")).toArrow().combine_chunks().to_batches()[0]
+    i, w = (R.ranking.Terms.of(*x) for x in R._sent_terms(claims, R.index_words, R.split_words))
+    b = R.ranking.Batch(batch)
+
+    def rows():
+        parts = [[tuple(zip(*map(list, p))) for p in f(b, batch, t, 2)] for f, t in ((R._tfidf_rows, i), (R._bm25_rows, w))]
+        return [len(p) for p in parts], [sorted(r for p in part for r in p) for part in parts]
+
+    whole, want = rows()
+    monkeypatch.setattr(R.ranking, "CELLS", 20_000)
+    many, got = rows()
+    assert whole == [1, 1] and min(many) > 2 and got == want
