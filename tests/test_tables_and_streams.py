@@ -135,3 +135,21 @@ def test_order_and_partitions_of_the_input_change_nothing(spark):
     one = sorted(map(tuple, R.hybrid(b, d, 2).collect()))
     two = sorted(map(tuple, R.hybrid(b.orderBy(F.desc("claim_id")), d.repartition(7).orderBy(F.rand(1)), 2).collect()))
     assert one == two
+
+
+def test_sources_travel_as_lists(spark, monkeypatch):
+    """Pairs of submission and source are formed behind the last shuffle; repeats, nulls and unknown sources leave no rows."""
+    ev = spark.createDataFrame([(c, d) for c in range(30) for d in (c % 4, c % 7, None)] + [(None, 1), (99, 2)], "claim_id int, document_id int")
+    claims = spark.createDataFrame([(c, c % 5 if c else None) for c in range(30)], "claim_id int, submission_id int")
+    links = [(d, s) for d in range(6) for s in range(d, 9)]
+    docs = spark.createDataFrame(links * 2 + [(None, 1), (1, None)], "document_id int, source_id int")
+    sources = spark.createDataFrame([(s, f"s{s}") for s in range(8)], "source_id int, name string")
+    got = reads.sources_of(sources, docs, ev, claims)
+    plan = got._jdf.queryExecution().sparkPlan().toString()
+    assert plan.index("Generate explode") < plan.index("Exchange")
+    want = {(c % 5 if c else None, s, f"s{s}") for c in range(30) for d in (c % 4, c % 7) for x, s in links if x == d and s < 8}
+    rows = [(r["submission_id"], r["source_id"], r["name"]) for r in got.collect()]
+    assert len(rows) == len(want) and set(rows) == want
+    monkeypatch.setattr(reads, "SENT_SOURCES", 3)
+    again = [(r["submission_id"], r["source_id"], r["name"]) for r in reads.sources_of(sources, docs, ev, claims).collect()]
+    assert len(again) == len(want) and set(again) == want
