@@ -7,6 +7,11 @@ marks the ends of links, since between two neighbouring ends of either kind
 lies a part of just one token of each. Ranks by population counts turn a byte
 place into token numbers.
 
+No token of either crosses from a character that is no white space to a space,
+so texts are cut there, and a worker remembers what it has found of a part: its
+groups, as they are shown, and its links. Where this can't be relied on (text
+that a tokenizer changes, a literal U+2581), a text is one part.
+
 How many documents hold a linked pair of ids is a count over the corpus. The
 most frequent pairs, HOT of them at most, go to all tasks; the others are
 joined with the links they concern.
@@ -15,6 +20,8 @@ joined with the links they concern.
 from __future__ import annotations
 
 import hashlib
+import json
+import os
 import re
 from array import array
 from collections.abc import Iterator
@@ -30,12 +37,17 @@ from evidentia.llm.common import cached, ship, written
 
 #: Pairs of ids that are sent to all tasks, 21 bytes each.
 HOT = 1 << 20
-#: Pieces that a worker remembers for B, and the longest such piece.
+#: Parts of texts that a worker remembers, and the longest such part; and pieces that it remembers for B in texts that are one part.
 REMEMBERED, PIECE = 300_000, 48
+WHOLE = 50_000
+#: Parts that are encoded at once.
+AT_ONCE = 10_000
 #: Bits of a pair's code that hold B's id.
 B_BITS = 24
 
 _PIECE = re.compile(r" +[^ ]*")
+#: From a space up to the next one behind a character that is no white space.
+_PART = re.compile(r" \s*\S*(?:[^\S ]\s*\S*)*")
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 
 
@@ -100,20 +112,52 @@ class Pieces:
             found[" "] = [self.model.piece_to_id("▁")]
         out = [i for p in parts for i in (known.get(p) or found[p])]
         for p, ids in found.items():
-            if len(known) >= REMEMBERED:
+            if len(known) >= WHOLE:
                 break
             if len(p) <= PIECE:
                 known[p] = ids
         return out
 
 
+class Bytes:
+    """A byte-level BPE file's ids, as the tokenizers library finds them without added tokens, and the bytes they stand for."""
+
+    def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        spec = bpe_automaton.read_spec(path)
+        with open(path, encoding="utf-8") as f:
+            told = json.load(f)
+        self.model = Tokenizer.from_str(json.dumps(told | {"added_tokens": [], "truncation": None, "padding": None, "post_processor": None}))
+        alphabet, added = bpe_automaton.byte_alphabet(), {t["content"]: t["id"] for t in spec["added"]}
+        self.labels = [b""] * (1 + max([*spec["vocab"].values(), *added.values()]))
+        for token, i in spec["vocab"].items():
+            if token not in added:
+                self.labels[i] = bytes(map(alphabet.__getitem__, token))
+        for token, i in added.items():
+            self.labels[i] = token.encode()
+
+    def encode(self, text: str) -> list[int]:
+        return self.model.encode(text, add_special_tokens=False).ids
+
+    def encode_all(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+
+
 class _Pair:
     """Both tokenizers of a worker, and tables of their labels' sizes and decimal ids."""
 
     def __init__(self, a: str, b: str) -> None:
-        self.a, self.b = bpe_automaton.Tokenizer(bpe_automaton.read_spec(a), plain=True), Pieces(b)
+        self.a, self.b = Bytes(a), Pieces(b)
         self.a_size, self.b_size = (np.array([len(x) for x in t.labels], np.int64) for t in (self.a, self.b))
-        self.shift = max(len(self.a_size), len(self.b_size))
+        self.shift, self.space = max(len(self.a_size), len(self.b_size)), self.b.model.piece_to_id("▁")
+        #: Ids that stand for some bytes.
+        self.full_a, self.full_b = (frozenset(np.flatnonzero(x).tolist()) for x in (self.a_size, self.b_size))
+        #: Numbers of remembered parts; by number their groups and n_a, n_b, n_groups, n_links, and all their links' pairs.
+        self.number: dict[str, int] = {}
+        self.groups: list[bytes] = []
+        self.sizes, self.pairs = np.zeros((0, 4), np.int64), np.zeros(0, np.int64)
         #: An id and the mark behind it: , inside one side of a group, | between its sides, ; between groups.
         self.shown = [b"%d%s" % (i, mark) for mark in (b",", b"|", b";") for i in range(self.shift)]
 
@@ -127,6 +171,17 @@ class _Pair:
         a = self.a.encode(f" {text}")
         return (a, b) if 0 not in (self.a_size[a].min(), self.b_size[b].min()) else None
 
+    def ids_of_parts(self, parts: list[str]) -> list[tuple[list[int], list[int]] | None]:
+        """ids of parts that begin with a space; None where bytes are changed."""
+        labels, out = self.b.labels, []
+        for at in range(0, len(parts), AT_ONCE):
+            some = parts[at : at + AT_ONCE]
+            for p, a, b in zip(some, self.a.encode_all(some), self.b.model.encode([p[1:] for p in some], num_threads=1)):
+                b = b or [self.space]
+                same = b"".join([labels[i] for i in b]) == p.encode() and self.full_a.issuperset(a) and self.full_b.issuperset(b)
+                out.append((array("i", a), array("i", b)) if same else None)
+        return out
+
     def shown_groups(self, a: np.ndarray, b: np.ndarray, a_to: np.ndarray, b_to: np.ndarray) -> list[bytes]:
         """Every token's id and mark, in the order of the groups, A's before B's."""
         out = np.empty(len(a) + len(b), np.int64)
@@ -139,6 +194,66 @@ class _Pair:
         return list(map(self.shown.__getitem__, out.tolist()))
 
 
+    def found(self, ids: list[tuple[list[int], list[int]]]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """Groups, sizes and pairs of ids, each of which is aligned by itself."""
+        flat_a, flat_b = array("i"), array("i")
+        for a, b in ids:
+            flat_a.extend(a)
+            flat_b.extend(b)
+        n_a, n_b = [len(a) for a, _ in ids], [len(b) for _, b in ids]
+        ids_a, ids_b = np.frombuffer(flat_a, np.int32).astype(np.int64), np.frombuffer(flat_b, np.int32).astype(np.int64)
+        end_a, end_b = np.cumsum(n_a, dtype=np.int64), np.cumsum(n_b, dtype=np.int64)
+        a_to, b_to, link_a, link_b = align(self.a_size[ids_a], self.b_size[ids_b])
+        n_groups = np.diff(np.searchsorted(a_to, end_a, "right"), prepend=0)
+        n_links = np.diff(np.searchsorted(link_a, end_a, "left"), prepend=0)
+        shown = self.shown_groups(ids_a, ids_b, a_to, b_to)
+        ends = [0, *(end_a + end_b).tolist()]
+        groups = [b"".join(shown[x:y]) for x, y in zip(ends, ends[1:])]
+        return groups, np.stack([n_a, n_b, n_groups, n_links], axis=1).astype(np.int64), ids_a[link_a] << B_BITS | ids_b[link_b]
+
+    def aligned(self, texts: list[str | None]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+        """Of each text its groups and sizes; and doc (a text's place) and pair of every link."""
+        number, n = self.number, len(self.groups)
+        fresh: dict[str | tuple[str], int] = {}
+        rows: list[list[int]] = []
+        for text in texts:
+            if not text:
+                rows.append([])
+            elif not self.b.parted or "▁" in text:
+                rows.append([fresh.setdefault((text,), n + len(fresh))])
+            else:
+                parts = _PART.findall(" " + text)
+                try:
+                    rows.append([number[p] for p in parts])
+                except KeyError:
+                    rows.append([number[p] if p in number else fresh.setdefault(p, n + len(fresh)) for p in parts])
+        parts = [p for p in fresh if type(p) is str]
+        ids = dict(zip(parts, self.ids_of_parts(parts)))
+        changed = {fresh[p] for p in parts if ids[p] is None}
+        if changed:
+            for i, (text, row) in enumerate(zip(texts, rows)):
+                if not changed.isdisjoint(row):
+                    rows[i] = [fresh.setdefault((text,), n + len(fresh))]
+        groups, sizes, pairs = self.found([(ids[p] if type(p) is str else self.ids(p[0])) or ((), ()) for p in fresh])
+        all_groups, all_sizes, all_pairs = self.groups + groups, np.concatenate([self.sizes, sizes]), np.concatenate([self.pairs, pairs])
+        first = np.cumsum(all_sizes[:, 3]) - all_sizes[:, 3]
+        ends = np.cumsum([0, *map(len, rows)])
+        flat = np.fromiter((x for row in rows for x in row), np.int64, int(ends[-1]))
+        upto = np.concatenate([np.zeros((1, 4), np.int64), np.cumsum(all_sizes[flat], axis=0)])
+        told, n_links = np.diff(upto[ends], axis=0), all_sizes[flat, 3]
+        at = np.repeat(first[flat] - upto[:-1, 3], n_links) + np.arange(upto[-1, 3])
+        shown = [b"".join([all_groups[x] for x in row])[:-1] for row in rows]
+        keep = [p for p in parts if len(p) <= PIECE and ids[p] is not None][: max(REMEMBERED - n, 0)]
+        if keep:
+            mine = np.zeros(len(fresh), bool)
+            mine[[fresh[p] - n for p in keep]] = True
+            self.pairs = np.concatenate([self.pairs, pairs[np.repeat(mine, sizes[:, 3])]])
+            self.sizes = np.concatenate([self.sizes, sizes[mine]])
+            self.groups += [groups[fresh[p] - n] for p in keep]
+            number.update((p, n + i) for i, p in enumerate(keep))
+        return shown, told, np.repeat(np.arange(len(rows)), told[:, 3]), all_pairs[at]
+
+
 DOCS = "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups string, pairs array<long>, times array<int>"
 
 
@@ -161,29 +276,19 @@ def alignments(docs: DataFrame, a: str, b: str, hashed: bool = False) -> DataFra
         number = TaskContext.get().partitionId() << 36
         for batch in batches:
             for some in bpe_automaton.slices(batch):
-                flat_a, flat_b, n_a, n_b = array("i"), array("i"), [], []
-                for text in some.column("text").to_pylist():
-                    ids = both.ids(text) or ((), ())
-                    flat_a.extend(ids[0])
-                    flat_b.extend(ids[1])
-                    n_a.append(len(ids[0]))
-                    n_b.append(len(ids[1]))
-                ids_a, ids_b = np.frombuffer(flat_a, np.int32).astype(np.int64), np.frombuffer(flat_b, np.int32).astype(np.int64)
-                end_a, end_b = np.cumsum(n_a), np.cumsum(n_b)
-                a_to, b_to, link_a, link_b = align(both.a_size[ids_a], both.b_size[ids_b])
-                n_groups = np.diff(np.searchsorted(a_to, end_a, "right"), prepend=0)
-                n_links = np.diff(np.searchsorted(link_a, end_a, "left"), prepend=0)
-                shown = both.shown_groups(ids_a, ids_b, a_to, b_to)
-                ends = [0, *(end_a + end_b).tolist()]
-                groups = [b"".join(shown[x:y])[:-1] for x, y in zip(ends, ends[1:])]
-                del shown
+                groups, sizes, doc, pair = both.aligned(some.column("text").to_pylist())
+                n_a, n_b, n_groups, n_links = sizes.T
                 if hashed:
                     groups = [hashlib.sha256(g).hexdigest() if g else "" for g in groups]
                 else:
                     groups = [g.decode() for g in groups]
-                doc, pair = np.repeat(np.arange(len(n_a)), n_links), ids_a[link_a] << B_BITS | ids_b[link_b]
-                order = np.lexsort((pair, doc))
-                doc, pair = doc[order], pair[order]
+                bits = int(pair.max(initial=0)).bit_length()
+                if bits + len(sizes).bit_length() < 64:  # one number a link sorts faster
+                    key = np.sort(doc << bits | pair)
+                    doc, pair = key >> bits, key & ((1 << bits) - 1)
+                else:
+                    order = np.lexsort((pair, doc))
+                    doc, pair = doc[order], pair[order]
                 first = np.flatnonzero(np.concatenate([[True], (pair[1:] != pair[:-1]) | (doc[1:] != doc[:-1])])[: len(pair)])
                 times = np.diff(first, append=len(pair)).astype(np.int32)
                 offsets = pa.array(np.searchsorted(doc[first], np.arange(len(n_a) + 1)).astype(np.int32))

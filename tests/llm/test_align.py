@@ -119,3 +119,18 @@ def test_query_against_brute_force(spark):
     assert len(got) == len(docs)
     assert {d: x[:6] for d, x in got.items()} == {d: x[:6] for d, x in want.items()}
     assert all(got[d][6] == x[6] for d, x in want.items() if x[6] is not None)
+
+
+def test_parts_are_remembered():
+    """Texts put together from remembered parts are those aligned whole, at any kind of white space; a part is encoded once."""
+    rng = random.Random(3)
+    bits = [" ", " ", " ", "  ", "\n", "\t", "\r\n", "\xa0", "\x1c", "\x85", " ", "　", "a", "word", "é", "日本", "'s", "12", "...", "​", "﻿", "ﬁ", "Ａ", "\U00018d09", "▁", "\x00"]
+    texts = ["".join(rng.choices(bits, [1 + (i < 4) * 9 + (11 < i < 19) * 4 for i in range(len(bits))], k=rng.randrange(12))) for _ in range(4000)]
+    both = L._Pair(A, B)
+    groups, sizes, doc, pair = both.aligned(texts)
+    whole, want, pairs = both.found([both.ids(t) or ((), ()) for t in texts])
+    assert groups == [g[:-1] for g in whole] and (sizes == want).all() and (pair == pairs).all() and (doc == np.repeat(np.arange(len(texts)), want[:, 3])).all()
+    assert (sizes[:, 0] > 0).sum() > 2000
+    plain = [t for t in texts if t.isascii() and "\x00" not in t]
+    both.a = both.b.model = None
+    assert both.aligned(plain)[0] == [g for g, t in zip(groups, texts) if t in set(plain)]
