@@ -128,3 +128,29 @@ def test_halving_finds_the_bad_ones(spark):
     assert sorted(r["submission_id"] for r in failed.collect()) == ["23", "7"]
     assert sorted(int(r["submission_id"]) for (part,) in done for r in part.collect()) == [i for i in range(40) if i not in (7, 23)]
     assert len(runs) < 45
+
+
+def test_lists_of_a_report_come_from_one_shuffle(spark):
+    """Texts of the evidence are dealt by submission once; null and repeated URLs, claims without evidence, evidence without a claim."""
+    from evidentia.plans.full_report import full_reports
+
+    claims = spark.createDataFrame([("s1", "c2", "B", "VALID", None, None), ("s1", "c1", "A", "INVALID_CLAIM", None, None), ("s1", None, "N", None, None, None), ("s2", "c3", "C", "VALID", None, ["q"])], "submission_id string, claim_id string, claim string, status string, reject_reason string, queries array<string>")
+    rows = [("s1", "c2", "https://x.com/a/1", 3, "SUPPORTS", "X"), ("s1", "c2", "https://b.org", 1, "CONTRADICTS", None), ("s1", None, None, 2, "SUPPORTS", None), ("s1", "c2", "https://b.org", 5, "SUPPORTS", None), ("s1", "c2", None, 4, "NEUTRAL", None), ("s9", "c9", "u", 1, "SUPPORTS", None)]
+    evidence = spark.createDataFrame([(s, c, None, u, f"text {n}", 0.0, 0.0, 0.5, "m", n, r, u, "web", p) for s, c, u, n, r, p in rows], "submission_id string, claim_id string, document_id string, url string, evidence_text string, support_score double, contradiction_score double, relevance_score double, retrieval_method string, seq int, relationship string, domain string, source_type string, platform_label string")
+    verdicts = spark.createDataFrame([(s, "SUPPORTED", 0.9, None) for s in ("s1", "s2", "s3")], "submission_id string, overall_status string, confidence double, image_verdict string")
+    reasons = verdicts.selectExpr("submission_id", "'because' AS reason")
+    # as large tables, which aren't broadcast
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = full_reports(claims, evidence, verdicts, reasons)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") <= 3, "verdicts, reasons and the rows of the report"
+        got = {r["submission_id"]: json.loads(r["report"])["full_report"] for r in df.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    one = got["s1"]
+    assert [(p["id"], p["evidence_text"]) for p in one["supporting_evidence"]] == [("ev-1", "text 2"), ("ev-2", "text 3"), ("ev-3", "text 5")] and [p["evidence_text"] for p in one["contradicting_evidence"]] == ["text 1"]
+    assert [(s.get("url"), s["evidence"]) for s in one["sources"]] == [("https://b.org", "text 5"), (None, "text 4"), ("https://x.com/a/1", "text 3")]
+    assert [p["post_text"] for p in one["social_media_evidence"]] == ["text 3"] and one["social_media_evidence"][0]["relevance"] == "SUPPORTS"
+    assert [(c["claim_text"], c.get("verdict"), [s["evidence"] for s in c.get("sources", [])]) for c in one["claims"]] == [("N", "UNVERIFIED", []), ("A", None, []), ("B", "SUPPORTED", ["text 1", "text 3", "text 4", "text 5"])]
+    assert [c["search_queries_json"] for c in got["s2"]["claims"]] == [["q"]] and got["s2"]["sources"] == [] and got["s3"]["claims"] == [] and set(got) == {"s1", "s2", "s3"}
