@@ -86,6 +86,32 @@ def written(df: DataFrame, texts: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def without(docs: DataFrame, *found: DataFrame) -> DataFrame:
+    """docs without the rows whose row_key() some table of found (row__) has; all columns stay."""
+    for rows in found:
+        docs = docs.withColumn("row__", row_key()).join(rows.hint("shuffle_hash"), "row__", "left_anti").drop("row__")
+    return docs
+
+
+def row_key() -> Column:
+    """A 64-bit hash of a row's id and text; xxhash64 skips nulls, so these are told apart by flags."""
+    return F.xxhash64(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text").isNull(), F.col("text"))
+
+
+def rows_with(docs: DataFrame, bad: Callable[[str | None], bool]) -> DataFrame:
+    """(row__): the row_key() of every row whose text is bad, a written table.
+
+    Texts go to Python in small batches and none come back: the batches of an
+    action of the caller may be as large as a partition, on either side.
+    """
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("row__").filter(pa.array([bad(t.as_py()) for t in b.column("text")], pa.bool_()))], ["row__"])
+
+    return written(docs.select(row_key().alias("row__"), "text").mapInArrow(judge, "row__ long"), texts=True)
+
+
 def ship(spark: SparkSession) -> None:
     """Make this package importable in Python workers that don't inherit its path."""
     paths = os.environ.get("PYTHONPATH", "").split(os.pathsep)

@@ -20,6 +20,7 @@ import re
 from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from itertools import accumulate
 
 import numpy as np
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import ship, small_batches, written
+from evidentia.llm.common import rows_with, ship, small_batches, without, written
 
 #: Items of a block, and characters of its items; an item above that is a block of its own.
 BLOCK, BLOCK_CHARS = 200_000, 8_000_000
@@ -273,13 +274,8 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the rows whose text holds a test item, null and repeated doc_ids alike; all columns stay."""
     spark = docs.sparkSession
     ship(spark)
-    out = docs
+    found = []
     for block in blocks(docs, benchmark):
         sent = spark.sparkContext.broadcast(block)
-
-        def keep(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                yield b.filter(pa.array([not find_in(t.as_py(), sent.value, first_only=True) for t in b.column("text")], pa.bool_()))
-
-        out = out.mapInArrow(keep, docs.schema)
-    return out
+        found.append(rows_with(docs, lambda t, sent=sent: bool(find_in(t, sent.value, first_only=True))))
+    return without(docs, *([reduce(DataFrame.unionByName, found)] if found else []))

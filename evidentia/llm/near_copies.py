@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import cached, ship, words_of, written
+from evidentia.llm.common import cached, row_key, ship, words_of, written
 from evidentia.llm.components import components, hot_join
 from evidentia.llm.simhash import links, majority
 
@@ -135,8 +135,7 @@ def drop_similar(docs: DataFrame) -> DataFrame:
     hashes. All columns stay.
     """
     ship(docs.sparkSession)
-    # xxhash64 skips nulls, so these are told apart by flags
-    row = F.xxhash64(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text").isNull(), F.col("text"))
+    row = row_key()
     rows = written(docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(_digests, "row long, doc_id long, node long, fp long, keys array<long>"), texts=True)
     # a text is a node; its first row speaks for it
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("first")

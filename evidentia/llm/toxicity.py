@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import bounded_sample, cached, fold, ship, small_batches, written
+from evidentia.llm.common import bounded_sample, cached, fold, rows_with, ship, small_batches, without, written
 
 #: Bounds on what is learnt from: labelled rows; examples of the index, half of them toxic, and their characters; rows that fit the curve.
 SAMPLE, EXAMPLES, CHARS, CALIBRATION = 16_000, 2_000, 16_000_000, 3_000
@@ -434,9 +434,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     ship(spark)
     words, index = (spark.sparkContext.broadcast(x) for x in fitted(docs, labels)[:2])
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield b.filter(pa.array([index.value.score(*words.value.of(t.as_py()))[0] < THRESHOLD for t in b.column("text")], pa.bool_()))
-
-    return docs.mapInArrow(keep, docs.schema)
+    return without(docs, rows_with(docs, lambda t: index.value.score(*words.value.of(t))[0] >= THRESHOLD))

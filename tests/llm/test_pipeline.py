@@ -1,7 +1,9 @@
+import re
 import sys
 from pathlib import Path
 
 import duckdb
+from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from evidentia.llm import decontam
@@ -45,3 +47,12 @@ def test_stages_one_by_one(spark):
 
 def test_run(spark):
     assert P.run(spark, SF).columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
+
+
+def test_stages_that_drop_rows_hand_no_texts_to_the_callers_action(spark):
+    """Its batches may hold a whole partition; the stages judge texts in small ones of their own and keep only what names a row."""
+    docs = spark.createDataFrame([(1, "a clean text"), (None, None), (1, "a clean text"), (None, "")], "doc_id long, text string").withColumns({"lang": F.lit("en"), "source": F.lit("x"), "n_chars": F.length("text")})
+    for stage in (P.drop_toxic, P.drop_benchmark):
+        out = stage(spark, docs, SF)
+        assert not re.search("MapIn(Arrow|Pandas)", out._jdf.queryExecution().toString())
+        assert sorted(map(tuple, out.collect()), key=str) == sorted(map(tuple, docs.collect()), key=str)
