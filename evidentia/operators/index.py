@@ -145,6 +145,15 @@ def search(index: Index, claims: DataFrame, n: int = 5) -> DataFrame:
     return _documents(_score(candidates(index, wanted), index, queries), n)
 
 
+def scan(claims: DataFrame, docs: DataFrame, n: int = 5) -> DataFrame | None:
+    """What search() finds, from docs (doc_id, text) without an index: texts are dealt once, the best of every batch once more. None for more claims than go to all tasks."""
+    best = R.best_of_batches(claims, docs, n)
+    if best is None:
+        return None
+    order = Window.partitionBy("claim_id").orderBy(F.desc("score"), "doc_id")
+    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+
+
 def best_documents(claims: DataFrame, docs: DataFrame, n: int = 5) -> DataFrame:
     """(claim_id, doc_id, score, rank): documents by their best BM25 sentence, a search over the corpus."""
     return search(build(docs), claims, n).select("claim_id", "doc_id", "score", "rank")

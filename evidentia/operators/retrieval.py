@@ -15,6 +15,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -163,6 +164,26 @@ def bm25(claims: DataFrame, docs: DataFrame, n: int = 3) -> DataFrame:
     return _listed(docs, {"w": split_words}, claims, [sent], lambda b, batch, terms: _ranked(b, _bm25_rows(b, batch, terms[0], n)), "score double, rank int")
 
 
+def best_of_batches(claims: DataFrame, docs: DataFrame, n: int) -> DataFrame | None:
+    """(claim_id, doc_id, sent_ix, score): of each batch of documents the n best for each claim by their best BM25 sentence (of equal ones the last), ties to the smaller doc_id.
+
+    None for more claims than go to all tasks.
+    """
+    (sent,) = _sent_terms(claims, split_words)
+    if sent is None:
+        return None
+
+    def run(b: ranking.Batch, batch: pa.RecordBatch, terms: list[ranking.Terms]) -> Iterator[tuple]:
+        place = np.argsort(pc.sort_indices(b.ids).to_numpy())
+        for claim, cell, units, _ in _bm25_rows(b, batch, terms[0], 1):
+            order = np.lexsort((place[b.cell_doc[cell]], -units, claim))
+            _, first, size = np.unique(claim[order], return_index=True, return_counts=True)
+            take = order[np.arange(len(order)) - np.repeat(first, size) < n]
+            yield claim[take], b.cell_doc[cell[take]], b.cell_ix[cell[take]], units[take] / 10**DIGITS
+
+    return _listed(docs.where("doc_id is not null"), {"w": split_words}, claims, [sent], run, "score double")
+
+
 def tfidf_scores(claims: DataFrame, docs: DataFrame, sents: DataFrame | None = None) -> DataFrame:
     """(claim_id, doc_id, sent_ix, score): cosine of claim and sentence, fitted per (claim, document).
 

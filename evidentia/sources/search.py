@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from evidentia.functions import hashing as H
 from evidentia.functions import text as T
 from evidentia.operators import index
+from evidentia.operators.retrieval import sentences
+from evidentia.plans.storage import kept
 
 TTL_SECONDS = {"search": 86_400, "document": 86_400, "social": 43_200}
 
@@ -26,8 +28,9 @@ class SearchProvider(ABC):
 class CorpusProvider(SearchProvider):
     """Ranks documents (doc_id, text, url, title) by their best BM25 sentence, which is the snippet.
 
-    The corpus is indexed at the first search, or beforehand, at path; later
-    searches, also of other sessions, read what their queries need.
+    An index that was built beforehand is read as far as the queries need it.
+    Without one a search scans the corpus, which takes no more disk than its
+    texts; only queries of too many words for that build an index, which stays.
     """
 
     name = "corpus"
@@ -37,11 +40,15 @@ class CorpusProvider(SearchProvider):
         self.built = built
 
     def search(self, queries: DataFrame, num_results: int = 5) -> DataFrame:
-        if self.built is None:
-            self.built = index.build(self.documents)
         claims = queries.select(F.col("query_id").alias("claim_id"), F.col("query").alias("claim"))
-        top = index.search(self.built, claims, num_results)
-        texts = self.built.sentences.select("doc_id", "sent_ix", "sentence")
+        top = index.scan(claims, self.documents, num_results) if self.built is None else None
+        if top is not None:
+            top = kept(top)
+            texts = sentences(self.documents.select("doc_id", "text").join(top.select("doc_id").distinct(), "doc_id", "left_semi"))
+        else:
+            self.built = self.built or index.build(self.documents)
+            top = index.search(self.built, claims, num_results)
+            texts = self.built.sentences.select("doc_id", "sent_ix", "sentence")
         found = top.join(texts, ["doc_id", "sent_ix"]).join(self.documents.select("doc_id", "url", "title"), "doc_id")
         return found.select(F.col("claim_id").alias("query_id"), "rank", "url", "title", F.col("sentence").alias("snippet"))
 
@@ -66,5 +73,5 @@ def cached(queries: DataFrame, cache: DataFrame, provider: str, now: Column, num
 
 def cache_rows(results: DataFrame, provider: str, now: Column, kind: str = "search") -> DataFrame:
     """results (query, results) -> cache rows; empty results aren't cached."""
-    kept = results.where(F.size("results") > 0)
-    return kept.select(H.cache_key(F.lit(provider), F.col("query")).alias("key"), "results", (now + F.make_interval(secs=F.lit(TTL_SECONDS[kind]))).alias("expires_at"))
+    some = results.where(F.size("results") > 0)
+    return some.select(H.cache_key(F.lit(provider), F.col("query")).alias("key"), "results", (now + F.make_interval(secs=F.lit(TTL_SECONDS[kind]))).alias("expires_at"))

@@ -145,3 +145,21 @@ def test_claims_in_parts(corpus, monkeypatch):
     monkeypatch.setattr(R.ranking, "CELLS", 20_000)
     many, got = rows()
     assert whole == [1, 1] and min(many) > 2 and got == want
+
+
+@pytest.mark.parametrize("n", [1, 5, 1000])
+def test_scan_is_exact(corpus, built, n):
+    claims, docs = corpus
+    assert sorted(map(tuple, X.scan(claims, docs, n).select("claim_id", "doc_id", "sent_ix", "score", "rank").collect())) == sorted(map(tuple, X.search(built, claims, n).select("claim_id", "doc_id", "sent_ix", "score", "rank").collect()))
+
+
+def test_a_search_without_index_builds_none(corpus, built, monkeypatch):
+    claims, docs = corpus
+    docs, queries = docs.withColumn("url", F.col("doc_id").cast("string")).withColumn("title", F.lit("t")), claims.toDF("query_id", "query")
+    want = sorted(map(tuple, search.CorpusProvider(docs, built).search(queries, 3).collect()))
+
+    def none(docs):
+        raise AssertionError("an index of the whole corpus")
+
+    monkeypatch.setattr(X, "build", none)
+    assert sorted(map(tuple, search.CorpusProvider(docs).search(queries, 3).collect())) == want
