@@ -87,3 +87,80 @@ def test_prefix_filter_loses_no_pair(spark):
     assert near and near <= got
     pairs = len(rows) * (len(rows) - 1) // 2
     assert len(got) < pairs / 4
+
+
+def connected(sets, pairs):
+    """The classes of the ids of sets under those pairs that are similar."""
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for x, y in pairs:
+        if sets[x] and 5 * len(sets[x] & sets[y]) >= 4 * len(sets[x] | sets[y]):
+            x, y = sorted((find(x), find(y)))
+            root[y] = x
+    return {i: find(i) for i in sets}
+
+
+def test_crowd_of_separate_edits_does_not_meet_pair_by_pair(spark):
+    """Copies with 1 to 5 words of their own, with and without the text they come from: few pairs, the same classes as all pairs give."""
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(150)]
+    rows = [(0, 0, " ".join(base))]
+    for i in range(1, 500):
+        w = list(base)
+        for k in rng.sample(range(150), rng.randint(1, 5)):
+            w[k] = f"x{i}.{k}"
+        rows.append((i, i, " ".join(w)))
+    for some in (rows, rows[1:]):
+        got = {(r["a"], r["b"]) for r in N.prefix_pairs(spark.createDataFrame(some, "node long, c long, text string"), 16).collect()}
+        sets = {i: grams(t) for i, _, t in some}
+        assert len(got) < 12 * len(some) and connected(sets, got) == connected(sets, combinations(sorted(sets), 2))
+
+
+def test_crowds_within_crowds_lose_no_link(spark):
+    """Chains of edits from few words, cut and joined texts, of all sizes: whatever a crowd is, the classes are those of all pairs."""
+    for seed in (1, 2):
+        rng = random.Random(seed)
+        base = [f"w{i}" for i in range(40 + 30 * seed)]
+        rows, made = [], [base]
+        for i in range(160):
+            w = list(rng.choice(made))
+            for _ in range(rng.randrange(4)):
+                k = rng.randrange(len(w))
+                w[k : k + 1] = rng.choice([[], [f"x{rng.randrange(9)}"], [w[k], f"y{rng.randrange(9)}"]])
+            w = rng.choice([w, w, w, w[rng.randrange(6) :], w + base[: rng.randrange(8)]])
+            made.append(w)
+            rows.append((i, i // rng.choice([1, 1, 1, 8]), " ".join(w)))
+        rows.append((500, 500, ""))
+        sets = {i: grams(t) for i, _, t in rows}
+        alike = [(x[0], y[0]) for x, y in combinations(rows, 2) if x[1] != y[1]]
+        got = {(r["a"], r["b"]) for r in N.prefix_pairs(spark.createDataFrame(rows, "node long, c long, text string"), 2).collect()}
+        classes = {}
+        for i, c, _ in rows:
+            classes.setdefault(c, []).append(i)
+
+        def whole(pairs):
+            """Classes under pairs, where rows of one c are one already."""
+            of = connected(sets, pairs)
+            root = {i: i for i in of}
+
+            def find(x):
+                while root[x] != x:
+                    x = root[x]
+                return x
+
+            for i, r in of.items():
+                root[find(i)] = find(r)
+            for m in classes.values():
+                for x in m:
+                    root[find(x)] = find(m[0])
+            least = {}
+            for i in sorted(of):
+                least.setdefault(find(i), i)
+            return {i: least[find(i)] for i in of}
+
+        assert whole(got) == whole(alike)
