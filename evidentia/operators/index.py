@@ -155,5 +155,12 @@ def scan(claims: DataFrame, docs: DataFrame, n: int = 5) -> DataFrame | None:
 
 
 def best_documents(claims: DataFrame, docs: DataFrame, n: int = 5) -> DataFrame:
-    """(claim_id, doc_id, score, rank): documents by their best BM25 sentence, a search over the corpus."""
-    return search(build(docs), claims, n).select("claim_id", "doc_id", "score", "rank")
+    """(claim_id, doc_id, score, rank): documents by their best BM25 sentence, a search over the corpus.
+
+    One search is no reason for an index, which takes many times the disk of the
+    texts; only claims of too many words for a scan build one.
+    """
+    found = scan(claims, docs, n)
+    if found is None:
+        found = search(build(docs), claims, n)
+    return found.select("claim_id", "doc_id", "score", "rank")

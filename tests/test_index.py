@@ -163,3 +163,14 @@ def test_a_search_without_index_builds_none(corpus, built, monkeypatch):
 
     monkeypatch.setattr(X, "build", none)
     assert sorted(map(tuple, search.CorpusProvider(docs).search(queries, 3).collect())) == want
+
+
+def test_one_search_over_a_corpus_builds_no_index(corpus, monkeypatch):
+    """best_documents scans; only claims of too many words for that get an index."""
+    want = {n: brute(*corpus, n) for n in (1, 5)}
+    build, made = X.build, []
+    monkeypatch.setattr(X, "build", lambda docs: made.append(1) or build(docs))
+    for n, rows in want.items():
+        assert {tuple(r) for r in X.best_documents(*corpus, n).collect()} == rows and not made
+    monkeypatch.setattr(R, "SENT_TERMS", 0)
+    assert {tuple(r) for r in X.best_documents(*corpus, 5).collect()} == want[5] and made
