@@ -153,3 +153,26 @@ def test_sources_travel_as_lists(spark, monkeypatch):
     monkeypatch.setattr(reads, "SENT_SOURCES", 3)
     again = [(r["submission_id"], r["source_id"], r["name"]) for r in reads.sources_of(sources, docs, ev, claims).collect()]
     assert len(again) == len(want) and set(again) == want
+
+
+@pytest.mark.parametrize("part", [7, 1 << 19])
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_lists_of_sources_stay_in_their_files(spark, monkeypatch, kind, part):
+    """No list is sent for a pair; parts of few rows, one owner of many, nulls, repeats and members of any type; the join serves files that tasks can't open."""
+    from evidentia.operators import lists as L
+
+    monkeypatch.setattr(L, "PART", part)
+    ev = spark.createDataFrame([(c, d) for c in range(60) for d in (c % 4, c % 7, None)] + [(1, d) for d in range(30)] + [(None, 1), (99, 2)], "claim_id int, document_id int")
+    claims = spark.createDataFrame([(c, c % 9 if c % 10 else None) for c in range(60)], "claim_id int, submission_id int")
+    links = [(d, 1000 * s) for d in range(25) for s in range(d % 5, 9)]
+    docs = spark.createDataFrame(links * 2 + [(None, 1), (1, None)], "document_id int, source_id int").selectExpr("document_id", f"CAST(source_id AS {kind}) AS source_id")
+    sources = spark.createDataFrame([(1000 * s, f"s{s}") for s in range(8)], "source_id int, name string").selectExpr(f"CAST(source_id AS {kind}) AS source_id", "name")
+    used = {(c % 9 if c % 10 else None, d) for c in range(60) for d in (c % 4, c % 7)} | {(1, d) for d in range(30)}
+    want = sorted((repr(s), str(x), f"s{x // 1000}") for s, x in {(s, x) for s, d in used for e, x in links if e == d and x < 8000})
+    rows = lambda df: sorted((repr(r["submission_id"]), str(r["source_id"]), r["name"]) for r in df.collect())
+    df = reads.sources_of(sources, docs, ev, claims)
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    assert "FileScan parquet" not in plan and plan.count("Exchange") == 1, "only pairs of submission and document are dealt"
+    assert rows(df) == want
+    monkeypatch.setattr(L, "readable", lambda table: False)
+    assert rows(reads.sources_of(sources, docs, ev, claims)) == want
