@@ -154,3 +154,40 @@ def test_lists_of_a_report_come_from_one_shuffle(spark):
     assert [p["post_text"] for p in one["social_media_evidence"]] == ["text 3"] and one["social_media_evidence"][0]["relevance"] == "SUPPORTS"
     assert [(c["claim_text"], c.get("verdict"), [s["evidence"] for s in c.get("sources", [])]) for c in one["claims"]] == [("N", "UNVERIFIED", []), ("A", None, []), ("B", "SUPPORTED", ["text 1", "text 3", "text 4", "text 5"])]
     assert [c["search_queries_json"] for c in got["s2"]["claims"]] == [["q"]] and got["s2"]["sources"] == [] and got["s3"]["claims"] == [] and set(got) == {"s1", "s2", "s3"}
+
+
+def test_reports_in_place_equal_the_joined_ones(spark):
+    """Verdict, reason and lists from rows that lie with their submission; hits that are no evidence, claims without hits, submissions without claims, rows of no submission."""
+    from pyspark.sql import functions as F
+
+    from evidentia.operators import verdicts as V
+    from evidentia.plans.full_report import CLAIM, EVIDENCE, full_reports, reports_in_place
+
+    claims = spark.createDataFrame([(s, c, f"text of {c}", k, None, None) for s, c, k in [("s1", "c1", "VALID"), ("s1", "c2", "INVALID_CLAIM"), ("s2", "c3", None), ("s3", "c4", "VALID"), ("s4", "c5", "VALID"), ("s6", "c6", "VALID"), (None, "c7", "VALID"), ("s9", "c8", "VALID")]], "submission_id string, claim_id string, claim string, status string, reject_reason string, queries array<string>")
+    found = [("s1", "c1", 3, "SUPPORTS", "X"), ("s1", "c1", 1, "CONTRADICTS", None), ("s1", "c2", 2, "SUPPORTS", None), ("s2", "c3", 4, "SUPPORTS", None), ("s2", "c3", 5, None, "X"), ("s3", "c4", 6, "CONTRADICTS", None), ("s3", "c4", 7, "CONTRADICTS", None), ("s6", "c6", 8, "CONTEXT", "X"), (None, "c7", 9, "SUPPORTS", None), ("s9", "c8", 10, "SUPPORTS", None)]
+    evidence = spark.createDataFrame([(s, c, None, f"https://d{n % 3}.org", f"text {n}", 0.0, 0.0, 0.5, "m", n, r, f"d{n % 3}.org", "web", p) for s, c, n, r, p in found], "submission_id string, claim_id string, document_id string, url string, evidence_text string, support_score double, contradiction_score double, relevance_score double, retrieval_method string, seq int, relationship string, domain string, source_type string, platform_label string")
+    short = spark.createDataFrame([("s4", "c5"), ("s1", "c1")], "submission_id string, claim_id string")
+    subs = spark.createDataFrame([(f"s{i}",) for i in range(1, 7)], "submission_id string")
+    verdicts = V.overall_verdicts(subs, claims, evidence.select("claim_id").unionByName(short.select("claim_id")), evidence).withColumn("image_verdict", F.when(F.col("submission_id") == "s3", "LIKELY_AI_GENERATED"))
+    want = {r["submission_id"]: json.loads(r["report"]) for r in full_reports(claims, evidence, verdicts, V.reasons(verdicts, evidence)).collect()}
+    mark, rows = F.lit(True), lambda *dfs: dfs[0] if len(dfs) == 1 else dfs[0].unionByName(rows(*dfs[1:]), allowMissingColumns=True)
+    union = rows(evidence.select("submission_id", "claim_id", F.struct(*EVIDENCE).alias("e"), mark.alias("hit")), short.withColumn("hit", mark), claims.select("submission_id", "claim_id", F.struct(*CLAIM).alias("c")), subs.withColumn("submitted", mark))
+    got = reports_in_place(union.repartition(3, "submission_id"), F.when(F.col("submission_id") == "s3", "LIKELY_AI_GENERATED"))
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert {r["submission_id"]: json.loads(r["report"]) for r in got.collect()} == want and len(want) == 6
+    assert len({x["full_report"]["overall_status"] for x in want.values()}) >= 5
+
+
+def test_full_report_deals_keys_only(spark):
+    """No text goes through a shuffle or into a table of its own."""
+    from evidentia.plans.queries import QUERIES
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = QUERIES["full_report"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    dealt = [line for line in plan.splitlines() if "Exchange" in line]
+    assert len(dealt) == 3, "lineitem and orders by claim, then all rows by submission"
+    below = plan[plan.index(dealt[0]) :]
+    assert "evidence_text" not in below and "https://" not in below and "FileScan" in below and "FileScan" not in plan[: plan.index(dealt[0])]
